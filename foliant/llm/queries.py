@@ -30,6 +30,6 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("piece_ids", " "), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
