@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import pieces, quality, winnow
 from .common import table
 
 Q: dict = {}
@@ -33,3 +33,28 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.assess(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+@query
+def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    bad = winnow.contamination(docs, bench)
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    bad = bad.select("doc", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+    counts = docs.select("doc_id", F.size(winnow.item_words(F.col("text"))).cast("long").alias("n_words"))
+    return counts.join(bad, counts["doc_id"].eqNullSafe(bad["doc"]), "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
