@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[float]:
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
     trusted = F.broadcast(trusted.select(F.col("doc_id").alias(_P + "id"), F.lit(1).alias(_P + "hit")))
     rows = docs.select("doc_id", token_hashes(F.col(text)).alias("h")).join(trusted, F.col("doc_id") == F.col(_P + "id"), "left")
-    counts = rows.select(_P + "hit", F.explode(features(F.col("h"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count(_P + "hit").alias("target")).orderBy("b")
+    counts = rows.select(_P + "hit", F.explode_outer(features(F.col("h"))).alias("b")).filter("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("raw"), F.count(_P + "hit").alias("target")).orderBy("b")
     n = F.sum("raw").over(_all := _whole()), F.sum("target").over(_all)
     share = F.col("raw") / n[0]
     weight = F.log((F.col("target") + share * PRIOR) / (n[1] + F.lit(PRIOR)) / share)

@@ -11,7 +11,8 @@ their own length; their windows are found by hash and compared as strings too.
 Benchmark windows that occur in the same set of items are one class, so a passage that many items
 share meets a document once and not once for each item and window.
 
-DataFrame functions only. Hashes are broadcast only where counting proves them `SMALL`.
+DataFrame functions only. Arrays are opened with explode_outer: for the inner form the optimizer infers a filter
+and computes the whole array a second time in it. Hashes are broadcast only where counting proves them `SMALL`.
 
 Edge cases: null and empty texts have no words and aren't hit; rows that share a doc_id (a null id
 included) count as one document, whose hits are those of all its rows, while n_words stays by row;
@@ -68,20 +69,20 @@ def windows_of(benchmark: DataFrame, item: str = "item_id", text: str = "text")
     many = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.array_join(F.slice(w, i, WINDOW), " "))
     one = F.when(F.size(w) > 0, F.array(F.array_join(w, " ")))
     rows = benchmark.select(F.col(item).alias("item"), item_words(F.col(text)).alias(_P + "w"))
-    return rows.select("item", F.least(F.size(w), F.lit(WINDOW)).alias("len"), F.explode(F.when(F.size(w) >= WINDOW, many).otherwise(one)).alias("win")).distinct()
+    return rows.select("item", F.least(F.size(w), F.lit(WINDOW)).alias("len"), F.explode_outer(F.when(F.size(w) >= WINDOW, many).otherwise(one)).alias("win")).filter("win IS NOT NULL").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """(doc, at, len, win) for every place where a benchmark window stands in a document, and (item, len, win)."""
     wins = windows_of(benchmark, item, text)
     keys = wins.select("win", "len").distinct()
-    marks = with_fingerprints(benchmark.select(text), text).select(_P + "h", F.explode(_P + "fp").alias("f")).select(F.get(_P + "h", "f").alias("mark")).distinct()
+    marks = with_fingerprints(benchmark.select(text), text).select(_P + "h", F.explode_outer(_P + "fp").alias("f")).filter("f IS NOT NULL").select(F.get(_P + "h", "f").alias("mark")).distinct()
     rows = docs.select(F.col(doc).alias("doc"), F.col(text))
     w, f = F.col(_P + "w"), F.col("f")
     # the words from which every window over a fingerprint can be cut
     first = F.greatest(f - (SPAN - 1), F.lit(0))
     around = (first.alias("from"), F.slice(w, first + 1, f + WINDOW - first).alias("near"))
-    found = with_fingerprints(rows, text).select("doc", _P + "w", _P + "h", F.explode(_P + "fp").alias("f"))
+    found = with_fingerprints(rows, text).select("doc", _P + "w", _P + "h", F.explode_outer(_P + "fp").alias("f")).filter("f IS NOT NULL")
     mark = F.get(F.col(_P + "h"), f)
     if is_small(marks):
         found = found.join(F.broadcast(marks), mark == F.col("mark")).select("doc", *around)
@@ -89,12 +90,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str =
         found = found.select("doc", mark.alias("mark"), *around).join(marks, "mark").select("doc", "from", "near")
     near = F.col("near")
     cut = F.transform(F.sequence(F.lit(0), F.size(near) - WINDOW), lambda i: F.struct((F.col("from") + i).alias("at"), F.array_join(F.slice(near, i + 1, WINDOW), " ").alias("win")))
-    long = found.filter(F.size(near) >= WINDOW).select("doc", F.explode(cut).alias("c")).select("doc", F.col("c.at").alias("at"), F.lit(WINDOW).alias("len"), F.col("c.win").alias("win")).distinct()
+    long = found.filter(F.size(near) >= WINDOW).select("doc", F.explode_outer(cut).alias("c")).select("doc", F.col("c.at").alias("at"), F.lit(WINDOW).alias("len"), F.col("c.win").alias("win")).distinct()
     short = [r[0] for r in wins.filter(F.col("len") < WINDOW).select("len").distinct().collect()]  # WINDOW - 1 lengths at most
     for n in sorted(short):
         heads = keys.filter(F.col("len") == n).select(F.xxhash64("win").alias("mark")).distinct()
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("win")))
-        more = rows.select("doc", item_words(F.col(text)).alias(_P + "w")).select("doc", F.explode(F.when(F.size(w) >= n, grams)).alias("c"))
+        more = rows.select("doc", item_words(F.col(text)).alias(_P + "w")).select("doc", F.explode_outer(F.when(F.size(w) >= n, grams)).alias("c")).filter("c IS NOT NULL")
         more = more.join(F.broadcast(heads) if is_small(heads) else heads, F.xxhash64("c.win") == F.col("mark"), "left_semi")
         long = long.unionByName(more.select("doc", F.col("c.at").alias("at"), F.lit(n).alias("len"), F.col("c.win").alias("win")))
     return long.join(keys.select("win", "len"), ["win", "len"], "left_semi").select("doc", "at", "len", "win"), wins
