@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, winnow
-from .common import table
+from . import pieces, quality, toxicity, winnow
+from .common import fold, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,11 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.assess(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), F.size("passages").alias("n_passages"))
