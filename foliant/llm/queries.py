@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, toxicity, winnow
+from . import pieces, quality, toxicity, warc, winnow
 from .common import fold, table
 
 Q: dict = {}
@@ -66,3 +66,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.assess(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", F.col("full_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+     g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000
+"""
