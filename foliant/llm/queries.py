@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, toxicity, warc, winnow
+from . import html_text, pieces, quality, sharding, toxicity, warc, winnow
 from .common import fold, table
 
 Q: dict = {}
@@ -82,3 +82,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000
 """
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from the compacted store."""
+    store = sharding.shard(table(spark, sf_dir, "documents"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op4_sharding"] = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
