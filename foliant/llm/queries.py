@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, pieces, quality, sharding, toxicity, warc, winnow
+from . import html_text, pieces, quality, setjoin, sharding, toxicity, warc, winnow
 from .common import fold, table
 
 Q: dict = {}
@@ -98,3 +98,9 @@ SQL["op4_sharding"] = "SELECT doc_id, lang, source, n_chars, sha256(text) AS tex
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
