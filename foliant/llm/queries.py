@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, pieces, quality, setjoin, sharding, toxicity, warc, winnow
+from . import html_text, kneser_ney, pieces, quality, setjoin, sharding, toxicity, warc, winnow
 from .common import fold, table
 
 Q: dict = {}
@@ -104,3 +104,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = setjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold(F.col("doc_id"), kneser_ney.FOLDS) == kneser_ney.HELD_OUT, F.lit(False))
+    model = kneser_ney.fit(docs.filter(~held))
+    out = kneser_ney.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
