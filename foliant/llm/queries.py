@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, kneser_ney, pieces, quality, setjoin, sharding, toxicity, warc, winnow
+from . import html_text, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, warc, winnow
 from .common import fold, table
 
 Q: dict = {}
@@ -113,3 +113,12 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = kneser_ney.fit(docs.filter(~held))
     out = kneser_ney.score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs)
+    out = langid.identify(docs.select("doc_id", "text"), net)
+    held = F.coalesce(fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
