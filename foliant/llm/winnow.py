@@ -59,6 +59,11 @@ def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(_P + "fp", F.when(some, at)).drop(_P + "wh", _P + "m")
 
 
+def _grams(w: Column, n: int) -> Column:
+    """Every n-word window with its place. (A lambda's second parameter would be the index, so n comes from here.)"""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("win")))
+
+
 def is_small(df: DataFrame) -> bool:
     return df.limit(SMALL + 1).count() <= SMALL
 
@@ -94,7 +99,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str =
     short = [r[0] for r in wins.filter(F.col("len") < WINDOW).select("len").distinct().collect()]  # WINDOW - 1 lengths at most
     for n in sorted(short):
         heads = keys.filter(F.col("len") == n).select(F.xxhash64("win").alias("mark")).distinct()
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("win")))
+        grams = _grams(w, n)
         more = rows.select("doc", item_words(F.col(text)).alias(_P + "w")).select("doc", F.explode_outer(F.when(F.size(w) >= n, grams)).alias("c")).filter("c IS NOT NULL")
         more = more.join(F.broadcast(heads) if is_small(heads) else heads, F.xxhash64("c.win") == F.col("mark"), "left_semi")
         long = long.unionByName(more.select("doc", F.col("c.at").alias("at"), F.lit(n).alias("len"), F.col("c.win").alias("win")))
