@@ -150,14 +150,13 @@ class PieceModel:
         return out[1:] if out[:1] == " " else out
 
     def verify(self, parts: list[str]) -> None:
-        """Compares cuts with the library. Cuts without a leading mark stand after a line break, which never merges."""
+        """Compares cuts with the library, each after a line break: that never merges, and keeps a space mark from being taken for the one that opens a text."""
         if not parts:
             return
-        asked = [p[1:].replace(MARK, " ") if p[0] == MARK else "\n" + p for p in parts]
         lead = len(self.library.encode("\n"))
-        for part, want in zip(parts, self.library.encode(asked, num_threads=1), strict=True):
+        for part, want in zip(parts, self.library.encode(["\n" + p.replace(MARK, " ") for p in parts], num_threads=1), strict=True):
             got = self.parts.get(part) or array("i", self.agenda(part)).tobytes()
-            if list(np.frombuffer(got, np.int32)) != (want if part[0] == MARK else want[lead:]):
+            if list(np.frombuffer(got, np.int32)) != want[lead:]:
                 raise ValueError(f"ids of {part!r} differ from the library's")
 
 
