@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-BUCKETS, PRIOR, LEAST, TRUSTED = 1 << 14, 200.0, -0.3, 30_000
+BUCKETS, PRIOR, LEAST, TRUSTED = 1 << 14, 4000.0, -0.3, 30_000
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "[#*$%&|<>]"
 TOKENS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+"
