@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from foliant.llm import queries
 
 random.seed(5)
-V = [f"v{i}" for i in range(300)]
+V = [f"v{i}" for i in range(40)]  # few words: a small corpus shows most of their pairs
 
 
 def test_pipeline(spark, tmp_path):
