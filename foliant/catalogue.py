@@ -70,7 +70,8 @@ def search_metachar(spark, d):
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id, coalesce(string_agg(t, ' > ' ORDER BY distance DESC), '') AS chain FROM (SELECT up.id, up.distance, h.text AS t FROM up JOIN hier h ON h.id = up.ancestor_id WHERE up.id LIKE 'H:p1:C%') GROUP BY id")
 def ancestor_chain(spark, d):
     h = P.hier(spark, d)
-    return S.chain_texts(h.filter("id LIKE 'H:p1:C%'").select("id"), S.ancestry(h), h).select("id", F.array_join("ancestors", " > ").alias("chain"))
+    ids = h.filter("id LIKE 'H:p1:C%'").select("id")
+    return S.chain_texts(ids, S.ancestry(h, ids=ids), h).select("id", F.array_join("ancestors", " > ").alias("chain"))
 
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id, CAST(max(distance) AS INTEGER) AS depth FROM up GROUP BY id")
@@ -95,7 +96,7 @@ GET = ["H:p1:N3", "H:p1:R1,R0", "nope", "H:p1:N3", "x,y"]
 
 def _got(spark, d):
     h = P.hier(spark, d)
-    return S.get(h, GET, S.ancestry(h))
+    return S.get(h, GET)
 
 
 @query(f"""WITH RECURSIVE {P.SQL_HIER},

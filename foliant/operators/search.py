@@ -41,17 +41,23 @@ def search(records: DataFrame, terms: list[str], chains: DataFrame | None = None
     found = section_scores(records, terms)
     heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
     out = found.join(heads, "section_id")
-    above = chain_texts(out.select(F.col("section_id").alias("id")), chains if chains is not None else ancestry(records), records)
+    ids = out.select(F.col("section_id").alias("id"))
+    above = chain_texts(ids, chains if chains is not None else ancestry(records, ids=ids), records)
     out = out.join(above.withColumnRenamed("id", "section_id"), "section_id", "left")
     return out.select("score", "seq", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"), "section_id", F.col("children").alias("matched_children")).orderBy(F.desc("score"), "seq")
 
 
-def ancestry(records: DataFrame, depth: int = 64) -> DataFrame:
-    """(id, ancestor_id, distance). A level is a join; the walk ends where no parent is left, and never passes a parent twice."""
+def ancestry(records: DataFrame, depth: int = 64, ids: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor_id, distance) of all records, or of those in ids (id).
+
+    A level is a join; the walk ends where no parent is left, and never passes a parent twice. Queries walk from their own few
+    records; the whole closure is for storing beside the records.
+    """
     links = records.filter("parent_id <> ''").select(F.col("id").alias("child"), "parent_id")
     known = records.select(F.col("id").alias("known"))
     links = links.join(known, F.col("parent_id") == F.col("known"), "left_semi")
-    level = links.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen"))
+    first = links if ids is None else links.join(ids.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
+    level = first.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen"))
     out = level
     for k in range(2, depth + 1):
         level = (
@@ -89,7 +95,7 @@ def get(records: DataFrame, ids: list[str], chains: DataFrame | None = None) ->
     unknown = asked.join(records.select("id"), "id", "left_anti").select("ask", "part", "id")
     under = records.filter("parent_id <> ''").join(F.broadcast(asked.select(F.col("id").alias("parent_id")).distinct()), "parent_id", "left_semi")
     children = under.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "text"))), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias("children")).withColumnRenamed("parent_id", "id")
-    above = chain_texts(found.select("id"), chains if chains is not None else ancestry(records), records)
+    above = chain_texts(found.select("id"), chains if chains is not None else ancestry(records, ids=found.select("id")), records)
     out = found.join(above, "id", "left").join(children, "id", "left")
     none = F.array().cast(out.schema["children"].dataType)
     return out.select("ask", "part", "id", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"), "text", F.coalesce("children", none).alias("children")).orderBy("ask", "part"), unknown.orderBy("ask", "part")
