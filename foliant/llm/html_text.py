@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, tidy
 
 LEAST_PAGES, SHARE, SMALL = 5, 100, 1_000_000
 #: Element names of HTML by their role here.
@@ -195,7 +195,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 seen.update((host, h) for h in Page(source.as_py()).hashes())
             yield pa.RecordBatch.from_pydict({"host": [k[0] for k in seen], "hash": pa.array([k[1] for k in seen], pa.int64()), "pages": pa.array(seen.values(), pa.int64())})
 
-    counts = stored(pages.select("url", "html").mapInArrow(run, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES), "subtrees")
+    counts = stored(pages.select("url", "html").mapInArrow(tidy(run), "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES), "subtrees")
     totals = counts.filter("hash = -1").select("host", F.col("pages").alias("total"))
     return counts.filter("hash <> -1").join(totals, "host").filter(F.col("pages") * SHARE >= F.col("total")).select("host", "hash")
 
@@ -232,4 +232,4 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
             out = [Page(s.as_py()).text(k) for s, k in zip(sources, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, stored
+from .common import shared_path, stored, tidy
 from .files import Store
 
 FOLDS, HELD_OUT = 7, 2
@@ -274,8 +274,8 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(14)], _SUMS)
 
     schema = "slot long, " + ", ".join(f"{f} binary" for f in _FACTS)
-    pairs = texts.select(F.col(text).alias("text")).mapInArrow(count, "slot long, u binary, v binary, c binary").repartition(slices, "slot").mapInArrow(write_pairs, schema)
-    sums = stored(pairs.repartition(slices, "slot").mapInArrow(write_words, ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
+    pairs = texts.select(F.col(text).alias("text")).mapInArrow(tidy(count), "slot long, u binary, v binary, c binary").repartition(slices, "slot").mapInArrow(tidy(write_pairs), schema)
+    sums = stored(pairs.repartition(slices, "slot").mapInArrow(tidy(write_words), ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
     s = [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
     store = Store(folder)
     there = set(store.names())
@@ -313,4 +313,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     held, size, start = [], 0, i + 1
             yield from done
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 MARK = "▁"
 #: Remembered cuts per worker.
-MEMORY = 700_000
+MEMORY = 250_000
 #: Cuts of up to so many symbols have their agenda in an array, longer ones in a heap.
 SHORT = 40
 
@@ -194,4 +196,4 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "p
             out = [*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(out, [*keep, ids, decoded])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

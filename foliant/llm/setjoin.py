@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 N, HOT, ROUNDS, BLOCK = 5, 16, 3, 1024
 #: Sets below this size index one-deletion neighbours.
@@ -157,7 +157,7 @@ def nodes(docs: DataFrame, text: str, doc: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(slack, pa.list_(pa.int64()))], ["doc", "n", "key", "bits", "slack"])
 
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, key long, bits binary, slack array<long>")
+    return rows.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, key long, bits binary, slack array<long>")
 
 
 def groups(docs: DataFrame, text: str, n_grams: int) -> DataFrame:
@@ -218,8 +218,8 @@ def groups(docs: DataFrame, text: str, n_grams: int) -> DataFrame:
             if hot.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[hot]), pa.nulls(int(hot.sum()), pa.int64()), pa.array(sig[hot].view(np.int64))], ["a", "b", "sig"])
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, sigs binary, keys binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(pair, "a long, b long, sig long")
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(tidy(pack), "bucket long, sigs binary, keys binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(tidy(pair), "a long, b long, sig long")
 
 
 def near_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def near_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     left = known.select(F.col("key").alias("a"), "n", F.col("bits").alias("x"))
     right = known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter("5 * least(n, m) >= 4 * greatest(n, m)").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").filter("5 * least(n, m) >= 4 * greatest(n, m)").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, known: DataFrame, text: str, doc: str) -> DataFrame:
@@ -250,7 +250,7 @@ def linked(pairs: DataFrame, docs: DataFrame, known: DataFrame, text: str, doc:
             keep = [key_of(shingles(t)) == k for t, k in zip(batch.column("text").to_pylist(), batch.column("__j_key").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("__j_key"), batch.column("text")], ["key", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = stored(found.mapInArrow(own, "key long, text string"), "texts").groupBy("key").agg(F.min("text").alias("text"))
+    texts = stored(found.mapInArrow(tidy(own), "key long, text string"), "texts").groupBy("key").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, np.ndarray] = {}
@@ -266,7 +266,7 @@ def linked(pairs: DataFrame, docs: DataFrame, known: DataFrame, text: str, doc:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
+    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(run), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

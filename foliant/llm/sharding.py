@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path
+from .common import shared_path, tidy
 from .files import Store
 
 SMALL, FAN_IN, TARGET = 4 << 20, 8, 32 << 20
@@ -111,7 +111,7 @@ class ShardStore:
                 yield _save(store, job, k, held, size)
 
         path = f"{self.folder}/arrivals/{time.time_ns():x}"
-        rows.select(*(rows[c.name] for c in self.schema)).mapInArrow(run, ENTRY).write.parquet(path)
+        rows.select(*(rows[c.name] for c in self.schema)).mapInArrow(tidy(run), ENTRY).write.parquet(path)
         arrived = self.spark.read.schema(ENTRY).parquet(path)
         return self.commit(lambda base: self.entries(base).unionByName(arrived))
 
@@ -152,7 +152,7 @@ class ShardStore:
                         k += 1
 
             out = f"{self.folder}/merged/{time.time_ns():x}"
-            runs.select("parts").repartition(min(n, 8192)).mapInArrow(run, ENTRY).write.parquet(out)
+            runs.select("parts").repartition(min(n, 8192)).mapInArrow(tidy(run), ENTRY).write.parquet(out)
             merged = self.spark.read.schema(ENTRY).parquet(out)
             gone = planned.filter("run IS NOT NULL").select("shard")
             # entries that came meanwhile stay; those that another compaction took stop this one
@@ -180,7 +180,7 @@ class ShardStore:
                         yield pa.RecordBatch.from_arrays(part.columns, names)
 
         shards = self.entries(version).select("shard").repartition(max(1, min(version["shards"], 8192)))
-        return shards.mapInArrow(run, self.schema)
+        return shards.mapInArrow(tidy(run), self.schema)
 
     def vacuum(self) -> int:
         """Deletes shards that the latest version doesn't name; call it when no reader uses an older one. Local and mounted folders only."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stored
+from .common import fold, stored, tidy
 
 SAMPLE = 20_000
 PRIOR, DRIFT, LEAST_ODDS, LEAST_DOCS, K = 5.0, 0.1, 1.5, 3, 0.1
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     m1, m0 = sizes.get(1, 0), sizes.get(0, 0)
     if not (m1 and m0):
         return Model()
-    counts = stored(sample.mapInArrow(count, "token string, y1 long, y0 long, n0 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y1", "y0", "n0"))), "toxic-counts")
+    counts = stored(sample.mapInArrow(tidy(count), "token string, y1 long, y0 long, n0 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y1", "y0", "n0"))), "toxic-counts")
     total = counts.agg(F.sum("n0")).first()[0] or 1
     a1, a0 = PRIOR * m1 / (m1 + m0), PRIOR * m0 / (m1 + m0)
     odds = F.log((F.col("y1") + a1) / m1) - F.log((F.col("y0") + a0) / m0)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 e.append(model.evidence([x for _, _, x in model.segments(words)], len(words)))
             yield pa.RecordBatch.from_pydict({"e": pa.array(e, pa.float64()), "toxic": batch.column("toxic")})
 
-    pairs = sample.mapInArrow(weigh, "e double, toxic int").groupBy(F.round("e", 2).alias("e"), "toxic").count().collect()  # of the bounded sample
+    pairs = sample.mapInArrow(tidy(weigh), "e double, toxic int").groupBy(F.round("e", 2).alias("e"), "toxic").count().collect()  # of the bounded sample
     model.slope, model.bias = logistic(np.log1p([r["e"] for r in pairs]), np.array([r["toxic"] for r in pairs], float), np.array([r["count"] for r in pairs], float))
     return model
 
@@ -179,4 +179,4 @@ def assess(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
             out = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays(out, [*keep, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import shared_path, stored, tidy
 from .files import Store
 
 MAGIC = 0x184D2A5D
@@ -137,7 +137,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(plan(pages).mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
+    return stored(plan(pages).mapInArrow(tidy(run), "archive string, records long, bytes long"), "warc-list")
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
@@ -163,7 +163,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 
     # one archive (or few) to a task: its list is short, its bytes aren't
     n = max(1, archives.count())
-    return archives.select("archive").repartition(min(n, 4096)).mapInArrow(run, "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long, full_length long")
+    return archives.select("archive").repartition(min(n, 4096)).mapInArrow(tidy(run), "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long, full_length long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
