@@ -1,18 +1,23 @@
 """Main text of web pages: site templates go by the subtrees that recur, the rest by markup.
 
 Each page is parsed in one pass that closes optional end tags. Every element's subtree gets a hash (tag,
-class, id, texts and children). Spark counts, for each host, on how many pages a subtree stands; one that stands on
-`LEAST_PAGES` pages and on one in `SHARE` of the host's pages is template, and is deleted from every page
-of that host. Elements that are no content by their own markup (menus, forms, adverts, notices, comments, ...)
-go too, wherever they stand, which also covers hosts with few pages. What a page declares as its content (article or
-main) is taken where there is any, and plain content inside it is never deleted as template: a paragraph
-that many articles share is still text.
+class, id, texts and children). Spark counts, for each host, on how many distinct pages a subtree stands: pages of one host
+with the same texts count as one. A subtree that stands on `LEAST_PAGES` of them, and on one in `SHARE`, recurs.
 
-Templates of a host are at most SHARE times the elements of a page, whatever the number of pages. They are sent
-to all executors if counting proves them few (`SMALL` hashes), and joined by host otherwise; Spark splits a hot host there.
+A near copy of a page consists of recurring subtrees too. So only pages of which recurring subtrees aren't the bulk are
+witnesses, and a subtree is template if `LEAST_PAGES` witnesses have it. Templates are deleted from every page of that
+host, but never inside what the page declares as its content (article or main), and not where they would take the bulk. The
+bulk is more than half of the text outside links that the page would return else (of all its text, if all is links).
+
+Elements that are no content by their own markup (menus, forms, adverts, notices, comments, ...)
+go too, wherever they stand, which also covers hosts with few pages. What a page declares as its content is
+taken where there is any.
+
+Recurring subtrees are kept as sorted arrays of 64-bit keys of host and subtree, in files of about `SMALL` keys in the
+shared folder. Workers memory-map them, so neither their number nor a hot host matters.
 
 Edge cases: a null html is an empty page with an empty text; a null or odd url counts under the empty
-host; repeated rows count as pages; an empty table gives an empty table; other columns pass through,
+host; repeated rows count as one page; an empty table gives an empty table; other columns pass through,
 the new column replaces an input column of its name. Unclosed comments, tags and raw elements run to the end.
 """
 
@@ -22,15 +27,19 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, tidy
+from .common import shared_path, stored, tidy
+from .files import Store
+from .kneser_ney import _find, _mapped, pair
 
 LEAST_PAGES, SHARE, SMALL = 5, 100, 1_000_000
 #: Element names of HTML by their role here.
@@ -68,9 +77,11 @@ class Page:
         self.blocks: list[str] = []
         self.junk: list[bool] = []
         self.main: list[bool] = []
-        #: (hash, first block, block after the last, deletable as template)
-        self.subtrees: list[tuple[int, int, int, bool]] = []
+        self.linked: list[int] = []  # characters of each block that are in links
+        #: (hash, first block, block after the last)
+        self.subtrees: list[tuple[int, int, int]] = []
         self.run: list[str] = []
+        self.links = self.in_links = 0  # open links, and characters of the run inside links
         self.state = [False, False]  # inside junk, inside main
         # of each open element: tag, parts for the hash, first block, state outside
         self.open: list[tuple[str, list[str], int, list[bool]]] = [("", [], 0, [False, False])]
@@ -82,6 +93,8 @@ class Page:
             m = _MARKUP.search(source, at)
             if (end := m.start() if m else n) > at:
                 self.run.append(entities.unescape(source[at:end]))
+                if self.links:
+                    self.in_links += len(" ".join(self.run[-1].split()))
             if not m:
                 break
             at, tag = m.end(), (m[2] or "").lower()
@@ -106,9 +119,10 @@ class Page:
     def flush(self) -> None:
         if self.run:
             text = " ".join("".join(self.run).split())
-            self.run = []
+            linked, self.in_links, self.run = self.in_links, 0, []
             if text:
                 self.blocks.append(text)
+                self.linked.append(min(linked, len(text)))
                 self.junk.append(self.state[0])
                 self.main.append(self.state[1])
                 self.open[-1][1].append(text)
@@ -141,6 +155,7 @@ class Page:
         junk = tag in JUNK or tag == "header" and not outside[1] or bool(named) and tag not in ("html", "body", "main") and not WORDS.isdisjoint(_WORD.findall(named))
         main = tag in MAIN or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None
         self.open.append((tag, [f"<{tag} {named}>"], len(self.blocks), outside))
+        self.links += tag == "a"
         if junk or main:
             self.state = [outside[0] or junk, outside[1] or main and not junk]
 
@@ -160,76 +175,152 @@ class Page:
         if tag in BLOCK:
             self.flush()
         self.open.pop()
+        self.links -= tag == "a"
         whole = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
         self.open[-1][1].append(f"{whole:x}")
         inside = self.state
         self.state = outside
-        if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body"):
-            self.subtrees.append((whole, first, len(self.blocks), not (inside[1] and not inside[0])))
-
-    def hashes(self) -> set[int]:
-        """Subtrees that may be template: with text, outside what the page declares as content, and not the bulk of the page."""
-        total = sum(map(len, self.blocks))
-        return {h for h, a, b, free in self.subtrees if free and (b - a == 1 or 2 * sum(map(len, self.blocks[a:b])) <= total)}
-
-    def text(self, templates: set[int] | frozenset[int]) -> str:
-        gone = bytearray(len(self.blocks))
-        if templates:
-            for h in self.hashes() & templates:
-                for x, a, b, _ in self.subtrees:
-                    if x == h:
-                        gone[a:b] = b"\1" * (b - a)
+        if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body") and not (inside[1] and not inside[0]):
+            self.subtrees.append((whole, first, len(self.blocks)))
+
+    def returned(self) -> list[bool]:
+        """Which blocks are text of the page by markup."""
         declared = any(m and not j for m, j in zip(self.main, self.junk, strict=True))
-        return "\n\n".join(t for t, j, m, g in zip(self.blocks, self.junk, self.main, gone, strict=True) if not j and not g and (m or not declared))
+        return [not j and (m or not declared) for j, m in zip(self.junk, self.main, strict=True)]
+
+    def weights(self) -> np.ndarray:
+        """Of each block: its characters outside links (or all, if the page has no others), 0 where markup drops it."""
+        mine = np.array(self.returned(), np.int64)
+        size = np.array([len(t) for t in self.blocks], np.int64) * mine
+        prose = size - np.array(self.linked, np.int64) * mine
+        return prose if prose.any() else size
+
+    def keys(self, host: str) -> np.ndarray:
+        """Of each subtree: the key of host and hash."""
+        return pair(np.uint64(xxhash.xxh64_intdigest(host)), np.array([x[0] for x in self.subtrees], np.uint64)).view(np.int64)
+
+    def spans(self) -> np.ndarray:
+        return np.array([x[1:] for x in self.subtrees], np.int64).reshape(-1, 2)
+
+    def text(self, gone: np.ndarray) -> str:
+        return "\n\n".join(t for t, mine, g in zip(self.blocks, self.returned(), gone, strict=True) if mine and not g)
+
+
+def covered(spans: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
+    """Which blocks the given subtrees cover; None if that is the bulk of the page."""
+    gone = np.zeros(len(weights), bool)
+    for a, b in spans.tolist():
+        gone[a:b] = True
+    return None if 2 * int(weights[gone].sum()) > int(weights.sum()) else gone
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur on a host. Pages are counted within tasks first, then by host and hash."""
+@dataclass
+class Keys:
+    """A set of keys in files of the shared folder, as each task opens it."""
+
+    folder: str
+    slices: int
+    there: frozenset[int]
+
+    def open(self):
+        store, files = Store(self.folder), {}
+
+        def among(keys: np.ndarray) -> np.ndarray:
+            out, slot = np.zeros(len(keys), bool), keys % self.slices
+            for k in set(slot.tolist()) & self.there:
+                if k not in files:
+                    files[k] = _mapped(store, f"keys-{k}").view(np.int64)
+                mine = slot == k
+                out[mine] = _find(files[k], keys[mine])[1]
+            return out
+
+        return among
+
+
+def kept(keys: DataFrame, name: str) -> Keys:
+    """Writes distinct keys (key) as sorted arrays."""
+    keys = stored(keys.select("key"), name)
+    folder, slices = shared_path(keys.sparkSession, name), keys.count() // SMALL + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            seen: Counter = Counter()
+            k = batch.column("key").to_numpy()
+            for slot in np.unique(k % slices).tolist():
+                parts.setdefault(slot, []).append(k[k % slices == slot])
+        for slot, found in parts.items():
+            Store(folder).write(f"keys-{slot}", np.sort(np.concatenate(found)).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64())], ["slot"])
+
+    dealt = keys.repartition(slices, F.pmod("key", F.lit(slices))).mapInArrow(tidy(run), "slot long")
+    return Keys(folder, slices, frozenset(r["slot"] for r in dealt.collect()))
+
+
+def counted(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """(host, key, pages) of the distinct keys of each page."""
+    seen: Counter = Counter()
+    for host, keys in rows:
+        seen.update((host, k) for k in set(keys.tolist()))
+    return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in seen], pa.int64()), "key": pa.array([k[1] for k in seen], pa.int64()), "pages": pa.array(seen.values(), pa.int64())})
+
+
+def templates(pages: DataFrame) -> Keys:
+    """The subtrees that recur on a host. Rows of equal texts are merged first; then pages are counted within tasks, and by key."""
+    packed = "host long, keys binary, spans binary, weights binary"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
-                host = host_of(url)
-                seen[host, -1] += 1  # the page itself
-                seen.update((host, h) for h in Page(source.as_py()).hashes())
-            yield pa.RecordBatch.from_pydict({"host": [k[0] for k in seen], "hash": pa.array([k[1] for k in seen], pa.int64()), "pages": pa.array(seen.values(), pa.int64())})
+                page, host = Page(source.as_py()), host_of(url)
+                if page.subtrees:
+                    same = xxhash.xxh3_128_digest("\x00".join([host, *page.blocks]))
+                    out.append((same, xxhash.xxh64_intdigest(host) >> 1, page.keys(host).tobytes(), page.spans().astype(np.uint32).tobytes(), page.weights().astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 1 else pa.binary()) for k in range(5)], ["page", "host", "keys", "spans", "weights"])
 
-    counts = stored(pages.select("url", "html").mapInArrow(tidy(run), "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES), "subtrees")
-    totals = counts.filter("hash = -1").select("host", F.col("pages").alias("total"))
-    return counts.filter("hash <> -1").join(totals, "host").filter(F.col("pages") * SHARE >= F.col("total")).select("host", "hash")
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for h, k, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "keys", "spans", "weights")), strict=True):
+            yield h, np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32).reshape(-1, 2), np.frombuffer(w, np.uint32).astype(np.int64)
 
+    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield counted([(h, k) for h, k, _, _ in unpacked(batch)])
 
-def extract(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the main text of each page; needs the columns url and html."""
-    spark, keep = pages.sparkSession, [c for c in pages.columns if c != text]
-    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(text, T.StringType(), False)])
-    found = stored(templates(pages), "templates")
-    if found.limit(SMALL + 1).count() <= SMALL:
-        sets: dict[str, set[int]] = {}
-        for host, h in found.toLocalIterator():
-            sets.setdefault(host, set()).add(h)
-        shared = spark.sparkContext.broadcast(sets)
-        rows, of = pages, None
-    else:
-        from pyspark.sql.functions import pandas_udf
+    def witness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = recurring.open()
+        for batch in batches:
+            found = []
+            for host, k, spans, weights in unpacked(batch):
+                there = among(k)
+                if covered(spans[there], weights) is not None:
+                    found.append((host, k[there]))
+            yield counted(found)
 
-        lists = found.groupBy(F.col("host").alias("__h_host")).agg(F.collect_list("hash").alias("__h_set"))  # SHARE times the elements of a page at most
+    def often(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("host", "key").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+        return counts.join(totals, "host").filter(F.col("pages") * SHARE >= F.col("total"))
 
-        @pandas_udf("string")
-        def host(u):
-            return u.map(host_of)
+    rows = pages.select("url", "html").mapInArrow(tidy(parse), f"page binary, {packed}")
+    distinct = stored(rows.groupBy("page").agg(F.min(F.struct("host", "keys", "spans", "weights")).alias("p")).select("p.*"), "pages")  # of copies any, but always the same
+    totals = distinct.groupBy("host").agg(F.count("*").alias("total"))
+    recurring = kept(often(distinct.mapInArrow(tidy(recur), "host long, key long, pages long")), "recurring")
+    return kept(often(distinct.mapInArrow(tidy(witness), "host long, key long, pages long")), "templates")
 
-        rows, of = pages.join(lists, host(F.col("url")) == F.col("__h_host"), "left"), "__h_set"
+
+def extract(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the main text of each page; needs the columns url and html."""
+    keep = [c for c in pages.columns if c != text]
+    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(text, T.StringType(), False)])
+    found = templates(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = found.open()
         for batch in batches:
-            urls, sources = batch.column("url").to_pylist(), batch.column("html")
-            if of:
-                known = (frozenset(x.as_py() or ()) for x in batch.column(of))
-            else:
-                known = (shared.value.get(host_of(u), frozenset()) for u in urls)
-            out = [Page(s.as_py()).text(k) for s, k in zip(sources, known, strict=True)]
+            out = []
+            for url, source in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
+                page = Page(source.as_py())
+                gone = covered(page.spans()[among(page.keys(host_of(url)))], page.weights())
+                out.append(page.text(np.zeros(len(page.blocks), bool) if gone is None else gone))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
 
-    return rows.mapInArrow(tidy(run), schema)
+    return pages.mapInArrow(tidy(run), schema)

@@ -75,6 +75,30 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def words_of(*key):
+    """Words that are always the same for a key and differ between keys."""
+    r = random.Random(str(key))
+    return " ".join(r.choice(V) + str(key[-1]) for _ in range(12))
+
+
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies(spark):
+    menu = '<div><a href="/a">Home</a> <a href="/b">About us</a></div>'
+    story = [f"Paragraph {k} {words_of('story', k)}" for k in range(6)]
+    page = lambda ps: f"<body>{menu}{''.join(f'<p>{p}</p>' for p in ps)}</body>"
+    rows = [(i, f"https://h.example/{i}", page(story)) for i in range(9)]  # exact copies
+    rows += [(20 + i, f"https://h.example/n{i}", page([*story, f"Seen {i} times"])) for i in range(9)]  # near copies
+    rows += [(40 + i, f"https://h.example/o{i}", page([words_of("other", i)])) for i in range(9)]
+    rows += [(60 + i, f"https://copies.example/{i}", page(story)) for i in range(9)]
+    out = html_texts(spark, rows)
+    whole = "\n\n".join(story)
+    assert all(out[i] == whole and out[20 + i] == f"{whole}\n\nSeen {i} times" and out[40 + i] == words_of("other", i) for i in range(9))
+    assert all(out[60 + i] == f"Home About us\n\n{whole}" for i in range(9))  # one page of its host
+
+
 def test_toxicity(spark):
     clean = texts(200, 60)
     toxic = [(1000 + i, " ".join(random.choice(V) for _ in range(40)) + " grumble snarl " + " ".join(random.choice(V) for _ in range(5)) + " snarl") for i in range(90)]
