@@ -2,7 +2,7 @@
 
 Each page is parsed in one pass that closes optional end tags. Every element's subtree gets a hash (tag,
 class, id, texts and children). Spark counts, for each host, on how many distinct pages a subtree stands: pages of one host
-with the same texts count as one. A subtree that stands on `LEAST_PAGES` of them, and on one in `SHARE`, recurs.
+with the same texts count as one. A subtree that stands on `LEAST_PAGES` of them recurs, at any size of the host.
 
 A near copy of a page consists of recurring subtrees too. So only pages of which recurring subtrees aren't the bulk are
 witnesses, and a subtree is template if `LEAST_PAGES` witnesses have it. Templates are deleted from every page of that
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -41,7 +40,7 @@ from .common import shared_path, stored, tidy
 from .files import Store
 from .kneser_ney import _find, _mapped, pair
 
-LEAST_PAGES, SHARE, SMALL = 5, 100, 1_000_000
+LEAST_PAGES, SMALL = 5, 1_000_000
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object select head".split())
@@ -256,17 +255,15 @@ def kept(keys: DataFrame, name: str) -> Keys:
     return Keys(folder, slices, frozenset(r["slot"] for r in dealt.collect()))
 
 
-def counted(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """(host, key, pages) of the distinct keys of each page."""
-    seen: Counter = Counter()
-    for host, keys in rows:
-        seen.update((host, k) for k in set(keys.tolist()))
-    return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in seen], pa.int64()), "key": pa.array([k[1] for k in seen], pa.int64()), "pages": pa.array(seen.values(), pa.int64())})
+def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, pages) of the distinct keys of each page."""
+    k, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["key", "pages"])
 
 
 def templates(pages: DataFrame) -> Keys:
     """The subtrees that recur on a host. Rows of equal texts are merged first; then pages are counted within tasks, and by key."""
-    packed = "host long, keys binary, spans binary, weights binary"
+    packed = "keys binary, spans binary, weights binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,36 +272,34 @@ def templates(pages: DataFrame) -> Keys:
                 page, host = Page(source.as_py()), host_of(url)
                 if page.subtrees:
                     same = xxhash.xxh3_128_digest("\x00".join([host, *page.blocks]))
-                    out.append((same, xxhash.xxh64_intdigest(host) >> 1, page.keys(host).tobytes(), page.spans().astype(np.uint32).tobytes(), page.weights().astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 1 else pa.binary()) for k in range(5)], ["page", "host", "keys", "spans", "weights"])
+                    out.append((same, page.keys(host).tobytes(), page.spans().astype(np.uint32).tobytes(), page.weights().astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in range(4)], ["page", "keys", "spans", "weights"])
 
-    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        for h, k, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "keys", "spans", "weights")), strict=True):
-            yield h, np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32).reshape(-1, 2), np.frombuffer(w, np.uint32).astype(np.int64)
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k, s, w in zip(*(batch.column(c).to_pylist() for c in ("keys", "spans", "weights")), strict=True):
+            yield np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32).reshape(-1, 2), np.frombuffer(w, np.uint32).astype(np.int64)
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield counted([(h, k) for h, k, _, _ in unpacked(batch)])
+            yield counted([np.unique(k) for k, _, _ in unpacked(batch)])
 
     def witness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = recurring.open()
         for batch in batches:
             found = []
-            for host, k, spans, weights in unpacked(batch):
+            for k, spans, weights in unpacked(batch):
                 there = among(k)
                 if covered(spans[there], weights) is not None:
-                    found.append((host, k[there]))
+                    found.append(np.unique(k[there]))
             yield counted(found)
 
     def often(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("host", "key").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-        return counts.join(totals, "host").filter(F.col("pages") * SHARE >= F.col("total"))
+        return rows.groupBy("key").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
 
     rows = pages.select("url", "html").mapInArrow(tidy(parse), f"page binary, {packed}")
-    distinct = stored(rows.groupBy("page").agg(F.min(F.struct("host", "keys", "spans", "weights")).alias("p")).select("p.*"), "pages")  # of copies any, but always the same
-    totals = distinct.groupBy("host").agg(F.count("*").alias("total"))
-    recurring = kept(often(distinct.mapInArrow(tidy(recur), "host long, key long, pages long")), "recurring")
-    return kept(often(distinct.mapInArrow(tidy(witness), "host long, key long, pages long")), "templates")
+    distinct = stored(rows.groupBy("page").agg(F.min(F.struct("keys", "spans", "weights")).alias("p")).select("p.*"), "pages")  # of copies any, but always the same
+    recurring = kept(often(distinct.mapInArrow(tidy(recur), "key long, pages long")), "recurring")
+    return kept(often(distinct.mapInArrow(tidy(witness), "key long, pages long")), "templates")
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:

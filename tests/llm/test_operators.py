@@ -99,6 +99,15 @@ def test_html_copies(spark):
     assert all(out[60 + i] == f"Home About us\n\n{whole}" for i in range(9))  # one page of its host
 
 
+def test_html_hot_host(spark, monkeypatch):
+    notice = "<p>Part of the series on rivers</p>"
+    rows = [(i, f"https://hot.example/{i}", f"<body>{notice if i < 6 else ''}<p>{words_of('hot', i)}</p></body>") for i in range(700)]
+    assert html_texts(spark, rows) == {i: words_of("hot", i) for i in range(700)}
+    monkeypatch.setattr(html_text, "SMALL", 1)  # several files of keys
+    rows = [(i, u, h.replace("<body>", "<body><p>Notice</p><p>Third</p>")) for i, u, h in rows[:40]]
+    assert html_texts(spark, rows) == {i: words_of("hot", i) for i in range(40)}
+
+
 def test_toxicity(spark):
     clean = texts(200, 60)
     toxic = [(1000 + i, " ".join(random.choice(V) for _ in range(40)) + " grumble snarl " + " ".join(random.choice(V) for _ in range(5)) + " snarl") for i in range(90)]
