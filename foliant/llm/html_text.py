@@ -6,7 +6,7 @@ with the same texts count as one. A subtree that stands on `LEAST_PAGES` of them
 
 A near copy of a page consists of recurring subtrees too. So only pages of which recurring subtrees aren't the bulk are
 witnesses, and a subtree is template if `LEAST_PAGES` witnesses have it. Templates are deleted from every page of that
-host, but never inside what the page declares as its content (article or main), and not where they would take the bulk. The
+host, inside what the page declares as its content (article or main) as well, unless they would take the bulk of it. The
 bulk is more than half of the text outside links that the page would return else (of all its text, if all is links).
 
 Elements that are no content by their own markup (menus, forms, adverts, notices, comments, ...)
@@ -177,9 +177,8 @@ class Page:
         self.links -= tag == "a"
         whole = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
         self.open[-1][1].append(f"{whole:x}")
-        inside = self.state
         self.state = outside
-        if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body") and not (inside[1] and not inside[0]):
+        if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body"):
             self.subtrees.append((whole, first, len(self.blocks)))
 
     def returned(self) -> list[bool]:

@@ -108,6 +108,15 @@ def test_html_hot_host(spark, monkeypatch):
     assert html_texts(spark, rows) == {i: words_of("hot", i) for i in range(40)}
 
 
+def test_html_inside_article(spark):
+    box = "<div class='x'><p>Get our best stories by mail</p></div>"
+    rows = [(i, f"https://h.example/{i}", f"<main><p>{words_of('a', i)}</p>{box}<p>{words_of('b', i)}</p></main>") for i in range(8)]
+    rows.append((20, "https://h.example/short", f"<main><p>Brief</p>{box}</main>"))  # its bulk stays
+    out = html_texts(spark, rows)
+    assert all(out[i] == f"{words_of('a', i)}\n\n{words_of('b', i)}" for i in range(8))
+    assert out[20] == "Brief\n\nGet our best stories by mail"
+
+
 def test_toxicity(spark):
     clean = texts(200, 60)
     toxic = [(1000 + i, " ".join(random.choice(V) for _ in range(40)) + " grumble snarl " + " ".join(random.choice(V) for _ in range(5)) + " snarl") for i in range(90)]
