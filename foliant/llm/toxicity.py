@@ -1,12 +1,16 @@
 """Toxic passages by maximum-scoring segment search.
 
 Model: for each token, the log-odds of meeting it in a toxic against a clean labelled document, both
-counts smoothed by a Dirichlet prior of `PRIOR` pseudo-documents split as the classes are. Tokens of
-clear weight make a table; any other token costs `DRIFT`. A linear scan (Ruzzo and Tompa, 1999) finds
-every maximal scoring segment of a text. Under clean text, segment scores follow an extreme-value law
+counts smoothed by a Dirichlet prior of `PRIOR` pseudo-documents split as the classes are. Most tokens are as
+frequent in both classes, and rare ones differ by chance: the smoothed odds count with the probability that a token's counts
+come from odds of its own, the rest are those of the classes (a mixture whose shares are fitted). So every token of
+the sample scores by its log-odds, toxic or clean, any other by the prior's, which is 0. Where clean tokens would
+cost less than `DRIFT` on average, all scores are lowered alike until they do, for the statistics
+need a negative mean. A linear scan (Ruzzo and Tompa, 1999) finds every maximal scoring segment of a text. Under clean text, segment scores follow an extreme-value law
 (Karlin and Altschul, 1990): with lambda solved from the clean token frequencies, a text of n tokens has
 K n exp(-lambda S) segments of score S or more. The segments of a text are joined by the sum statistic of
 the r best (1993), for the best r. A logistic curve over that evidence, fitted on labelled rows, gives the score.
+What is fitted to sample documents sees each of them by the counts of all others: a token of one document alone tells nothing of it.
 
 Fitting reads a bounded sample: the `SAMPLE` labelled rows, outside the held-out fold, whose ids have the
 smallest hashes. Scoring reads every whole text, row by row.
@@ -28,6 +32,7 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +40,7 @@ from pyspark.sql import types as T
 from .common import fold, stored, tidy
 
 SAMPLE = 20_000
-PRIOR, DRIFT, LEAST_ODDS, LEAST_DOCS, K = 5.0, 0.1, 1.5, 3, 0.1
+PRIOR, DRIFT, K = 5.0, 0.1, 0.1
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 _TOKEN = re.compile(r"\w+")
 PASSAGE = "array<struct<first:int,last:int,score:double,expect:double>>"
@@ -45,21 +50,73 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+@dataclass
+class Table:
+    """In how many toxic and clean documents of the sample each token is, by sorted token hashes."""
+
+    keys: np.ndarray
+    y1: np.ndarray
+    y0: np.ndarray
+    toxic: float  # share of toxic documents in the sample
+    marked: float = 0.5  # share of the tokens that tell the classes apart
+    shift: float = 0.0
+
+    def __post_init__(self):
+        """ln of rising factorials of the prior's counts; the marked share by expectation and maximisation."""
+        grown = lambda a: np.append(0.0, np.cumsum(np.log(np.arange(int(np.max(self.y1 + self.y0, initial=0)) + 1) + a)))
+        self.rise = grown(PRIOR * self.toxic), grown(PRIOR * (1 - self.toxic)), grown(PRIOR)
+        for _ in range(30):
+            self.marked = float(np.clip(np.mean(self.tells(self.y1, self.y0)), 1e-4, 1 - 1e-4)) if len(self.keys) else 0.5
+
+    def tells(self, y1: np.ndarray, y0: np.ndarray) -> np.ndarray:
+        """Probability that tokens of these counts have odds of their own, not those of the sample."""
+        more = self.rise[0][y1] + self.rise[1][y0] - self.rise[2][y1 + y0] - y1 * math.log(self.toxic) - y0 * math.log(1 - self.toxic)
+        return 1 / (1 + (1 / self.marked - 1) * np.exp(-np.clip(more, -500, 500)))
+
+    def odds(self, y1: np.ndarray, y0: np.ndarray, without: int | None = None) -> np.ndarray:
+        """Smoothed log-odds from counts; without: the class of a document that isn't to count."""
+        if without is not None:
+            y1, y0 = (np.maximum(y1 - 1, 0), y0) if without else (y1, np.maximum(y0 - 1, 0))
+        q = self.toxic + self.tells(y1, y0) * ((y1 + PRIOR * self.toxic) / (y1 + y0 + PRIOR) - self.toxic)
+        return np.log(q / self.toxic) - np.log((1 - q) / (1 - self.toxic))
+
+    def weights(self, words: list[str], without: int | None = None) -> dict[str, float]:
+        """Scores of those words that the sample has."""
+        some = list(set(words))
+        if not some or not len(self.keys):
+            return {}
+        sought = hashes(some)
+        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        there = np.flatnonzero(self.keys[at] == sought)
+        at = at[there]
+        return dict(zip([some[i] for i in there.tolist()], (self.odds(self.y1[at], self.y0[at], without) - self.shift).tolist(), strict=True))
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
     slope: float = 0.0
     bias: float = -math.inf
+    unseen: float = -DRIFT  # of tokens without a weight
+    table: Table | None = None  # the weights of a fitted model
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+    def segments(self, words: list[str], weights: dict[str, float] | None = None) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (first, last, score), in order, in linear time."""
-        get = self.weights.get
+        if weights is None:
+            weights = self.table.weights(words) if self.table else self.weights
+        get, unseen = weights.get, self.unseen
         stack: list[list] = []  # first, last, sum before, sum after, index of the last one with a smaller sum before
-        total, at = 0.0, 0
-        for i, s in [(i, s) for i, w in enumerate(words) if (s := get(w))]:
-            total -= DRIFT * (i - at)
-            at = i + 1
+        total = 0.0
+        for i, w in enumerate(words):
+            s = get(w, unseen)
+            if s <= 0:
+                total += s
+                continue
             new = [i, i, total, total + s, -1]
             total += s
             while True:
@@ -119,27 +176,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     if not (m1 and m0):
         return Model()
     counts = stored(sample.mapInArrow(tidy(count), "token string, y1 long, y0 long, n0 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y1", "y0", "n0"))), "toxic-counts")
-    total = counts.agg(F.sum("n0")).first()[0] or 1
-    a1, a0 = PRIOR * m1 / (m1 + m0), PRIOR * m0 / (m1 + m0)
-    odds = F.log((F.col("y1") + a1) / m1) - F.log((F.col("y0") + a0) / m0)
-    table = counts.filter(F.col("y1") >= LEAST_DOCS).select("token", odds.alias("w"), "n0").filter(F.col("w") >= LEAST_ODDS).collect()  # bounded by the sample
-    model = Model({r["token"]: r["w"] for r in table})
-    # lambda: the positive root of E[exp(lambda s)] = 1 over clean tokens, table tokens counted once more than seen
-    p = np.array([(r["n0"] + 1) / total for r in table])
-    s = np.array([r["w"] for r in table])
+    rows = counts.toArrow()  # bounded by the sample
+    y1, y0, n0 = (rows[c].to_numpy() for c in ("y1", "y0", "n0"))
+    keys = hashes(rows["token"].to_pylist())
+    order = np.argsort(keys)
+    table = Table(keys[order], y1[order].astype(np.int32), y0[order].astype(np.int32), m1 / (m1 + m0))
+    # lambda: the positive root of E[exp(lambda s)] = 1 over clean tokens, each counted once more than seen
+    p = (n0 + 1) / np.sum(n0 + 1)
+    s = np.where(y0 > 0, table.odds(y1, y0, 0), table.odds(y1, y0))
+    table.shift = max(0.0, float(p @ s) + DRIFT)
+    s = s - table.shift
+    model = Model(unseen=-table.shift, table=table)
     low, high = 1e-6, 20.0
     for _ in range(80):
         mid = (low + high) / 2
-        grown = float(np.sum(p * np.exp(np.minimum(mid * s, 600.0)))) + max(0.0, 1 - float(p.sum())) * math.exp(-mid * DRIFT)
+        grown = float(p @ np.exp(np.minimum(mid * s, 600.0)))
         low, high = (mid, high) if grown < 1 else (low, mid)
     model.lam = low
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = []
-            for t in batch.column("text").to_pylist():
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = tokens(t)
-                e.append(model.evidence([x for _, _, x in model.segments(words)], len(words)))
+                e.append(model.evidence([x for _, _, x in model.segments(words, table.weights(words, y))], len(words)))
             yield pa.RecordBatch.from_pydict({"e": pa.array(e, pa.float64()), "toxic": batch.column("toxic")})
 
     pairs = sample.mapInArrow(tidy(weigh), "e double, toxic int").groupBy(F.round("e", 2).alias("e"), "toxic").count().collect()  # of the bounded sample

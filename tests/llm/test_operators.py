@@ -128,6 +128,19 @@ def test_toxicity(spark):
     assert toxicity.assess(frame(spark, []), known).count() == 0
 
 
+def test_toxicity_of_many_mild_words(spark):
+    r, mild = random.Random(5), V[:60]
+    say = lambda share, n: " ".join(r.choice(mild) if r.random() < share else r.choice(V[60:140]) for _ in range(n))
+    clean, toxic = [(i, say(0.3, 40)) for i in range(300)], [(1000 + i, say(0.65, 40)) for i in range(150)]
+    new = [(5000, say(0.65, 300)), (5001, say(0.3, 300)), (5002, f"{say(0.0, 100)} {say(1.0, 60)} {say(0.0, 100)}")]
+    docs, known = frame(spark, clean + toxic + new), labels(spark, [(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic])
+    table = toxicity.fit(docs, known).table
+    assert max(table.weights(V).values()) < 1.5 and min(table.weights(V).values()) < -0.2  # no single word is clear evidence
+    got = {x.doc_id: x for x in toxicity.assess(docs, known).collect()}
+    assert got[5000].toxic and not got[5001].toxic and sum(got[i].toxic != (i >= 1000) for i, _ in clean + toxic) < 45
+    assert [(95 < p.first < 105, 155 < p.last < 165) for p in got[5002].passages] == [(True, True)]  # clean words end it
+
+
 def test_segments_are_the_maximal_ones():
     def brute(s):  # the recursive definition
         best, at = 0, None
