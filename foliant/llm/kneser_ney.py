@@ -1,10 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by workers.
 
 A text is its words (A-Z lower-cased) and one end token, after a start token that is context only. Bigrams are
 counted by 64-bit hashes; the lower order has the continuation counts of the method (distinct words before a
 word). Counts of counts give three discounts for each order (Chen and Goodman), and the lower order interpolates with the
 uniform distribution over the known words and one unknown, so every text has a finite probability.
 
+Order 3 counts trigrams after two start tokens. Slices of trigrams are written first; each sends what it knows of word pairs (their
+count, the distinct words before, and as context their count and continuations of count 1, 2 and more) to the slices of pairs,
+and these, with distinct words before as counts, to the word table as below.
+
 Counting goes by packed rows. Each batch adds up its own bigrams, and sends a binary block to each slice of the hash
 space: hashes deal evenly, however frequent a word. A slice's task writes its part of the model to
 the shared folder as sorted hash arrays with counts, and sends what it knows of each word (its count as context, its continuations of count
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 from .common import shared_path, stored, tidy
 from .files import Store
 
-FOLDS, HELD_OUT = 7, 2
+FOLDS, HELD_OUT, ORDER = 7, 2, 3
 #: Tokens behind a slice and in a chunk that is added up at once, about.
 SLICE, CHUNK = 6_000_000, 2_000_000
 START, END = 1, 2  # hashes of the two tokens that aren't words
@@ -72,6 +76,15 @@ def counted(u: np.ndarray, v: np.ndarray, c: np.ndarray | None = None) -> tuple[
     return u[starts], v[starts], n.astype(np.int64)
 
 
+def counted3(t: np.ndarray, u: np.ndarray, v: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams with their summed counts, in order of t, u and v."""
+    order = np.lexsort((v, u, t))
+    t, u, v = t[order], u[order], v[order]
+    starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    n = np.diff(np.append(starts, len(t))) if c is None else np.add.reduceat(c[order], starts, dtype=np.int64)
+    return t[starts], u[starts], v[starts], n.astype(np.int64)
+
+
 def _blocks(slot: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """One row for each slot, with the rows of the arrays that belong to it as bytes."""
     order = np.argsort(slot, kind="stable")
@@ -133,6 +146,8 @@ class Model:
     word_discount: tuple[float, float, float]
     pairs: int  # distinct bigrams
     word_kinds: tuple[int, int, int]  # words with continuation count 1, 2, more
+    order: int = 2
+    triple_discount: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def open(self) -> Reader:
         return Reader(self)
@@ -151,9 +166,25 @@ class Reader:
             self.files[name] = _mapped(self.store, name)
         return self.files[name]
 
-    def pair_counts(self, g: np.ndarray) -> np.ndarray:
-        """Counts of bigram hashes (sorted)."""
+    def ngram_counts(self, kind: str, slices: int, g: np.ndarray) -> np.ndarray:
+        """Counts of n-gram hashes (sorted)."""
         out = np.zeros(len(g), np.int64)
+        slot = g % np.uint64(slices)
+        for k in range(slices):
+            mine = np.flatnonzero(slot == np.uint64(k))
+            if not len(mine):
+                continue
+            data = self.file(f"{kind}-{k}")
+            n, m = int(data[0]), int(data[1])
+            at, there = _find(data[2 : 2 + n], g[mine])
+            out[mine[there]] = 1
+            at, there = _find(data[2 + n : 2 + n + m], g[mine])
+            out[mine[there]] = data[2 + n + m :][at[there]].astype(np.int64)
+        return out
+
+    def pair_facts(self, g: np.ndarray) -> np.ndarray:
+        """Rows before (distinct words before), total as context, n1, n2, n3+ (its continuations of each count) of pair hashes (sorted)."""
+        out = np.zeros((5, len(g)), np.int64)
         slot = g % np.uint64(self.m.pair_slices)
         for k in range(self.m.pair_slices):
             mine = np.flatnonzero(slot == np.uint64(k))
@@ -162,14 +193,14 @@ class Reader:
             data = self.file(f"pairs-{k}")
             n, m = int(data[0]), int(data[1])
             at, there = _find(data[2 : 2 + n], g[mine])
-            out[mine[there]] = 1
+            out[:3, mine[there]] = 1
             at, there = _find(data[2 + n : 2 + n + m], g[mine])
-            out[mine[there]] = data[2 + n + m :][at[there]].astype(np.int64)
+            out[:, mine[there]] = data[2 + n + m :].view(np.uint32).reshape(m, 6)[at[there], :5].T
         return out
 
     def word_facts(self, w: np.ndarray) -> np.ndarray:
-        """Rows count, n1, n2, n3+ (continuations of each count) and before (distinct words before) of word hashes (sorted)."""
-        out = np.zeros((5, len(w)), np.int64)
+        """Rows count, n1, n2, n3+ (continuations of each count), before (distinct words before) and total as context of word hashes (sorted)."""
+        out = np.zeros((6, len(w)), np.int64)
         slot = w % np.uint64(self.m.word_slices)
         for k in range(self.m.word_slices):
             mine = np.flatnonzero(slot == np.uint64(k))
@@ -178,9 +209,9 @@ class Reader:
             data = self.file(f"words-{k}")
             n = int(data[0])
             at, there = _find(data[1 : 1 + n], w[mine])
-            facts = data[1 + n : 1 + 4 * n].reshape(n, 3)[at[there]]
+            facts = data[1 + n : 1 + 5 * n].reshape(n, 4)[at[there]]
             low = np.uint64(0xFFFFFFFF)
-            for row, x in enumerate((facts[:, 0], facts[:, 1] & low, facts[:, 1] >> np.uint64(32), facts[:, 2] & low, facts[:, 2] >> np.uint64(32))):
+            for row, x in enumerate((facts[:, 0], facts[:, 1] & low, facts[:, 1] >> np.uint64(32), facts[:, 2] & low, facts[:, 2] >> np.uint64(32), facts[:, 3])):
                 out[row, mine[there]] = x
         return out
 
@@ -193,36 +224,74 @@ class Reader:
         u = np.empty_like(v)
         u[1:] = v[:-1]
         u[starts] = START
+        t = np.empty_like(u)
+        t[1:] = u[:-1]
+        t[starts] = START
         words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         facts = self.word_facts(words)
         of_u, of_v = at[: len(u)], at[len(u) :]
         count, before = facts[0][of_v], facts[4]
         below = np.maximum(before - _discount(before, m.word_discount), 0) / max(m.pairs, 1) + self.left / (m.types + 1)
-        total = facts[0].astype(float)
-        back = np.divide(m.pair_discount[0] * facts[1] + m.pair_discount[1] * facts[2] + m.pair_discount[2] * facts[3], total, out=np.ones_like(total), where=total > 0)
-        g, place = np.unique(pair(u, v), return_inverse=True)
-        c = self.pair_counts(g)
-        high = np.maximum(c - _discount(c, m.pair_discount), 0)[place]
-        p = np.divide(high, total[of_u], out=np.zeros(len(u)), where=total[of_u] > 0) + back[of_u] * below[of_v]
+        if m.order == 2:
+            g, place = np.unique(pair(u, v), return_inverse=True)
+            c = self.ngram_counts("pairs", m.pair_slices, g)[place]
+        else:
+            g, place = np.unique(np.concatenate([pair(u, v), pair(t, u)]), return_inverse=True)
+            pairs = self.pair_facts(g)
+            c, context = pairs[0][place[: len(u)]], pairs[1:, place[len(u) :]]
+        p = _interpolated(c, facts[5][of_u], facts[1:4][:, of_u], m.pair_discount, below[of_v])
+        if m.order == 3:
+            g, place = np.unique(pair(pair(t, u), v), return_inverse=True)
+            p = _interpolated(self.ngram_counts("triples", m.pair_slices, g)[place], context[0], context[1:], m.triple_discount, p)
         base = np.log10((count + 1) / (m.tokens + (m.types + 1)))
         add = lambda x: np.add.reduceat(x, starts)
         return add((count > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
+def _interpolated(c: np.ndarray, total: np.ndarray, kinds: np.ndarray, d: tuple[float, float, float], below: np.ndarray) -> np.ndarray:
+    """Probability from the n-gram's count, its context's total and continuations of count 1, 2 and more, and the order below."""
+    some, total = total > 0, np.maximum(total, 1)
+    back = np.where(some, (d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[2]) / total, 1.0)
+    return np.where(some, np.maximum(c - _discount(c, d), 0) / total, 0.0) + back * below
+
+
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.select([c == 1, c == 2, c > 2], d, 0.0)
 
 
-def fit(texts: DataFrame, text: str = "text") -> Model:
+def _ngram_file(g: np.ndarray, c: np.ndarray) -> bytes:
+    order = np.argsort(g)
+    one = g[order][c[order] == 1]
+    more, times = g[order][c[order] > 1], c[order][c[order] > 1]
+    return np.concatenate([np.array([len(one), len(more)], np.uint64), one, more, times.astype(np.uint64)]).tobytes()
+
+
+def _told(slot: int, kinds: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row with sums, under a slot that no entry has: -1 for pairs, -2 for triples."""
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([kinds.tobytes()], pa.binary()), *(pa.array([b""], pa.binary()) for _ in names[1:])], ["slot", *names])
+
+
+def _kinds(c: np.ndarray) -> np.ndarray:
+    return np.array([np.sum(c == k) for k in (1, 2, 3, 4)] + [len(c)], np.int64)
+
+
+def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts the model over all given texts."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     folder = shared_path(texts.sparkSession, "ngrams")
     size = texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]  # a token is about six characters
-    slices = int(max(1, size // (6 * SLICE)))
+    slices = int(max(1, (order - 1) * size // (6 * SLICE)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
+            if order == 3:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                t, u, v, c = counted3(np.append(np.uint64(START), np.where(u[1:] == START, np.uint64(START), u[:-1])), u, v)
+                slot = (pair(pair(t, u), v) % np.uint64(slices)).astype(np.int64)
+                return _blocks(slot, [t, u, v, c.astype(np.uint32)], ["t", "u", "v", "c"])
             u, v, c = counted(np.concatenate(us), np.concatenate(vs))
             slot = (pair(u, v) % np.uint64(slices)).astype(np.int64)
             return _blocks(slot, [u, v, c.astype(np.uint32)], ["u", "v", "c"])
@@ -244,50 +313,87 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
         for slot, (u, v, c) in _joined(batches, {"u": np.uint64, "v": np.uint64, "c": np.uint32}):
             u, v, c = counted(u, v, c)
             g = pair(u, v)
-            order = np.argsort(g)
-            one = g[order][c[order] == 1]
-            more, times = g[order][c[order] > 1], c[order][c[order] > 1]
-            store.write(f"pairs-{slot}", np.concatenate([np.array([len(one), len(more)], np.uint64), one, more, times.astype(np.uint64)]).tobytes())
-            w, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-            of_u, of_v = at[: len(u)], at[len(u) :]
-            add = lambda i, x: np.bincount(i, x, len(w)).astype(np.int64)  # noqa: B023, E731
-            rows = [add(of_u, c), add(of_u, c == 1), add(of_u, c == 2), add(of_u, c > 2), add(of_v, None), add(of_v, c)]
-            kinds = np.array([np.sum(c == k) for k in (1, 2, 3, 4)] + [len(c)], np.int64)
-            word_slot = (w % np.uint64(slices)).astype(np.int64)
-            yield _blocks(word_slot, [w, *(r.astype(np.uint32) for r in rows)], _FACTS)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([kinds.tobytes()], pa.binary()), *(pa.array([b""], pa.binary()) for _ in _FACTS[1:])], ["slot", *_FACTS])
+            store.write(f"pairs-{slot}", _ngram_file(g, c))
+            yield from of_words(u, v, c, c)
+
+    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(folder)
+        for slot, (t, u, v, c) in _joined(batches, {"t": np.uint64, "u": np.uint64, "v": np.uint64, "c": np.uint32}):
+            t, u, v, c = counted3(t, u, v, c)
+            store.write(f"triples-{slot}", _ngram_file(pair(pair(t, u), v), c))
+            yield _told(-2, _kinds(c), _PAIR_FACTS)
+            one, none = np.ones(len(c), np.uint32), np.zeros(len(c), np.uint32)
+            rows = [np.concatenate(x) for x in ((u, t), (v, u), (one, none), (none, c), (none, c == 1), (none, c == 2), (none, c > 2), (c, none))]
+            yield from packed_pairs(*rows)
+
+    def packed_pairs(x, y, *rows) -> Iterator[pa.RecordBatch]:
+        slot = (pair(x, y) % np.uint64(slices)).astype(np.int64)
+        yield _blocks(slot, [x, y, *(r.astype(np.uint32) for r in rows)], _PAIR_FACTS)
+
+    def write_pairs3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(folder)
+        for slot, (x, y, *rows) in _joined(batches, {f: np.uint64 if f in "xy" else np.uint32 for f in _PAIR_FACTS}):
+            if slot < 0:
+                yield _told(slot, x.view(np.int64).reshape(-1, 5).sum(0), _FACTS)
+                continue
+            g = pair(x, y)
+            order_of = np.argsort(g)
+            starts = np.flatnonzero(np.append(True, np.diff(g[order_of]) != 0))
+            g, x, y = (a[order_of][starts] for a in (g, x, y))
+            facts = np.stack([np.add.reduceat(r[order_of], starts, dtype=np.uint32) for r in rows], 1)
+            one = (facts == np.array([1, 1, 1, 0, 0, 1])).all(1)
+            more = facts[~one]
+            store.write(f"pairs-{slot}", np.array([one.sum(), len(more)], np.uint64).tobytes() + g[one].tobytes() + g[~one].tobytes() + more.tobytes())
+            there = facts[:, 0] > 0  # two starts are only context
+            yield from of_words(x[there], y[there], facts[there, 0].astype(np.int64), facts[there, 5])
+
+    def of_words(u: np.ndarray, v: np.ndarray, c: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What distinct pairs with counts tell of their words."""
+        w, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        of_u, of_v = at[: len(u)], at[len(u) :]
+        add = lambda i, x: np.bincount(i, x, len(w)).astype(np.int64)
+        rows = [add(of_u, c), add(of_u, c == 1), add(of_u, c == 2), add(of_u, c > 2), add(of_v, None), add(of_v, seen)]
+        word_slot = (w % np.uint64(slices)).astype(np.int64)
+        yield _blocks(word_slot, [w, *(r.astype(np.uint32) for r in rows)], _FACTS)
+        yield _told(-1, _kinds(c), _FACTS)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out = Store(folder), []
         for slot, (w, *rows) in _joined(batches, {f: np.uint64 if f == "w" else np.uint32 for f in _FACTS}):
             if slot < 0:
-                out.append(w.view(np.int64).reshape(-1, 5).sum(0).tolist() + [0] * 9)
+                told = w.view(np.int64).reshape(-1, 5).sum(0).tolist()
+                out.append(told + [0] * 14 if slot == -1 else [0] * 14 + told)
                 continue
             keys, at = np.unique(w, return_inverse=True)
             tot, n1, n2, n3, before, seen = (np.bincount(at, r, len(keys)).astype(np.uint64) for r in rows)
-            count = np.maximum(tot, seen)  # both but for start (only context) and end (never)
             high = np.uint64(32)
-            table = np.stack([count, n1 | n2 << high, n3 | before << high], 1)
+            table = np.stack([seen, n1 | n2 << high, n3 | before << high, tot], 1)
             store.write(f"words-{slot}", np.concatenate([np.array([len(keys)], np.uint64), keys, table.ravel()]).tobytes())
             kinds = [int(np.sum(before == k)) for k in (1, 2, 3, 4)]
-            out.append([0] * 5 + [int(seen.sum()), int(np.sum(before > 0)), *kinds, kinds[0], kinds[1], int(np.sum(before > 2))])
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(14)], _SUMS)
+            out.append([0] * 5 + [int(seen.sum()), int(np.sum(before > 0)), *kinds, kinds[0], kinds[1], int(np.sum(before > 2)), *[0] * 5])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(19)], _SUMS)
 
     schema = "slot long, " + ", ".join(f"{f} binary" for f in _FACTS)
-    pairs = texts.select(F.col(text).alias("text")).mapInArrow(tidy(count), "slot long, u binary, v binary, c binary").repartition(slices, "slot").mapInArrow(tidy(write_pairs), schema)
+    ngrams = texts.select(F.col(text).alias("text")).mapInArrow(tidy(count), f"slot long, {'t binary, ' if order == 3 else ''}u binary, v binary, c binary").repartition(slices, "slot")
+    if order == 3:
+        told = ngrams.mapInArrow(tidy(write_triples), "slot long, " + ", ".join(f"{f} binary" for f in _PAIR_FACTS))
+        pairs = told.repartition(slices, "slot").mapInArrow(tidy(write_pairs3), schema)
+    else:
+        pairs = ngrams.mapInArrow(tidy(write_pairs), schema)
     sums = stored(pairs.repartition(slices, "slot").mapInArrow(tidy(write_words), ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
     s = [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
     store = Store(folder)
     there = set(store.names())
     for k in range(slices):  # slices without entries
-        for name, n in (("pairs", 2), ("words", 1)):
+        for name, n in (("triples", 2), ("pairs", 2), ("words", 1))[order == 2 :]:
             if f"{name}-{k}" not in there:
                 store.write(f"{name}-{k}", np.zeros(n, np.uint64).tobytes())
-    return Model(folder, slices, slices, s[5], s[6], discounts(s[0:4]), discounts(s[7:11]), s[4], tuple(s[11:14]))
+    return Model(folder, slices, slices, s[5], s[6], discounts(s[0:4]), discounts(s[7:11]), s[4], tuple(s[11:14]), order, discounts(s[14:18]))
 
 
 _FACTS = ["w", "tot", "n1", "n2", "n3", "before", "seen"]
-_SUMS = ["p1", "p2", "p3", "p4", "pairs", "tokens", "types", "k1", "k2", "k3", "k4", "one", "two", "more"]
+_SUMS = ["p1", "p2", "p3", "p4", "pairs", "tokens", "types", "k1", "k2", "k3", "k4", "one", "two", "more", "t1", "t2", "t3", "t4", "triples"]
+_PAIR_FACTS = ["x", "y", "n", "tot", "n1", "n2", "n3", "seen"]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

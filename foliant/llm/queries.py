@@ -110,7 +110,7 @@ def op6_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id"), kneser_ney.FOLDS) == kneser_ney.HELD_OUT, F.lit(False))
-    model = kneser_ney.fit(docs.filter(~held))
+    model = kneser_ney.fit(docs.filter(~held), order=kneser_ney.ORDER)
     out = kneser_ney.score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

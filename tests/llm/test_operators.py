@@ -312,6 +312,37 @@ def test_language_model(spark):
     assert [r.score for r in kneser_ney.score(frame(spark, rows[:2]), none).collect()] == [0.0, 0.0]
 
 
+def test_language_model_of_order_three(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SLICE", 150)  # several slices
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(V[:9]) for _ in range(r.randint(0, 30)))) for i in range(90)] + ODD[:4]
+    learn = rows[:70] + ODD[:3]
+    model = kneser_ney.fit(frame(spark, learn), order=kneser_ney.ORDER)
+    tok = lambda t: BLANK.findall(low(t)) + ["</s>"]
+    grams = lambda t: list(zip(["<s>", "<s>", *tok(t)], ["<s>", *tok(t)], tok(t), strict=False))
+    three = Counter(g for _, t in learn for g in grams(t))
+    two = Counter(g[1:] for g in three)  # distinct words before
+    one = Counter(g[1] for g in two)
+    v = len({g[2] for g in three})
+    count = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+    d = {k: kneser_ney.discounts(count(c)) for k, c in ((3, three), (2, two), (1, one))}
+
+    def p(context, w):
+        c = {2: three, 1: two, 0: one}[len(context)]
+        below = p(context[1:], w) if context else 1 / (v + 1)
+        mine = {g: x for g, x in c.items() if not context or g[:-1] == context}
+        cut = d[len(context) + 1]
+        x = c[(*context, w) if context else w]
+        return (max(x - cut[min(x, 3) - 1], 0) * (x > 0) + sum(cut[min(x, 3) - 1] for x in mine.values()) * below) / sum(mine.values()) if mine else below
+
+    assert model.order == 3 and model.pair_slices > 1
+    assert sum(p((V[0], V[1]), w) for w in {g[2] for g in three} | {"?unknown"}) == pytest.approx(1)
+    for x in kneser_ney.score(frame(spark, rows), model).collect():
+        assert x.score == pytest.approx(sum(math.log10(p(g[:2], g[2])) for g in grams(x.text)))
+    none = kneser_ney.fit(frame(spark, []), order=3)
+    assert [x.score for x in kneser_ney.score(frame(spark, rows[:2]), none).collect()] == [0.0, 0.0]
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 1200 + "</p>"
     rows = [(i, f"http://a/{i}", f"<p>{' '.join(random.choice(V) for _ in range(50))}</p>") for i in range(80)]
