@@ -80,6 +80,16 @@ def hier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy with line items as its fifth level."""
+    x = read(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    text = F.concat(F.lit("line "), "n")
+    return hier(spark, sf_dir).unionByName(x.select(
+        (F.lit(4 * 10**12) + F.col("o") * 100 + F.col("n")).alias("seq"), F.concat(F.lit("H:p1:L"), "o", F.lit("-"), "n").alias("id"), F.lit("H").alias("doc"), F.lit(1).alias("page"),
+        F.lit("").alias("cite"), F.concat(F.lit("H:p1:O"), "o").alias("parent_id"), F.lit("text").alias("label"), text.alias("text"), text.alias("norm"),
+    ))
+
+
 SQL_HIER = """
 hier AS (SELECT 'H:p1:R' || r_regionkey AS id, '' AS parent_id, r_name AS text, 'section_header' AS label FROM region
  UNION ALL SELECT 'H:p1:N' || n_nationkey, 'H:p1:R' || n_regionkey, n_name, 'section_header' FROM nation
@@ -90,6 +100,13 @@ up AS (SELECT id, parent_id AS ancestor_id, 1 AS distance FROM hier WHERE parent
 """
 
 
+SQL_HIER_LINES = SQL_HIER.replace(
+    " FROM orders),",
+    """ FROM orders
+ UNION ALL SELECT DISTINCT 'H:p1:L' || l_orderkey || '-' || l_linenumber, 'H:p1:O' || l_orderkey, 'line ' || l_linenumber, 'text' FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL),""",
+)
+
+
 def prov(records: DataFrame) -> DataFrame:
     """A range for each document; every third one has an OCR range before its native pages."""
     last = records.groupBy("doc").agg(F.max("page").alias("n"))

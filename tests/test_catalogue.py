@@ -33,6 +33,12 @@ def test_query(spark, con, name):
     assert sorted(tuple(map(shown, r)) for r in got.select(*columns).collect()) == sorted(tuple(map(shown, r)) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_all_levels_have_chains(spark, con):
+    got = catalogue.QUERIES["ancestor_chain_all"](spark, DATA).selectExpr("substr(id, 6, 1) AS level", "size(split(chain, ' > ')) AS n").distinct().collect()
+    assert {r.level: r.n for r in got} == {"N": 1, "C": 2, "O": 3, "L": 4} and len(got) == 4
+
+
 def records(spark, rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, id string, doc string, page int, cite string, parent_id string, label string, text string, norm string")
 
