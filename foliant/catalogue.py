@@ -171,6 +171,16 @@ def parse_cite(spark, d):
     return s.select("t", X.parse_cite(F.col("t")).alias("c")).select("t", "c.cite", "c.kind", "c.rank")
 
 
+_NUMBERED = "CASE seq % 5 WHEN 0 THEN 'Artículo ' || (seq % 90) || '. ' || text WHEN 1 THEN 'B.' || (seq % 9) || '.2 ' || text WHEN 2 THEN (seq % 30) || '.1 ' || text WHEN 3 THEN 'Sección SUA ' || (seq % 7) || ' ' || text ELSE text END"
+
+
+@query(f"WITH {P.SQL_DOCS}, s AS (SELECT id, {_NUMBERED} AS t FROM records), m AS" + ORACLES["parse_cite"].split("), m AS", 1)[1].replace("(SELECT t,", "(SELECT id, t,").replace("SELECT t, CASE", "SELECT id, CASE"))
+def parse_cite_documents(spark, d):
+    """Lines of documents, four of five with a planted cite before them."""
+    r = P.rec_docs(spark, d, False).withColumn("t", F.expr(_NUMBERED))
+    return r.select("id", X.parse_cite(F.col("t")).alias("c")).select("id", "c.cite", "c.kind", "c.rank")
+
+
 @query("SELECT * FROM (VALUES ('Artículo 14.1.a)', 'art14.1.a'), ('Sección SUA 1', 'secSUA1'), ('B.2.6', 'B.2.6'), ('Anejo A', 'anejoA'), ('Capítulo II', 'capII'), ('Título III', 'titIII'), ('a)', 'a')) AS t(cite, path)")
 def cite_path(spark, d):
     s = spark.createDataFrame([(x,) for x in ("Artículo 14.1.a)", "Sección SUA 1", "B.2.6", "Anejo A", "Capítulo II", "Título III", "a)")], "cite string")
@@ -322,6 +332,17 @@ def check_cycle(spark, d):
     return C.cycles(spark.createDataFrame(rows, "seq long, id string, parent_id string"))
 
 
+@query("SELECT 'D' || doc_id || ':p1:§' || unnest([1, 2]) AS id FROM documents WHERE doc_id % 3 = 0 AND contains(text, chr(10)) UNION ALL SELECT 'H:p1:R0' UNION ALL SELECT 'H:p1:N' || min(n_nationkey) FROM nation WHERE n_regionkey = 0")
+def check_cycle_records(spark, d):
+    """Documents and the hierarchy with planted cycles: roots under their second line, a region under its first nation."""
+    r, h = P.rec_docs(spark, d, False).select("seq", "id", "parent_id"), P.hier(spark, d).select("seq", "id", "parent_id")
+    first = P.read(spark, d, "nation").filter("n_regionkey = 0").agg(F.concat(F.lit("H:p1:N"), F.min("n_nationkey")).alias("first"))
+    root = (F.col("parent_id") == "") & (F.floor(F.col("seq") / 1_000_000) % 3 == 0)
+    r = r.withColumn("parent_id", F.when(root, F.regexp_replace("id", "§1$", "§2")).otherwise(F.col("parent_id")))
+    h = h.crossJoin(F.broadcast(first)).select("seq", "id", F.when(F.col("id") == "H:p1:R0", F.col("first")).otherwise(F.col("parent_id")).alias("parent_id"))
+    return C.cycles(r.union(h))
+
+
 @query(_BAD + "SELECT id FROM bad WHERE CASE WHEN text = '' THEN norm <> '' ELSE norm <> good END")
 def check_norm(spark, d):
     return C.wrong_norms(_faulty(spark, d))

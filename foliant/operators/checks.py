@@ -33,7 +33,7 @@ def later_page_parents(r: DataFrame) -> DataFrame:
     return _with_parent(r).filter("p.page > c.page").select("c.id", "c.parent_id")
 
 
-def cycles(r: DataFrame, depth: int = 64) -> DataFrame:
+def cycles(r: DataFrame, depth: int | None = None) -> DataFrame:
     """Records that are their own ancestors."""
     return ancestry(r, depth).filter("id = ancestor_id").select("id").distinct()
 

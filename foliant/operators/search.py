@@ -6,11 +6,13 @@ records: seq long (reading order), id, doc, page, cite, parent_id, label, text,
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_terms, term_pattern
+from ..llm.common import stored
 
 FLOOR = 2
 
@@ -47,11 +49,11 @@ def search(records: DataFrame, terms: list[str], chains: DataFrame | None = None
     return out.select("score", "seq", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"), "section_id", F.col("children").alias("matched_children")).orderBy(F.desc("score"), "seq")
 
 
-def ancestry(records: DataFrame, depth: int = 64, ids: DataFrame | None = None) -> DataFrame:
+def ancestry(records: DataFrame, depth: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(id, ancestor_id, distance) of all records, or of those in ids (id).
 
     A level is a join; the walk ends where no parent is left, and never passes a parent twice. Queries walk from their own few
-    records; the whole closure is for storing beside the records.
+    records; the whole closure is for storing beside the records. Deep walks are stored every eight levels, so that plans stay short.
     """
     links = records.filter("parent_id <> ''").select(F.col("id").alias("child"), "parent_id")
     known = records.select(F.col("id").alias("known"))
@@ -59,13 +61,15 @@ def ancestry(records: DataFrame, depth: int = 64, ids: DataFrame | None = None)
     first = links if ids is None else links.join(ids.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
     level = first.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen"))
     out = level
-    for k in range(2, depth + 1):
+    for k in count(2) if depth is None else range(2, depth + 1):
         level = (
             level.join(links, F.col("ancestor_id") == F.col("child"))
             .filter(~F.array_contains("seen", F.col("parent_id")))
             .select("id", F.col("parent_id").alias("ancestor_id"), F.lit(k).alias("distance"), F.array_append("seen", F.col("parent_id")).alias("seen"))
         )
-        if k % 2 == 0 and not level.limit(1).count():
+        if k % 8 == 0:
+            level, links = stored(level, "ancestry"), stored(links, "links") if k == 8 else links
+        if k % (2 if k < 8 else 8) == 0 and not level.limit(1).count():
             break
         out = out.unionByName(level)
     return out.select("id", "ancestor_id", "distance")

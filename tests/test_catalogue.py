@@ -5,6 +5,7 @@ import os
 import pytest
 
 from foliant import catalogue
+from foliant.operators import checks as C
 from foliant.operators import search as S
 
 DATA = "/root/testdata/sf0.001"
@@ -86,6 +87,13 @@ def test_broken_chains(spark):
     assert got == {"a": ["A", "B"], "b": ["B", "A"], "s": ["S"]}
 
 
+def test_long_chains(spark):
+    rows = [(i, f"c{i}", f"c{(i + 1) % 70}", "") for i in range(70)] + [(100 + i, f"d{i}", f"d{i - 1}" if i else "", "") for i in range(80)]
+    r = spark.createDataFrame(rows, "seq long, id string, parent_id string, text string")
+    assert {x.id for x in C.cycles(r).collect()} == {f"c{i}" for i in range(70)}
+    assert S.ancestry(r, ids=r.filter("id = 'd79'").select("id")).count() == 79
+
+
 def test_wire_pool(spark):
     pool = S.wire_pool(S.search(records(spark, ROWS), ["paso", "puert"])).collect()
     assert [(x.text, x.place) for x in pool] == [("Puertas", 0)]
