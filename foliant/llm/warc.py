@@ -2,7 +2,8 @@
 
 An archive opens with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard
 frame; every record follows as a frame of its own, so that one record can be read by its offset.
-The dictionary is trained on records of the same archive: evenly spaced ones, `SAMPLE` bytes at most.
+The dictionary is trained on pieces of `PART` bytes at most, `SAMPLE` bytes in all: the beginnings of records evenly spaced over the
+archive, and where these are few, pieces spread over the records, so that neither large nor few records go without one.
 
 Equal payloads of `LEAST` bytes or more are kept once: the row with the largest id is the response, the
 others become revisit records, which name it. The digests (of full payloads) are computed beside the
@@ -33,7 +34,7 @@ from .common import shared_path, stored, tidy
 from .files import Store
 
 MAGIC = 0x184D2A5D
-LEAST, SAMPLE, DICTIONARY, TARGET, LEVEL, PIECE = 1000, 1 << 20, 1 << 16, 64 << 20, 3, 1 << 13
+LEAST, SAMPLE, DICTIONARY, TARGET, LEVEL, PIECE, PART = 1000, 1 << 20, 1 << 16, 64 << 20, 3, 1 << 13, 1 << 12
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -68,20 +69,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def parts(records: list[bytes]) -> list[bytes]:
+    """What the dictionary is trained on."""
+    step = -(-sum(min(len(r), PART) for r in records) // SAMPLE) or 1
+    some = [r[:PART] for r in records[::step]]
+    if len(some) >= 16:
+        return some
+    size = max(64, min(PART, sum(map(len, records)) // 64))
+    starts = [(r, i) for r in records for i in range(0, len(r), size)]
+    return [r[i : i + size] for r, i in starts[:: max(1, len(starts) * size // SAMPLE)]]
+
+
 def pack(records: list[bytes]) -> bytes:
     """One archive: the dictionary in a skippable frame, then each record as a frame."""
     import zstandard
 
-    step = max(1, sum(map(len, records)) // SAMPLE)
-    some = records[::step]
+    some = parts(records)
     lead, coder = b"", None
-    if len(some) >= 16:
-        try:
-            trained = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, some)) // 8)), some)
-            lead = zstandard.ZstdCompressor(level=9).compress(trained.as_bytes())
-            coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
-        except zstandard.ZstdError:  # too little or too uniform to train on
-            lead = b""
+    try:
+        trained = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, some)) // 8)), some)
+        lead = zstandard.ZstdCompressor(level=9).compress(trained.as_bytes())
+        coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
+    except zstandard.ZstdError:  # too little or too uniform to train on
+        lead = b""
     coder = coder or zstandard.ZstdCompressor(level=LEVEL)
     return struct.pack("<II", MAGIC, len(lead)) + lead + b"".join(coder.compress(r) for r in records)
 

@@ -365,6 +365,14 @@ def test_dictionary_leads_the_archive():
     assert list(warc.unpack(warc.pack(records[:2]))) == records[:2]
 
 
+def test_large_and_few_records_have_a_dictionary():
+    r = random.Random(4)
+    page = lambda i, n: warc.record(i, "http://x/y", f"<html><body>{' '.join(r.choice(V) for _ in range(n))}</body></html>".encode(), "0" * 40, "response", None)
+    for records in ([page(i, 40_000) for i in range(20)], [page(i, 300) for i in range(100)] + [page(100, 4_000_000)], [page(i, 2_000) for i in range(4)]):
+        data = warc.pack(records)
+        assert int.from_bytes(data[4:8], "little") > 0 and list(warc.unpack(data)) == records
+
+
 def test_winnowing(spark):
     items = [(i, " ".join(random.choice(V) for _ in range(random.choice([3, 9, 10, 11, 30])))) for i in range(25)] + [(30, None), (31, ""), (32, "z"), (33, "q q q q q q q q q q q q")]
     docs = texts(60, 80)
