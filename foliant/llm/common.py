@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: White space that parts words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Bytes that a worker may hold between tasks without giving any back.
+KEPT, PAGE = 160 << 20, os.sysconf("SC_PAGE_SIZE")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -59,10 +67,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def resident() -> int:
+    """Bytes of memory that this process holds (all of it counts as much where the system doesn't tell)."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * PAGE
+    except OSError:
+        return KEPT + 1
+
+
 def tidy(f: Callable) -> Callable:
     """Wraps a function over Arrow batches: when its task ends, what the worker no longer uses goes back to the system.
 
-    Workers serve many tasks of many queries; else each keeps the most that any of them needed.
+    Workers serve many tasks of many queries; else each keeps the most that any of them needed. Small workers have nothing to give.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +87,12 @@ def tidy(f: Callable) -> Callable:
             yield from f(batches)
         finally:
             gc.enable()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            if resident() > KEPT:
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                try:
+                    ctypes.CDLL(None).malloc_trim(0)
+                except (AttributeError, OSError):  # another C library
+                    pass
 
     return run

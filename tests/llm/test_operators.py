@@ -256,6 +256,77 @@ def test_set_join(spark):
     assert setjoin.join(frame(spark, [])).count() == 0
 
 
+def variants(r, base, many, edits):
+    """The base and texts that add, drop or change words of it."""
+    out = [base]
+    for k in range(many):
+        w = list(base)
+        for _ in range(r.randint(1, edits)):
+            i, what = r.randrange(len(w) + 1), r.randrange(3)
+            if what == 0 or i == len(w):
+                w.insert(i, f"n{k}x{r.randrange(3)}")
+            elif what == 1 and len(w) > 5:
+                del w[i]
+            else:
+                w[i] = f"c{k}x{r.randrange(3)}"
+        out.append(w)
+    return out
+
+
+def test_set_join_of_large_groups(spark):
+    """Groups of 17 to 90 near copies, in all small bands and one beyond, each with words of its own."""
+    r, groups = random.Random(21), []
+    for g in range(90):
+        base = [f"g{g}w{r.randrange(10_000)}" for _ in range(r.choice([8, 9, 10, 10, 11, 12, 14, 17, 22, 30, 45, 66, 120]))]
+        groups.append([" ".join(w) for w in variants(r, base, r.randint(16, 90), r.choice([1, 1, 2, 3, 6]))])
+    rows, want = [], []
+    for texts_of in groups:
+        mine = [(len(rows) + k, t) for k, t in enumerate(texts_of)]
+        rows += mine
+        want += components(mine)
+    got = setjoin.join(frame(spark, rows)).collect()
+    assert sorted((x.doc, x.n, x.component) for x in got) == sorted(want)
+
+
+def test_set_join_of_a_text_and_its_extensions(spark):
+    base = " ".join(f"e{i}" for i in range(10))
+    rows = [(0, base)] + [(1 + i, f"{base} more{i}") for i in range(40)]
+    assert {x.component for x in setjoin.join(frame(spark, rows)).collect()} == {0}
+
+
+def test_set_join_when_groups_outgrow_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    monkeypatch.setattr(setjoin, "PART", 20)
+    monkeypatch.setattr(setjoin, "SMALL", 3)
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join(passage + [f"q{i}y{k}" for k in range(r.randint(0, 12))])) for i in range(60)]
+    chain = [f"k{i}" for i in range(60)]
+    rows += [(100 + i, " ".join(chain[: 60 - i] + [f"z{k}" for k in range(i)])) for i in range(50)]
+    got = setjoin.join(frame(spark, rows)).collect()
+    assert sorted((x.doc, x.n, x.component) for x in got) == sorted(components(rows))
+
+
+def test_every_linked_pair_meets_in_one_signature():
+    """The guarantee itself: sets of 0.8 share a signature at the level that either of both stops at."""
+    r = random.Random(9)
+    for n in [*range(4, 70), 90, 150, 400]:
+        for _ in range(30):
+            x = {r.getrandbits(63) for _ in range(n)}
+            d = (2 * n + 2 * n // 8) // 9
+            y = set(x)
+            for _ in range(r.randint(1, max(1, d))):
+                if r.random() < 0.5 and len(y) > 1:
+                    y.discard(r.choice(sorted(y)))
+                else:
+                    y.add(r.getrandbits(63))
+            if 5 * len(x & y) < 4 * len(x | y) or x == y:
+                continue
+            sx, sy = (setjoin.signatures(np.array(sorted(s), np.uint64)) for s in (x, y))
+            met = [s for bx, lx, _, a in sx for by, ly, _, b in sy if bx == by for s in np.intersect1d(a, b).tolist() if s >> 18 & 7 == min(lx, ly) or s & 0xFFF == 0xFFF]
+            assert met, (n, len(y))
+
+
 def test_sketch_bounds_the_difference():
     for _ in range(100):
         a = np.unique(np.array([random.getrandbits(64) for _ in range(random.randint(1, 300))], np.uint64))
