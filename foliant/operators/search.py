@@ -6,13 +6,12 @@ records: seq long (reading order), id, doc, page, cite, parent_id, label, text,
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_terms, term_pattern
-from ..llm.common import stored
+from ..storage import ranked, stored
 
 FLOOR = 2
 
@@ -29,7 +28,6 @@ def section_scores(records: DataFrame, terms: list[str], floor: int = FLOOR) ->
     patterns = [term_pattern(t) for t in normal_terms(records.sparkSession, terms)]
     if not patterns:
         patterns = ["(?!)"]
-    # a literal search decides most rows before the pattern runs; terms that begin with a word character imply it
     hits = [F.col("norm").rlike(p) for p in patterns]
     rows = records.filter("norm <> ''").filter(reduce(lambda a, b: a | b, hits))
     rows = rows.select(F.when(F.col("parent_id") == "", F.col("id")).otherwise(F.col("parent_id")).alias("section_id"), "seq", "id", "parent_id", *(h.cast("int").alias(f"h{i}") for i, h in enumerate(hits)))
@@ -52,26 +50,20 @@ def search(records: DataFrame, terms: list[str], chains: DataFrame | None = None
 def ancestry(records: DataFrame, depth: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(id, ancestor_id, distance) of all records, or of those in ids (id).
 
-    A level is a join; the walk ends where no parent is left, and never passes a parent twice. Queries walk from their own few
-    records; the whole closure is for storing beside the records. Deep walks are stored every eight levels, so that plans stay short.
+    A level is a join, and each is stored: the next one reads it, so that neither plans nor work grow with the depth. The walk ends where
+    no parent is left, at any depth, and never passes a parent twice. Queries walk from their own few records; the whole closure is for
+    storing beside the records.
     """
     links = records.filter("parent_id <> ''").select(F.col("id").alias("child"), "parent_id")
     known = records.select(F.col("id").alias("known"))
-    links = links.join(known, F.col("parent_id") == F.col("known"), "left_semi")
     first = links if ids is None else links.join(ids.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
-    level = first.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen"))
-    out = level
-    for k in count(2) if depth is None else range(2, depth + 1):
-        level = (
-            level.join(links, F.col("ancestor_id") == F.col("child"))
-            .filter(~F.array_contains("seen", F.col("parent_id")))
-            .select("id", F.col("parent_id").alias("ancestor_id"), F.lit(k).alias("distance"), F.array_append("seen", F.col("parent_id")).alias("seen"))
-        )
-        if k % 8 == 0:
-            level, links = stored(level, "ancestry"), stored(links, "links") if k == 8 else links
-        if k % (2 if k < 8 else 8) == 0 and not level.limit(1).count():
-            break
-        out = out.unionByName(level)
+    here = lambda x: x.join(known, F.col("ancestor_id") == F.col("known"), "left_semi")
+    level = here(first.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen")))
+    out = level = stored(level, "ancestry")
+    while level.limit(1).count() and (depth is None or depth > 1):
+        up = level.join(links, F.col("ancestor_id") == F.col("child")).filter(~F.array_contains("seen", F.col("parent_id")))
+        level = stored(here(up.select("id", F.col("parent_id").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), F.array_append("seen", F.col("parent_id")).alias("seen"))), "ancestry")
+        out, depth = out.unionByName(level), depth and depth - 1
     return out.select("id", "ancestor_id", "distance")
 
 
@@ -82,14 +74,17 @@ def chain_texts(ids: DataFrame, chains: DataFrame, records: DataFrame) -> DataFr
     return rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "text")), asc=False), lambda x: x["text"]).alias("ancestors"))
 
 
+def expanded(raw: Column) -> Column:
+    """The ids that one compact id names, as an array."""
+    tail = F.substring_index(raw, ":", -1)
+    head = F.left(raw, F.length(raw) - F.length(tail))
+    return F.when(raw.contains(":") & tail.contains(","), F.transform(F.split(tail, ","), lambda x: F.concat(head, x))).otherwise(F.array(raw))
+
+
 def expand_ids(spark, ids: list[str]) -> DataFrame:
     """(pos, id) of requested ids: the tail after the last colon, where it has commas, names several."""
     rows = spark.createDataFrame(list(enumerate(ids)), "ask int, raw string")
-    tail = F.substring_index("raw", ":", -1)
-    compact = F.col("raw").contains(":") & tail.contains(",")
-    head = F.expr("left(raw, length(raw) - length(substring_index(raw, ':', -1)))")
-    many = F.when(compact, F.transform(F.split(tail, ","), lambda x: F.concat(head, x))).otherwise(F.array("raw"))
-    return rows.select("ask", F.posexplode(many).alias("part", "id"))
+    return rows.select("ask", F.posexplode(expanded(F.col("raw"))).alias("part", "id"))
 
 
 def get(records: DataFrame, ids: list[str], chains: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,10 +100,12 @@ def get(records: DataFrame, ids: list[str], chains: DataFrame | None = None) ->
     return out.select("ask", "part", "id", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"), "text", F.coalesce("children", none).alias("children")).orderBy("ask", "part"), unknown.orderBy("ask", "part")
 
 
-def get_by_cite(records: DataFrame, cite: str, doc: str | None = None) -> DataFrame:
-    """Every address that bears a cite, in reading order; the empty cite has none."""
+def get_by_cite(records: DataFrame, cite: str, doc: str | None = None, chains: DataFrame | None = None) -> DataFrame:
+    """Every address that bears a cite, in reading order, with its ancestors' texts, root first; the empty cite has none."""
     rows = records.filter((F.col("cite") == cite) & (F.col("cite") != ""))
-    return (rows.filter(F.col("doc") == doc) if doc is not None else rows).select("seq", "id", "doc", "page").orderBy("seq")
+    rows = (rows.filter(F.col("doc") == doc) if doc is not None else rows).select("seq", "id", "doc", "page")
+    above = chain_texts(rows.select("id"), chains if chains is not None else ancestry(records, ids=rows.select("id")), records)
+    return rows.join(above, "id", "left").select("seq", "id", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors")).orderBy("seq")
 
 
 def doc_pages(provenance: DataFrame) -> DataFrame:
@@ -124,17 +121,36 @@ def get_page(records: DataFrame, provenance: DataFrame, doc: str, page: int) ->
 
 
 def wire_pool(found: DataFrame) -> DataFrame:
-    """(text, place): distinct ancestor texts, numbered by first appearance."""
-    from pyspark.sql import Window
-
-    rows = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
-    seen = rows.select("rank", F.posexplode("ancestors").alias("k", "text")).groupBy("text").agg(F.min(F.struct("rank", "k")).alias("at"))
-    return seen.select("text", (F.row_number().over(Window.orderBy("at")) - 1).alias("place"))
-
-
-def group_ids(ids: DataFrame) -> DataFrame:
-    """(first, compact) of (pos, id): ids with one head share a row, in order of appearance."""
+    """(text, place): distinct ancestor texts, numbered by first appearance in an answer of `search`."""
+    rows = ranked(found, F.desc("score"), "seq")
+    seen = rows.select("rank", F.posexplode_outer("ancestors").alias("k", "text")).filter("text IS NOT NULL").groupBy("text").agg(F.min(F.struct("rank", "k")).alias("at"))
+    return ranked(seen, "at", name="place").select("text", (F.col("place") - 1).alias("place"))
+
+
+def wire(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An answer of `search` as it travels: the pool of ancestor texts, and sections that name them by place and their children by shared heads."""
+    pool = stored(wire_pool(found), "pool")
+    rows = ranked(found, F.desc("score"), "seq")
+    above = rows.select("section_id", F.posexplode_outer("ancestors").alias("k", "text")).join(pool, "text")
+    above = above.groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "place"))), lambda x: x["place"]).alias("ancestors"))
+    ids = rows.select("section_id", F.posexplode_outer("matched_children").alias("pos", "id")).filter("id IS NOT NULL")
+    compact = group_ids(ids, "section_id").groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "compact"))), lambda x: x["compact"]).alias("matched_children"))
+    out = rows.select("rank", "score", "doc", "page", "section_id").join(above, "section_id", "left").join(compact, "section_id", "left")
+    return pool, out.select("rank", "score", "doc", "page", "section_id", F.coalesce("ancestors", F.array().cast("array<int>")).alias("ancestors"), F.coalesce("matched_children", F.array().cast("array<string>")).alias("matched_children"))
+
+
+def unwire(pool: DataFrame, sections: DataFrame) -> DataFrame:
+    """The answer that `wire` encoded: rank, score, doc, page, section_id, ancestors and matched_children in full."""
+    above = sections.select("section_id", F.posexplode_outer("ancestors").alias("k", "place")).join(pool, "place")
+    above = above.groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("texts"))
+    ids = F.flatten(F.transform("matched_children", expanded))
+    none = F.array().cast("array<string>")
+    return sections.join(above, "section_id", "left").select("rank", "score", "doc", "page", "section_id", F.coalesce("texts", none).alias("ancestors"), ids.alias("matched_children"))
+
+
+def group_ids(ids: DataFrame, *key: str) -> DataFrame:
+    """(key, first, compact) of (key, pos, id): ids of a key with one head share a row, in order of appearance."""
     tail = F.substring_index("id", ":", -1)
     head = F.expr("left(id, length(id) - length(substring_index(id, ':', -1)))")
-    grouped = ids.withColumn("head", head).withColumn("tail", tail).groupBy("head").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "tail"))), lambda x: x["tail"]).alias("tails"))
-    return grouped.select("first", F.concat("head", F.array_join("tails", ",")).alias("compact"))
+    grouped = ids.withColumn("head", head).withColumn("tail", tail).groupBy(*key, "head").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "tail"))), lambda x: x["tail"]).alias("tails"))
+    return grouped.select(*key, "first", F.concat("head", F.array_join("tails", ",")).alias("compact"))
