@@ -1,19 +1,22 @@
 """Five stages from raw documents to encoded ones; each takes what its predecessor kept.
 
 toxicity, quality, near duplicates and decontamination return the columns of their input, fewer rows; the last stage adds the
-token ids and the decoded text. Rules that concern a document alone (toxicity, quality) are decided row by row, so
-rows that share a doc_id, or have none, are each judged by their own text. Of a group of near duplicates the row
-with the least doc_id stays (of rows with that id, one). Rows whose text has no words are no near duplicates; the
-quality stage has removed them before. Empty tables pass through all stages.
+token ids and the decoded text. Every stage decides by a row's own text: rows that share a doc_id, or have none, are told apart by
+what they hold. Of a group of near duplicates one row stays, the one with the least doc_id (rows without one come last; of rows with
+that id, the one with the least text hash). Rows whose text has no words are no near duplicates; the
+quality stage has removed them before. Empty tables pass through all stages, and columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import pieces, quality, setjoin, toxicity, winnow
-from foliant.llm.common import shared_path, table
+from foliant.llm.common import named, shared_path, stored, table
+
+#: Rows of an id and a hash that may be broadcast.
+SMALL = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,19 +33,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by similarity."""
-    groups = setjoin.join(docs.select("doc_id", "text"))
-    # rows that go: members of a group that it isn't named after. Ids are all that is joined with the texts
-    gone = groups.filter("n > 0 AND doc IS NOT NULL AND doc <> component").select(F.col("doc").alias("__p_doc")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__p_doc"], "left_anti")
-    # of rows that share the id that names a group, one stays
-    repeated = groups.filter("n > 0").groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("__p_id"))
-    if not repeated.limit(1).count():
+    """Keeps one document of each group linked by similarity: the row with the least id (rows without one come last), of these the least text hash."""
+    rows = stored(setjoin.join(docs).filter("cluster IS NOT NULL").select("doc", "same", "cluster"), "clusters")
+    # a row is told by its id and text; equal rows are counted here and merged at the end
+    kinds = rows.groupBy("cluster", "doc", "same").agg(F.count("*").alias("rows"))
+    first = kinds.groupBy("cluster").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "same", "rows")).alias("first"), F.sum("rows").alias("all")).filter("all > 1")
+    kinds = kinds.join(first.select("cluster", "first"), "cluster")
+    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("same") == F.col("first.same"))
+    marked = stored(kinds.select(F.col("doc").alias("__p_doc"), F.col("same").alias("__p_same"), stays.alias("__p_stays")).filter("NOT __p_stays OR first.rows > 1"), "marked")
+    mine = named(docs, "doc_id").eqNullSafe(F.col("__p_doc")) & (F.xxhash64(named(docs, "text")) == F.col("__p_same"))
+
+    def with_few(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+    left = docs.join(with_few(marked), mine, "left_anti")
+    several = marked.filter("__p_stays")
+    if not several.limit(1).count():
         return left
-    same = docs["doc_id"].eqNullSafe(repeated["__p_id"])
-    several = left.join(repeated, same, "left_semi")
-    one = several.withColumn("__p_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__p_n = 1").drop("__p_n")
-    return left.join(repeated, same, "left_anti").unionByName(one)
+    return left.unionByName(docs.join(with_few(several), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _named(docs: DataFrame) -> DataFrame:
     """The columns in one struct beside the two that the operators read: no name of theirs can clash."""
-    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__p_row"), "doc_id", "text")
+    return docs.select(F.struct(*(named(docs, c) for c in docs.columns)).alias("__p_row"), "doc_id", "text")
 
 
 def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
