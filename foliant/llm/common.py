@@ -5,13 +5,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import shared_path, shared_root, stored
+
+__all__ = ["ascii_lower", "fold", "map_rows", "named", "shared_path", "shared_root", "stored", "table", "tidy", "words"]
 
 #: White space that parts words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -44,29 +47,6 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a session without that setting (a test on one machine) gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def resident() -> int:
     """Bytes of memory that this process holds (all of it counts as much where the system doesn't tell)."""
     try:
@@ -96,3 +76,15 @@ def tidy(f: Callable) -> Callable:
                     pass
 
     return run
+
+
+def map_rows(df: DataFrame, f: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any names, dots included; f sees and gives the real ones."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(b.rename_columns(names) for b in batches):
+            yield out.rename_columns([f"o{i}" for i in range(out.num_columns)])
+
+    plain = T.StructType([T.StructField(f"o{i}", c.dataType, c.nullable) for i, c in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(tidy(run), plain).toDF(*schema.names)

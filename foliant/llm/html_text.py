@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, stored, tidy
+from .common import map_rows, shared_path, stored, tidy
 from .files import Store
 from .kneser_ney import _find, _mapped, pair
 
@@ -317,4 +317,4 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
                 out.append(page.text(np.zeros(len(page.blocks), bool) if gone is None else gone))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
 
-    return pages.mapInArrow(tidy(run), schema)
+    return map_rows(pages, run, schema)

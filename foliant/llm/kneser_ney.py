@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, stored, tidy
+from .common import map_rows, shared_path, stored, tidy
 from .files import Store
 
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
@@ -419,4 +419,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     held, size, start = [], 0, i + 1
             yield from done
 
-    return docs.mapInArrow(tidy(run), schema)
+    return map_rows(docs, run, schema)

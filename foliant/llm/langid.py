@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, tidy
+from .common import fold, map_rows
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE, WINDOWS, WINDOW = 2000, 3, 64
@@ -209,4 +209,4 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
                     size += len(held[-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return map_rows(docs, run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import map_rows
 
 MARK = "▁"
 #: Remembered cuts per worker.
@@ -196,4 +196,4 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "p
             out = [*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(out, [*keep, ids, decoded])
 
-    return df.mapInArrow(tidy(run), schema)
+    return map_rows(df, run, schema)

@@ -48,9 +48,9 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     bad = winnow.contamination(docs, bench)
     ids = F.array_sort(F.col("items").cast("array<string>"))
-    bad = bad.select("doc", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
-    counts = docs.select("doc_id", F.size(winnow.item_words(F.col("text"))).cast("long").alias("n_words"))
-    return counts.join(bad, counts["doc_id"].eqNullSafe(bad["doc"]), "left").select(
+    bad = bad.select("same", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+    counts = docs.select("doc_id", F.size(winnow.item_words(F.col("text"))).cast("long").alias("n_words"), winnow.same_text(F.col("text")).alias("same"))
+    return counts.join(bad, "same", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),

@@ -214,7 +214,7 @@ def signatures(s: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
 
 
 def nodes(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """doc, n, key and sketch of every row, with band, level and slack of what it indexes."""
+    """doc, n, key and sketch of every row, with band, level and slack of what it indexes, and the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +224,10 @@ def nodes(docs: DataFrame, text: str, doc: str) -> DataFrame:
                 key.append(key_of(s) if len(s) else None)
                 bits.append(sketch(s) if len(s) else None)
                 slack.append([band << 40 | level << 36 | more + (1 << 30) for band, level, more, _ in signatures(s)] if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(slack, pa.list_(pa.int64()))], ["doc", "n", "key", "bits", "slack"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("same"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(slack, pa.list_(pa.int64()))], ["doc", "same", "n", "key", "bits", "slack"])
 
-    rows = docs.select(named(docs, doc).alias("doc"), named(docs, text).alias("text"))
-    return rows.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, key long, bits binary, slack array<long>")
+    rows = docs.select(named(docs, doc).alias("doc"), named(docs, text).alias("text")).withColumn("same", F.xxhash64("text"))
+    return rows.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, same long, n long, key long, bits binary, slack array<long>")
 
 
 def groups(docs: DataFrame, text: str, n_grams: int) -> DataFrame:
@@ -428,7 +428,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """One row for each input row: doc, n (size of its set), component (least id reachable by links), key (of its set; null if empty)."""
+    """One row for each input row: doc, n (size of its set), component (least id reachable by links), same (hash of the text) and
+    cluster (the same for all rows of a component, whatever their ids; null for empty sets)."""
     rows = stored(nodes(docs, text, doc), "nodes")
     known = stored(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("slack").alias("slack")), "known")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -450,9 +451,9 @@ def join(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     reached = root.unionByName(root.select(F.col("root").alias("key"), "root").distinct())
     ids = reached.join(known.select("key", "doc"), "key")
     least = ids.groupBy("root").agg(F.min("doc").alias("component"))
-    ids = reached.join(least, "root").select("key", "component")
-    of = known.select("key", F.col("doc").alias("least")).join(ids, "key", "left").select("key", F.coalesce("component", "least").alias("component"))
-    return rows.select("doc", "n", "key").join(of, "key", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "key")
+    ids = reached.join(least, "root").select("key", "component", "root")
+    of = known.select("key", F.col("doc").alias("least")).join(ids, "key", "left").select("key", F.coalesce("component", "least").alias("component"), F.coalesce("root", "key").alias("cluster"))
+    return rows.select("doc", "same", "n", "key").join(of, "key", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "same", "cluster")
 
 
 def _order(k: int):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stored, tidy
+from .common import fold, map_rows, stored, tidy
 
 SAMPLE = 20_000
 PRIOR, DRIFT, K = 5.0, 0.1, 0.1
@@ -239,4 +239,4 @@ def assess(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
             out = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays(out, [*keep, *added])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return map_rows(docs, run, schema)

@@ -14,10 +14,9 @@ share meets a document once and not once for each item and window.
 DataFrame functions only. Arrays are opened with explode_outer: for the inner form the optimizer infers a filter
 and computes the whole array a second time in it. Hashes are broadcast only where counting proves them `SMALL`.
 
-Edge cases: null and empty texts have no words and aren't hit; rows that share a doc_id (a null id
-included) count as one document, whose hits are those of all its rows, while n_words stays by row;
-items of equal id count as one item; repeated rows give repeated rows; empty tables give empty
-results or clean documents; other columns pass through (`screen`).
+Edge cases: null and empty texts have no words and aren't hit; a row is judged by its own text, whatever other rows share its id;
+items of equal id count as one item, items without an id hit words but aren't named among the items; repeated rows give repeated
+rows; empty tables give empty results or clean documents; other columns pass through (`screen`), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, named, stored
 
 K, SPAN = 5, 6
 WINDOW = K + SPAN - 1
@@ -59,8 +58,8 @@ def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(_P + "fp", F.when(some, at)).drop(_P + "wh", _P + "m")
 
 
-def _grams(w: Column, n: int) -> Column:
-    """Every n-word window with its place. (A lambda's second parameter would be the index, so n comes from here.)"""
+def _grams(w: Column, n: Column) -> Column:
+    """Every n-word window with its place."""
     return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("win")))
 
 
@@ -77,40 +76,43 @@ def windows_of(benchmark: DataFrame, item: str = "item_id", text: str = "text")
     return rows.select("item", F.least(F.size(w), F.lit(WINDOW)).alias("len"), F.explode_outer(F.when(F.size(w) >= WINDOW, many).otherwise(one)).alias("win")).filter("win IS NOT NULL").distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(doc, at, len, win) for every place where a benchmark window stands in a document, and (item, len, win)."""
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(same, at, len, win) for every place where a benchmark window stands in a text (same: the text's hash), and (item, len, win)."""
     wins = windows_of(benchmark, item, text)
     keys = wins.select("win", "len").distinct()
     marks = with_fingerprints(benchmark.select(text), text).select(_P + "h", F.explode_outer(_P + "fp").alias("f")).filter("f IS NOT NULL").select(F.get(_P + "h", "f").alias("mark")).distinct()
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text))
+    rows = docs.select(same_text(named(docs, text)).alias("same"), named(docs, text).alias("text"))
     w, f = F.col(_P + "w"), F.col("f")
     # the words from which every window over a fingerprint can be cut
     first = F.greatest(f - (SPAN - 1), F.lit(0))
     around = (first.alias("from"), F.slice(w, first + 1, f + WINDOW - first).alias("near"))
-    found = with_fingerprints(rows, text).select("doc", _P + "w", _P + "h", F.explode_outer(_P + "fp").alias("f")).filter("f IS NOT NULL")
+    found = with_fingerprints(rows, "text").select("same", _P + "w", _P + "h", F.explode_outer(_P + "fp").alias("f")).filter("f IS NOT NULL")
     mark = F.get(F.col(_P + "h"), f)
     if is_small(marks):
-        found = found.join(F.broadcast(marks), mark == F.col("mark")).select("doc", *around)
+        found = found.join(F.broadcast(marks), mark == F.col("mark")).select("same", *around)
     else:  # what is shuffled then holds a few words for each fingerprint, not whole texts
-        found = found.select("doc", mark.alias("mark"), *around).join(marks, "mark").select("doc", "from", "near")
+        found = found.select("same", mark.alias("mark"), *around).join(marks, "mark").select("same", "from", "near")
     near = F.col("near")
     cut = F.transform(F.sequence(F.lit(0), F.size(near) - WINDOW), lambda i: F.struct((F.col("from") + i).alias("at"), F.array_join(F.slice(near, i + 1, WINDOW), " ").alias("win")))
-    long = found.filter(F.size(near) >= WINDOW).select("doc", F.explode_outer(cut).alias("c")).select("doc", F.col("c.at").alias("at"), F.lit(WINDOW).alias("len"), F.col("c.win").alias("win")).distinct()
+    long = found.filter(F.size(near) >= WINDOW).select("same", F.explode_outer(cut).alias("c")).select("same", F.col("c.at").alias("at"), F.lit(WINDOW).alias("len"), F.col("c.win").alias("win")).distinct()
     short = [r[0] for r in wins.filter(F.col("len") < WINDOW).select("len").distinct().collect()]  # WINDOW - 1 lengths at most
-    for n in sorted(short):
-        heads = keys.filter(F.col("len") == n).select(F.xxhash64("win").alias("mark")).distinct()
-        grams = _grams(w, n)
-        more = rows.select("doc", item_words(F.col(text)).alias(_P + "w")).select("doc", F.explode_outer(F.when(F.size(w) >= n, grams)).alias("c")).filter("c IS NOT NULL")
-        more = more.join(F.broadcast(heads) if is_small(heads) else heads, F.xxhash64("c.win") == F.col("mark"), "left_semi")
-        long = long.unionByName(more.select("doc", F.col("c.at").alias("at"), F.lit(n).alias("len"), F.col("c.win").alias("win")))
-    return long.join(keys.select("win", "len"), ["win", "len"], "left_semi").select("doc", "at", "len", "win"), wins
+    if short:  # one more pass, whatever their number
+        heads = keys.filter(F.col("len") < WINDOW).select(F.xxhash64("win", "len").alias("mark")).distinct()
+        more = rows.select("same", item_words(F.col("text")).alias(_P + "w")).select("same", _P + "w", F.explode(F.array(*(F.lit(n) for n in sorted(short)))).alias("n"))
+        more = more.select("same", "n", F.explode_outer(F.when(F.size(w) >= F.col("n"), _grams(w, F.col("n")))).alias("c")).filter("c IS NOT NULL")
+        more = more.join(F.broadcast(heads) if is_small(heads) else heads, F.xxhash64("c.win", "n") == F.col("mark"), "left_semi")
+        long = long.unionByName(more.select("same", F.col("c.at").alias("at"), F.col("n").alias("len"), F.col("c.win").alias("win")).distinct())
+    return long.join(keys.select("win", "len"), ["win", "len"], "left_semi").select("same", "at", "len", "win"), wins
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """Of every document that holds a benchmark window: doc, n_hit (words inside one) and items (array, as found)."""
-    from .common import stored
+def same_text(text: Column) -> Column:
+    """What stands for a document here: a hash of its text, so that rows are judged by what they hold and copies only once."""
+    return F.xxhash64(text)
 
-    found, wins = hits(docs, benchmark, doc, text, item)
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """Of every text that holds a benchmark window: same (`same_text` of it), n_hit (words inside one) and items (array, as found)."""
+    found, wins = hits(docs, benchmark, text, item)
     found = stored(found, "hits")
     # hit words: the union of the intervals, in order of their starts
     spans = F.array_sort(F.collect_set(F.struct("at", F.col("len").alias("len"))))
@@ -120,19 +122,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(a["end"], s["at"]))).alias("n")),
         lambda a: a["n"],
     )
-    counts = found.groupBy("doc").agg(spans.alias("spans")).select("doc", union.cast("long").alias("n_hit"))
+    counts = found.groupBy("same").agg(spans.alias("spans")).select("same", union.cast("long").alias("n_hit"))
     # windows of the same set of items are one class; the class is told by order-free digests of the set
     i = F.col("item").cast("string")
     classes = wins.groupBy("win", "len").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64(i)).alias("x"), F.bit_xor(F.xxhash64(i, F.lit(1))).alias("y"), F.min(i).alias("z"))
     heads = classes.groupBy("c", "x", "y", "z").agg(F.min(F.struct("win", "len")).alias("head"))
-    named = classes.join(heads, ["c", "x", "y", "z"]).select("win", "len", "head")
+    of_class = classes.join(heads, [classes[c].eqNullSafe(heads[c]) for c in ("c", "x", "y", "z")]).select("win", "len", "head")
     members = heads.select("head", F.col("head.win").alias("win"), F.col("head.len").alias("len")).join(wins, ["win", "len"]).select("head", "item")
-    met = found.select("doc", "win", "len").distinct().join(named, ["win", "len"]).select("doc", "head").distinct()
-    items = met.join(members, "head").groupBy("doc").agg(F.collect_set("item").alias("items"))
-    return counts.join(items, counts["doc"].eqNullSafe(items["doc"]), "left").select(counts["doc"], "n_hit", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
+    met = found.select("same", "win", "len").distinct().join(of_class, ["win", "len"]).select("same", "head").distinct()
+    items = met.join(members, "head").groupBy("same").agg(F.collect_set("item").alias("items"))
+    return counts.join(items, "same", "left").select("same", "n_hit", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
 
 
-def screen(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def screen(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without any benchmark window, all columns kept."""
-    bad = contamination(docs, benchmark, doc, text, item).select(F.col("doc").alias(_P + "doc"))
-    return docs.join(bad, docs[doc].eqNullSafe(bad[_P + "doc"]), "left_anti")
+    bad = contamination(docs, benchmark, text, item).select(F.col("same").alias(_P + "same"))
+    return docs.join(bad, same_text(named(docs, text)) == F.col(_P + "same"), "left_anti")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import html_text, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, warc, winnow
 
@@ -452,8 +453,10 @@ def test_winnowing(spark):
         a = random.randrange(len(w))
         docs.append((100 + i, " ".join([random.choice(V) for _ in range(random.randint(0, 30))] + w[a : a + random.randint(1, 30)] + [random.choice(V) for _ in range(5)]).title()))
     docs += [*ODD, (800, "q " * 15), (801, "a, z: b"), (802, items[4][1] + " " + items[4][1])]
+    docs += [(7, items[4][1]), (None, items[5][1]), (None, "another row without an id"), (7, items[4][1])]  # rows of one id are judged apart
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc: r for r in winnow.contamination(frame(spark, docs), bench).collect()}
+    rows = frame(spark, docs).withColumn("same", winnow.same_text(F.col("text")))
+    got = {(r.doc_id, r.text): r for r in rows.join(winnow.contamination(frame(spark, docs), bench), "same").collect()}
     word, wins = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {}
     for i, t in items:
         w = word.findall(low(t))
@@ -467,9 +470,9 @@ def test_winnowing(spark):
                     hit.update(range(k, k + n))
                     found |= x
         if hit:
-            assert (got[i].n_hit, sorted(got[i]["items"])) == (len(hit), sorted(found))
+            assert (got[i, t].n_hit, sorted(got[i, t]["items"])) == (len(hit), sorted(found))
         else:
-            assert i not in got
+            assert (i, t) not in got
     left = winnow.screen(frame(spark, docs), bench)
-    assert left.count() == sum(i not in got for i, _ in docs) and left.columns == ["doc_id", "text", "text_"]
+    assert left.count() == sum((i, t) not in got for i, t in docs) and left.columns == ["doc_id", "text", "text_"]
     assert winnow.contamination(frame(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
