@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from urllib.parse import urlsplit
 
@@ -47,8 +48,20 @@ class Store:
         with self.open(name) as f:
             return f.read()
 
+    def mapped(self, name: str):
+        """A file as an array of 64-bit numbers: memory-mapped on a mounted path, read into memory elsewhere."""
+        import numpy as np
+
+        if self.path is not None:
+            return np.memmap(f"{self.path}/{name}", np.uint64, "r")
+        return np.frombuffer(self.read(name), np.uint64)
+
     def create(self, name: str, data: bytes) -> bool:
-        """Writes a file that must not be there yet; False if it is. Of two writers one wins (on mounted paths by a hard link)."""
+        """Writes a file that must not be there yet; False if it is. Of two writers one wins.
+
+        On mounted paths a hard link decides. Elsewhere the driver asks Hadoop's file system to rename without overwriting, which
+        HDFS decides atomically; a store whose rename isn't atomic needs one writer at a time. Driver only.
+        """
         if self.path is not None:
             os.makedirs(self.path, exist_ok=True)
             mine = f"{self.path}/.{name}-{uuid.uuid4().hex}"
@@ -63,13 +76,38 @@ class Store:
                 return False
             finally:
                 os.unlink(mine)
-        from pyarrow.fs import FileType
+        return self._renamed(name, data)
+
+    def _renamed(self, name: str, data: bytes) -> bool:
+        from pyspark.sql import SparkSession
+
+        context = SparkSession.getActiveSession().sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        mine, there = path(f"{self.uri}/.{name}-{uuid.uuid4().hex}"), path(f"{self.uri}/{name}")
+        fs = there.getFileSystem(context._jsc.hadoopConfiguration())
+        out = fs.create(mine, False)
+        out.write(bytearray(data))
+        out.close()
+        try:
+            return not fs.exists(there) and fs.rename(mine, there)
+        finally:
+            fs.delete(mine, False)
+
+    def remove(self, name: str) -> None:
+        if self.path is not None:
+            os.unlink(f"{self.path}/{name}")
+        else:
+            fs, root = self._fs()
+            fs.delete_file(f"{root}/{name}")
+
+    def ages(self) -> list[tuple[str, float]]:
+        """(name, seconds since it was written) of every file."""
+        if self.path is not None:
+            return [(n, time.time() - os.path.getmtime(f"{self.path}/{n}")) for n in self.names()]
+        from pyarrow.fs import FileSelector
 
         fs, root = self._fs()
-        if fs.get_file_info(f"{root}/{name}").type != FileType.NotFound:
-            return False
-        self.write(name, data)
-        return True
+        return [(i.base_name, time.time() - i.mtime.timestamp()) for i in fs.get_file_info(FileSelector(root, allow_not_found=True)) if not i.base_name.startswith(".")]
 
     def names(self) -> list[str]:
         if self.path is not None:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import map_rows, shared_path, stored, tidy
 from .files import Store
-from .kneser_ney import _find, _mapped, pair
+from .kneser_ney import _place, pair
 
 LEAST_PAGES, SMALL = 5, 1_000_000
 #: Element names of HTML by their role here.
@@ -227,9 +227,9 @@ class Keys:
             out, slot = np.zeros(len(keys), bool), keys % self.slices
             for k in set(slot.tolist()) & self.there:
                 if k not in files:
-                    files[k] = _mapped(store, f"keys-{k}").view(np.int64)
+                    files[k] = store.mapped(f"keys-{k}").view(np.int64)
                 mine = slot == k
-                out[mine] = _find(files[k], keys[mine])[1]
+                out[mine] = _place(files[k], keys[mine])[1]
             return out
 
         return among

@@ -1,23 +1,22 @@
 """Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by workers.
 
-A text is its words (A-Z lower-cased) and one end token, after a start token that is context only. Bigrams are
-counted by 64-bit hashes; the lower order has the continuation counts of the method (distinct words before a
-word). Counts of counts give three discounts for each order (Chen and Goodman), and the lower order interpolates with the
+A text is its words (A-Z lower-cased) and one end token, after start tokens that are context only. The lower orders
+have the continuation counts of the method (distinct words before an n-gram). Counts of counts give three discounts for each order (Chen
+and Goodman), and the lowest order interpolates with the
 uniform distribution over the known words and one unknown, so every text has a finite probability.
 
-Order 3 counts trigrams after two start tokens. Slices of trigrams are written first; each sends what it knows of word pairs (their
-count, the distinct words before, and as context their count and continuations of count 1, 2 and more) to the slices of pairs,
-and these, with distinct words before as counts, to the word table as below.
+Each batch adds up its own n-grams and sends blocks to slices of the hash space. A block numbers its words in a table of their
+64-bit hashes and holds sorted packed numbers as differences, compressed: some 6 bytes a trigram in place of 28. Trigrams are dealt by
+their first two words, so what they tell of these as a context is whole in one slice: it goes to a file, while the last two words go on
+to slices of pairs, and what pairs tell of words to slices of words. Slices grow in number with the corpus, not in size. The driver
+gets a few sums of each slice.
 
-Counting goes by packed rows. Each batch adds up its own bigrams, and sends a binary block to each slice of the hash
-space: hashes deal evenly, however frequent a word. A slice's task writes its part of the model to
-the shared folder as sorted hash arrays with counts, and sends what it knows of each word (its count as context, its continuations of count
-1, 2 and more, the distinct words before it) to the slices of the word table, which are written likewise. Slices grow in number with the
-corpus, not in size. The driver gets a few sums of each slice.
+A slice is a file of sorted hash arrays: the leading bits of a key are its place in a table of offsets, the next 32 bits are stored, so a
+foreign n-gram passes for a known one once in some hundred million lookups. Words have their whole 64 bits. Of n-grams counted once
+only the key is stored, and a context met once needs no entry at all: the pair is known, so it has one continuation.
 
-Workers memory-map these files and look up sorted queries by binary search, so of a model of any size a worker
-holds the pages that it touches. Where the shared folder is no mounted path, a worker copies slices to map them and
-unlinks the copies at once.
+Workers memory-map these files, so of a model of any size a worker
+holds the pages that it touches. Where the shared folder is no mounted path, a worker reads slices into memory and keeps a few.
 
 Edge cases: null and empty texts are the end token alone; with no training text every token has the uniform probability of
 the one unknown word; a null doc_id is not held out, for its fold is null; repeated rows give repeated rows; an
@@ -26,107 +25,226 @@ empty table gives an empty table; other columns pass through, and the new ones r
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, shared_path, stored, tidy
+from .common import map_rows, named, shared_path, stored, tidy
 from .files import Store
+from .hashed import MIX, mix
+from .hashed import words as hashed_words
 
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
-#: Tokens behind a slice and in a chunk that is added up at once, about.
-SLICE, CHUNK = 6_000_000, 2_000_000
-START, END = 1, 2  # hashes of the two tokens that aren't words
-_M = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Tokens behind a slice and in a chunk that is added up or scored at once, about.
+SLICE, CHUNK = 4_000_000, 2_000_000
+START, END = np.uint64(1), np.uint64(2)  # hashes of the two tokens that aren't words
+#: Slices that a worker keeps in memory where it can't map them.
+KEPT = 16
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context * MIX) + word)
 
 
-def words(text: str | None) -> np.ndarray:
-    """Hashes of the words and the end token."""
-    w = text.encode().lower().split() if text else []
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-    h[h <= END] += np.uint64(END + 1)
-    return np.append(h, np.uint64(END))
+def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For stretches of the column: all tokens, the end of each text included, and how many each text has."""
+    for h, count in hashed_words(column):
+        h[h <= END] += END + np.uint64(1)
+        yield np.insert(h, np.cumsum(count), END), count + 1
 
 
-def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(context * _M) + word)
+def before(v: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
+    """What stands before each of v (any array along the tokens), with `first` at the start of every text."""
+    out = np.empty_like(v)
+    out[1:] = v[:-1]
+    out[np.append(0, np.cumsum(sizes)[:-1])] = first
+    return out
+
 
+# --- n-grams as packed numbers ---
 
-def counted(u: np.ndarray, v: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams, in order of u and v, with their summed counts."""
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.empty(0, np.int64)
-    n = np.diff(np.append(starts, len(u))) if c is None else np.add.reduceat(c[order], starts) if len(u) else c
-    return u[starts], v[starts], n.astype(np.int64)
 
+def distinct(ids: list[np.ndarray], n_words: int, counts: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of word numbers, in order, with their summed counts (how often each is there, if none are given)."""
+    bits = max(1, (max(1, n_words) - 1).bit_length())
+    if bits * len(ids) <= 64:
+        key = np.zeros(len(ids[0]), np.uint64)
+        for i in ids:
+            key = key << np.uint64(bits) | i.astype(np.uint64)
+        if counts is None:
+            key, n = np.unique(key, return_counts=True)
+            sums = [n.astype(np.int64)]
+        else:
+            order = np.argsort(key)
+            key = key[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            sums = [np.add.reduceat(c[order], starts) if len(key) else c for c in counts]
+            key = key[starts]
+        mask = np.uint64((1 << bits) - 1)
+        return [(key >> np.uint64(bits * k) & mask).astype(np.int64) for k in range(len(ids) - 1, -1, -1)], sums
+    order = np.lexsort(ids[::-1])
+    ids = [i[order] for i in ids]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for i in ids:
+        new[1:] |= i[1:] != i[:-1]
+    starts = np.flatnonzero(new)
+    sums = [np.diff(np.append(starts, len(order)))] if counts is None else [np.add.reduceat(c[order], starts) for c in counts]
+    return [i[starts] for i in ids], sums
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: all lowest bytes first. High bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(a).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def dump(table: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """A block of distinct rows in order: a sorted table of word hashes, rows of places in it, and their counts."""
+    import zstandard
+
+    used = np.zeros(len(table), bool)
+    for i in ids:
+        used[i] = True
+    place = np.cumsum(used) - 1
+    table, ids = table[used], [place[i].astype(np.uint64) for i in ids]
+    bits, n = max(1, (max(1, len(table)) - 1).bit_length()), len(ids[0])
+    packed = bits * len(ids) <= 64
+    if packed:
+        key = np.zeros(n, np.uint64)
+        for i in ids:
+            key = key << np.uint64(bits) | i
+        ids = [np.diff(key, prepend=np.uint64(0))]
+    head = np.array([len(table), n, len(ids), len(counts), bits if packed else 0], np.uint64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([_planes(np.diff(table, prepend=np.uint64(0))), *map(_planes, ids), *map(_planes, counts)]))
+
+
+def load(block: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(block)
+    words, n, columns, counts, bits = np.frombuffer(data, np.uint64, 5).tolist()
+    at, out = 40, []
+    for size in [words] + [n] * (columns + counts):
+        out.append(_from_planes(data, at, size))
+        at += 8 * size
+    table, ids, sums = np.cumsum(out[0], dtype=np.uint64), out[1 : 1 + columns], [c.astype(np.int64) for c in out[1 + columns :]]
+    if bits:
+        key, mask = np.cumsum(ids[0], dtype=np.uint64), np.uint64((1 << bits) - 1)
+        ids = [key >> np.uint64(bits * k) & mask for k in range(width - 1, -1, -1)]
+    return table, [i.astype(np.int64) for i in ids], sums
+
+
+def merged(blocks: list[bytes], width: int, counts: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """All blocks of a slice as one: word hashes, rows of places among them, and sums of their counts."""
+    parts = [load(b, width) for b in blocks if b]
+    if not parts:
+        return np.empty(0, np.uint64), [np.empty(0, np.int64)] * width, [np.empty(0, np.int64)] * counts
+    table = np.unique(np.concatenate([t for t, _, _ in parts]))
+    ids = [np.concatenate([np.searchsorted(table, t)[i[k]] for t, i, _ in parts]) for k in range(width)]
+    sums = [np.concatenate([c[k] for _, _, c in parts]) for k in range(counts)]
+    return table, *distinct(ids, len(table), sums)
+
+
+def dealt(slot: np.ndarray, table: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], first: int = 0) -> pa.RecordBatch:
+    """Rows (slot, data): a block for each slot that rows are dealt to."""
+    order = np.argsort(slot, kind="stable")
+    cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    parts = [order[x:y] for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
+    blocks = [dump(table, [i[p] for i in ids], [c[p] for c in counts]) for p in parts]
+    return _rows(slot[order][cuts] + first, blocks)
 
-def counted3(t: np.ndarray, u: np.ndarray, v: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams with their summed counts, in order of t, u and v."""
-    order = np.lexsort((v, u, t))
-    t, u, v = t[order], u[order], v[order]
-    starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
-    n = np.diff(np.append(starts, len(t))) if c is None else np.add.reduceat(c[order], starts, dtype=np.int64)
-    return t[starts], u[starts], v[starts], n.astype(np.int64)
 
+def _rows(slots, blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(blocks, pa.binary())], ["slot", "data"])
 
-def _blocks(slot: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """One row for each slot, with the rows of the arrays that belong to it as bytes."""
-    order = np.argsort(slot, kind="stable")
-    slot = slot[order]
-    cuts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-    ends = np.append(cuts[1:], len(slot))
-    out = [pa.array(slot[cuts], pa.int64())]
-    for a in arrays:
-        a = a[order]
-        out.append(pa.array([a[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["slot", *names])
-
-
-def _joined(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For each slot that this task got: its number, and the blocks of each column in one array."""
-    parts: dict[int, list[list[bytes]]] = {}
+
+def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    parts: dict[int, list[bytes]] = {}
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in kinds]
-        for i, slot in enumerate(batch.column("slot").to_pylist()):
-            kept = parts.setdefault(slot, [[] for _ in kinds])
-            for k, c in zip(kept, columns, strict=True):
-                k.append(c[i])
+        for slot, data in zip(batch.column("slot").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            parts.setdefault(slot, []).append(data)
     for slot in sorted(parts):
-        yield slot, [np.frombuffer(b"".join(k), t) for k, t in zip(parts.pop(slot), kinds.values(), strict=True)]
+        yield slot, parts.pop(slot)
 
 
-def _mapped(store: Store, name: str) -> np.ndarray:
-    """A file as an array of 64-bit numbers, memory-mapped."""
-    if store.path is not None:
-        return np.memmap(f"{store.path}/{name}", np.uint64, "r")
-    with tempfile.NamedTemporaryFile() as f:  # the map outlives the name
-        f.write(store.read(name))
-        f.flush()
-        return np.memmap(f.name, np.uint64, "r")
+# --- files of sorted keys ---
 
 
-def _find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sought (sorted) among keys (sorted), and which of them are there."""
-    if not len(keys):
-        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
-    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-    return at, keys[at] == sought
+def _sorted_keys(g: np.ndarray) -> bytes:
+    """Keys in order: their number, the bits of the offset table, that table, and of each key the 32 bits that follow."""
+    bits = int(max(0, min(24, (len(g) // 6).bit_length())))
+    top = (g >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
+    offsets = np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32)
+    rest = (g >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    body = np.concatenate([offsets, rest])
+    return np.array([len(g), bits], np.uint64).tobytes() + body.tobytes() + b"\0" * (4 * (len(body) % 2))
+
+
+def _gram_file(g: np.ndarray, facts: list[np.ndarray]) -> bytes:
+    """Keys whose first fact is 1 and tells the rest, then those whose facts fit a byte each, then the others with 64 bits a fact."""
+    order = np.argsort(g)
+    once = facts[0][order] == 1
+    small = np.all([f[order] < 256 for f in facts], 0) & ~once
+    out = [_sorted_keys(g[order][once])]
+    for mine, kind in ((order[small], np.uint8), (order[~small & ~once], np.uint64)):
+        body = b"".join(f[mine].astype(kind).tobytes() for f in facts)
+        out += [_sorted_keys(g[mine]), body, b"\0" * (-len(body) % 8)]
+    return b"".join(out)
+
+
+class Slice:
+    """A file of `_gram_file` in one worker."""
+
+    def __init__(self, data: np.ndarray, facts: int = 1):
+        self.once, at = self._keys(data, 0)
+        self.more = []
+        for kind in (np.uint8, np.uint64):
+            keys, at = self._keys(data, at)
+            n = len(keys[2])
+            size = -(-n * facts * np.dtype(kind).itemsize // 8)
+            self.more.append((keys, data[at : at + size].view(kind)[: n * facts].reshape(facts, n)))
+            at += size
+
+    @staticmethod
+    def _keys(data: np.ndarray, at: int) -> tuple[tuple[int, np.ndarray, np.ndarray], int]:
+        n, bits = int(data[at]), int(data[at + 1])
+        size = (1 << bits) + 1 + n
+        body = data[at + 2 : at + 2 + -(-size // 2)].view(np.uint32)
+        return (bits, body[: (1 << bits) + 1], body[(1 << bits) + 1 : size]), at + 2 + -(-size // 2)
+
+    @staticmethod
+    def _find(keys: tuple[int, np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of g among the keys, and which of them are there."""
+        bits, offsets, rest = keys
+        if not len(rest):
+            return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
+        top = (g >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
+        want = (g >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        low, high = offsets[top].astype(np.int64), offsets[top + 1].astype(np.int64)
+        end = high
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            mid = (low + high) >> 1
+            less = (rest[np.minimum(mid, len(rest) - 1)] < want) & (mid < high)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        inside = np.minimum(low, len(rest) - 1)
+        return inside, (low < end) & (rest[inside] == want)
+
+    def facts(self, g: np.ndarray, out: np.ndarray) -> None:
+        """Fills in the rows of facts of keys that are there. What was counted once has, as a context, one continuation of count 1."""
+        out[:2, self._find(self.once, g)[1]] = 1
+        for keys, facts in self.more:
+            at, there = self._find(keys, g)
+            out[:, there] = facts[:, at[there]]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -138,8 +256,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 @dataclass
 class Model:
     folder: str
-    pair_slices: int
-    word_slices: int
+    slices: int
     tokens: int  # training tokens, ends included
     types: int  # distinct ones
     pair_discount: tuple[float, float, float]
@@ -157,97 +274,87 @@ class Reader:
     """The model in one worker."""
 
     def __init__(self, model: Model):
-        self.m, self.store, self.files = model, Store(model.folder), {}
+        self.m, self.store, self.files = model, Store(model.folder), OrderedDict()
         d, t = model.word_discount, max(model.pairs, 1)
         self.left = sum(x * y for x, y in zip(d, model.word_kinds, strict=True)) / t if model.pairs else 1.0
 
     def file(self, name: str) -> np.ndarray:
         if name not in self.files:
-            self.files[name] = _mapped(self.store, name)
+            self.files[name] = self.store.mapped(name)
+            while self.store.path is None and len(self.files) > KEPT:
+                self.files.popitem(last=False)
         return self.files[name]
 
-    def ngram_counts(self, kind: str, slices: int, g: np.ndarray) -> np.ndarray:
-        """Counts of n-gram hashes (sorted)."""
-        out = np.zeros(len(g), np.int64)
-        slot = g % np.uint64(slices)
-        for k in range(slices):
-            mine = np.flatnonzero(slot == np.uint64(k))
-            if not len(mine):
-                continue
-            data = self.file(f"{kind}-{k}")
-            n, m = int(data[0]), int(data[1])
-            at, there = _find(data[2 : 2 + n], g[mine])
-            out[mine[there]] = 1
-            at, there = _find(data[2 + n : 2 + n + m], g[mine])
-            out[mine[there]] = data[2 + n + m :][at[there]].astype(np.int64)
-        return out
-
-    def pair_facts(self, g: np.ndarray) -> np.ndarray:
-        """Rows before (distinct words before), total as context, n1, n2, n3+ (its continuations of each count) of pair hashes (sorted)."""
-        out = np.zeros((5, len(g)), np.int64)
-        slot = g % np.uint64(self.m.pair_slices)
-        for k in range(self.m.pair_slices):
-            mine = np.flatnonzero(slot == np.uint64(k))
-            if not len(mine):
-                continue
-            data = self.file(f"pairs-{k}")
-            n, m = int(data[0]), int(data[1])
-            at, there = _find(data[2 : 2 + n], g[mine])
-            out[:3, mine[there]] = 1
-            at, there = _find(data[2 + n : 2 + n + m], g[mine])
-            out[:, mine[there]] = data[2 + n + m :].view(np.uint32).reshape(m, 6)[at[there], :5].T
+    def each(self, kind: str, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each slice that is asked for: its file, and the places that ask."""
+        order = np.argsort(slot, kind="stable")
+        cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+        for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            yield self.file(f"{kind}-{slot[order[x]]}"), order[x:y]
+
+    def counts(self, kind: str, slot: np.ndarray, g: np.ndarray, facts: int = 1) -> np.ndarray:
+        """Rows of facts of n-gram hashes; 0 where the model hasn't the n-gram."""
+        out = np.zeros((facts, len(g)), np.int64)
+        for data, mine in self.each(kind, slot):
+            some = np.zeros((facts, len(mine)), np.int64)
+            Slice(data, facts).facts(g[mine], some)
+            out[:, mine] = some
         return out
 
     def word_facts(self, w: np.ndarray) -> np.ndarray:
-        """Rows count, n1, n2, n3+ (continuations of each count), before (distinct words before) and total as context of word hashes (sorted)."""
+        """Rows count, words before, total as context, continuations of count 1, 2 and more, of word hashes."""
         out = np.zeros((6, len(w)), np.int64)
-        slot = w % np.uint64(self.m.word_slices)
-        for k in range(self.m.word_slices):
-            mine = np.flatnonzero(slot == np.uint64(k))
-            if not len(mine):
-                continue
-            data = self.file(f"words-{k}")
-            n = int(data[0])
-            at, there = _find(data[1 : 1 + n], w[mine])
-            facts = data[1 + n : 1 + 5 * n].reshape(n, 4)[at[there]]
-            low = np.uint64(0xFFFFFFFF)
-            for row, x in enumerate((facts[:, 0], facts[:, 1] & low, facts[:, 1] >> np.uint64(32), facts[:, 2] & low, facts[:, 2] >> np.uint64(32), facts[:, 3])):
-                out[row, mine[there]] = x
+        for data, mine in self.each("words", self.slot(w)):
+            ones, n = int(data[0]), data[1:4].astype(np.int64)
+            at, there = _place(data[4 : 4 + ones], w[mine])
+            out[:4, mine[there]] = 1
+            start = 4 + ones
+            for k, kind in enumerate((np.uint8, np.uint16, np.uint64)):
+                size = -(-6 * int(n[k]) * np.dtype(kind).itemsize // 8)
+                at, there = _place(data[start : start + n[k]], w[mine])
+                facts = data[start + n[k] : start + n[k] + size].view(kind)[: 6 * n[k]].reshape(6, n[k])
+                out[:, mine[there]] = facts[:, at[there]]
+                start += n[k] + size
         return out
 
-    def scores(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def slot(self, g: np.ndarray) -> np.ndarray:
+        return (g % np.uint64(self.m.slices)).astype(np.int64)
+
+    def scores(self, v: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: known tokens, log10 by add-one unigrams, log10 by the model."""
-        m = self.m
-        sizes = np.array([len(t) for t in texts])
-        v = np.concatenate(texts)
-        starts = np.append(0, np.cumsum(sizes)[:-1])
-        u = np.empty_like(v)
-        u[1:] = v[:-1]
-        u[starts] = START
-        t = np.empty_like(u)
-        t[1:] = u[:-1]
-        t[starts] = START
-        words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        m, starts = self.m, np.append(0, np.cumsum(sizes)[:-1])
+        words, of_v = np.unique(np.append(v, START), return_inverse=True)
         facts = self.word_facts(words)
-        of_u, of_v = at[: len(u)], at[len(u) :]
-        count, before = facts[0][of_v], facts[4]
-        below = np.maximum(before - _discount(before, m.word_discount), 0) / max(m.pairs, 1) + self.left / (m.types + 1)
-        if m.order == 2:
-            g, place = np.unique(pair(u, v), return_inverse=True)
-            c = self.ngram_counts("pairs", m.pair_slices, g)[place]
-        else:
-            g, place = np.unique(np.concatenate([pair(u, v), pair(t, u)]), return_inverse=True)
-            pairs = self.pair_facts(g)
-            c, context = pairs[0][place[: len(u)]], pairs[1:, place[len(u) :]]
-        p = _interpolated(c, facts[5][of_u], facts[1:4][:, of_u], m.pair_discount, below[of_v])
+        of_v, start = of_v[:-1], int(of_v[-1])
+        of_u = before(of_v, sizes, start)
+        count = facts[0][of_v]
+        below = np.maximum(facts[1] - _discount(facts[1], m.word_discount), 0) / max(m.pairs, 1) + self.left / (m.types + 1)
+        g = pair(before(v, sizes, START), v)
+        slot = self.slot(g)
+        n = self.counts("pairs", slot, g)[0]
+        p = _interpolated(n, facts[2][of_u], facts[3:][:, of_u], m.pair_discount, below[of_v])
         if m.order == 3:
-            g, place = np.unique(pair(pair(t, u), v), return_inverse=True)
-            p = _interpolated(self.ngram_counts("triples", m.pair_slices, g)[place], context[0], context[1:], m.triple_discount, p)
+            # a pair is the context of what follows it: one continuation, unless an entry says more
+            context = self.counts("contexts", slot, g, 4)
+            context[:2, (n > 0) & (context[0] == 0)] = 1
+            two = pair(np.array([START]), np.array([START]))
+            first = self.counts("contexts", self.slot(two), two, 4)
+            context = np.stack([before(c, sizes, f[0]) for c, f in zip(context, first, strict=True)])
+            g, slot = before(g, sizes, two[0]), before(slot, sizes, self.slot(two)[0])
+            p = _interpolated(self.counts("triples", slot, pair(g, v))[0], context[0], context[1:], m.triple_discount, p)
         base = np.log10((count + 1) / (m.tokens + (m.types + 1)))
         add = lambda x: np.add.reduceat(x, starts)
         return add((count > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
+def _place(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sought among sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
+
+
 def _interpolated(c: np.ndarray, total: np.ndarray, kinds: np.ndarray, d: tuple[float, float, float], below: np.ndarray) -> np.ndarray:
     """Probability from the n-gram's count, its context's total and continuations of count 1, 2 and more, and the order below."""
     some, total = total > 0, np.maximum(total, 1)
@@ -259,141 +366,123 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.select([c == 1, c == 2, c > 2], d, 0.0)
 
 
-def _ngram_file(g: np.ndarray, c: np.ndarray) -> bytes:
-    order = np.argsort(g)
-    one = g[order][c[order] == 1]
-    more, times = g[order][c[order] > 1], c[order][c[order] > 1]
-    return np.concatenate([np.array([len(one), len(more)], np.uint64), one, more, times.astype(np.uint64)]).tobytes()
-
-
-def _told(slot: int, kinds: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """A row with sums, under a slot that no entry has: -1 for pairs, -2 for triples."""
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([kinds.tobytes()], pa.binary()), *(pa.array([b""], pa.binary()) for _ in names[1:])], ["slot", *names])
-
-
 def _kinds(c: np.ndarray) -> np.ndarray:
     return np.array([np.sum(c == k) for k in (1, 2, 3, 4)] + [len(c)], np.int64)
 
 
+def _of_contexts(groups: np.ndarray, n: int, c: np.ndarray) -> list[np.ndarray]:
+    """Total and continuations of count 1, 2 and more of each of n contexts; groups: the context of each row."""
+    return [np.bincount(groups, x, n).astype(np.int64) for x in (c, c == 1, c == 2, c > 2)]
+
+
 def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts the model over all given texts."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
-    folder = shared_path(texts.sparkSession, "ngrams")
-    size = texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]  # a token is about six characters
-    slices = int(max(1, (order - 1) * size // (6 * SLICE)))
+    spark = texts.sparkSession
+    folder, column = shared_path(spark, "ngrams"), named(texts, text)
+    size = texts.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]  # a token is about six characters
+    slices = int(max(1, size // (6 * SLICE)))
+    of = lambda g: (g % np.uint64(slices)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, n = [], [], 0
-
         def flush() -> pa.RecordBatch:
-            if order == 3:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                t, u, v, c = counted3(np.append(np.uint64(START), np.where(u[1:] == START, np.uint64(START), u[:-1])), u, v)
-                slot = (pair(pair(t, u), v) % np.uint64(slices)).astype(np.int64)
-                return _blocks(slot, [t, u, v, c.astype(np.uint32)], ["t", "u", "v", "c"])
-            u, v, c = counted(np.concatenate(us), np.concatenate(vs))
-            slot = (pair(u, v) % np.uint64(slices)).astype(np.int64)
-            return _blocks(slot, [u, v, c.astype(np.uint32)], ["u", "v", "c"])
-
+            v, sizes = np.concatenate(held), np.concatenate(lengths)
+            table, ids = np.unique(np.append(v, START), return_inverse=True)
+            start, ids = int(ids[-1]), [ids[:-1]]
+            for _ in range(order - 1):
+                ids.insert(0, before(ids[0], sizes, start))
+            ids, counts = distinct(ids, len(table))
+            g = pair(table[ids[0]], table[ids[1]])  # of order 3 this is the context
+            return dealt(of(g), table, ids, counts)
+
+        held, lengths, n = [], [], 0
         for batch in batches:
-            for t in batch.column("text"):
-                w = words(t.as_py())
-                us.append(np.append(np.uint64(START), w[:-1]))
-                vs.append(w)
-                n += len(w)
+            for v, sizes in tokens(batch.column("text")):
+                held.append(v)
+                lengths.append(sizes)
+                n += len(v)
                 if n >= CHUNK:
                     yield flush()
-                    us, vs, n = [], [], 0
-        if us:
+                    held, lengths, n = [], [], 0
+        if held:
             yield flush()
 
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(folder)
-        for slot, (u, v, c) in _joined(batches, {"u": np.uint64, "v": np.uint64, "c": np.uint32}):
-            u, v, c = counted(u, v, c)
-            g = pair(u, v)
-            store.write(f"pairs-{slot}", _ngram_file(g, c))
-            yield from of_words(u, v, c, c)
-
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(folder)
-        for slot, (t, u, v, c) in _joined(batches, {"t": np.uint64, "u": np.uint64, "v": np.uint64, "c": np.uint32}):
-            t, u, v, c = counted3(t, u, v, c)
-            store.write(f"triples-{slot}", _ngram_file(pair(pair(t, u), v), c))
-            yield _told(-2, _kinds(c), _PAIR_FACTS)
-            one, none = np.ones(len(c), np.uint32), np.zeros(len(c), np.uint32)
-            rows = [np.concatenate(x) for x in ((u, t), (v, u), (one, none), (none, c), (none, c == 1), (none, c == 2), (none, c > 2), (c, none))]
-            yield from packed_pairs(*rows)
-
-    def packed_pairs(x, y, *rows) -> Iterator[pa.RecordBatch]:
-        slot = (pair(x, y) % np.uint64(slices)).astype(np.int64)
-        yield _blocks(slot, [x, y, *(r.astype(np.uint32) for r in rows)], _PAIR_FACTS)
-
-    def write_pairs3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, blocks in _by_slot(batches):
+            table, (t, u, v), (c,) = merged(blocks, 3, 1)
+            g = pair(table[t], table[u])
+            store.write(f"triples-{slot}", _gram_file(pair(g, table[v]), [c]))
+            new = np.append(True, g[1:] != g[:-1])[: len(g)]
+            facts = _of_contexts(np.cumsum(new) - 1, int(new.sum()), c)
+            # contexts met once go without an entry, but for the two starts, which are no known pair
+            several = (facts[0] > 1) | (g[new] == pair(np.array([START]), np.array([START])))
+            store.write(f"contexts-{slot}", _gram_file(g[new][several], [f[several] for f in facts]))
+            yield _rows([-2], [_kinds(c).tobytes()])
+            if len(c):
+                ids, n = distinct([u, v], len(table))
+                yield dealt(of(pair(table[ids[0]], table[ids[1]])), table, ids, n)
+                yield of_words(table, seen=np.bincount(v, c, len(table)))
+
+    def of_words(table: np.ndarray, **facts: np.ndarray) -> pa.RecordBatch:
+        rows = [facts.get(f, np.zeros(len(table))).astype(np.int64) for f in _FACTS]
+        some = np.flatnonzero(np.any([r > 0 for r in rows], 0))
+        return dealt(of(table[some]), table, [some], [r[some] for r in rows], slices)
+
+    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(folder)
-        for slot, (x, y, *rows) in _joined(batches, {f: np.uint64 if f in "xy" else np.uint32 for f in _PAIR_FACTS}):
-            if slot < 0:
-                yield _told(slot, x.view(np.int64).reshape(-1, 5).sum(0), _FACTS)
+        for slot, blocks in _by_slot(batches):
+            if not 0 <= slot < slices:
+                yield _rows([slot] * len(blocks), blocks)
                 continue
-            g = pair(x, y)
-            order_of = np.argsort(g)
-            starts = np.flatnonzero(np.append(True, np.diff(g[order_of]) != 0))
-            g, x, y = (a[order_of][starts] for a in (g, x, y))
-            facts = np.stack([np.add.reduceat(r[order_of], starts, dtype=np.uint32) for r in rows], 1)
-            one = (facts == np.array([1, 1, 1, 0, 0, 1])).all(1)
-            more = facts[~one]
-            store.write(f"pairs-{slot}", np.array([one.sum(), len(more)], np.uint64).tobytes() + g[one].tobytes() + g[~one].tobytes() + more.tobytes())
-            there = facts[:, 0] > 0  # two starts are only context
-            yield from of_words(x[there], y[there], facts[there, 0].astype(np.int64), facts[there, 5])
-
-    def of_words(u: np.ndarray, v: np.ndarray, c: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """What distinct pairs with counts tell of their words."""
-        w, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        of_u, of_v = at[: len(u)], at[len(u) :]
-        add = lambda i, x: np.bincount(i, x, len(w)).astype(np.int64)
-        rows = [add(of_u, c), add(of_u, c == 1), add(of_u, c == 2), add(of_u, c > 2), add(of_v, None), add(of_v, seen)]
-        word_slot = (w % np.uint64(slices)).astype(np.int64)
-        yield _blocks(word_slot, [w, *(r.astype(np.uint32) for r in rows)], _FACTS)
-        yield _told(-1, _kinds(c), _FACTS)
+            table, (u, v), (n,) = merged(blocks, 2, 1)
+            store.write(f"pairs-{slot}", _gram_file(pair(table[u], table[v]), [n]))
+            yield _rows([-1], [_kinds(n).tobytes()])
+            if len(n):
+                total, *kinds = _of_contexts(u, len(table), n)
+                seen = {"seen": np.bincount(v, n, len(table))} if order == 2 else {}
+                yield of_words(table, total=total, n1=kinds[0], n2=kinds[1], n3=kinds[2], before=np.bincount(v, None, len(table)), **seen)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out = Store(folder), []
-        for slot, (w, *rows) in _joined(batches, {f: np.uint64 if f == "w" else np.uint32 for f in _FACTS}):
+        for slot, blocks in _by_slot(batches):
             if slot < 0:
-                told = w.view(np.int64).reshape(-1, 5).sum(0).tolist()
+                told = np.frombuffer(b"".join(b for b in blocks if b), np.int64).reshape(-1, 5).sum(0).tolist()
                 out.append(told + [0] * 14 if slot == -1 else [0] * 14 + told)
                 continue
-            keys, at = np.unique(w, return_inverse=True)
-            tot, n1, n2, n3, before, seen = (np.bincount(at, r, len(keys)).astype(np.uint64) for r in rows)
-            high = np.uint64(32)
-            table = np.stack([seen, n1 | n2 << high, n3 | before << high, tot], 1)
-            store.write(f"words-{slot}", np.concatenate([np.array([len(keys)], np.uint64), keys, table.ravel()]).tobytes())
-            kinds = [int(np.sum(before == k)) for k in (1, 2, 3, 4)]
-            out.append([0] * 5 + [int(seen.sum()), int(np.sum(before > 0)), *kinds, kinds[0], kinds[1], int(np.sum(before > 2)), *[0] * 5])
+            table, (w,), facts = merged(blocks, 1, len(_FACTS))
+            seen, ahead, *rest = facts
+            once = (np.array(facts) == np.array([1, 1, 1, 1, 0, 0])[:, None]).all(0)
+            keys = table[w]
+            largest = np.max(facts, 0)
+            kinds = [(np.uint8, ~once & (largest < 1 << 8)), (np.uint16, (largest >= 1 << 8) & (largest < 1 << 16)), (np.uint64, largest >= 1 << 16)]
+            parts = [np.array([once.sum(), *(m.sum() for _, m in kinds)], np.uint64).tobytes(), keys[once].tobytes()]
+            for kind, mine in kinds:
+                body = b"".join(f[mine].astype(kind).tobytes() for f in facts)
+                parts += [keys[mine].tobytes(), body, b"\0" * (-len(body) % 8)]
+            store.write(f"words-{slot - slices}", b"".join(parts))
+            kinds = [int(np.sum(ahead == k)) for k in (1, 2, 3, 4)]
+            out.append([0] * 5 + [int(seen.sum()), int(np.sum(seen > 0)), *kinds, kinds[0], kinds[1], int(np.sum(ahead > 2)), *[0] * 5])
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(19)], _SUMS)
 
-    schema = "slot long, " + ", ".join(f"{f} binary" for f in _FACTS)
-    ngrams = texts.select(F.col(text).alias("text")).mapInArrow(tidy(count), f"slot long, {'t binary, ' if order == 3 else ''}u binary, v binary, c binary").repartition(slices, "slot")
+    def sliced(rows: DataFrame, first: int, f, schema: str = "slot long, data binary") -> DataFrame:
+        """Each slice to one task. Every slice has a row, so that each writes its file, entries or not."""
+        every = spark.range(first, first + slices).select(F.col("id").alias("slot"), F.expr("X''").alias("data"))
+        return rows.unionByName(every).repartition(slices, "slot").mapInArrow(tidy(f), schema)
+
+    rows = texts.select(column.alias("text")).mapInArrow(tidy(count), "slot long, data binary")
     if order == 3:
-        told = ngrams.mapInArrow(tidy(write_triples), "slot long, " + ", ".join(f"{f} binary" for f in _PAIR_FACTS))
-        pairs = told.repartition(slices, "slot").mapInArrow(tidy(write_pairs3), schema)
-    else:
-        pairs = ngrams.mapInArrow(tidy(write_pairs), schema)
-    sums = stored(pairs.repartition(slices, "slot").mapInArrow(tidy(write_words), ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
+        rows = sliced(rows, 0, write_triples)
+    rows = sliced(rows, 0, write_pairs)
+    sums = stored(sliced(rows, slices, write_words, ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
     s = [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
-    store = Store(folder)
-    there = set(store.names())
-    for k in range(slices):  # slices without entries
-        for name, n in (("triples", 2), ("pairs", 2), ("words", 1))[order == 2 :]:
-            if f"{name}-{k}" not in there:
-                store.write(f"{name}-{k}", np.zeros(n, np.uint64).tobytes())
-    return Model(folder, slices, slices, s[5], s[6], discounts(s[0:4]), discounts(s[7:11]), s[4], tuple(s[11:14]), order, discounts(s[14:18]))
+    return Model(folder, slices, s[5], s[6], discounts(s[0:4]), discounts(s[7:11]), s[4], tuple(s[11:14]), order, discounts(s[14:18]))
 
 
-_FACTS = ["w", "tot", "n1", "n2", "n3", "before", "seen"]
+#: What is known of a word; of most all of the first four are 1.
+_FACTS = ["seen", "before", "total", "n1", "n2", "n3"]
 _SUMS = ["p1", "p2", "p3", "p4", "pairs", "tokens", "types", "k1", "k2", "k3", "k4", "one", "two", "more", "t1", "t2", "t3", "t4", "triples"]
-_PAIR_FACTS = ["x", "y", "n", "tot", "n1", "n2", "n3", "seen"]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -405,18 +494,23 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.open()
         for batch in batches:
-            done, start, held, size = [], 0, [], 0
-            column = batch.column(text)
-            for i in range(len(batch)):
-                held.append(words(column[i].as_py()))
-                size += len(held[-1])
-                if size >= CHUNK or i + 1 == len(batch):
-                    known, base, full = reader.scores(held)
-                    n = np.array([len(h) for h in held])
-                    new = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), *(pa.array(x, pa.float64()) for x in (base, full, np.power(10.0, -full / n)))]
-                    part = batch.slice(start, i + 1 - start)
-                    done.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, *added]))
-                    held, size, start = [], 0, i + 1
-            yield from done
+            start, held, lengths, size, done = 0, [], [], 0, 0
+
+            def flush() -> pa.RecordBatch:
+                sizes = np.concatenate(lengths)
+                known, base, full = reader.scores(np.concatenate(held), sizes)
+                new = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), *(pa.array(x, pa.float64()) for x in (base, full, np.power(10.0, -full / sizes)))]
+                part = batch.slice(start, done - start)
+                return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, *added])
+
+            for v, sizes in tokens(batch.column(text)):
+                held.append(v)
+                lengths.append(sizes)
+                size, done = size + len(v), done + len(sizes)
+                if size >= CHUNK:
+                    yield flush()
+                    start, held, lengths, size = done, [], [], 0
+            if held:
+                yield flush()
 
     return map_rows(docs, run, schema)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import named, stored, tidy
+from .hashed import MIX, mix, words
 
 N, HOT, BLOCK, LEVELS = 5, 16, 1024, 6
 #: Sets below this size index one-deletion neighbours.
@@ -46,76 +47,37 @@ SMALL_SET = 64
 #: Node keys that may be broadcast (8 bytes each), and links (16 bytes each) that one task joins into components at a time.
 SMALL, PART = 1_000_000, 1_000_000
 GROWTH = 1.6
-#: Bytes of text that are hashed at once, and n-gram hashes behind a bucket of signatures, about.
-CHUNK, BUCKET = 1 << 18, 1_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_S30, _S27, _S31, _S8 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(8)
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOW = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64)
+#: N-gram hashes behind a bucket of signatures, about.
+BUCKET = 1_000_000
 #: In the low bits of a signature: the segment, the band, the level. This segment is of sets that no level serves.
 _AT, _BAND, _LEVEL, _REST = 12, 6, 3, 0xFFF
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S30)) * _M1
-    x = (x ^ (x >> _S27)) * _M2
-    return x ^ (x >> _S31)
-
-
-def _sets(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of texts that lie one after another; ends: where each ends."""
-    docs = len(ends)
-    if not len(data):
-        return [np.empty(0, np.uint64)] * docs
-    word = ~_BLANK[data]
-    begin = word.copy()
-    begin[1:] &= ~word[:-1]
-    heads = np.append(0, ends[:-1])
-    heads = heads[heads < len(data)]
-    begin[heads] = word[heads]  # a word doesn't go on from one text into the next
-    starts = np.flatnonzero(begin)
-    if not len(starts):
-        return [np.empty(0, np.uint64)] * docs
-    # a word's hash adds up what each byte at its place gives
-    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    x = mix((_LOW[data[starts[0] :]] | (at.astype(np.uint64) << _S8)) + _MIX)
-    x *= word[starts[0] :]
-    h = np.add.reduceat(x, starts - starts[0])
-    upto = np.searchsorted(starts, ends)  # words before the end of each text
-    first = np.append(0, upto[:-1])
-    count = upto - first
+def _sets(h: np.ndarray, count: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct n-gram hashes of texts from the hashes of their words and the number of each."""
     grams = np.full(max(0, len(h) - n + 1), n, np.uint64)
     for i in range(n):
-        grams = mix(grams * _MIX + h[i : len(h) - n + 1 + i])
-    out = []
-    for a, c in zip(first.tolist(), count.tolist(), strict=True):
+        grams = mix(grams * MIX + h[i : len(h) - n + 1 + i])
+    a = 0
+    for c in count.tolist():
         if c >= n:
             s = np.sort(grams[a : a + c - n + 1])
             new = np.empty(len(s), bool)
             new[0] = True
             np.not_equal(s[1:], s[:-1], out=new[1:])
-            out.append(s[new])
-        elif c:
-            g = np.full(1, c, np.uint64)
-            for i in range(c):
-                g = mix(g * _MIX + h[a + i : a + i + 1])
-            out.append(g)
+            yield s[new]
         else:
-            out.append(np.empty(0, np.uint64))
-    return out
+            g = np.full(min(c, 1), c, np.uint64)
+            for i in range(c):
+                g = mix(g * MIX + h[a + i : a + i + 1])
+            yield g
+        a += c
 
 
 def sets_of(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
     """Of each text of an Arrow column: the sorted distinct hashes of its n-grams of words, A-Z lower-cased."""
-    column = column.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield from _sets(data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i], n)
-        i = j
+    for h, count in words(column):
+        yield from _sets(h, count, n)
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
