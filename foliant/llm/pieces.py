@@ -7,8 +7,9 @@ outside the vocabulary fall back to byte entries.
 A text is cut before encoding only where no vocabulary entry crosses the cut, so cutting changes
 nothing: entries never hold a space mark after another character, and never mix letters with other
 characters (`PieceModel` verifies both on the loaded vocabulary). Encoded cuts are remembered per
-worker in a memory of bounded size. Every cut that enters that memory is compared, a whole Arrow
-batch at once, with the sentencepiece library; a difference stops the job.
+worker in memories of bounded size: two generations each, and what is met again moves on to the younger one, so frequent cuts
+stay. Every cut that enters a memory is compared, a whole Arrow
+stretch of rows at once, with the sentencepiece library; a difference stops the job.
 
 Edge cases: null and empty texts encode to the end id alone and decode to the empty text; repeated
 rows give repeated rows; an empty table gives an empty table; other columns pass through, and the
@@ -33,12 +34,29 @@ from pyspark.sql import types as T
 from .common import map_rows
 
 MARK = "▁"
-#: Remembered cuts per worker.
-MEMORY = 250_000
+#: Remembered cuts per worker, of each kind and generation.
+MEMORY = 130_000
+#: Rows that become Python objects at a time.
+ROWS = 512
+#: Characters that often end a word; none is a letter or part of a longer run then.
+ENDINGS = frozenset(",.;:!?")
 #: Cuts of up to so many symbols have their agenda in an array, longer ones in a heap.
 SHORT = 40
 
 
+class Memory:
+    """Two generations of a bounded size: a full young one becomes the old one, whose cuts come back as they are met."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, name: str, ids: bytes) -> None:
+        if len(self.young) >= MEMORY:
+            self.young, self.old = {}, self.young
+        self.young[name] = ids
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -70,8 +88,7 @@ class PieceModel:
             body = piece.lstrip(MARK)
             if MARK in body or len(piece) - len(body) > 1 and body or any(a.isalpha() != b.isalpha() for a, b in pairwise(body)):
                 raise ValueError(f"entry {piece!r} crosses the cuts made here")
-        self.wholes: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.wholes, self.parts = Memory(), Memory()
 
     def agenda(self, text: str) -> list[int]:
         """Ids of one cut, its spaces already marks."""
@@ -120,22 +137,28 @@ class PieceModel:
                 heapq.heappush(heap, (x, k, len(p)))
         return [s for s in symbol if s]
 
-    def _whole(self, word: str, new: list[str]) -> bytes:
-        """Ids of a space-led word from its parts: runs of letters and runs of other characters."""
-        out = []
-        for part in _PARTS.findall(MARK + word):
-            if (got := self.parts.get(part)) is None:
-                if len(self.parts) >= MEMORY:
-                    self.parts.clear()
-                got = self.parts[part] = array("i", self.agenda(part)).tobytes()
-                new.append(part)
-            out.append(got)
-        if len(self.wholes) >= MEMORY:
-            self.wholes.clear()
-        got = self.wholes[word] = b"".join(out)
+    def _cut(self, memory: Memory, name: str, part: str, new: list) -> bytes:
+        """Ids of one part, remembered under a name."""
+        if (got := memory.young.get(name)) is not None:
+            return got
+        if (got := memory.old.get(name)) is None:
+            got = array("i", self.agenda(part)).tobytes()
+            new.append((part, got))
+        memory.keep(name, got)
         return got
 
-    def encode(self, text: str | None, new: list[str]) -> bytes:
+    def _whole(self, word: str, new: list) -> bytes:
+        """Ids of a space-led word from its parts: runs of letters and runs of other characters. Words of several parts aren't remembered, their parts are."""
+        if word.isalpha():
+            return self._cut(self.wholes, word, MARK + word, new)
+        if word[-1:] in ENDINGS and word[:-1].isalpha():
+            parts = [MARK + word[:-1], word[-1]]
+        else:
+            parts = _PARTS.findall(MARK + word)
+        lead = self._cut(self.wholes, parts[0][1:], parts[0], new)
+        return b"".join([lead, *[self._cut(self.parts, p, p, new) for p in parts[1:]]])
+
+    def encode(self, text: str | None, new: list) -> bytes:
         """int32 ids of a whole text without the end id; new gets the cuts that were encoded anew."""
         if not text:
             return b""
@@ -143,7 +166,7 @@ class PieceModel:
         if "  " in text or text[0] == " " or text[-1] == " ":
             cuts = [c.replace(" ", MARK) for c in _SPACED.findall(" " + text)]
             return b"".join(self._whole(c[1:], new) for c in cuts)
-        get = self.wholes.get
+        get = self.wholes.young.get
         return b"".join([x if (x := get(w)) is not None else self._whole(w, new) for w in text.split(" ")])
 
     def decode(self, ids: list[int]) -> str:
@@ -151,14 +174,11 @@ class PieceModel:
         out = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
-    def verify(self, parts: list[str]) -> None:
+    def verify(self, cuts: list[tuple[str, bytes]]) -> None:
         """Compares cuts with the library, each after a line break: that never merges, and keeps a space mark from being taken for the one that opens a text."""
-        if not parts:
-            return
         lead = len(self.library.encode("\n"))
-        for part, want in zip(parts, self.library.encode(["\n" + p.replace(MARK, " ") for p in parts], num_threads=1), strict=True):
-            got = self.parts.get(part) or array("i", self.agenda(part)).tobytes()
-            if list(np.frombuffer(got, np.int32)) != want[lead:]:
+        for (part, got), want in zip(cuts, self.library.encode(["\n" + p.replace(MARK, " ") for p, _ in cuts], num_threads=1) if cuts else [], strict=True):
+            if got != array("i", want[lead:]).tobytes():
                 raise ValueError(f"ids of {part!r} differ from the library's")
 
 
@@ -182,18 +202,20 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "p
         gc.disable()  # nothing here is cyclic, and the remembered cuts are many objects to walk
         end = array("i", [m.eos]).tobytes()
         for batch in batches:
-            new: list[str] = []
-            coded, texts, counts = [], [], []
-            for t in batch.column(text):
-                one = m.encode(t.as_py(), new)
-                texts.append(m.decode(np.frombuffer(one, np.int32).tolist()))
-                coded += (one, end)
-                counts.append(len(one) // 4 + 1)
-            m.verify(new)
-            flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
-            offsets = np.zeros(len(counts) + 1, np.int32)
-            np.cumsum(counts, out=offsets[1:])
-            out = [*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, [*keep, ids, decoded])
+            for start in range(0, len(batch), ROWS):
+                some = batch.slice(start, ROWS)
+                new: list[tuple[str, bytes]] = []
+                coded, texts, counts = [], [], []
+                for t in some.column(text):
+                    one = m.encode(t.as_py(), new)
+                    texts.append(m.decode(np.frombuffer(one, np.int32).tolist()))
+                    coded += (one, end)
+                    counts.append(len(one) // 4 + 1)
+                m.verify(new)
+                flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
+                offsets = np.zeros(len(counts) + 1, np.int32)
+                np.cumsum(counts, out=offsets[1:])
+                out = [*(some.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, [*keep, ids, decoded])
 
     return map_rows(df, run, schema)
