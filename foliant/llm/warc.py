@@ -8,7 +8,7 @@ archive, and where these are few, pieces spread over the records, so that neithe
 Equal payloads of `LEAST` bytes or more are kept once: the row with the largest id is the response, the
 others become revisit records, which name it. The digests (of full payloads) are computed beside the
 rows, the largest id of each digest by an aggregate that combines before it shuffles; no group of
-copies meets in one task.
+copies meets in one task (`plan`).
 
 A task that writes an archive takes the rows of its partition and cuts a new archive after `TARGET`
 bytes. Files have names fixed by their content, and appear by renaming: a task that runs twice leaves
@@ -16,7 +16,7 @@ the same files. The list of archives is a table in the shared folder.
 
 Edge cases: a null html is an empty payload; a null url is written as an empty target; rows with equal ids
 are kept as so many records (of equal payloads of one id, the largest, all are responses); a null id
-counts as the smallest of its copies and is read back as null; an empty table makes no archives and no
+counts as the smallest of its copies (copies without any id are all responses) and is read back as null; an empty table makes no archives and no
 rows; other columns aren't archived.
 """
 
@@ -30,22 +30,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, tidy
+from .common import named, shared_path, stored, tidy
 from .files import Store
 
 MAGIC = 0x184D2A5D
 LEAST, SAMPLE, DICTIONARY, TARGET, LEVEL, PIECE, PART = 1000, 1 << 20, 1 << 16, 64 << 20, 3, 1 << 13, 1 << 12
+#: Digests that may be broadcast (some 60 bytes each); and the share of rows that makes a digest hot beyond that.
+SMALL, SHARE = 500_000, 10_000
 EPOCH = "1970-01-01T00:00:00Z"
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, record_type and refers_to of every row."""
-    data = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", data.alias("html"), F.sha1(data.cast("binary")).alias("digest"), F.octet_length(data).alias("n"))
+    """page_id, url, html, digest, record_type and refers_to of every row.
+
+    Rows with their html meet the few digests that have copies. These are broadcast where they are counted to be `SMALL`. Beyond that the
+    digests of a `SHARE`th of all rows or more, at most so many, are broadcast, and only the others are joined by digest: rows of a hot
+    payload stay where they are.
+    """
+    data = F.coalesce(named(pages, "html"), F.lit(""))
+    rows = pages.select(named(pages, "page_id").alias("page_id"), named(pages, "url").alias("url"), data.alias("html"), F.sha1(data.cast("binary")).alias("digest"), F.octet_length(data).alias("n"))
+    big = F.col("n") >= LEAST
     # counting beside the maximum leaves only digests that have copies for the join: usually few
-    groups = rows.filter(F.col("n") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), "last")
-    again = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("n") >= LEAST), "left")
-    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    groups = stored(rows.filter(big).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), "last", "copies"), "copies")
+    few = groups.limit(SMALL + 1).count() <= SMALL
+    hot = groups if few else groups.filter(F.col("copies") * SHARE >= groups.agg(F.sum("copies")).first()[0])
+    again = rows.join(F.broadcast(hot.select("d", "last")), (F.col("digest") == F.col("d")) & big, "left")
+    if not few:
+        cold = groups.join(F.broadcast(hot.select("d")), "d", "left_anti").select(F.col("d").alias("e"), F.col("last").alias("other"))
+        # rows that can't match get keys of their own, so that they are dealt evenly
+        key = F.when(big & F.col("d").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest")))
+        again = again.withColumn("key", key).join(cold, F.col("key") == F.col("e"), "left").withColumn("last", F.coalesce("last", "other")).withColumn("d", F.coalesce("d", "e"))
+    revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return again.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
@@ -137,13 +152,15 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "record_type", "refers_to")), strict=True):
-                one = record(row[0], row[1], row[2].encode(), *row[3:])
-                held.append(one)
-                size += len(one)
-                if size >= TARGET:
-                    yield flush()
-                    held, size = [], 0
+            for start in range(0, len(batch), 64):  # few pages at a time become Python strings
+                some = batch.slice(start, 64)
+                for row in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "record_type", "refers_to")), strict=True):
+                    one = record(row[0], row[1], row[2].encode(), *row[3:])
+                    held.append(one)
+                    size += len(one)
+                    if size >= TARGET:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
