@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, tidy
+from .common import map_rows, named, shared_path, tidy
 from .files import Store
 
 SMALL, FAN_IN, TARGET = 4 << 20, 8, 32 << 20
@@ -43,11 +43,13 @@ ENTRY = "shard string, rows long, bytes long"
 
 
 def _bytes_of(batch: pa.RecordBatch):
-    """Bytes of each row: those of strings and binaries, and 8 for any other column."""
+    """Bytes of each row: those of strings and binaries as they are, 8 for a number, and for nested columns what their values take on average in this batch."""
     total = None
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
             n = pc.add(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), 4)
+        elif pa.types.is_nested(column.type):
+            n = pa.array([column.get_total_buffer_size() // max(1, len(column)) + 8] * len(column), pa.int64())
         else:
             n = pa.array([8] * len(column), pa.int64())
         total = n if total is None else pc.add(total, n)
@@ -111,7 +113,7 @@ class ShardStore:
                 yield _save(store, job, k, held, size)
 
         path = f"{self.folder}/arrivals/{time.time_ns():x}"
-        rows.select(*(rows[c.name] for c in self.schema)).mapInArrow(tidy(run), ENTRY).write.parquet(path)
+        map_rows(rows.select(*(named(rows, c.name) for c in self.schema)), run, T._parse_datatype_string(ENTRY)).write.parquet(path)
         arrived = self.spark.read.schema(ENTRY).parquet(path)
         return self.commit(lambda base: self.entries(base).unionByName(arrived))
 
@@ -180,18 +182,19 @@ class ShardStore:
                         yield pa.RecordBatch.from_arrays(part.columns, names)
 
         shards = self.entries(version).select("shard").repartition(max(1, min(version["shards"], 8192)))
-        return shards.mapInArrow(tidy(run), self.schema)
+        return map_rows(shards, run, self.schema)
 
-    def vacuum(self) -> int:
-        """Deletes shards that the latest version doesn't name; call it when no reader uses an older one. Local and mounted folders only."""
-        import os
+    def vacuum(self, older: float = 86_400.0) -> int:
+        """Deletes shards that the latest version doesn't name and that are older than so many seconds; call it when no reader uses an older version.
 
+        Shards of an append or a compaction that hasn't committed yet are young: none may take longer than that.
+        """
         store = Store(f"{self.folder}/shards")
+        there = self.spark.createDataFrame([(n,) for n, age in store.ages() if age >= older], "shard string")
         live = self.entries(self.latest()).select("shard")
-        there = self.spark.createDataFrame([(n,) for n in store.names()], "shard string")
         dead = [r[0] for r in there.join(live, "shard", "left_anti").toLocalIterator()]
         for name in dead:
-            os.unlink(f"{store.path}/{name}")
+            store.remove(name)
         return len(dead)
 
 
