@@ -32,7 +32,12 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE, WINDOWS, WINDOW = 2000, 3, 64
 HIDDEN, STRETCH, SIDE_BY_SIDE = 8, 128, 4096
 EPOCH_STEPS, BATCH, RATE, SEED = 220, 192, 0.02, 7
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY = re.compile(r"[^\W\d_]")  # letters and numerals that aren't digits
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter by its category: ½ and ² are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -179,7 +184,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc
     ids = rows.select(F.col(doc).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     t, n = F.col(text), F.length(text)
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(t, (F.greatest(n - WINDOW, F.lit(0)) * k / (WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
-    got = rows.join(F.broadcast(ids), F.col(doc) == F.col("id")).filter(n > 0).select(F.col(lang).alias("lang"), F.array_distinct(cut).alias("w"), F.xxhash64(doc, text).alias("o")).collect()  # SAMPLE ids
+    got = rows.join(F.broadcast(ids), F.col(doc) == F.col("id")).filter(n > 0).select("id", F.struct(F.xxhash64(doc, text).alias("o"), F.col(lang).alias("lang"), F.array_distinct(cut).alias("w")).alias("x"))
+    got = got.groupBy("id").agg(F.min("x").alias("x")).select("x.*").collect()  # a row for each of SAMPLE ids, however often it is repeated
     got.sort(key=lambda r: (r["o"], r["lang"]))
     names = sorted({r["lang"] for r in got})
     pairs = [(w.encode()[:WINDOW], names.index(r["lang"])) for r in got for w in r["w"] if w]
@@ -203,7 +209,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
                         k = int(q.argmax())
                         names[j], scores[j] = net.names[k], min(1.0, float(q[k]))
                     at, held, size = [], [], 0
-                if i < len(batch) and (s := column[i].as_py()) and _LETTER.search(s):
+                if i < len(batch) and has_letter(s := column[i].as_py()):
                     at.append(i)
                     held.append(s.encode())
                     size += len(held[-1])
