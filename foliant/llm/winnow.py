@@ -131,10 +131,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     members = heads.select("head", F.col("head.win").alias("win"), F.col("head.len").alias("len")).join(wins, ["win", "len"]).select("head", "item")
     met = found.select("same", "win", "len").distinct().join(of_class, ["win", "len"]).select("same", "head").distinct()
     items = met.join(members, "head").groupBy("same").agg(F.collect_set("item").alias("items"))
-    return counts.join(items, "same", "left").select("same", "n_hit", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
+    # stored, so that a join of documents with it is a join of two plain tables: rows of a hot text can be split then
+    return stored(counts.join(items, "same", "left").select("same", "n_hit", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items")), "contaminated")
 
 
 def screen(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without any benchmark window, all columns kept."""
     bad = contamination(docs, benchmark, text, item).select(F.col("same").alias(_P + "same"))
-    return docs.join(bad, same_text(named(docs, text)) == F.col(_P + "same"), "left_anti")
+    return docs.join(F.broadcast(bad) if is_small(bad) else bad, same_text(named(docs, text)) == F.col(_P + "same"), "left_anti")
