@@ -5,8 +5,9 @@ have the continuation counts of the method (distinct words before an n-gram). Co
 and Goodman), and the lowest order interpolates with the
 uniform distribution over the known words and one unknown, so every text has a finite probability.
 
-Each batch adds up its own n-grams and sends blocks to slices of the hash space. A block numbers its words in a table of their
-64-bit hashes and holds sorted packed numbers as differences, compressed: some 6 bytes a trigram in place of 28. Trigrams are dealt by
+Words are counted first and numbered, frequent ones first (by powers of two of their counts). Each batch then adds up its own n-grams
+and sends blocks to slices of the hash space: sorted columns of word numbers, byte by byte and compressed, some 5 bytes a trigram in
+place of 28. Trigrams are dealt by
 their first two words, so what they tell of these as a context is whole in one slice: it goes to a file, while the last two words go on
 to slices of pairs, and what pairs tell of words to slices of words. Slices grow in number with the corpus, not in size. The driver
 gets a few sums of each slice.
@@ -41,9 +42,9 @@ from .hashed import MIX, mix
 from .hashed import words as hashed_words
 
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
-#: Tokens behind a slice and in a chunk that is added up or scored at once, about.
-SLICE, CHUNK = 4_000_000, 2_000_000
-START, END = np.uint64(1), np.uint64(2)  # hashes of the two tokens that aren't words
+#: Tokens behind a slice of n-grams, behind one of words, and in a chunk that is added up or scored at once, about.
+SLICE, WORDS, CHUNK = 4_000_000, 40_000_000, 2_000_000
+END = np.uint64(1)  # hash of the token that isn't a word
 #: Slices that a worker keeps in memory where it can't map them.
 KEPT = 16
 
@@ -55,7 +56,7 @@ def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For stretches of the column: all tokens, the end of each text included, and how many each text has."""
     for h, count in hashed_words(column):
-        h[h <= END] += END + np.uint64(1)
+        h[h <= END] += np.uint64(2)
         yield np.insert(h, np.cumsum(count), END), count + 1
 
 
@@ -67,101 +68,63 @@ def before(v: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
     return out
 
 
-# --- n-grams as packed numbers ---
+# --- blocks ---
 
 
-def distinct(ids: list[np.ndarray], n_words: int, counts: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of word numbers, in order, with their summed counts (how often each is there, if none are given)."""
-    bits = max(1, (max(1, n_words) - 1).bit_length())
-    if bits * len(ids) <= 64:
-        key = np.zeros(len(ids[0]), np.uint64)
-        for i in ids:
-            key = key << np.uint64(bits) | i.astype(np.uint64)
-        if counts is None:
-            key, n = np.unique(key, return_counts=True)
-            sums = [n.astype(np.int64)]
-        else:
-            order = np.argsort(key)
-            key = key[order]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-            sums = [np.add.reduceat(c[order], starts) if len(key) else c for c in counts]
-            key = key[starts]
-        mask = np.uint64((1 << bits) - 1)
-        return [(key >> np.uint64(bits * k) & mask).astype(np.int64) for k in range(len(ids) - 1, -1, -1)], sums
-    order = np.lexsort(ids[::-1])
-    ids = [i[order] for i in ids]
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for i in ids:
-        new[1:] |= i[1:] != i[:-1]
-    starts = np.flatnonzero(new)
-    sums = [np.diff(np.append(starts, len(order)))] if counts is None else [np.add.reduceat(c[order], starts) for c in counts]
-    return [i[starts] for i in ids], sums
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte: all lowest bytes first. High bytes of small numbers then compress to nothing."""
-    return np.ascontiguousarray(a).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes(data: bytes, at: int, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
-
-
-def dump(table: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """A block of distinct rows in order: a sorted table of word hashes, rows of places in it, and their counts."""
+def _planes(a: np.ndarray) -> list[bytes]:
+    """Numbers byte by byte, all lowest bytes first: high bytes of small numbers then compress to nothing. Led by their width."""
+    kind = np.uint32 if not len(a) or int(a.max()) < 1 << 32 else np.uint64
+    width = np.dtype(kind).itemsize
+    return [bytes([width]), a.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()]
+
+
+def dump(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, the first in order, as one block."""
     import zstandard
 
-    used = np.zeros(len(table), bool)
-    for i in ids:
-        used[i] = True
-    place = np.cumsum(used) - 1
-    table, ids = table[used], [place[i].astype(np.uint64) for i in ids]
-    bits, n = max(1, (max(1, len(table)) - 1).bit_length()), len(ids[0])
-    packed = bits * len(ids) <= 64
-    if packed:
-        key = np.zeros(n, np.uint64)
-        for i in ids:
-            key = key << np.uint64(bits) | i
-        ids = [np.diff(key, prepend=np.uint64(0))]
-    head = np.array([len(table), n, len(ids), len(counts), bits if packed else 0], np.uint64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([_planes(np.diff(table, prepend=np.uint64(0))), *map(_planes, ids), *map(_planes, counts)]))
-
-
-def load(block: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    parts = [np.array([len(columns), len(columns[0])], np.uint64).tobytes(), *_planes(np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, *(p for c in columns[1:] for p in _planes(c))]))
+
+
+def load(block: bytes) -> list[np.ndarray]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(block)
-    words, n, columns, counts, bits = np.frombuffer(data, np.uint64, 5).tolist()
-    at, out = 40, []
-    for size in [words] + [n] * (columns + counts):
-        out.append(_from_planes(data, at, size))
-        at += 8 * size
-    table, ids, sums = np.cumsum(out[0], dtype=np.uint64), out[1 : 1 + columns], [c.astype(np.int64) for c in out[1 + columns :]]
-    if bits:
-        key, mask = np.cumsum(ids[0], dtype=np.uint64), np.uint64((1 << bits) - 1)
-        ids = [key >> np.uint64(bits * k) & mask for k in range(width - 1, -1, -1)]
-    return table, [i.astype(np.int64) for i in ids], sums
-
-
-def merged(blocks: list[bytes], width: int, counts: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """All blocks of a slice as one: word hashes, rows of places among them, and sums of their counts."""
-    parts = [load(b, width) for b in blocks if b]
-    if not parts:
-        return np.empty(0, np.uint64), [np.empty(0, np.int64)] * width, [np.empty(0, np.int64)] * counts
-    table = np.unique(np.concatenate([t for t, _, _ in parts]))
-    ids = [np.concatenate([np.searchsorted(table, t)[i[k]] for t, i, _ in parts]) for k in range(width)]
-    sums = [np.concatenate([c[k] for _, _, c in parts]) for k in range(counts)]
-    return table, *distinct(ids, len(table), sums)
-
-
-def dealt(slot: np.ndarray, table: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], first: int = 0) -> pa.RecordBatch:
-    """Rows (slot, data): a block for each slot that rows are dealt to."""
+    columns, n = np.frombuffer(data, np.uint64, 2).tolist()
+    at, out = 16, []
+    for _ in range(columns):
+        width = data[at]
+        kind = np.uint32 if width == 4 else np.uint64
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T).view(kind).ravel())
+        at += 1 + width * n
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def loaded(blocks: list[bytes], columns: int) -> list[np.ndarray]:
+    """The rows of several blocks as columns of 64-bit numbers."""
+    parts = [load(b) for b in blocks if b]
+    return [np.concatenate([p[k].astype(np.uint64) for p in parts]) if parts else np.empty(0, np.uint64) for k in range(columns)]
+
+
+def dealt(slot: np.ndarray, columns: list[np.ndarray], first: int = 0) -> pa.RecordBatch:
+    """Rows (slot, data): a block for each slot that rows are dealt to. Rows keep their order."""
+    parts = _stretches(slot)
+    return _rows([int(slot[p[0]]) + first for p in parts], [dump([c[p] for c in columns]) for p in parts])
+
+
+def _stretches(slot: np.ndarray) -> list[np.ndarray]:
+    """The places of each slot, in order."""
     order = np.argsort(slot, kind="stable")
-    cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
-    parts = [order[x:y] for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
-    blocks = [dump(table, [i[p] for i in ids], [c[p] for c in counts]) for p in parts]
-    return _rows(slot[order][cuts] + first, blocks)
+    return np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []
+
+
+def summed(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first row of each, and its summed counts."""
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[starts], order[starts], np.add.reduceat(counts[order], starts) if len(key) else counts
 
 
 def _rows(slots, blocks: list[bytes]) -> pa.RecordBatch:
@@ -191,12 +154,11 @@ def _sorted_keys(g: np.ndarray) -> bytes:
 
 
 def _gram_file(g: np.ndarray, facts: list[np.ndarray]) -> bytes:
-    """Keys whose first fact is 1 and tells the rest, then those whose facts fit a byte each, then the others with 64 bits a fact."""
-    order = np.argsort(g)
-    once = facts[0][order] == 1
-    small = np.all([f[order] < 256 for f in facts], 0) & ~once
-    out = [_sorted_keys(g[order][once])]
-    for mine, kind in ((order[small], np.uint8), (order[~small & ~once], np.uint64)):
+    """Sorted keys whose first fact is 1 and tells the rest, then those whose facts fit a byte each, then the others with 64 bits a fact."""
+    once = facts[0] == 1
+    small = np.all([f < 256 for f in facts], 0) & ~once
+    out = [_sorted_keys(g[once])]
+    for mine, kind in ((small, np.uint8), (~small & ~once, np.uint64)):
         body = b"".join(f[mine].astype(kind).tobytes() for f in facts)
         out += [_sorted_keys(g[mine]), body, b"\0" * (-len(body) % 8)]
     return b"".join(out)
@@ -241,10 +203,118 @@ class Slice:
 
     def facts(self, g: np.ndarray, out: np.ndarray) -> None:
         """Fills in the rows of facts of keys that are there. What was counted once has, as a context, one continuation of count 1."""
-        out[:2, self._find(self.once, g)[1]] = 1
+        there = self._find(self.once, g)[1]
+        out[:2, there] = 1
+        left = np.flatnonzero(~there)
         for keys, facts in self.more:
-            at, there = self._find(keys, g)
-            out[:, there] = facts[:, at[there]]
+            at, there = self._find(keys, g[left])
+            out[:, left[there]] = facts[:, at[there]]
+            left = left[~there]
+
+
+@dataclass
+class Vocabulary:
+    """Words in slices by hash: sorted keys, their counts, and their places among the words of like counts."""
+
+    folder: str
+    slices: int
+    tokens: int
+    types: int
+
+    def open(self) -> Words:
+        return Words(self)
+
+
+class Words:
+    """A vocabulary in one worker."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.store = vocabulary, Store(vocabulary.folder)
+        self.files: dict[int, list[np.ndarray]] = {}
+        self.offsets = self.store.mapped("offsets").reshape(vocabulary.slices, 64)
+
+    def slice(self, k: int) -> list[np.ndarray]:
+        if k not in self.files:
+            if self.store.path is None and len(self.files) >= KEPT:
+                self.files.clear()
+            data = self.store.mapped(f"vocabulary-{k}")
+            n = int(data[0])
+            half = -(-n // 2)
+            self.files[k] = [data[1 : 1 + n], data[1 + n : 1 + 2 * n], data[1 + 2 * n : 1 + 2 * n + half].view(np.uint32)[:n]]
+        return self.files[k]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of word hashes; an unknown word has the number after the start's, and no count."""
+        number, count = np.full(len(h), self.v.types + 1, np.uint64), np.zeros(len(h), np.int64)
+        slot = (h % np.uint64(self.v.slices)).astype(np.int64)
+        for k in np.unique(slot).tolist():
+            keys, counts, ranks = self.slice(k)
+            mine = np.flatnonzero(slot == k)
+            at, there = _place(keys, h[mine])
+            mine, at = mine[there], at[there]
+            count[mine] = counts[at]
+            number[mine] = self.offsets[k][_class(counts[at])] + ranks[at]
+        return number, count
+
+
+def _class(counts: np.ndarray) -> np.ndarray:
+    """0 for the greatest counts, 63 for single ones."""
+    return 63 - np.frexp(counts.astype(np.float64))[1].astype(np.int64) + 1
+
+
+def vocabulary(texts: DataFrame, size: int) -> Vocabulary:
+    """Counts and numbers the words of all texts (column text; size: characters, about)."""
+    spark = texts.sparkSession
+    folder, slices = shared_path(spark, "vocabulary"), int(max(1, size // (6 * WORDS)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, _ in chunks(batches):
+            h, n = np.unique(v, return_counts=True)
+            yield dealt((h % np.uint64(slices)).astype(np.int64), [h, n])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(folder)
+        for slot, blocks in _by_slot(batches):
+            h, n = loaded(blocks, 2)
+            h, _, n = summed(h, n)
+            kind = _class(n)
+            order = np.argsort(kind, kind="stable")
+            sizes = np.bincount(kind, minlength=64)
+            ranks = np.empty(len(h), np.uint32)
+            ranks[order] = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            store.write(f"vocabulary-{slot}", np.array([len(h)], np.uint64).tobytes() + h.tobytes() + n.astype(np.uint64).tobytes() + ranks.tobytes() + b"\0" * (4 * (len(h) % 2)))
+            yield _rows([slot], [np.append(sizes, n.sum()).astype(np.int64).tobytes()])
+
+    rows = texts.mapInArrow(tidy(count), "slot long, data binary")
+    told = stored(sliced(rows, 0, slices, write), "vocabulary-sums").collect()  # 65 numbers a slice
+    sums = np.zeros((slices, 65), np.int64)
+    for r in told:
+        sums[r["slot"]] = np.frombuffer(r["data"], np.int64)
+    flat = sums[:, :64].T.ravel()  # by class, then slice
+    offsets = (np.cumsum(flat) - flat).reshape(64, slices).T
+    Store(folder).write("offsets", np.ascontiguousarray(offsets).astype(np.uint64).tobytes())
+    return Vocabulary(folder, slices, int(sums[:, 64].sum()), int(flat.sum()))
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token hashes and the sizes of texts, about `CHUNK` tokens at a time."""
+    held, lengths, n = [], [], 0
+    for batch in batches:
+        for v, sizes in tokens(batch.column("text")):
+            held.append(v)
+            lengths.append(sizes)
+            n += len(v)
+            if n >= CHUNK:
+                yield np.concatenate(held), np.concatenate(lengths)
+                held, lengths, n = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(lengths)
+
+
+def sliced(rows: DataFrame, first: int, slices: int, f, schema: str = "slot long, data binary") -> DataFrame:
+    """Each slice to one task. Every slice has a row, so that each writes its file, entries or not."""
+    every = rows.sparkSession.range(first, first + slices).select(F.col("id").alias("slot"), F.expr("X''").alias("data"))
+    return rows.unionByName(every).repartition(slices, "slot").mapInArrow(tidy(f), schema)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -257,6 +327,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     folder: str
     slices: int
+    words: Vocabulary
     tokens: int  # training tokens, ends included
     types: int  # distinct ones
     pair_discount: tuple[float, float, float]
@@ -265,6 +336,7 @@ class Model:
     word_kinds: tuple[int, int, int]  # words with continuation count 1, 2, more
     order: int = 2
     triple_discount: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    start: tuple[int, int, int, int] = (0, 0, 0, 0)  # the start as a context: total, continuations of count 1, 2 and more
 
     def open(self) -> Reader:
         return Reader(self)
@@ -274,7 +346,7 @@ class Reader:
     """The model in one worker."""
 
     def __init__(self, model: Model):
-        self.m, self.store, self.files = model, Store(model.folder), OrderedDict()
+        self.m, self.store, self.files, self.words = model, Store(model.folder), OrderedDict(), model.words.open()
         d, t = model.word_discount, max(model.pairs, 1)
         self.left = sum(x * y for x, y in zip(d, model.word_kinds, strict=True)) / t if model.pairs else 1.0
 
@@ -287,10 +359,8 @@ class Reader:
 
     def each(self, kind: str, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each slice that is asked for: its file, and the places that ask."""
-        order = np.argsort(slot, kind="stable")
-        cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
-        for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-            yield self.file(f"{kind}-{slot[order[x]]}"), order[x:y]
+        for mine in _stretches(slot):
+            yield self.file(f"{kind}-{slot[mine[0]]}"), mine
 
     def counts(self, kind: str, slot: np.ndarray, g: np.ndarray, facts: int = 1) -> np.ndarray:
         """Rows of facts of n-gram hashes; 0 where the model hasn't the n-gram."""
@@ -302,19 +372,18 @@ class Reader:
         return out
 
     def word_facts(self, w: np.ndarray) -> np.ndarray:
-        """Rows count, words before, total as context, continuations of count 1, 2 and more, of word hashes."""
-        out = np.zeros((6, len(w)), np.int64)
-        for data, mine in self.each("words", self.slot(w)):
-            ones, n = int(data[0]), data[1:4].astype(np.int64)
-            at, there = _place(data[4 : 4 + ones], w[mine])
-            out[:4, mine[there]] = 1
-            start = 4 + ones
-            for k, kind in enumerate((np.uint8, np.uint16, np.uint64)):
-                size = -(-6 * int(n[k]) * np.dtype(kind).itemsize // 8)
-                at, there = _place(data[start : start + n[k]], w[mine])
-                facts = data[start + n[k] : start + n[k] + size].view(kind)[: 6 * n[k]].reshape(6, n[k])
-                out[:, mine[there]] = facts[:, at[there]]
-                start += n[k] + size
+        """Rows words before, total as context, continuations of count 1, 2 and more, of word numbers."""
+        out = np.zeros((5, len(w)), np.int64)
+        known = np.flatnonzero(w < self.m.types)
+        for data, mine in self.each("words", (w[known] % np.uint64(self.m.slices)).astype(np.int64)):
+            mine = known[mine]
+            n, large = int(data[0]), int(data[1])
+            size = -(-5 * n // 8)
+            at = (w[mine] // np.uint64(self.m.slices)).astype(np.int64)
+            some = data[2 : 2 + size].view(np.uint8)[: 5 * n].reshape(5, n)[:, at].astype(np.int64)
+            place, there = _place(data[2 + size : 2 + size + large], at.astype(np.uint64))
+            some[:, there] = data[2 + size + large :].reshape(5, large)[:, place[there]]
+            out[:, mine] = some
         return out
 
     def slot(self, g: np.ndarray) -> np.ndarray:
@@ -323,23 +392,23 @@ class Reader:
     def scores(self, v: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: known tokens, log10 by add-one unigrams, log10 by the model."""
         m, starts = self.m, np.append(0, np.cumsum(sizes)[:-1])
-        words, of_v = np.unique(np.append(v, START), return_inverse=True)
-        facts = self.word_facts(words)
-        of_v, start = of_v[:-1], int(of_v[-1])
-        of_u = before(of_v, sizes, start)
-        count = facts[0][of_v]
-        below = np.maximum(facts[1] - _discount(facts[1], m.word_discount), 0) / max(m.pairs, 1) + self.left / (m.types + 1)
-        g = pair(before(v, sizes, START), v)
+        start = np.uint64(m.types)
+        words, at = np.unique(v, return_inverse=True)
+        number, count = self.words.find(words)
+        facts, count, v = self.word_facts(number), count[at], number[at]
+        below = np.maximum(facts[0] - _discount(facts[0], m.word_discount), 0) / max(m.pairs, 1) + self.left / (m.types + 1)
+        g = pair(before(v, sizes, start), v)
         slot = self.slot(g)
         n = self.counts("pairs", slot, g)[0]
-        p = _interpolated(n, facts[2][of_u], facts[3:][:, of_u], m.pair_discount, below[of_v])
+        contexts = [before(f[at], sizes, x) for f, x in zip(facts[1:], m.start, strict=True)]
+        p = _interpolated(n, contexts[0], contexts[1:], m.pair_discount, below[at])
         if m.order == 3:
             # a pair is the context of what follows it: one continuation, unless an entry says more
             context = self.counts("contexts", slot, g, 4)
             context[:2, (n > 0) & (context[0] == 0)] = 1
-            two = pair(np.array([START]), np.array([START]))
-            first = self.counts("contexts", self.slot(two), two, 4)
-            context = np.stack([before(c, sizes, f[0]) for c, f in zip(context, first, strict=True)])
+            two = pair(np.array([start]), np.array([start]))
+            lead = self.counts("contexts", self.slot(two), two, 4)
+            context = [before(c, sizes, f[0]) for c, f in zip(context, lead, strict=True)]
             g, slot = before(g, sizes, two[0]), before(slot, sizes, self.slot(two)[0])
             p = _interpolated(self.counts("triples", slot, pair(g, v))[0], context[0], context[1:], m.triple_discount, p)
         base = np.log10((count + 1) / (m.tokens + (m.types + 1)))
@@ -380,109 +449,99 @@ def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = texts.sparkSession
-    folder, column = shared_path(spark, "ngrams"), named(texts, text)
-    size = texts.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]  # a token is about six characters
+    folder, texts = shared_path(spark, "ngrams"), texts.select(named(texts, text).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a token is about six characters
     slices = int(max(1, size // (6 * SLICE)))
+    known = vocabulary(texts, size)
+    start, low = np.uint64(known.types), np.uint64(32)
     of = lambda g: (g % np.uint64(slices)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            v, sizes = np.concatenate(held), np.concatenate(lengths)
-            table, ids = np.unique(np.append(v, START), return_inverse=True)
-            start, ids = int(ids[-1]), [ids[:-1]]
+        words = known.open()
+        for v, sizes in chunks(batches):
+            table, at = np.unique(v, return_inverse=True)
+            number = np.append(words.find(table)[0], start)
+            # places in the chunk's own list of numbers, in order: three of them fit 64 bits
+            order_of = np.argsort(number)
+            place = np.empty(len(number), np.uint64)
+            place[order_of] = np.arange(len(number), dtype=np.uint64)
+            ids, bits = [place[at]], np.uint64(max(1, (len(number) - 1).bit_length()))
             for _ in range(order - 1):
-                ids.insert(0, before(ids[0], sizes, start))
-            ids, counts = distinct(ids, len(table))
-            g = pair(table[ids[0]], table[ids[1]])  # of order 3 this is the context
-            return dealt(of(g), table, ids, counts)
-
-        held, lengths, n = [], [], 0
-        for batch in batches:
-            for v, sizes in tokens(batch.column("text")):
-                held.append(v)
-                lengths.append(sizes)
-                n += len(v)
-                if n >= CHUNK:
-                    yield flush()
-                    held, lengths, n = [], [], 0
-        if held:
-            yield flush()
+                ids.insert(0, before(ids[0], sizes, place[-1]))
+            key = ids[0]
+            for i in ids[1:]:
+                key = key << bits | i
+            key, n = np.unique(key, return_counts=True)
+            mask = (np.uint64(1) << bits) - np.uint64(1)
+            number = number[order_of]
+            columns = [number[key >> (bits * np.uint64(k)) & mask] for k in range(order - 1, -1, -1)]
+            yield dealt(of(pair(columns[0], columns[1])), [*columns, n])
 
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(folder)
         for slot, blocks in _by_slot(batches):
-            table, (t, u, v), (c,) = merged(blocks, 3, 1)
-            g = pair(table[t], table[u])
-            store.write(f"triples-{slot}", _gram_file(pair(g, table[v]), [c]))
-            new = np.append(True, g[1:] != g[:-1])[: len(g)]
-            facts = _of_contexts(np.cumsum(new) - 1, int(new.sum()), c)
-            # contexts met once go without an entry, but for the two starts, which are no known pair
-            several = (facts[0] > 1) | (g[new] == pair(np.array([START]), np.array([START])))
-            store.write(f"contexts-{slot}", _gram_file(g[new][several], [f[several] for f in facts]))
+            t, u, v, c = loaded(blocks, 4)
+            context = pair(t, u)
+            g, first, c = summed(pair(context, v), c.astype(np.int64))
+            u, v = u[first], v[first]
+            store.write(f"triples-{slot}", _gram_file(g, [c]))
             yield _rows([-2], [_kinds(c).tobytes()])
+            context, at = np.unique(context[first], return_inverse=True)
+            facts = _of_contexts(at, len(context), c)
+            # contexts met once go without an entry, but for the two starts, which are no known pair
+            several = (facts[0] > 1) | (context == pair(np.array([start]), np.array([start])))
+            store.write(f"contexts-{slot}", _gram_file(context[several], [f[several] for f in facts]))
             if len(c):
-                ids, n = distinct([u, v], len(table))
-                yield dealt(of(pair(table[ids[0]], table[ids[1]])), table, ids, n)
-                yield of_words(table, seen=np.bincount(v, c, len(table)))
-
-    def of_words(table: np.ndarray, **facts: np.ndarray) -> pa.RecordBatch:
-        rows = [facts.get(f, np.zeros(len(table))).astype(np.int64) for f in _FACTS]
-        some = np.flatnonzero(np.any([r > 0 for r in rows], 0))
-        return dealt(of(table[some]), table, [some], [r[some] for r in rows], slices)
+                both, n = np.unique(u << low | v, return_counts=True)
+                u, v = both >> low, both & np.uint64(0xFFFFFFFF)
+                yield dealt(of(pair(u, v)), [u, v, n])
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(folder)
         for slot, blocks in _by_slot(batches):
-            if not 0 <= slot < slices:
+            if slot < 0:
                 yield _rows([slot] * len(blocks), blocks)
                 continue
-            table, (u, v), (n,) = merged(blocks, 2, 1)
-            store.write(f"pairs-{slot}", _gram_file(pair(table[u], table[v]), [n]))
+            u, v, n = loaded(blocks, 3)
+            g, first, n = summed(pair(u, v), n.astype(np.int64))
+            u, v = u[first], v[first]
+            store.write(f"pairs-{slot}", _gram_file(g, [n]))
             yield _rows([-1], [_kinds(n).tobytes()])
             if len(n):
-                total, *kinds = _of_contexts(u, len(table), n)
-                seen = {"seen": np.bincount(v, n, len(table))} if order == 2 else {}
-                yield of_words(table, total=total, n1=kinds[0], n2=kinds[1], n3=kinds[2], before=np.bincount(v, None, len(table)), **seen)
+                w, at = np.unique(np.append(u, v), return_inverse=True)
+                facts = [np.bincount(at[len(u) :], None, len(w)), *_of_contexts(at[: len(u)], len(w), n)]
+                yield dealt((w % np.uint64(slices)).astype(np.int64), [w, *facts], slices)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out = Store(folder), []
         for slot, blocks in _by_slot(batches):
             if slot < 0:
                 told = np.frombuffer(b"".join(b for b in blocks if b), np.int64).reshape(-1, 5).sum(0).tolist()
-                out.append(told + [0] * 14 if slot == -1 else [0] * 14 + told)
+                out.append(told + [0] * 15 if slot == -1 else [0] * 5 + told + [0] * 10)
                 continue
-            table, (w,), facts = merged(blocks, 1, len(_FACTS))
-            seen, ahead, *rest = facts
-            once = (np.array(facts) == np.array([1, 1, 1, 1, 0, 0])[:, None]).all(0)
-            keys = table[w]
-            largest = np.max(facts, 0)
-            kinds = [(np.uint8, ~once & (largest < 1 << 8)), (np.uint16, (largest >= 1 << 8) & (largest < 1 << 16)), (np.uint64, largest >= 1 << 16)]
-            parts = [np.array([once.sum(), *(m.sum() for _, m in kinds)], np.uint64).tobytes(), keys[once].tobytes()]
-            for kind, mine in kinds:
-                body = b"".join(f[mine].astype(kind).tobytes() for f in facts)
-                parts += [keys[mine].tobytes(), body, b"\0" * (-len(body) % 8)]
-            store.write(f"words-{slot - slices}", b"".join(parts))
-            kinds = [int(np.sum(ahead == k)) for k in (1, 2, 3, 4)]
-            out.append([0] * 5 + [int(seen.sum()), int(np.sum(seen > 0)), *kinds, kinds[0], kinds[1], int(np.sum(ahead > 2)), *[0] * 5])
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(19)], _SUMS)
-
-    def sliced(rows: DataFrame, first: int, f, schema: str = "slot long, data binary") -> DataFrame:
-        """Each slice to one task. Every slice has a row, so that each writes its file, entries or not."""
-        every = spark.range(first, first + slices).select(F.col("id").alias("slot"), F.expr("X''").alias("data"))
-        return rows.unionByName(every).repartition(slices, "slot").mapInArrow(tidy(f), schema)
-
-    rows = texts.select(column.alias("text")).mapInArrow(tidy(count), "slot long, data binary")
+            w, *rows = loaded(blocks, 6)
+            mine = w < start
+            n = (known.types - (slot - slices) + slices - 1) // slices  # numbers that belong to this slice
+            at = (w[mine] // np.uint64(slices)).astype(np.int64)
+            facts = np.stack([np.bincount(at, r[mine], n).astype(np.int64) for r in rows])
+            large = np.flatnonzero((facts > 255).any(0))
+            body = np.minimum(facts, 255).astype(np.uint8).tobytes()
+            store.write(f"words-{slot - slices}", b"".join([np.array([n, len(large)], np.uint64).tobytes(), body, b"\0" * (-len(body) % 8), large.astype(np.uint64).tobytes(), facts[:, large].astype(np.uint64).tobytes()]))
+            ahead = facts[0]
+            leads = [int(r[~mine].sum()) for r in rows[1:]]
+            out.append([0] * 10 + [int(np.sum(ahead == k)) for k in (1, 2, 3, 4)] + [int(np.sum(ahead > 2)), *leads, 0])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(_SUMS))], _SUMS)
+
+    rows = texts.mapInArrow(tidy(count), "slot long, data binary")
     if order == 3:
-        rows = sliced(rows, 0, write_triples)
-    rows = sliced(rows, 0, write_pairs)
-    sums = stored(sliced(rows, slices, write_words, ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
+        rows = sliced(rows, 0, slices, write_triples)
+    rows = sliced(rows, 0, slices, write_pairs)
+    sums = stored(sliced(rows, slices, slices, write_words, ", ".join(f"{s} long" for s in _SUMS)), "ngram-sums")
     s = [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
-    return Model(folder, slices, s[5], s[6], discounts(s[0:4]), discounts(s[7:11]), s[4], tuple(s[11:14]), order, discounts(s[14:18]))
+    return Model(folder, slices, known, known.tokens, known.types, discounts(s[0:4]), discounts(s[10:14]), s[4], (s[10], s[11], s[14]), order, discounts(s[5:9]), tuple(s[15:19]))
 
 
-#: What is known of a word; of most all of the first four are 1.
-_FACTS = ["seen", "before", "total", "n1", "n2", "n3"]
-_SUMS = ["p1", "p2", "p3", "p4", "pairs", "tokens", "types", "k1", "k2", "k3", "k4", "one", "two", "more", "t1", "t2", "t3", "t4", "triples"]
+_SUMS = ["p1", "p2", "p3", "p4", "pairs", "t1", "t2", "t3", "t4", "triples", "k1", "k2", "k3", "k4", "more", "total", "n1", "n2", "n3", "none"]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
