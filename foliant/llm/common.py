@@ -20,6 +20,8 @@ __all__ = ["ascii_lower", "fold", "map_rows", "named", "shared_path", "shared_ro
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes that a worker may hold between tasks without giving any back.
 KEPT, PAGE = 160 << 20, os.sysconf("SC_PAGE_SIZE")
+#: Rows of an Arrow batch in place of Spark's default of 10,000: whole texts are rows of some kilobytes, and each task holds a few batches on both sides.
+BATCH, ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), "2000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,7 +62,11 @@ def tidy(f: Callable) -> Callable:
     """Wraps a function over Arrow batches: when its task ends, what the worker no longer uses goes back to the system.
 
     Workers serve many tasks of many queries; else each keeps the most that any of them needed. Small workers have nothing to give.
+    The session's batches are made smaller, unless it sets their size itself.
     """
+    session = SparkSession.getActiveSession()
+    if session and session.conf.get(*BATCH) == BATCH[1]:
+        session.conf.set(BATCH[0], ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
