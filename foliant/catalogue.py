@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -11,6 +11,7 @@ from .operators import checks as C
 from .operators import geometry as G
 from .operators import search as S
 from .plans import carriers as P
+from .storage import ranked as numbered
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,8 +41,8 @@ SELECT {extra or 'rank, score, doc, page, section_id, children'} FROM found"""
 def ranked(records: DataFrame, terms: list[str]) -> DataFrame:
     found = S.section_scores(records, terms)
     heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "seq"))
-    return found.join(heads, "section_id").select(rank.alias("rank"), "score", "doc", "page", "section_id", F.array_join("children", "|").alias("children"))
+    rows = numbered(found.join(heads, "section_id"), F.desc("score"), "seq")
+    return rows.select("rank", "score", "doc", "page", "section_id", F.array_join("children", "|").alias("children"))
 
 
 TERMS = ["the", "ion", "er"]
@@ -49,22 +50,22 @@ TERMS = ["the", "ion", "er"]
 
 @query(ranked_sql(TERMS))
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(P.rec_docs(spark, d), TERMS)
+    return ranked(P.corpus(spark, d), TERMS)
 
 
 @query(ranked_sql(["thre", "thre"]))
 def search_dup_terms(spark, d):
-    return ranked(P.rec_docs(spark, d), ["Thré", "thre"])
+    return ranked(P.corpus(spark, d), ["Thré", "thre"])
 
 
 @query("SELECT 0 AS rank, 0 AS score, '' AS doc, 0 AS page, '' AS section_id, '' AS children WHERE false")
 def search_single_term_empty(spark, d):
-    return ranked(P.rec_docs(spark, d), ["the"])
+    return ranked(P.corpus(spark, d), ["the"])
 
 
 @query(ranked_sql(["th\\.", "er\\."]))
 def search_metachar(spark, d):
-    return ranked(P.rec_docs(spark, d), ["th.", "er."])
+    return ranked(P.corpus(spark, d), ["th.", "er."])
 
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id, coalesce(string_agg(t, ' > ' ORDER BY distance DESC), '') AS chain FROM (SELECT up.id, up.distance, h.text AS t FROM up JOIN hier h ON h.id = up.ancestor_id WHERE up.id LIKE 'H:p1:C%') GROUP BY id")
@@ -119,14 +120,14 @@ def get_unknown_ids(spark, d):
     return _got(spark, d)[1]
 
 
-@query(f"WITH {P.SQL_DOCS} SELECT seq, id, doc, page FROM records WHERE cite = 'A.3'")
+@query(f"WITH {P.SQL_DOCS} SELECT r.seq, r.id, r.doc, r.page, coalesce(p.text, '') AS ancestors FROM records r LEFT JOIN records p ON p.id = r.parent_id WHERE r.cite = 'A.3'")
 def get_by_cite_all(spark, d):
-    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3")
+    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3").withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
-@query(f"WITH {P.SQL_DOCS} SELECT seq, id, doc, page FROM records WHERE cite = 'A.3' AND doc = 'D2'")
+@query(f"WITH {P.SQL_DOCS} SELECT r.seq, r.id, r.doc, r.page, coalesce(p.text, '') AS ancestors FROM records r LEFT JOIN records p ON p.id = r.parent_id WHERE r.cite = 'A.3' AND r.doc = 'D2'")
 def get_by_cite_doc(spark, d):
-    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3", "D2")
+    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3", "D2").withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
 @query(f"WITH {P.SQL_DOCS} SELECT seq, id, label, text FROM records WHERE doc = 'D2' AND page = 1")
@@ -280,9 +281,11 @@ def provenance_join(spark, d):
     return C.with_source(r, P.prov(r)).select("id", "source")
 
 
-@query("SELECT 'D0' AS doc, 0 AS page_from, 0 AS page_to WHERE false")
+@query(f"WITH {P.SQL_DOCS}, {P.SQL_PROV}, bad AS (SELECT doc, CASE WHEN CAST(substr(doc, 2) AS BIGINT) % 5 = 1 THEN page_from + 1 ELSE page_from END AS page_from, page_to FROM prov), b AS (SELECT *, coalesce(lag(page_to) OVER (PARTITION BY doc ORDER BY page_from, page_to), 0) AS last FROM bad) SELECT doc, CAST(page_from AS INTEGER) AS page_from, CAST(page_to AS INTEGER) AS page_to FROM b WHERE page_from <> last + 1 OR page_to < page_from")
 def provenance_contiguous(spark, d):
-    return C.broken_ranges(P.prov(P.rec_docs(spark, d, False)))
+    """Ranges with planted gaps: those of every fifth document begin a page late."""
+    late = F.substring("doc", 2, 18).cast("long") % 5 == 1
+    return C.broken_ranges(P.prov(P.rec_docs(spark, d, False)).withColumn("page_from", F.col("page_from") + late.cast("int")))
 
 
 @query(f"WITH {P.SQL_DOCS}, {P.SQL_PROV} SELECT r.id, (r.seq % 5 = 1 AND v.source = 'ocr') AS caveat FROM records r JOIN prov v ON r.doc = v.doc AND r.page BETWEEN v.page_from AND v.page_to")
@@ -294,7 +297,7 @@ def disclosure(spark, d):
 
 def _faulty(spark, d):
     """Records with planted faults: a changed parent, a doubled id, a wrong norm, an empty text, a wrong page."""
-    r = P.rec_docs(spark, d)
+    r = P.corpus(spark, d)
     k = F.col("seq") % 97
     lost = F.when((k == 5) & (F.col("parent_id") != ""), "D0:p1:§99").otherwise(F.col("parent_id"))
     r = r.withColumn("parent_id", lost).withColumn("norm", F.when(k == 7, F.concat("norm", F.lit("x"))).otherwise(F.col("norm")))
@@ -321,9 +324,43 @@ def check_boundary(spark, d):
     return C.foreign_parents(_faulty(spark, d))
 
 
-@query(_BAD + "SELECT c.id, c.parent_id FROM bad c JOIN bad p ON p.id = c.parent_id WHERE p.seq >= c.seq")
+_MOVED = f"WITH {P.SQL_DOCS}, moved AS (SELECT * EXCLUDE (parent_id, seq, page), CASE WHEN seq % 1000000 = 0 AND (seq // 1000000) % 4 = 1 THEN seq + 3 ELSE seq END AS seq, CASE WHEN seq % 1000000 = 0 AND (seq // 1000000) % 4 = 2 THEN 2 ELSE page END AS page, parent_id FROM records) "
+
+
+def _moved(spark, d):
+    """Records whose roots stand after their first children in every fourth document, and a page later in another fourth."""
+    root, doc = F.col("seq") % 1_000_000 == 0, F.floor(F.col("seq") / 1_000_000) % 4
+    r = P.rec_docs(spark, d, False)
+    return r.withColumn("page", F.when(root & (doc == 2), 2).otherwise(F.col("page"))).withColumn("seq", F.when(root & (doc == 1), F.col("seq") + 3).otherwise(F.col("seq")))
+
+
+@query(_MOVED + "SELECT c.id, c.parent_id FROM moved c JOIN moved p ON p.id = c.parent_id WHERE p.seq >= c.seq")
 def check_parent_order(spark, d):
-    return C.late_parents(_faulty(spark, d))
+    return C.late_parents(_moved(spark, d))
+
+
+@query(_MOVED + "SELECT c.id, c.parent_id FROM moved c JOIN moved p ON p.id = c.parent_id WHERE p.page > c.page")
+def check_page_order(spark, d):
+    return C.later_page_parents(_moved(spark, d))
+
+
+@query(_BAD + "SELECT id FROM bad WHERE NOT starts_with(id, doc || ':p' || page || ':')")
+def check_ids(spark, d):
+    return C.odd_ids(_faulty(spark, d))
+
+
+@query(f"WITH {P.SQL_DOCS}, w AS (SELECT DISTINCT doc, 'text' AS label, 5 AS least FROM records UNION ALL SELECT 'Q', 'table', 1) SELECT w.doc, w.label, count(r.id) AS n, count(r.id) >= min(w.least) AS ok FROM w LEFT JOIN records r ON r.doc = w.doc AND r.label = w.label GROUP BY w.doc, w.label")
+def check_bands(spark, d):
+    r = P.rec_docs(spark, d, False)
+    want = r.select("doc").distinct().select("doc", F.lit("text").alias("label"), F.lit(5).alias("least")).unionByName(spark.createDataFrame([("Q", "table", 1)], "doc string, label string, least int"))
+    return C.bands(r, want)
+
+
+@query("SELECT true AS same, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)")
+def check_rebuild(spark, d):
+    """Two builds of the records, one stored and one dealt otherwise, have one fingerprint."""
+    a, b = C.fingerprint(P.corpus(spark, d)), C.fingerprint(P.rec_docs(spark, d).repartition(3))
+    return a.join(b.select(F.col("n").alias("m"), F.col("x").alias("y"), F.col("s").alias("t"))).select(((F.col("x") == F.col("y")) & (F.col("s") == F.col("t")) & (F.col("n") == F.col("m"))).alias("same"), "n")
 
 
 @query("SELECT id FROM (VALUES ('a'), ('b'), ('s')) AS t(id)")
@@ -348,9 +385,12 @@ def check_norm(spark, d):
     return C.wrong_norms(_faulty(spark, d))
 
 
-@query(_BAD + "SELECT id, label FROM bad WHERE text = '' AND label <> 'picture'")
+@query(_BAD + ", pic AS (SELECT id, CASE WHEN seq % 97 IN (9, 21, 23) AND seq % 2 = 0 THEN 'picture' ELSE label END AS label, text FROM bad) SELECT id, label FROM pic WHERE (text = '') <> (label = 'picture')")
 def check_picture(spark, d):
-    return C.empty_texts(_faulty(spark, d))
+    """Planted faults both ways: empty texts that are no pictures, and pictures with a text."""
+    k = F.col("seq") % 97
+    r = _faulty(spark, d)
+    return C.picture_texts(r.withColumn("label", F.when(k.isin(9, 21, 23) & (F.col("seq") % 2 == 0), "picture").otherwise(F.col("label"))))
 
 
 @query(f"WITH {P.SQL_DOCS}, {P.SQL_PROV} SELECT id, CAST(0 AS BIGINT) AS n FROM records r WHERE NOT EXISTS (SELECT 1 FROM prov v WHERE r.doc = v.doc AND v.source = 'native' AND r.page BETWEEN v.page_from AND v.page_to)")
@@ -373,13 +413,13 @@ tf AS (SELECT doc, section_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS
 
 @query(_TF + "SELECT tf.doc, tf.section_id, tf.term, tf, df, round(tf * ln(CAST(n AS DOUBLE) / (1 + df)), 6) AS weight FROM tf JOIN df USING (doc, term) JOIN n ON n.doc = tf.doc")
 def tfidf_sections(spark, d):
-    return A.tfidf(P.rec_docs(spark, d)).withColumn("weight", F.round("weight", 6))
+    return A.tfidf(P.corpus(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 @query(_TF + """, dt AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), sp AS (SELECT term FROM dt GROUP BY term HAVING count(*) < (SELECT count(DISTINCT doc) FROM records)),
 k AS (SELECT doc, term, tf, row_number() OVER (PARTITION BY doc ORDER BY tf DESC, term) AS rank FROM dt JOIN sp USING (term)) SELECT doc, term, tf, rank FROM k WHERE rank <= 25""")
 def doc_terms_distinct(spark, d):
-    return A.distinct_terms(P.rec_docs(spark, d))
+    return A.distinct_terms(P.corpus(spark, d))
 
 
 _BREADTH = ["tion", "heit", "mente", "ed er", "zzz"]
@@ -387,7 +427,7 @@ _BREADTH = ["tion", "heit", "mente", "ed er", "zzz"]
 
 @query(f"WITH {P.SQL_DOCS}, w(word) AS (VALUES {', '.join(f"('{w}')" for w in _BREADTH)}) SELECT word, count(*) FILTER (WHERE contains(norm, word)) AS hits, round(count(*) FILTER (WHERE contains(norm, word)) / count(*), 9) AS share FROM records, w WHERE label <> 'section_header' GROUP BY word")
 def attribute_breadth(spark, d):
-    return A.breadth(P.rec_docs(spark, d), _BREADTH).withColumn("share", F.round("share", 9))
+    return A.breadth(P.corpus(spark, d), _BREADTH).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {P.SQL_DOCS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) AS pos FROM records) SELECT id, 'D' || (seq // 1000000) || ':p1:§1' AS header_id, pos - 1 AS distance FROM p""")
@@ -458,7 +498,7 @@ def serialize_table(spark, d):
 
 @query(f"WITH {P.SQL_DOCS} SELECT doc, CAST(sum(len(regexp_extract_all(norm, '(^|[^\\p{{L}}\\p{{N}}_])the [a-z]'))) AS BIGINT) AS pointers, count(*) FILTER (WHERE regexp_matches(norm, '(^|[^\\p{{L}}\\p{{N}}_])the [a-z]')) AS records FROM records GROUP BY doc")
 def pointer_counts(spark, d):
-    return A.pointers(P.rec_docs(spark, d), r"(?U)\bthe [a-z]", r"\bof\b", r"\bfig").select("doc", F.col("pointers").cast("long").alias("pointers"), "records")
+    return A.pointers(P.corpus(spark, d), r"(?U)\bthe [a-z]").select("doc", F.col("pointers").cast("long").alias("pointers"), "records")
 
 
 @query(f"WITH {P.SQL_DOCS} SELECT seq, id, parent_id, text FROM (SELECT 'C' || conv_id || ':p1:§' || turn AS id, conv_id * 100000 + turn AS seq, CASE WHEN turn = 0 THEN '' ELSE 'C' || conv_id || ':p1:§0' END AS parent_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', ' ', 'g')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)")

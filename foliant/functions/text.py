@@ -45,9 +45,14 @@ def _accents() -> tuple[str, str]:
     return "".join(found), "".join(found.values())
 
 
+def bound(c: Column, f) -> Column:
+    """f of the column's value, computed once however often f mentions it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def strip_accents(c: Column) -> Column:
     """Decomposes and drops marks. ASCII texts, the common case, skip the table."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")).otherwise(c)
+    return bound(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, *_accents()), r"\p{Mn}", "")).otherwise(x))
 
 
 def collapse(c: Column) -> Column:
@@ -74,8 +79,8 @@ def rejoin_hyphens(c: Column) -> Column:
     first = rf"(?U)(?<=[{LETTERS}])\s+-(?=[{SMALL_LETTERS}])(?!.{{0,{DASH_WINDOW - 2}}}{close}|.{{{DASH_WINDOW - 1}}}(?<=[{LETTERS}])-)"
     opened = rf"[{LETTERS}]\s-(?=[{SMALL_LETTERS}])(?:(?!{close}).){{0,{DASH_WINDOW - 1}}}"
     second = rf"(?U)(?<=[{LETTERS}])(?<!{opened})-\s+(?=[{SMALL_LETTERS}])"
-    one = F.when(c.contains(" -"), F.regexp_replace(c, first, "")).otherwise(c)
-    return F.when(one.contains("- "), F.regexp_replace(one, second, "")).otherwise(one)
+    one = bound(c, lambda x: F.when(x.contains(" -"), F.regexp_replace(x, first, "")).otherwise(x))
+    return bound(one, lambda x: F.when(x.contains("- "), F.regexp_replace(x, second, "")).otherwise(x))
 
 
 def normalize(text: Column) -> Column:

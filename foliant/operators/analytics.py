@@ -11,7 +11,7 @@ WORD = r"[a-záéíóúüñ]{5,}"
 def terms(r: DataFrame, column: str = "norm") -> DataFrame:
     """(doc, section_id, seq, k, term): words of five letters and more, with their place."""
     section = F.when(F.col("parent_id") == "", F.col("id")).otherwise(F.col("parent_id"))
-    return r.select("doc", section.alias("section_id"), "seq", F.posexplode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))).alias("k", "term"))
+    return r.select("doc", section.alias("section_id"), "seq", F.posexplode_outer(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))).alias("k", "term")).filter("term IS NOT NULL")
 
 
 def tfidf(r: DataFrame, stop: list[str] = [], top: int | None = None, column: str = "norm") -> DataFrame:  # noqa: B006
@@ -88,12 +88,10 @@ def cite_ambiguity(r: DataFrame) -> DataFrame:
     return sizes.groupBy(name.alias("keying")).agg(F.count("*").alias("keys"), F.sum((F.col("n") > 1).cast("long")).alias("ambiguous"), F.max("n").alias("worst"))
 
 
-def pointers(r: DataFrame, pointer: str, external: str, figure: str, within: int = 60) -> DataFrame:
-    """Per document: pointers, those that name another source right after, those to figures, and records with one."""
-    found = F.regexp_extract_all(F.col("norm"), F.lit(f"(?:{pointer})(?=(.{{0,{within}}}))"), F.lit(0))
-    outside = F.regexp_count(F.col("norm"), F.lit(f"(?:{pointer})(?=.{{0,{within}}}?(?:{external}))"))
-    figures = F.regexp_count(F.col("norm"), F.lit(figure))
-    return r.groupBy("doc").agg(F.sum(F.size(found)).alias("pointers"), F.sum(outside).alias("external"), F.sum(figures).alias("figures"), F.sum((F.size(found) > 0).cast("long")).alias("records"))
+def pointers(r: DataFrame, pointer: str) -> DataFrame:
+    """Per document: places that match, and records with one. What the pointers lead to is told by evidence.pointers."""
+    n = F.regexp_count(F.col("norm"), F.lit(pointer))
+    return r.groupBy("doc").agg(F.sum(n).alias("pointers"), F.sum((n > 0).cast("long")).alias("records"))
 
 
 def pass_rate(attempted: DataFrame, results: DataFrame) -> DataFrame:
@@ -109,6 +107,12 @@ def sync(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFram
     return j.select(*key, F.coalesce(F.col(f"n.{value}"), F.col(f"o.{value}")).alias(value), F.when(gone, "ARCHIVED").otherwise("ACTIVE").alias("status"))
 
 
+def active(items: DataFrame, of_set=None) -> DataFrame:
+    """Items (set, status) that are still in the set, all or those of one set; archived ones are never run."""
+    rows = items.filter("status = 'ACTIVE'")
+    return rows if of_set is None else rows.filter(F.col("set") == of_set)
+
+
 def gold(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions with their answers; which side a key lacks is told, for a mismatch is an error."""
     j = questions.alias("q").join(answers.alias("a"), ["set", "number"], "full_outer")

@@ -39,12 +39,14 @@ def cycles(r: DataFrame, depth: int | None = None) -> DataFrame:
 
 
 def wrong_norms(r: DataFrame) -> DataFrame:
-    return r.filter(F.col("norm") != normalize(F.col("text"))).select("id")
+    """Records whose norm isn't that of their text; a missing one isn't either."""
+    return r.filter(~F.col("norm").eqNullSafe(normalize(F.col("text")))).select("id")
 
 
-def empty_texts(r: DataFrame) -> DataFrame:
-    """Empty texts of anything but a picture, and pictures excepted nothing else."""
-    return r.filter((F.col("text") == "") & (F.col("label") != "picture")).select("id", "label")
+def picture_texts(r: DataFrame) -> DataFrame:
+    """A text is empty if and only if the record is a picture: whatever breaks that, either way. A missing text is an empty one."""
+    empty, picture = F.coalesce("text", F.lit("")) == "", F.coalesce(F.col("label") == "picture", F.lit(False))
+    return r.filter(empty != picture).select("id", "label")
 
 
 def odd_ids(r: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def fingerprint(r: DataFrame) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s"))
 
 
-GATES = {"duplicate_ids": duplicate_ids, "missing_parents": missing_parents, "foreign_parents": foreign_parents, "late_parents": late_parents, "later_page_parents": later_page_parents, "cycles": cycles, "wrong_norms": wrong_norms, "empty_texts": empty_texts, "odd_ids": odd_ids}
+GATES = {"duplicate_ids": duplicate_ids, "missing_parents": missing_parents, "foreign_parents": foreign_parents, "late_parents": late_parents, "later_page_parents": later_page_parents, "cycles": cycles, "wrong_norms": wrong_norms, "picture_texts": picture_texts, "odd_ids": odd_ids}
 
 
 def failures(r: DataFrame, prov: DataFrame | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def _flag(items: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
     """(doc, at) of the text items that lie in one of the boxes."""
     x, b = items.filter("kind = 'text'").alias("x"), boxes.alias("b")
     hit = x.join(b, (F.col("x.doc") == F.col("b.doc")) & (F.col("x.page") == F.col("b.page")) & _inside(F.col("x.bbox"), F.col("b.box")), "left_semi")
-    return hit.select("doc", "kind", "at", F.lit(True).alias(name))
+    return hit.select("doc", "kind", "at").distinct().withColumn(name, F.lit(True))
 
 
 def grid_text(data: Column) -> Column:
@@ -169,7 +169,7 @@ def build(items: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     out = rows.groupBy("doc").applyInPandas(nest, "seq long, id string, doc string, page int, cite string, parent_id string, label string, body string")
     if ocr is not None:
         spans = ocr.select(X.doc_code(F.col("doc")).alias("d"), "page_from", "page_to")
-        hit = out.alias("o").join(F.broadcast(spans).alias("s"), (F.col("o.doc") == F.col("s.d")) & F.col("o.page").between(F.col("s.page_from"), F.col("s.page_to")), "left_semi").select("id").distinct().withColumn("ocr", F.lit(True))
+        hit = out.alias("o").join(spans.alias("s"), (F.col("o.doc") == F.col("s.d")) & F.col("o.page").between(F.col("s.page_from"), F.col("s.page_to")), "left_semi").select("id").distinct().withColumn("ocr", F.lit(True))
         out = out.join(hit, "id", "left")
     else:
         out = out.withColumn("ocr", F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normalize
+from ..storage import shared_path
 
 LINES = 10
 
@@ -14,9 +15,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a few files dealt over all cores: a small table may be one row group, which one task reads. Tables of many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def rec_docs(spark: SparkSession, sf_dir: str, with_norm: bool = True) -> DataFrame:
     """Lines of documents: line 0 is the root, the others its children; ten lines make a page."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = dealt(read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))).filter("pos IS NOT NULL")
     doc = F.concat(F.lit("D"), F.col("doc_id"))
     page = F.floor(F.col("pos") / LINES).cast("int") + 1
     out = lines.select(
@@ -29,9 +36,27 @@ def rec_docs(spark: SparkSession, sf_dir: str, with_norm: bool = True) -> DataFr
         F.when(F.col("pos") == 0, "section_header").otherwise("text").alias("label"),
         collapse(F.col("line")).alias("text"),
     )
-    # stored records have norm as a column; here a filter on it must not be pushed below, where it would be computed
-    # once for each mention. An expression that the optimizer takes for indeterminate stops that; it is always true
-    return out.withColumn("norm", F.when(F.monotonically_increasing_id() >= 0, normalize(F.col("text")))) if with_norm else out
+    return out.withColumn("norm", normalize(F.col("text"))) if with_norm else out
+
+
+_CORPORA: dict[tuple, str] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of `rec_docs` as a stored table, norm included: built once for a session and a state of the input, as an ingest does, then read by every search."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime())
+    if key not in _CORPORA:
+        _CORPORA[key] = build_corpus(spark, sf_dir)
+    return spark.read.parquet(_CORPORA[key])
+
+
+def build_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the records and returns their path."""
+    path = shared_path(spark, "corpus")
+    rec_docs(spark, sf_dir).write.parquet(path)
+    return path
 
 
 SQL_DOCS = """
@@ -148,3 +173,80 @@ boxes AS (SELECT page, k * 10 + n AS n, CASE WHEN n % 3 = 0 THEN CASE WHEN k % 2
  CAST(k % 400 AS DOUBLE) AS l, CAST(k % 400 + CASE WHEN n % 3 = 0 THEN 320 ELSE k % 60 + 5 END AS DOUBLE) AS r,
  CAST((k * 7 + n * 131) % 700 AS DOUBLE) AS t, CAST((k * 7 + n * 131) % 700 - CASE WHEN n % 3 = 0 THEN 300 ELSE 10 END AS DOUBLE) AS b FROM raw)
 """
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the word table of an optical reading of their order's page, in two blocks of three lines."""
+    x = read(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
+    k, n = F.col("l_partkey"), F.col("l_linenumber").cast("long")
+    kinds = [F.concat((k % 20).cast("string"), F.lit(".")), F.concat(F.chr(k % 5 + 97), F.lit(")")), F.lit("≥"), F.lit("¢)"), F.lit("  "), F.lit("m²"), F.concat(F.lit("w"), (k % 100).cast("string"))]
+    text = kinds[-1]
+    for i, kind in enumerate(kinds[:-1]):
+        text = F.when(k % 8 == i, kind).otherwise(text)
+    number = lambda c: c.cast("int")
+    return x.select(
+        F.col("l_orderkey").alias("page"), (k * 10 + n).alias("n"), number(n % 2).alias("block_num"), F.lit(1).alias("par_num"), number(n % 3).alias("line_num"), number((k * 13) % 2000).alias("left"),
+        number((n % 3) * 120 + k % 7).alias("top"), number(k % 120 + 10).alias("width"), number(k % 9 + 20).alias("height"), ((k * 37 + n) % 100).cast("double").alias("conf"), text.alias("text"),
+    )
+
+
+SQL_WORDS = """
+words AS (SELECT page, k * 10 + n AS n, n % 2 AS block_num, 1 AS par_num, n % 3 AS line_num, (k * 13) % 2000 AS x, (n % 3) * 120 + k % 7 AS y, k % 120 + 10 AS w, k % 9 + 20 AS h, CAST((k * 37 + n) % 100 AS DOUBLE) AS conf,
+ CASE k % 8 WHEN 0 THEN (k % 20) || '.' WHEN 1 THEN chr(CAST(97 + k % 5 AS INTEGER)) || ')' WHEN 2 THEN '≥' WHEN 3 THEN '¢)' WHEN 4 THEN '  ' WHEN 5 THEN 'm²' ELSE 'w' || (k % 100) END AS text
+ FROM (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS k FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL)),
+lines AS (SELECT page, block_num, par_num, line_num, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, string_agg(trim(text), ' ' ORDER BY x, n) AS text FROM words WHERE trim(text) <> '' AND conf >= 40 GROUP BY ALL)
+"""
+
+
+def pixel_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other line item as a laid-out item of the same page, its box in pixels."""
+    x = read(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL AND l_linenumber % 2 = 0")
+    k, n = F.col("l_partkey"), F.col("l_linenumber").cast("long")
+    left, top = ((k * 29) % 1500).cast("double"), ((n % 3) * 120 - 5 + k % 11).cast("double")
+    # the text begins the row that the item stands on, often enough
+    return x.select(F.col("l_orderkey").alias("page"), (k * 10 + n).alias("n"), left.alias("left"), (left + 200 + k % 300).alias("right"), top.alias("top"), (top + 25 + (k % 4) * 20).alias("bottom"), F.when(k % 2 == 0, "w").otherwise("m²").alias("text"))
+
+
+SQL_PIXELS = """
+items AS (SELECT page, k * 10 + n AS n, CAST((k * 29) % 1500 AS DOUBLE) AS x0, CAST((k * 29) % 1500 + 200 + k % 300 AS DOUBLE) AS x1, CAST((n % 3) * 120 - 5 + k % 11 AS DOUBLE) AS y0, CAST((n % 3) * 120 + 20 + k % 11 + (k % 4) * 20 AS DOUBLE) AS y1,
+ CASE WHEN k % 2 = 0 THEN 'w' ELSE 'm²' END AS text FROM (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS k FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber % 2 = 0)),
+rows AS (SELECT l.page, l.block_num, l.par_num, l.line_num, i.n FROM lines l JOIN items i ON i.page = l.page AND least(l.y1, i.y1) - greatest(l.y0, i.y0) > 0.5 * greatest(1.0, l.y1 - l.y0))
+"""
+
+
+def layout_items(spark: SparkSession, sf_dir: str, cited: bool = True) -> DataFrame:
+    """Boxes as items of a layout: fifty pages make a document. Some texts are empty, running headers, furniture or (if cited) headings in disguise."""
+    b = boxes(spark, sf_dir)
+    k, text = F.floor(F.col("n") / 10), F.col("kind") == "text"
+    box = F.struct("l", "r", "t", "b", F.lit("BOTTOMLEFT").alias("coord_origin"))
+    page = (F.col("page") % 50 + 1).cast("int")
+    label = F.when(text & (k % 17 == 0), "page_header").when(~F.lit(cited) & (F.col("label") == "list_item"), "text").otherwise(F.col("label"))
+    words = F.when(k % 11 == 0, " ").when(k % 11 == 1, "DOG Núm. 12").when(F.lit(cited) & (k % 11 == 2), F.concat(F.lit("B.2."), k % 9, F.lit(" Heading"))).otherwise(F.concat(F.lit("Item "), F.col("n")))
+    cell = lambda c, t: F.struct(F.lit(0).alias("start_row_offset_idx"), F.lit(c).alias("start_col_offset_idx"), t.alias("text"))
+    grid = F.struct(F.lit(1).alias("num_rows"), F.lit(2).alias("num_cols"), F.when(k % 4 == 1, F.array(cell(0, F.lit("a")), cell(1, F.col("n").cast("string")))).alias("table_cells"))
+    kinds = F.when(F.col("kind") == "text", 0).when(F.col("kind") == "table", 1).otherwise(2)
+    return b.select(
+        F.lpad(F.conv(F.floor(F.col("page") / 50), 10, 36), 3, "0").alias("doc"), "kind", kinds.alias("kind_order"), (F.col("page") % 50 * 100_000_000 + F.col("n")).alias("at"), page.alias("page"), box.alias("bbox"), label.alias("label"), F.when(text, words).alias("text"),
+        F.lit(None).cast("string").alias("marker"), F.when(k % 13 == 0, "furniture").otherwise("body").alias("content_layer"), F.lit(None).cast("array<struct<text:string>>").alias("captions"), F.when(F.col("kind") == "table", grid).alias("data"),
+        F.array(F.struct(page.alias("page_no"), box.alias("bbox"))).alias("prov"), F.col("page").alias("order"),
+    )
+
+
+SQL_ITEMS = """
+it AS (SELECT page, n, kind, l, r, t, b, label AS own, n // 10 AS k, CASE WHEN kind = 'text' AND n // 10 % 17 = 0 THEN 'page_header' ELSE label END AS label,
+ CASE WHEN n // 10 % 13 = 0 THEN 'furniture' ELSE 'body' END AS layer, CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END AS kind_order FROM boxes),
+fig AS (SELECT * FROM it o WHERE kind = 'picture' AND NOT EXISTS (SELECT 1 FROM it x WHERE x.kind = 'text' AND x.label IN (HEADS) AND INSIDE)),
+judged AS (SELECT *, CASE WHEN label = 'page_header' OR layer = 'furniture' THEN 'furniture'
+ WHEN kind = 'text' AND label <> 'caption' AND EXISTS (SELECT 1 FROM fig o WHERE INSIDE) THEN 'figure_labels'
+ WHEN kind = 'text' AND EXISTS (SELECT 1 FROM it o WHERE o.kind = 'table' AND INSIDE) THEN 'in_table'
+ WHEN kind = 'table' AND k % 4 <> 1 THEN 'tables_skipped' WHEN kind = 'text' AND k % 11 = 0 THEN 'empty' WHEN kind = 'text' AND k % 11 = 1 THEN 'running_header' END AS dropped FROM it x)
+""".replace("INSIDE", "x.page = o.page AND x.l >= o.l - 2 AND x.r <= o.r + 2 AND least(x.t, x.b) >= least(o.t, o.b) - 2 AND greatest(x.t, x.b) <= greatest(o.t, o.b) + 2")
+
+
+def pointing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of documents whose texts point elsewhere: two of five lines name an article, a figure or a law."""
+    k, t = F.col("seq") % 5, F.col("text")
+    return rec_docs(spark, sf_dir, False).withColumn("text", F.when(k == 0, F.concat(F.lit("véase artículo "), F.col("seq") % 90, F.lit(" y figura 3 "), t)).when(k == 1, F.concat(F.lit("Anexo B de la Ley 39/2015, "), t)).otherwise(t))
+
+
+SQL_POINTING = "pointing AS (SELECT * EXCLUDE (text, norm), CASE seq % 5 WHEN 0 THEN 'véase artículo ' || (seq % 90) || ' y figura 3 ' || text WHEN 1 THEN 'Anexo B de la Ley 39/2015, ' || text ELSE text END AS text FROM records)"

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from foliant import catalogue
+from foliant import queries as catalogue
 from foliant.operators import checks as C
 from foliant.operators import search as S
 
@@ -25,7 +25,7 @@ def shown(x):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query(spark, con, name):
     got = catalogue.QUERIES[name](spark, DATA)
     want = con.execute(catalogue.ORACLES[name])
