@@ -10,7 +10,8 @@ host, inside what the page declares as its content (article or main) as well, un
 bulk is more than half of the text outside links that the page would return else (of all its text, if all is links).
 
 Elements that are no content by their own markup (menus, forms, adverts, notices, comments, ...)
-go too, wherever they stand, which also covers hosts with few pages. What a page declares as its content is
+go too, wherever they stand, which also covers hosts with few pages. Names of class and id count token by token, and tell nothing
+where they hold nearly all prose of the page or its main element: that is a wrapper (has-sidebar, no-comments). What a page declares as its content is
 taken where there is any.
 
 Recurring subtrees are kept as sorted arrays of 64-bit keys of host and subtree, in files of about `SMALL` keys in the
@@ -60,6 +61,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Words that turn a class name round; "ad-free" and "no-comments" mark content.
+TURNED = frozenset("no non not has have with without free hide hidden disabled is before after".split())
+#: What an element that names marks as no content may hold of a page's prose, in percent.
+WRAPPER = 90
 
 
 def host_of(url: str | None) -> str:
@@ -69,6 +74,12 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def marks(token: str) -> bool:
+    """Whether a class or id says that an element isn't content: one of its words is such a word, and none turns it round."""
+    words = _WORD.findall(token)
+    return not WORDS.isdisjoint(words) and TURNED.isdisjoint(words)
+
+
 class Page:
     """Blocks of text in order, and the element subtrees with the blocks that each covers."""
 
@@ -79,11 +90,13 @@ class Page:
         self.linked: list[int] = []  # characters of each block that are in links
         #: (hash, first block, block after the last)
         self.subtrees: list[tuple[int, int, int]] = []
+        self.named: list[tuple[int, int, int]] = []  # elements that are no content by name: first block, block after the last, main elements inside
+        self.mains = 0
         self.run: list[str] = []
         self.links = self.in_links = 0  # open links, and characters of the run inside links
         self.state = [False, False]  # inside junk, inside main
-        # of each open element: tag, parts for the hash, first block, state outside
-        self.open: list[tuple[str, list[str], int, list[bool]]] = [("", [], 0, [False, False])]
+        # of each open element: tag, parts for the hash, first block, state outside, main elements before it if its name marks it (else -1)
+        self.open: list[tuple[str, list[str], int, list[bool], int]] = [("", [], 0, [False, False], -1)]
         self.parse(source or "")
 
     def parse(self, source: str) -> None:
@@ -151,12 +164,14 @@ class Page:
                     break
         named = " ".join("".join(x) for x in _NAMED.findall(attributes)).lower() if attributes else ""
         outside = self.state
-        junk = tag in JUNK or tag == "header" and not outside[1] or bool(named) and tag not in ("html", "body", "main") and not WORDS.isdisjoint(_WORD.findall(named))
+        junk = tag in JUNK or tag == "header" and not outside[1]
+        marked = bool(named) and tag not in ("html", "body", "main") and any(map(marks, named.split()))
         main = tag in MAIN or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None
-        self.open.append((tag, [f"<{tag} {named}>"], len(self.blocks), outside))
+        self.open.append((tag, [f"<{tag} {named}>"], len(self.blocks), outside, self.mains if marked else -1))
+        self.mains += main and tag != "article"
         self.links += tag == "a"
         if junk or main:
-            self.state = [outside[0] or junk, outside[1] or main and not junk]
+            self.state = [outside[0] or junk, outside[1] or main and not junk and not marked]
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -170,7 +185,7 @@ class Page:
                 return  # an inline end tag doesn't end a block
 
     def close(self) -> None:
-        tag, parts, first, outside = self.open[-1]
+        tag, parts, first, outside, mains = self.open[-1]
         if tag in BLOCK:
             self.flush()
         self.open.pop()
@@ -178,13 +193,21 @@ class Page:
         whole = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
         self.open[-1][1].append(f"{whole:x}")
         self.state = outside
+        if mains >= 0 and len(self.blocks) > first:
+            self.named.append((first, len(self.blocks), self.mains - mains))
         if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body"):
             self.subtrees.append((whole, first, len(self.blocks)))
 
     def returned(self) -> list[bool]:
         """Which blocks are text of the page by markup."""
-        declared = any(m and not j for m, j in zip(self.main, self.junk, strict=True))
-        return [not j and (m or not declared) for j, m in zip(self.junk, self.main, strict=True)]
+        junk = self.junk[:]
+        prose = [0 if j else len(t) - n for j, t, n in zip(junk, self.blocks, self.linked, strict=True)]
+        most = WRAPPER * sum(prose)
+        for first, last, mains in self.named:
+            if not mains and 100 * sum(prose[first:last]) <= most:
+                junk[first:last] = [True] * (last - first)
+        declared = any(m and not j for m, j in zip(self.main, junk, strict=True))
+        return [not j and (m or not declared) for j, m in zip(junk, self.main, strict=True)]
 
     def weights(self) -> np.ndarray:
         """Of each block: its characters outside links (or all, if the page has no others), 0 where markup drops it."""

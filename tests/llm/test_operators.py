@@ -118,6 +118,56 @@ def test_html_inside_article(spark):
     assert out[20] == "Brief\n\nGet our best stories by mail"
 
 
+def test_html_names_of_wrappers():
+    whole = "<p>Real story of some length here</p>"
+    text = lambda h: (lambda p: p.text(np.zeros(len(p.blocks), bool)))(html_text.Page(h))
+    for wrapper in ('<div class="site has-sidebar"><article>{}</article></div>', '<div class="no-comments">{}</div>', '<article class="post ad-free">{}</article>', '<div id="menu-page">{}</div>', '<div class="popup"><main>{}</main><p>Other prose that stands beside it</p></div>'):
+        assert "Real story" in text(wrapper.format(whole)), wrapper
+    assert text(f'{whole}<div class="site-sidebar"><p>Weather</p></div><div class="cookie_banner x">Cookies</div><div id="comments"><p>First!</p></div>') == "Real story of some length here"
+    assert text(f'<article>{whole}</article><section class="comments"><article class="comment"><p>{"I say so. " * 30}</p></article></section>') == "Real story of some length here"
+
+
+def brute_templates(pages):
+    """The rules of `templates` and `extract`, all pages in memory."""
+    parsed = [(html_text.Page(h), html_text.host_of(u)) for _, u, h in pages]
+    kinds = {}
+    for page, host in parsed:
+        kinds.setdefault((host, tuple(page.blocks)), []).append((page.keys(host).tobytes(), page.spans().tobytes(), page))
+    distinct = [(host, min(x, key=lambda y: y[:2])[2]) for (host, _), x in kinds.items() if x[0][2].subtrees]
+
+    def often(rows):
+        n = {}
+        for keys in rows:
+            for k in set(keys):
+                n[k] = n.get(k, 0) + 1
+        return {k for k, c in n.items() if c >= html_text.LEAST_PAGES}
+
+    recurring = often(p.keys(h).tolist() for h, p in distinct)
+    there = lambda p, h, some: p.spans()[[k in some for k in p.keys(h).tolist()]]
+    found = often([k for k in p.keys(h).tolist() if k in recurring] for h, p in distinct if html_text.covered(there(p, h, recurring), p.weights()) is not None)
+    out = []
+    for page, host in parsed:
+        gone = html_text.covered(there(page, host, found), page.weights()) if page.subtrees else None
+        out.append(page.text(np.zeros(len(page.blocks), bool) if gone is None else gone))
+    return out
+
+
+def test_html_against_brute_force(spark):
+    r = random.Random(6)
+    menus = {h: f"<div><p>{words_of('menu', h)}</p><p>short {h}</p></div>" for h in range(3)}
+    rows = []
+    for i in range(150):
+        h = r.randrange(3)
+        body = "".join(f"<p>{words_of('p', r.randrange(60))}</p>" for _ in range(r.randint(0, 5)))
+        rows.append((i, f"https://h{h}.example/{i}", f"<body>{menus[h] if r.random() < 0.8 else ''}<main>{body}{'<div>Written by our staff</div>' if r.random() < 0.5 else ''}</main></body>"))
+    rows += [(200 + i, *rows[0][1:]) for i in range(8)] + [(300, "https://h0.example/", "<p>" + "long words " * 20_000 + "</p>"), (301, None, "")]
+    got = html_texts(spark, rows)
+    want = brute_templates(rows)
+    assert [got[i] for i, _, _ in rows] == want
+    plain = [(lambda p: p.text(np.zeros(len(p.blocks), bool)))(html_text.Page(h)) for _, _, h in rows]
+    assert sum(a != b for a, b in zip(want, plain, strict=True)) > 30  # templates decide
+
+
 def test_toxicity(spark):
     clean = texts(200, 60)
     toxic = [(1000 + i, " ".join(random.choice(V) for _ in range(40)) + " grumble snarl " + " ".join(random.choice(V) for _ in range(5)) + " snarl") for i in range(90)]
