@@ -8,7 +8,8 @@ the sample scores by its log-odds, toxic or clean, any other by the prior's, whi
 cost less than `DRIFT` on average, all scores are lowered alike until they do, for the statistics
 need a negative mean. A linear scan (Ruzzo and Tompa, 1999) finds every maximal scoring segment of a text. Under clean text, segment scores follow an extreme-value law
 (Karlin and Altschul, 1990): with lambda solved from the clean token frequencies, a text of n tokens has
-K n exp(-lambda S) segments of score S or more. The segments of a text are joined by the sum statistic of
+K n exp(-lambda S) segments of score S or more. K is fitted to the best segments of the clean texts of the sample where it counts, in their tail: the
+`TAIL` quantile of the Gumbel law. The segments of a text are joined by the sum statistic of
 the r best (1993), for the best r. A logistic curve over that evidence, fitted on labelled rows, gives the score.
 What is fitted to sample documents sees each of them by the counts of all others: a token of one document alone tells nothing of it.
 
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from .common import fold, map_rows, stored, tidy
 
 SAMPLE = 20_000
-PRIOR, DRIFT, K = 5.0, 0.1, 0.1
+PRIOR, DRIFT, TAIL = 1.0, 0.5, 0.95
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 _TOKEN = re.compile(r"\w+")
 PASSAGE = "array<struct<first:int,last:int,score:double,expect:double>>"
@@ -100,6 +101,7 @@ class Table:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
+    k: float = 0.1
     slope: float = 0.0
     bias: float = -math.inf
     unseen: float = -DRIFT  # of tokens without a weight
@@ -134,7 +136,7 @@ class Model:
     def evidence(self, scores: list[float], n: int) -> float:
         """-ln of the probability of the best r segments under clean text, for the best r (0: none)."""
         best, x = 0.0, 0.0
-        norm = math.log(K * n) if n else 0.0
+        norm = math.log(self.k * n) if n else 0.0
         for r, s in enumerate(sorted(scores, reverse=True), 1):
             if (more := self.lam * s - max(norm, 0.0)) <= 0:
                 break
@@ -194,6 +196,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         low, high = (mid, high) if grown < 1 else (low, mid)
     model.lam = low
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column("text").to_pylist():
+                words = tokens(t)
+                if found := model.segments(words, table.weights(words, 0)):
+                    out.append(model.lam * max(x for _, _, x in found) - math.log(len(words)))
+            yield pa.RecordBatch.from_pydict({"x": pa.array(out, pa.float64())})
+
+    at = sample.filter("toxic = 0").select("text").mapInArrow(tidy(best), "x double").agg(F.percentile("x", TAIL)).first()[0]  # of the bounded sample
+    if at is not None:
+        model.k = math.exp(at + math.log(-math.log(TAIL)))
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = []
@@ -234,7 +249,7 @@ def assess(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
                 words = tokens(t.as_py())
                 found = model.segments(words)
                 scores.append(model.score(model.evidence([x for _, _, x in found], len(words))))
-                expect = [(a, b, x, K * len(words) * math.exp(-model.lam * x)) for a, b, x in found]
+                expect = [(a, b, x, model.k * len(words) * math.exp(-model.lam * x)) for a, b, x in found]
                 passages.append([dict(zip(("first", "last", "score", "expect"), p, strict=True)) for p in expect if p[3] <= 0.05])
             out = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays(out, [*keep, *added])
