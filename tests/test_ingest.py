@@ -97,5 +97,14 @@ def test_files(spark, folder, tmp_path):
 
 
 def test_stream(spark, folder, tmp_path):
-    arrivals.follow(spark, folder, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").filter("doc = 'MYD'").count() > 10
+    import shutil
+
+    inbox, out, check = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/check"
+    shutil.copytree(folder, inbox)
+    arrivals.follow(spark, str(inbox), out, check).awaitTermination()
+    first = arrivals.arrived(spark, out).filter("doc = 'MYD'").count()
+    assert first > 10 and arrivals.compact(spark, out).filter("doc = 'MYD'").count() == first
+    shutil.copy(inbox / "My-Doc.json", inbox / "Next.json")
+    arrivals.follow(spark, str(inbox), out, check).awaitTermination()
+    assert arrivals.arrived(spark, out).filter("doc = 'NEX'").count() == first and arrivals.arrived(spark, out).filter("doc = 'MYD'").count() == first
+    assert arrivals.compact(spark, out).count() == arrivals.arrived(spark, out).count() >= 2 * first
