@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import ORACLES, QUERIES, query
+from .functions import text as X
 from .operators import analytics as A
 from .operators import evidence as E
 from .operators import gates as T
@@ -56,6 +57,12 @@ def search_unwired(spark, d):
     return rows.select("rank", "score", "section_id", F.array_join("ancestors", " > ").alias("ancestors"), F.array_join("matched_children", "|").alias("children"))
 
 
+@query(_FOUND + "SELECT f.rank, to_json(struct_pack(section_id := f.section_id, score := f.score, ancestors := coalesce((SELECT list(a.text ORDER BY a.k) FROM above a WHERE a.section_id = f.section_id), []))) AS answer FROM found f")
+def search_answer_json(spark, d):
+    rows = S.ranked(_found(spark, d), F.desc("score"), "seq")
+    return rows.select("rank", F.to_json(F.struct("section_id", "score", "ancestors")).alias("answer"))
+
+
 # --- gates over content ---
 
 _SAID = f"WITH {P.SQL_DOCS}, said AS (SELECT * EXCLUDE (text), CASE seq % 7 WHEN 0 THEN text || ' ≥ 30 º y 45º' WHEN 1 THEN '± 7 m 2 o 120 m de ' || text WHEN 2 THEN 'Pág. ' || (seq % 1000) WHEN 3 THEN text || ' ISSN 1130' ELSE text END AS text FROM records) "
@@ -147,6 +154,24 @@ def ingest_records(spark, d):
     return I.build(P.layout_items(spark, d, False)).select("seq", "id", "doc", "page", "parent_id", "label", "text", "norm")
 
 
+@query(f"""WITH {P.SQL_BOXES}, {P.SQL_ITEMS.replace('HEADS', _HEADS)}, kept AS (SELECT *, kind = 'text' AND (label = 'section_header' OR label IN ('list_item', 'text') AND k % 11 = 2) AS head FROM judged WHERE dropped IS NULL)
+SELECT 'promoted_headings' AS what, count(*) FILTER (WHERE head AND label <> 'section_header') AS n FROM kept UNION ALL SELECT 'unnumbered_headings', count(*) FILTER (WHERE head AND k % 11 <> 2) FROM kept
+UNION ALL SELECT 'unaddressed_items', count(*) FILTER (WHERE kind = 'text' AND NOT head) FROM kept UNION ALL SELECT 'figure_boxes_disqualified', (SELECT count(*) FROM it WHERE kind = 'picture') - (SELECT count(*) FROM fig)""")
+def ingest_counters(spark, d):
+    return I.counters(P.layout_items(spark, d))
+
+
+_PLANT = "muros -altos o bajos- con R d y C 1 de 45 m? a\uf0b1b "
+
+
+@query(f"WITH {P.SQL_DOCS} SELECT id, trim('muros -altos o bajos- con rd y c1 de 45 m2 a±b ' || norm) AS norm FROM records WHERE NOT contains(text, '-') UNION ALL SELECT id || '+', trim('cuatro ' || norm) FROM records WHERE NOT contains(text, '-') UNION ALL SELECT id || '-', trim('ventanal ' || norm) FROM records WHERE NOT contains(text, '-')")
+def norm_planted(spark, d):
+    """Lines led by what each step of the normal form acts on: dashes of a parenthesis, cut words, glyphs, subscripts, units."""
+    r = P.rec_docs(spark, d, False).filter("NOT contains(text, '-')")
+    norm = lambda lead: X.normalize(F.concat(F.lit(lead), "text")).alias("norm")
+    return r.select("id", norm(_PLANT)).unionByName(r.select(F.concat("id", F.lit("+")).alias("id"), norm("cua- tro "))).unionByName(r.select(F.concat("id", F.lit("-")).alias("id"), norm("venta -nal ")))
+
+
 # --- optical words ---
 
 
@@ -187,6 +212,12 @@ free AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM rows r JOIN items i ON
 g AS (SELECT *, k - row_number() OVER (PARTITION BY page, block_num, line_num ORDER BY k) AS run FROM free) """
 
 
+@query(f"WITH {P.SQL_WORDS}, {P.SQL_PIXELS} SELECT w.page, w.n, i.n AS item FROM words w JOIN items i ON i.page = w.page AND w.x + w.w / 2.0 BETWEEN i.x0 - 4 AND i.x1 + 4 AND w.y + w.h / 2.0 BETWEEN i.y0 - 4 AND i.y1 + 4 WHERE trim(w.text) <> '' AND conf >= 40")
+def words_of_items(spark, d):
+    w, i = O.kept_words(P.words(spark, d)).alias("w"), P.pixel_items(spark, d).alias("i")
+    return w.join(i, (F.col("w.page") == F.col("i.page")) & O.centre_inside("w", "i")).select("w.page", "w.n", F.col("i.n").alias("item"))
+
+
 @query(_FREE + "SELECT page, block_num, line_num, min(k) AS first, count(*) AS words, string_agg(trim(text), ' ' ORDER BY k) AS text FROM g GROUP BY page, block_num, line_num, run HAVING count(*) >= 2")
 def unclaimed_runs(spark, d):
     return O.unclaimed_runs(O.lines(P.words(spark, d)), P.pixel_items(spark, d), 2).select("page", "block_num", "line_num", F.col("first").cast("long").alias("first"), "words", "text")

@@ -81,7 +81,7 @@ def prepared(items: DataFrame) -> DataFrame:
         .when((F.col("kind") == "text") & (bare == ""), "running_header")
     )
     promoted = (F.col("kind") == "text") & label.isin("list_item", "text") & (F.length(bare) <= X.HEADING_LENGTH) & bare.rlike(X.HEADING)
-    x = x.select(*key, "kind_order", "page", "bbox", "marker", drop.alias("dropped"), body.alias("body"), F.when(F.col("kind") != "text", F.col("kind")).when(promoted, "section_header").otherwise(label).alias("label"), caption_cite.alias("caption_cite"))
+    x = x.select(*key, "kind_order", "page", "bbox", "marker", drop.alias("dropped"), body.alias("body"), F.when(F.col("kind") != "text", F.col("kind")).when(promoted, "section_header").otherwise(label).alias("label"), label.alias("was"), caption_cite.alias("caption_cite"))
     head = X.parse_cite(F.col("body"))
     own = F.trim(F.coalesce("marker", F.lit("")))
     inline = F.when(F.col("label") == "list_item", F.regexp_extract("body", X.INLINE_MARKER, 1)).otherwise("")
@@ -90,7 +90,7 @@ def prepared(items: DataFrame) -> DataFrame:
     cite = F.when(F.col("kind") != "text", F.col("caption_cite")).when(is_head, F.col("head.cite")).when(X.is_marker(own), own).otherwise(inline)
     top = F.when(F.col("bbox.coord_origin") == "BOTTOMLEFT", -F.col("bbox.t")).otherwise(F.col("bbox.t"))
     return x.withColumn("cite", F.coalesce(cite, F.lit(""))).select(
-        *key, "kind_order", "page", "dropped", "label", "body", "cite", X.cite_path(F.col("cite")).alias("path"), F.coalesce("head.kind", F.lit("")).alias("cite_kind"), F.coalesce("head.rank", F.lit(0)).alias("rank"),
+        *key, "kind_order", "page", "dropped", "label", "was", "body", "cite", X.cite_path(F.col("cite")).alias("path"), F.coalesce("head.kind", F.lit("")).alias("cite_kind"), F.coalesce("head.rank", F.lit(0)).alias("rank"),
         F.bround(F.coalesce(top, F.lit(0.0)) / BAND).alias("band"), F.coalesce("bbox.l", F.lit(0.0)).alias("left"),
     )
 
@@ -184,6 +184,19 @@ def tally(items: DataFrame) -> DataFrame:
     return x.groupBy(what.alias("what")).agg(F.count("*").alias("n"))
 
 
+def counters(items: DataFrame) -> DataFrame:
+    """(what, n): headings that were list items or texts, headings and other items without a cite, and picture boxes that are no figures."""
+    x = prepared(items).filter("dropped IS NULL")
+    head = (F.col("kind") == "text") & (F.col("label") == "section_header")
+    kept = x.agg(
+        F.count_if(head & ~F.coalesce(F.col("was") == "section_header", F.lit(False))).alias("promoted_headings"), F.count_if(head & (F.col("cite_kind") == "")).alias("unnumbered_headings"),
+        F.count_if((F.col("kind") == "text") & ~head & (F.col("cite") == "")).alias("unaddressed_items"),
+    )
+    boxes = _boxes(items, "picture").agg(F.count("*").alias("all")).join(figures(items).agg(F.count("*").alias("true"))).select((F.col("all") - F.col("true")).alias("figure_boxes_disqualified"))
+    names = ("promoted_headings", "unnumbered_headings", "unaddressed_items", "figure_boxes_disqualified")
+    return kept.join(boxes).select(F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.col(n).alias("n")) for n in names))).alias("x")).select("x.*")
+
+
 def provenance(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     """Ranges of all pages with their source, by document code."""
     return gap_fill(ocr, pages).select(X.doc_code(F.col("doc")).alias("doc"), "page_from", "page_to", "source")
