@@ -213,6 +213,31 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in m.segments(words)] == brute(s)
 
 
+def test_ties_and_repeated_rows(spark):
+    """Segments of equal scores are all reported; rows of one text get one verdict, whatever their ids."""
+    m = toxicity.Model({"p": 1.0})
+    assert [(a, b) for a, b, _ in m.segments(["p", *["n"] * 30, "p", *["n"] * 30, "p"])] == [(0, 0), (31, 31), (62, 62)]
+    assert m.evidence([2.0, 2.0], 10) == m.evidence([2.0, 2.0][::-1], 10)
+    rows = texts(40, 30)
+    rows += [(1000 + i, t) for i, t in rows] + [(None, t) for _, t in rows[:5]]
+    known = labels(spark, [(i, 1, i % 2) for i in range(40)])
+    docs = spark.createDataFrame([(*r, "a" if r[0] and r[0] % 2 else "b") for r in rows], "doc_id long, text string, lang string")
+    for out, column in ((quality.assess(docs, known), "score"), (quality.assess(docs, known), "kept"), (toxicity.assess(docs, known), "toxicity"), (langid.identify(docs, langid.fit(docs)), "lang_score")):
+        seen = {}
+        for r in out.select("text", column).collect():
+            assert seen.setdefault(r.text, r[column]) == pytest.approx(r[column], abs=1e-6)
+    at = quality.assess(docs, known)
+    assert at.filter("NOT base_failed AND kept <> (score >= -0.3)").count() == 0
+
+
+def test_very_long_pages_are_archived(spark):
+    r = random.Random(8)
+    long = "<p>" + " ".join(r.choice(V) for _ in range(600_000)) + "</p>"
+    rows = [(i, "u", f"{long if i in (3, 7) else 'x' * i}") for i in range(10)] + [(20, "u", long + "more")]
+    got = {x.page_id: x for x in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].record_type == "revisit" and got[3].refers_to == 7 and bytes(got[7].payload).decode() == long and got[20].full_length == len(long) + 4
+
+
 def test_sharding(spark):
     rows = frame(spark, texts(300) + ODD).repartition(3)
     store = sharding.shard(rows, small=2000, fan_in=3, target=20000)
