@@ -19,7 +19,7 @@ __all__ = ["ascii_lower", "fold", "map_rows", "named", "shared_path", "shared_ro
 #: White space that parts words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes that a worker may hold between tasks without giving any back.
-KEPT, PAGE = 160 << 20, os.sysconf("SC_PAGE_SIZE")
+KEPT, PAGE = 128 << 20, os.sysconf("SC_PAGE_SIZE")
 #: Rows of an Arrow batch in place of Spark's default of 10,000: whole texts are rows of some kilobytes, and each task holds a few batches on both sides.
 BATCH, ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), "2000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
