@@ -180,7 +180,7 @@ def ocr_lines(spark, d):
     return O.lines(P.words(spark, d)).select("page", "block_num", "line_num", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"), "text")
 
 
-_HEAD = f"WITH {P.SQL_WORDS}, heads AS (SELECT page, block_num, line_num, arg_min(trim(text), x * 10000000 + n) AS text, min(x) * CAST(0.24 AS DOUBLE) AS l, arg_min(y, x * 10000000 + n) * CAST(0.24 AS DOUBLE) AS top FROM words WHERE trim(text) <> '' GROUP BY ALL) "
+_HEAD = f"WITH {P.SQL_WORDS}, heads AS (SELECT page, block_num, line_num, arg_min(trim(text), x * 10000000 + n) AS text, min(x) * CAST(0.36 AS DOUBLE) AS l, arg_min(y, x * 10000000 + n) * CAST(0.36 AS DOUBLE) AS top FROM words WHERE trim(text) <> '' GROUP BY ALL) "
 
 
 @query(_HEAD + "SELECT page, block_num, line_num, text, round(l, 6) AS l, round(top, 6) AS top FROM heads")
@@ -244,7 +244,7 @@ def page_pictures(spark, d):
     return O.figures_of_pages(b, pages).select("page", "n")
 
 
-@query(f"WITH {P.SQL_BOXES} SELECT page, n, round(l * 300 / 72.0, 6) AS x0, round((842 - greatest(t, b)) * 300 / 72.0, 6) AS y0, round(l, 6) AS l, round(greatest(t, b), 6) AS t FROM boxes")
+@query(f"WITH {P.SQL_BOXES} SELECT page, n, round(l * 200 / 72.0, 6) AS x0, round((842 - greatest(t, b)) * 200 / 72.0, 6) AS y0, round(l, 6) AS l, round(greatest(t, b), 6) AS t FROM boxes")
 def pixel_boxes(spark, d):
     """Boxes in pixels, and back again."""
     b = P.boxes(spark, d).withColumn("px", O.to_pixels(F.col("l"), F.col("r"), F.col("t"), F.col("b"), F.lit(842.0)))

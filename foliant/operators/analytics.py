@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[a-záéíóúüñ]{5,}"
+#: Frequent words of legal texts that tell no section from another, and how many terms an index line has.
+STOP_WORDS = (
+    "acuerdo", "casos", "condiciones", "considera", "correspondiente", "correspondientes", "cualquier", "cuando", "debera", "deberan", "deben", "desde", "dicha", "dicho", "entre", "establece",
+    "establecido", "forma", "hasta", "menos", "misma", "mismo", "otras", "otros", "partes", "puede", "pueden", "segun", "siempre", "sobre", "todas", "todos",
+)
+INDEX_TERMS = 8
 
 
 def terms(r: DataFrame, column: str = "norm") -> DataFrame:
@@ -29,6 +35,11 @@ def tfidf(r: DataFrame, stop: list[str] = [], top: int | None = None, column: st
     return out.select("doc", "section_id", "term", "tf", "df", "weight")
 
 
+def index_terms(r: DataFrame, top: int = INDEX_TERMS, column: str = "text") -> DataFrame:
+    """The terms of an index line of each section, by weight and then by first occurrence."""
+    return tfidf(r, stop=list(STOP_WORDS), top=top, column=column)
+
+
 def distinct_terms(r: DataFrame, top: int = 25) -> DataFrame:
     """The most frequent terms of each document, without those that every document has."""
     tf = terms(r).groupBy("doc", "term").agg(F.count("*").alias("tf"))

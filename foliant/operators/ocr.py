@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import marker_ordinal
 from .geometry import inside
 
-DPI, LEAST_CONF, PAD, CENTRE_PAD = 300, 40.0, 2.0, 4.0
-PAGE_SHARE, TALL, MORE_WORDS, RUN, BAND_PIXELS = 0.5, 1.8, 2, 3, 75
+DPI, LEAST_CONF, PAD, CENTRE_PAD = 200, 40.0, 2.0, 4.0
+PAGE_SHARE, TALL, MORE_WORDS, RUN, BAND_PIXELS = 0.5, 1.8, 3, 3, 75
 GUTTER, LEVELS = (60.0, 140.0), (92.0, 108.0)
 #: Characters taken for one another in markers, the shape of a marker, and of one at the start of a text.
 CONFUSED = ("¢©€{(º°»|I!}]>·,", "cccccooolll)))..")

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from foliant import registry
+from foliant.operators import analytics as A
 from foliant.operators import evidence as E
 from foliant.operators import gates as T
 from foliant.operators import ocr as O
@@ -100,6 +101,12 @@ def test_index_lines_and_routes(spark, tmp_path):
     assert {(x.ref, x.hits, x.routed) for x in E.routed_hits(lines, sections, "puerta").collect()} == {("D:p1", 1, True), ("D:p3", 1, False)}
 
 
+def test_index_terms_leave_stop_words_out(spark):
+    r = records(spark, [("D:p1:1", "D", 1, "", "", "text", "Puertas entre puertas sobre pasillo", ""), ("D:p1:2", "D", 1, "", "", "text", "rampa Rampa entre ventana", ""), ("D:p1:3", "D", 1, "", "", "text", "ventana sobre escalera", "")])
+    got = {(x.section_id, x.term): x["rank"] for x in A.index_terms(r, 2).collect()}
+    assert got == {("D:p1:1", "puertas"): 1, ("D:p1:1", "pasillo"): 2, ("D:p1:2", "rampa"): 1, ("D:p1:2", "ventana"): 2, ("D:p1:3", "escalera"): 1, ("D:p1:3", "ventana"): 2}
+
+
 def test_wire_and_back(spark):
     rows = [("D:p1:1", "", "Raíz"), ("D:p1:1.1", "D:p1:1", "Norte"), ("D:p1:§1", "D:p1:1.1", "paso ancho"), ("D:p2:§1", "D:p1:1.1", "paso puerta ancho"), ("D:p1:1.2", "D:p1:1", "Sur"), ("D:p3:§1", "D:p1:1.2", "ancho paso"), ("E:p1:1", "", "paso ancho")]
     r = records(spark, [(i, i[0], 1, "", p, "text", t, t.lower()) for i, p, t in rows])
