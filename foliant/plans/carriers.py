@@ -44,11 +44,15 @@ _CORPORA: dict[tuple, str] = {}
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of `rec_docs` as a stored table, norm included: built once for a session and a state of the input, as an ingest does, then read by every search."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = source.getFileSystem(conf).getFileStatus(source)
     key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime())
-    if key not in _CORPORA:
-        _CORPORA[key] = build_corpus(spark, sf_dir)
+    if key in _CORPORA:
+        done = jvm.org.apache.hadoop.fs.Path(f"{_CORPORA[key]}/_SUCCESS")
+        if done.getFileSystem(conf).exists(done):
+            return spark.read.parquet(_CORPORA[key])
+    _CORPORA[key] = build_corpus(spark, sf_dir)
     return spark.read.parquet(_CORPORA[key])
 
 
