@@ -23,8 +23,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this session's part of the shared folder, which goes when the session ends."""
+    mine = f"{shared_root(spark)}/foliant-{spark.sparkContext.applicationId}"
+    fs, at = _files(spark, mine)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what `stored` wrote for these tables. Nothing may read them any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            fs, at = _files(df.sparkSession, folder)
+            fs.delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, *order, name: str = "rank", kind: str = "int") -> DataFrame:
     """The rows with their place (from 1) in an order of all rows.
 
     Rows are sorted by ranges and numbered within each; what is added up over all is one count a range, so no task holds all rows.
@@ -47,5 +67,5 @@ def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     rows = rows.withColumn(part, F.shiftright(at, 33))
     counts = rows.groupBy(part).agg(F.count("*").alias("__rank_n"))
     before = counts.select(part, (F.sum("__rank_n").over(Window.orderBy(part)) - F.col("__rank_n")).alias("__rank_before"))
-    place = (F.col("__rank_before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).cast("int")
+    place = (F.col("__rank_before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).cast(kind)
     return rows.join(F.broadcast(before), part).withColumn(name, place).drop(at, part, "__rank_before")
