@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_path, shared_root, stored
+from ..storage import dropped, ranked, shared_path, shared_root, stored
 
-__all__ = ["ascii_lower", "fold", "map_rows", "named", "shared_path", "shared_root", "stored", "table", "tidy", "words"]
+__all__ = ["ascii_lower", "dropped", "fold", "map_rows", "named", "ranked", "shared_path", "shared_root", "stored", "table", "tidy", "words"]
 
 #: White space that parts words: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, warc, winnow
-from .common import fold, table
+from . import html_text, importance, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, vector_codes, warc, winnow
+from .common import fold, stored, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -124,6 +124,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.weigh(docs, table(spark, sf_dir, "benchmark").select("text")).drop("text")
+    return importance.draw(out).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    out, books = vector_codes.compress(vectors)
+    coded = stored(out.select("vec_id", "label", "coded.code", "coded.error"), "coded")
+    by_label = vector_codes.label_errors(coded, "label", F.col("error"))
+    code = F.array_join(F.transform("code", lambda k: F.lpad(F.lower(F.hex(k)), 2, "0")), "")
+    same = coded["label"].eqNullSafe(by_label["label"])
+    return coded.join(by_label, same).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).alias("codebooks_sha256"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
@@ -148,3 +166,27 @@ links AS (SELECT x, y FROM shared JOIN size a ON a.doc_id = x JOIN size b ON b.d
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds written out, one after another. Doubles are exact here: distances of these vectors stay far below 2^53."""
+    kept = """
+WITH x AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM x, range(4) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM parts WHERE r <= 256)"""
+    near = """,
+near{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS n FROM (
+  SELECT a.r, a.p, b.e, list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v) AS d FROM parts a JOIN book{i} b ON a.p = b.p) GROUP BY ALL)"""
+    moved = """,
+means{j} AS (SELECT p, e, list(m ORDER BY k) AS v FROM (SELECT a.p, n.n.e AS e, k, floor(sum(a.v[k]) / count(*)) AS m FROM parts a JOIN near{i} n ON a.r = n.r AND a.p = n.p, unnest(range(1, len(a.v) + 1)) u(k) GROUP BY ALL) GROUP BY ALL),
+book{j} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN means{j} m ON b.p = m.p AND b.e = m.e)"""
+    rounds = "".join(near.format(i=i) + moved.format(i=i, j=i + 1) for i in range(4)) + near.format(i=4)
+    return kept + rounds + """,
+done AS (SELECT x.vec_id, x.label, string_agg(lpad(lower(to_hex(n.n.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(n.n.d) AS BIGINT) AS error FROM x JOIN near4 n ON n.r = x.r GROUP BY x.r, x.vec_id, x.label),
+sha AS (SELECT sha256(string_agg(CAST(CAST(v[k] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, k)) AS s FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS k FROM book4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT s FROM sha) AS codebooks_sha256 FROM done
+"""
+
+
+SQL["op12_vector_codes"] = _codes_sql()
