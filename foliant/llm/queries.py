@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, importance, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, vector_codes, warc, winnow
+from . import html_text, importance, kneser_ney, langid, pieces, quality, setjoin, sharding, toxicity, vector_codes, warc, webp, winnow
 from .common import fold, stored, table
 
 Q: dict = {}
@@ -142,6 +142,23 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.join(by_label, same).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).alias("codebooks_sha256"))
 
 
+@query
+def op13_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media are a table in the shared folder, read back before they are decoded."""
+    media = stored(webp.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    back = webp.from_media(media)
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -webp.ROW, webp.ROW)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
