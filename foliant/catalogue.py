@@ -38,10 +38,8 @@ found AS (SELECT s.score, r.seq, r.doc, r.page, s.section_id, s.children, row_nu
 SELECT {extra or 'rank, score, doc, page, section_id, children'} FROM found"""
 
 
-def ranked(records: DataFrame, terms: list[str]) -> DataFrame:
-    found = S.section_scores(records, terms)
-    heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
-    rows = numbered(found.join(heads, "section_id"), F.desc("score"), "seq")
+def ranked(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    rows = numbered(S.search_indexed(P.term_index(spark, d), P.corpus(spark, d), terms), F.desc("score"), "seq")
     return rows.select("rank", "score", "doc", "page", "section_id", F.array_join("children", "|").alias("children"))
 
 
@@ -50,27 +48,36 @@ TERMS = ["the", "ion", "er"]
 
 @query(ranked_sql(TERMS))
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(P.corpus(spark, d), TERMS)
+    return ranked(spark, d, TERMS)
+
+
+@query(ranked_sql(TERMS))
+def search_scanned(spark, d):
+    """The same answer without postings: one scan of all norms."""
+    records = P.corpus(spark, d)
+    heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
+    rows = numbered(S.section_scores(records, TERMS).join(heads, "section_id"), F.desc("score"), "seq")
+    return rows.select("rank", "score", "doc", "page", "section_id", F.array_join("children", "|").alias("children"))
 
 
 @query(ranked_sql(["thre", "thre"]))
 def search_dup_terms(spark, d):
-    return ranked(P.corpus(spark, d), ["Thré", "thre"])
+    return ranked(spark, d, ["Thré", "thre"])
 
 
 @query("SELECT 0 AS rank, 0 AS score, '' AS doc, 0 AS page, '' AS section_id, '' AS children WHERE false")
 def search_single_term_empty(spark, d):
-    return ranked(P.corpus(spark, d), ["the"])
+    return ranked(spark, d, ["the"])
 
 
 @query(ranked_sql(["th\\.", "er\\."]))
 def search_metachar(spark, d):
-    return ranked(P.corpus(spark, d), ["th.", "er."])
+    return ranked(spark, d, ["th.", "er."])
 
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id, coalesce(string_agg(t, ' > ' ORDER BY distance DESC), '') AS chain FROM (SELECT up.id, up.distance, h.text AS t FROM up JOIN hier h ON h.id = up.ancestor_id WHERE up.id LIKE 'H:p1:C%') GROUP BY id")
 def ancestor_chain(spark, d):
-    h = P.hier(spark, d)
+    h = P.hier_corpus(spark, d)
     ids = h.filter("id LIKE 'H:p1:C%'").select("id")
     return S.chain_texts(ids, S.ancestry(h, ids=ids), h).select("id", F.array_join("ancestors", " > ").alias("chain"))
 
@@ -83,26 +90,40 @@ def ancestor_chain_all(spark, d):
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id, CAST(max(distance) AS INTEGER) AS depth FROM up GROUP BY id")
 def depth(spark, d):
-    return S.ancestry(P.hier(spark, d)).groupBy("id").agg(F.max("distance").alias("depth"))
+    return S.roots(P.hier_corpus(spark, d)).filter("depth > 0").select("id", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"WITH {P.SQL_DOCS}, lined AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS g FROM records) SELECT id, first_value(id) OVER (PARTITION BY g // {P.LEVELS} ORDER BY g) AS root, g % {P.LEVELS} AS depth FROM lined")
+def chain_roots(spark, d):
+    """Chains of ten thousand levels: where each ends, and how deep each record stands."""
+    return S.roots(P.line_chain(spark, d))
+
+
+@query(f"WITH {P.SQL_DOCS}, lined AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS g FROM records), last AS (SELECT arg_max(id, g) AS id, max(g) % {P.LEVELS} AS n, max(g) AS g FROM lined GROUP BY g // {P.LEVELS}) SELECT last.id, x.id AS ancestor_id, CAST(last.g - x.g AS INTEGER) AS distance FROM last JOIN lined x ON x.g < last.g AND x.g // {P.LEVELS} = last.g // {P.LEVELS}")
+def chain_ancestors(spark, d):
+    """All that stands above the last record of each chain."""
+    rows = P.line_chain(spark, d)
+    above = rows.select(F.col("parent_id").alias("id")).distinct()
+    return S.ancestry(rows, ids=rows.join(above, "id", "left_anti").select("id"))
 
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT up.id, arg_min(up.ancestor_id, up.distance) AS header_id FROM up JOIN hier h ON h.id = up.ancestor_id WHERE h.label = 'section_header' GROUP BY up.id")
 def governing_header(spark, d):
-    h = P.hier(spark, d)
+    h = P.hier_corpus(spark, d)
     heads = h.filter("label = 'section_header'").select(F.col("id").alias("ancestor_id"))
     return S.ancestry(h).join(heads, "ancestor_id").groupBy("id").agg(F.min_by("ancestor_id", "distance").alias("header_id"))
 
 
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id FROM up WHERE ancestor_id = 'H:p1:N3'")
 def descends_from(spark, d):
-    return S.ancestry(P.hier(spark, d)).filter("ancestor_id = 'H:p1:N3'").select("id")
+    return S.ancestry(P.hier_corpus(spark, d)).filter("ancestor_id = 'H:p1:N3'").select("id")
 
 
 GET = ["H:p1:N3", "H:p1:R1,R0", "nope", "H:p1:N3", "x,y"]
 
 
 def _got(spark, d):
-    h = P.hier(spark, d)
+    h = P.hier_corpus(spark, d)
     return S.get(h, GET)
 
 
@@ -122,17 +143,17 @@ def get_unknown_ids(spark, d):
 
 @query(f"WITH {P.SQL_DOCS} SELECT r.seq, r.id, r.doc, r.page, coalesce(p.text, '') AS ancestors FROM records r LEFT JOIN records p ON p.id = r.parent_id WHERE r.cite = 'A.3'")
 def get_by_cite_all(spark, d):
-    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3").withColumn("ancestors", F.array_join("ancestors", " > "))
+    return S.get_by_cite(P.corpus(spark, d), "A.3").withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
 @query(f"WITH {P.SQL_DOCS} SELECT r.seq, r.id, r.doc, r.page, coalesce(p.text, '') AS ancestors FROM records r LEFT JOIN records p ON p.id = r.parent_id WHERE r.cite = 'A.3' AND r.doc = 'D2'")
 def get_by_cite_doc(spark, d):
-    return S.get_by_cite(P.rec_docs(spark, d, False), "A.3", "D2").withColumn("ancestors", F.array_join("ancestors", " > "))
+    return S.get_by_cite(P.corpus(spark, d), "A.3", "D2").withColumn("ancestors", F.array_join("ancestors", " > "))
 
 
 @query(f"WITH {P.SQL_DOCS} SELECT seq, id, label, text FROM records WHERE doc = 'D2' AND page = 1")
 def get_page(spark, d):
-    r = P.rec_docs(spark, d)
+    r = P.corpus(spark, d)
     return S.get_page(r, P.prov(r), "D2", 1)
 
 

@@ -31,7 +31,7 @@ _CHAINS = "SELECT f.rank, f.score, f.section_id, coalesce((SELECT string_agg(a.t
 
 
 def _found(spark, d):
-    return S.search(P.hier(spark, d), ORDERS)
+    return S.search(P.hier_corpus(spark, d), ORDERS)
 
 
 @query(_FOUND + _CHAINS)

@@ -5,15 +5,19 @@ records: seq long (reading order), id, doc, page, cite, parent_id, label, text,
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_terms, term_pattern
-from ..storage import ranked, stored
+from ..storage import dropped, ranked, stored
 
 FLOOR = 2
+#: Rows that a walk upwards broadcasts, levels that it takes one by one before it jumps, rounds of jumps at most (2^40 levels).
+SMALL, STEPS, JUMPS = 100_000, 12, 40
 
 
 class UnknownPageError(ValueError):
@@ -36,33 +40,190 @@ def section_scores(records: DataFrame, terms: list[str], floor: int = FLOOR) ->
     return rows.groupBy("section_id").agg(score.alias("score"), F.transform(F.array_sort(F.collect_set(member)), lambda x: x["id"]).alias("children")).filter(F.col("score") >= floor)
 
 
-def search(records: DataFrame, terms: list[str], chains: DataFrame | None = None) -> DataFrame:
-    """Sections by score, then reading order: rank, score, doc, page, ancestors (root first), section_id, matched_children."""
-    found = section_scores(records, terms)
-    heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
-    out = found.join(heads, "section_id")
+def search(records: DataFrame, terms: list[str], chains: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Sections by score, then reading order: rank, score, doc, page, ancestors (root first), section_id, matched_children. With postings the records' norms aren't scanned."""
+    if index is None:
+        heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
+        out = section_scores(records, terms).join(heads, "section_id")
+    else:
+        out = search_indexed(index, records, terms)
+    out = stored(out, "sections")
     ids = out.select(F.col("section_id").alias("id"))
     above = chain_texts(ids, chains if chains is not None else ancestry(records, ids=ids), records)
     out = out.join(above.withColumnRenamed("id", "section_id"), "section_id", "left")
     return out.select("score", "seq", "doc", "page", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"), "section_id", F.col("children").alias("matched_children")).orderBy(F.desc("score"), "seq")
 
 
+def postings(records: DataFrame) -> DataFrame:
+    """A row for each distinct word of a record, with what an answer says about the record and its section. Records of unknown sections are never found and have none."""
+    section = F.when(F.col("parent_id") == "", F.col("id")).otherwise(F.col("parent_id"))
+    rows = records.filter("norm <> ''").select("seq", "id", section.alias("section_id"), (F.col("parent_id") != "").alias("child"), F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)(\w+)"))).alias("words"))
+    heads = records.select(F.col("id").alias("section_id"), F.col("seq").alias("section_seq"), "doc", "page")
+    words = rows.join(heads, "section_id").select(F.explode_outer("words").alias("word"), "seq", "id", "child", "section_id", "section_seq", "doc", "page").filter("word IS NOT NULL")
+    return words.select(F.ascii("word").alias("initial"), "*")
+
+
+def write_postings(records: DataFrame, path: str) -> None:
+    """Stores postings by the first letter, sorted by word within and across files: a term reads the files whose range of words it falls in.
+
+    Ranges are cut by word and place, so a word of a third of all records has many files.
+    """
+    postings(records).repartitionByRange("initial", "word", "seq").sortWithinPartitions("initial", "word", "seq").write.partitionBy("initial").parquet(path)
+
+
+def word_lead(term: str) -> str:
+    """The letters and digits that a term begins with."""
+    return "".join(takewhile(lambda c: c == "_" or unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"), term))
+
+
+def search_indexed(index: DataFrame, records: DataFrame, terms: list[str], floor: int = FLOOR) -> DataFrame:
+    """section_id, score, children, seq, doc and page, as `section_scores` joined with its sections, from the stored postings.
+
+    A term that is all letters and digits is met by the words that begin with it, so the postings decide. For one that goes on otherwise they
+    name the candidates, whose norm decides. A term that begins otherwise, or is empty, can stand anywhere: then all records are scanned.
+    """
+    normal = normal_terms(records.sparkSession, terms)
+    leads = [word_lead(t) for t in normal]
+    if not normal or not all(leads):
+        heads = records.select(F.col("id").alias("section_id"), "seq", "doc", "page")
+        return section_scores(records, terms, floor).join(heads, "section_id")
+    columns = ["section_id", "section_seq", "doc", "page", "seq", "id", "child"]
+
+    def begins(lead: str) -> Column:
+        return (F.col("initial") == ord(lead[0])) & F.col("word").startswith(lead)
+
+    def some(tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, tests)
+
+    whole = {i for i, t in enumerate(normal) if leads[i] == t}
+    rows = []
+    if whole:
+        found = index.filter(some([begins(leads[i]) for i in sorted(whole)]))
+        rows.append(found.select(*columns, *((begins(t) if i in whole else F.lit(False)).cast("int").alias(f"h{i}") for i, t in enumerate(normal))))
+    if len(whole) < len(normal):
+        near = index.filter(some([begins(leads[i]) for i in range(len(normal)) if i not in whole])).select(*columns).distinct()
+        norms = near.join(records.select("id", "norm"), "id")
+        hits = [(F.col("norm").rlike(term_pattern(t)) if i not in whole else F.lit(False)).cast("int").alias(f"h{i}") for i, t in enumerate(normal)]
+        rows.append(norms.select(*columns, *hits).filter(some([F.col(f"h{i}") == 1 for i in range(len(normal))])))
+    every = reduce(DataFrame.unionByName, rows)
+    score = reduce(lambda a, b: a + b, (F.max(f"h{i}") for i in range(len(normal))))
+    member = F.when(F.col("child"), F.struct("seq", "id"))
+    out = every.groupBy("section_id", "section_seq", "doc", "page").agg(score.alias("score"), F.transform(F.array_sort(F.collect_set(member)), lambda x: x["id"]).alias("children"))
+    return out.filter(F.col("score") >= floor).select("section_id", "score", "children", F.col("section_seq").alias("seq"), "doc", "page")
+
+
+def _links(records: DataFrame) -> DataFrame:
+    """(id, up) of records whose parent is a record."""
+    known = records.select(F.col("id").alias("up"))
+    return records.filter("parent_id <> ''").select("id", F.col("parent_id").alias("up")).join(known, "up", "left_semi").select("id", "up")
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(SMALL + 1).count() <= SMALL
+
+
+def jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(id, up) over 1, 2, 4, ... levels, as long as any record has so many above it; and the ids that never come to an end, if there are any.
+
+    A jump is the former one taken twice. Records that still have one when it is longer than there are links lead into a cycle.
+    """
+    here = stored(links, "jump")
+    n, out = here.count(), []
+    if not n:
+        return out, None
+    while True:
+        out.append(here)
+        if 1 << len(out) - 1 > n or len(out) > JUMPS:
+            return out, here.select("id")
+        over = here.select(F.col("id").alias("via"), F.col("up").alias("far"))
+        here = stored(here.join(over, here["up"] == over["via"]).select("id", F.col("far").alias("up")), "jump")
+        if not here.limit(1).count():
+            return out, None
+
+
+def roots(records: DataFrame) -> DataFrame:
+    """(id, root, depth) of all records; both are null where the way up never ends.
+
+    Pointers double: each holds where its record comes to in so many steps and how many they were, and takes those of the record it has come to. So
+    the rounds are the logarithm of the depth.
+    """
+    links = _links(records)
+    at = stored(records.select("id").join(links, "id", "left").select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNull().alias("done")), "roots")
+    n, length = at.count(), 1
+    while length <= n and at.filter("NOT done").limit(1).count():
+        ahead = at.select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = at.filter("NOT done").join(ahead, "root").select("id", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        last, at, length = at, stored(at.filter("done").unionByName(moved), "roots"), 2 * length
+        dropped(last)
+    return at.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
 def ancestry(records: DataFrame, depth: int | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """(id, ancestor_id, distance) of all records, or of those in ids (id).
+    """(id, ancestor_id, distance) of all records, or of those in ids (id). On a cycle each record counts once, at its first distance.
 
-    A level is a join, and each is stored: the next one reads it, so that neither plans nor work grow with the depth. The walk ends where
-    no parent is left, at any depth, and never passes a parent twice. Queries walk from their own few records; the whole closure is for
-    storing beside the records.
+    From few ids the walk goes level by level: one scan, against which the rows of the level are broadcast. After `STEPS` levels, and where
+    the ids are many, it goes by jumps of 1, 2, 4, ... levels: the ancestors found so far, carried on by the next jump, are those twice as far. So the
+    rounds are the logarithm of the depth. What leads into a cycle is left to the walk that remembers its way.
     """
-    links = records.filter("parent_id <> ''").select(F.col("id").alias("child"), "parent_id")
-    known = records.select(F.col("id").alias("known"))
-    first = links if ids is None else links.join(ids.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
-    here = lambda x: x.join(known, F.col("ancestor_id") == F.col("known"), "left_semi")
-    level = here(first.select(F.col("child").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("parent_id").alias("seen")))
-    out = level = stored(level, "ancestry")
+    if ids is None:
+        return _jumped(records, None, depth)
+    start = stored(ids.select("id").distinct(), "walk")
+    if not _few(start):
+        return _jumped(records, start, depth)
+    ups = records.select(F.col("id").alias("known"), F.col("parent_id").alias("next"))
+    level = start.join(ups, F.col("id") == F.col("known")).filter("next <> ''").select("id", F.col("next").alias("ancestor_id"))
+    level = stored(level.select("id", "ancestor_id", F.lit(1).alias("distance"), F.array("ancestor_id").alias("seen")), "walk")
+    out = None
+    for step in range(1, STEPS + 1):
+        if depth is not None and step > depth or not level.limit(1).count():
+            return (out if out is not None else level).select("id", "ancestor_id", "distance")
+        if not _few(level):
+            break
+        here = stored(ups.join(F.broadcast(level), F.col("known") == F.col("ancestor_id")).select("id", "ancestor_id", "distance", "seen", "next"), "walk")
+        out = here.drop("next") if out is None else out.unionByName(here.drop("next"))
+        level = here.filter("next <> ''").filter(~F.array_contains("seen", F.col("next"))).select("id", F.col("next").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), F.array_append("seen", F.col("next")).alias("seen"))
+    if out is not None and not level.limit(1).count():
+        return out.select("id", "ancestor_id", "distance")
+    # what is left goes on by jumps from where it stands; on a way into a cycle the first distances count
+    left = stored(level.select("id", F.col("ancestor_id").alias("via"), F.col("distance").alias("done")), "walk")
+    more = _jumped(records, left.select(F.col("via").alias("id")).distinct(), None).select(F.col("id").alias("via"), "ancestor_id", F.col("distance").alias("far"))
+    on = left.join(more, "via").select("id", "ancestor_id", (F.col("done") + F.col("far")).alias("distance"))
+    itself = left.join(records.select(F.col("id").alias("via")), "via", "left_semi").select("id", F.col("via").alias("ancestor_id"), F.col("done").alias("distance"))
+    every = (itself.unionByName(on) if out is None else out.select("id", "ancestor_id", "distance").unionByName(itself).unionByName(on)).groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance"))
+    return every if depth is None else every.filter(F.col("distance") <= depth)
+
+
+def _jumped(records: DataFrame, ids: DataFrame | None, depth: int | None) -> DataFrame:
+    links = _links(records)
+    steps, endless = jumps(links)
+    none = links.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance")).limit(0)
+    if not steps:
+        return none
+    begin = steps[0].select("id") if ids is None else ids.join(steps[0].select("id"), "id", "left_semi")
+    looped = None
+    if endless is not None:
+        looped, begin = begin.join(endless, "id", "left_semi"), begin.join(endless, "id", "left_anti")
+    found = stored(begin.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")), "closure")
+    for k, step in enumerate(steps):
+        if depth is not None and 1 << k > depth:
+            break
+        jump = step.select(F.col("id").alias("via"), "up")
+        rows = F.broadcast(found) if _few(found) else found
+        found = found.unionByName(stored(rows.join(jump, F.col("ancestor_id") == F.col("via")).select("id", F.col("up").alias("ancestor_id"), (F.col("distance") + (1 << k)).alias("distance")), "closure"))
+    out = found.filter("distance > 0")
+    if looped is not None:
+        out = out.unionByName(_remembered(steps[0], looped, depth))
+    return out if depth is None else out.filter(F.col("distance") <= depth)
+
+
+def _remembered(links: DataFrame, ids: DataFrame, depth: int | None) -> DataFrame:
+    """Level by level, by a walk that remembers its way: ends where it would pass a record twice."""
+    ups = links.select(F.col("id").alias("via"), "up")
+    level = stored(links.join(ids.distinct(), "id", "left_semi").select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance"), F.array("up").alias("seen")), "cycle")
+    out = level
     while level.limit(1).count() and (depth is None or depth > 1):
-        up = level.join(links, F.col("ancestor_id") == F.col("child")).filter(~F.array_contains("seen", F.col("parent_id")))
-        level = stored(here(up.select("id", F.col("parent_id").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), F.array_append("seen", F.col("parent_id")).alias("seen"))), "ancestry")
+        up = level.join(ups, F.col("ancestor_id") == F.col("via")).filter(~F.array_contains("seen", F.col("up")))
+        level = stored(up.select("id", F.col("up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), F.array_append("seen", F.col("up")).alias("seen")), "cycle")
         out, depth = out.unionByName(level), depth and depth - 1
     return out.select("id", "ancestor_id", "distance")
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normalize
-from ..storage import shared_path
+from ..operators.search import write_postings
+from ..storage import ranked, shared_path, state, there
 
 LINES = 10
+#: Lines that the numbering of a document has room for.
+PLACES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +30,7 @@ def rec_docs(spark: SparkSession, sf_dir: str, with_norm: bool = True) -> DataFr
     doc = F.concat(F.lit("D"), F.col("doc_id"))
     page = F.floor(F.col("pos") / LINES).cast("int") + 1
     out = lines.select(
-        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"),
+        F.when(F.col("pos") < PLACES, F.col("doc_id") * PLACES + F.col("pos")).otherwise(F.raise_error(F.lit("a document of a million lines or more"))).alias("seq"),
         F.concat(doc, F.lit(":p"), page, F.lit(":§"), F.col("pos") % LINES + 1).alias("id"),
         doc.alias("doc"),
         page.alias("page"),
@@ -39,30 +42,54 @@ def rec_docs(spark: SparkSession, sf_dir: str, with_norm: bool = True) -> DataFr
     return out.withColumn("norm", normalize(F.col("text"))) if with_norm else out
 
 
-_CORPORA: dict[tuple, str] = {}
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build) -> DataFrame:
+    """A table that `build` writes to a path, built once for a session and a state of the tables behind it, as an ingest builds its records once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if key not in _KEPT or not there(spark, _KEPT[key]):
+        path = shared_path(spark, name)
+        build(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of `rec_docs` as a stored table, norm included: built once for a session and a state of the input, as an ingest does, then read by every search."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    status = source.getFileSystem(conf).getFileStatus(source)
-    key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime())
-    if key in _CORPORA:
-        done = jvm.org.apache.hadoop.fs.Path(f"{_CORPORA[key]}/_SUCCESS")
-        if done.getFileSystem(conf).exists(done):
-            return spark.read.parquet(_CORPORA[key])
-    _CORPORA[key] = build_corpus(spark, sf_dir)
-    return spark.read.parquet(_CORPORA[key])
+    """The records of `rec_docs`, norm included, as every search reads them."""
+    return kept(spark, sf_dir, "corpus", ["documents"], rec_docs(spark, sf_dir).write.parquet)
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the corpus with their places, as `search.postings` lays them out."""
+    return kept(spark, sf_dir, "terms", ["documents"], lambda path: write_postings(corpus(spark, sf_dir), path))
+
+
+def hier_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of `hier`, stored."""
+    return kept(spark, sf_dir, "hier", ["region", "nation", "customer", "orders"], hier(spark, sf_dir).write.parquet)
 
 
 def build_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """Writes the records and returns their path."""
+    """Writes the records and their term index, and returns the records' path."""
     path = shared_path(spark, "corpus")
     rec_docs(spark, sf_dir).write.parquet(path)
+    write_postings(spark.read.parquet(path), shared_path(spark, "terms"))
     return path
 
 
+#: Levels of each chain of `line_chain`.
+LEVELS = 10_000
+
+
+def line_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents in chains of `LEVELS` levels: each stands under the line before it."""
+    rows = ranked(corpus(spark, sf_dir).select("seq", "id"), "seq", name="n", kind="long")
+    before = rows.select((F.col("n") + 1).alias("n"), F.col("id").alias("before"))
+    parent = F.when(F.col("n") % LEVELS == 1, "").otherwise(F.coalesce("before", F.lit("")))
+    return rows.join(before, "n", "left").select("seq", "id", parent.alias("parent_id"))
+
+
 SQL_DOCS = """
 lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 records AS (SELECT doc_id * 1000000 + pos AS seq, 'D' || doc_id || ':p' || (pos // 10 + 1) || ':§' || (pos % 10 + 1) AS id, 'D' || doc_id AS doc,
