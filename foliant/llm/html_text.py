@@ -4,16 +4,24 @@ Each page is parsed in one pass that closes optional end tags. Every element's s
 class, id, texts and children). Spark counts, for each host, on how many distinct pages a subtree stands: pages of one host
 with the same texts count as one. A subtree that stands on `LEAST_PAGES` of them recurs, at any size of the host.
 
+Prose recurs as well: a sentence, a quoted passage, "Yes." in a table. So what can be template depends on what an element is. Inside what the
+page declares as its content (article or main) only elements with a class or id, or mostly links, can be. Elsewhere others can be too,
+but a single block without name only together with a neighbour: it recurs if it stands after, or before, the same block on `LEAST_PAGES` pages.
+
 A near copy of a page consists of recurring subtrees too. So only pages of which recurring subtrees aren't the bulk are
 witnesses, and a subtree is template if `LEAST_PAGES` witnesses have it. Templates are deleted from every page of that
-host, inside what the page declares as its content (article or main) as well, unless they would take the bulk of it. The
+host, unless they would take the bulk of it. The
 bulk is more than half of the text outside links that the page would return else (of all its text, if all is links).
 
 Elements that are no content by their own markup (menus, forms, adverts, notices, comments, ...)
-go too, wherever they stand, which also covers hosts with few pages. Names of class and id count token by token, and tell nothing
-where they hold nearly all prose of the page or its main element: that is a wrapper (has-sidebar, no-comments). What a page declares as its content is
+go too, wherever they stand, which also covers hosts with few pages. Names of class and id count as whole tokens: one of `WORDS`, alone or together with words
+that name a part of a page (`sidebar`, `cookie-banner`, `comment-list`, but not `share-price`). They tell nothing
+where they hold nearly all prose of the page or its main element: that is a wrapper. What a page declares as its content is
 taken where there is any.
 
+The parser reads a page once, in time linear in its length whatever the markup: ends of tags and quotes that are found missing once are not looked for again,
+and open elements are counted by name.
+
 Recurring subtrees are kept as sorted arrays of 64-bit keys of host and subtree, in files of about `SMALL` keys in the
 shared folder. Workers memory-map them, so neither their number nor a hot host matters.
 
@@ -58,11 +66,18 @@ WORDS = frozenset(
 )
 #: Which open element a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_OPENS = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOPS = re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Words that turn a class name round; "ad-free" and "no-comments" mark content.
-TURNED = frozenset("no non not has have with without free hide hidden disabled is before after".split())
+#: Words that name a part of a page, beside which one of WORDS keeps its meaning in a class name.
+PARTS = frozenset(
+    """box boxes list lists block blocks bar area wrap wrapper container section row col column inner outer panel link links item items button buttons btn icon icons
+    site page main top bottom left right header head global primary secondary tertiary mobile desktop sticky fixed text form thread reply body
+    posts articles stories news slot unit zone group set tags js""".split()
+)
+#: Elements that optional end tags don't reach across.
+CONTAINERS = frozenset("ul ol dl table".split())
 #: What an element that names marks as no content may hold of a page's prose, in percent.
 WRAPPER = 90
 
@@ -75,9 +90,9 @@ def host_of(url: str | None) -> str:
 
 
 def marks(token: str) -> bool:
-    """Whether a class or id says that an element isn't content: one of its words is such a word, and none turns it round."""
+    """Whether a class or id says that an element isn't content: it consists of such words, and of words for parts of a page."""
     words = _WORD.findall(token)
-    return not WORDS.isdisjoint(words) and TURNED.isdisjoint(words)
+    return not WORDS.isdisjoint(words) and all(w in WORDS or w in PARTS for w in words)
 
 
 class Page:
@@ -88,33 +103,75 @@ class Page:
         self.junk: list[bool] = []
         self.main: list[bool] = []
         self.linked: list[int] = []  # characters of each block that are in links
-        #: (hash, first block, block after the last)
-        self.subtrees: list[tuple[int, int, int]] = []
+        #: (hash, first block, block after the last, whether it counts together with its neighbours only)
+        self.subtrees: list[tuple[int, int, int, bool]] = []
         self.named: list[tuple[int, int, int]] = []  # elements that are no content by name: first block, block after the last, main elements inside
         self.mains = 0
         self.run: list[str] = []
         self.links = self.in_links = 0  # open links, and characters of the run inside links
         self.state = [False, False]  # inside junk, inside main
-        # of each open element: tag, parts for the hash, first block, state outside, main elements before it if its name marks it (else -1)
-        self.open: list[tuple[str, list[str], int, list[bool], int]] = [("", [], 0, [False, False], -1)]
+        # of each open element: tag, parts for the hash, first block, state outside, main elements before it if its name marks it (else -1), whether it has a name
+        self.open: list[tuple[str, list[str], int, list[bool], int, bool]] = [("", [], 0, [False, False], -1, False)]
+        self.counts: dict[str, int] = {}  # open elements by tag
+        self.scopes: list[tuple[int, dict[str, int]]] = [(0, {})]  # of each open block element: its place, and the inline elements open in it
+        self.lists: list[int] = []  # places of open elements that optional end tags depend on
         self.parse(source or "")
 
     def parse(self, source: str) -> None:
-        at, n, low = 0, len(source), None
-        while at < n:
-            m = _MARKUP.search(source, at)
-            if (end := m.start() if m else n) > at:
+        at, n, low, missing = 0, len(source), None, set()
+        budget = 16 * n + 1024  # characters to look at for the ends of tags, in all
+
+        def find(what: str, start: int) -> int:
+            """As source.find, but never twice for what isn't there any more."""
+            if what in missing:
+                return -1
+            k = source.find(what, start)
+            if k < 0:
+                missing.add(what)
+            return k
+
+        def tag_end(start: int) -> int:
+            """The place of the > that ends a tag: the first one outside quotes, or the first one if quotes don't close; -1 if there is none."""
+            nonlocal budget
+            i = start
+            while budget > 0:
+                m = _STOPS.search(source, i)
+                if not m:
+                    break
+                budget -= m.end() - i
+                if m[0] == ">":
+                    return m.start()
+                k = find(m[0], m.end())
+                if k < 0:
+                    break
+                budget -= k - m.end()
+                i = k + 1
+            return find(">", start)
+
+        def text(end: int) -> None:
+            if end > at:
                 self.run.append(entities.unescape(source[at:end]))
                 if self.links:
                     self.in_links += len(" ".join(self.run[-1].split()))
+
+        while at < n:
+            m = _OPENS.search(source, at)
+            text(m.start() if m else n)
             if not m:
                 break
-            at, tag = m.end(), (m[2] or "").lower()
+            if m[0] == "<!--":
+                k = find("-->", m.end())
+                at = n if k < 0 else k + 3
+                continue
+            k = tag_end(m.end()) if m[2] else find(">", m.end())
+            if k < 0:
+                break  # a tag that doesn't end runs to the end of the page
+            at, tag, attributes = k + 1, (m[2] or "").lower(), source[m.end() : k]
             if not tag:
                 continue
             if m[1]:
                 self.end(tag)
-            elif tag in RAW and not m[3].endswith("/"):
+            elif tag in RAW and not attributes.endswith("/"):
                 low = source.lower() if low is None else low
                 if len(low) != n:  # lower-casing changed lengths: look for the end as it is written
                     found = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
@@ -123,7 +180,7 @@ class Page:
                     close = low.find(f"</{tag}", at)
                 at = n if close < 0 else (source.find(">", close) + 1 or n)
             else:
-                self.start(tag, m[3])
+                self.start(tag, attributes)
         while len(self.open) > 1:
             self.close()
         self.flush()
@@ -144,30 +201,36 @@ class Page:
             self.run.append(" ")
         if tag in BLOCK:
             self.flush()
-            if any(e[0] == "p" for e in self.open[-6:]):  # a block ends an open paragraph and what is open inside it
-                for k in range(len(self.open) - 1, 0, -1):
-                    if self.open[k][0] == "p":
-                        while len(self.open) > k:
-                            self.close()
-                        break
-                    if self.open[k][0] in BLOCK:
-                        break
+            if self.open[self.scopes[-1][0]][0] == "p":  # a block ends an open paragraph and what is open inside it
+                self.close_to(self.scopes[-1][0])
         if tag in VOID:
             return
         if tag in ENDS:
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k][0] in ENDS[tag]:
-                    while len(self.open) > k:
-                        self.close()
+            outermost = 0
+            for k in reversed(self.lists):
+                other = self.open[k][0]
+                if other in ENDS[tag]:
+                    outermost = k
+                elif other in CONTAINERS or other == "tr":
                     break
-                if self.open[k][0] in ("ul", "ol", "dl", "table"):
+                if other == tag:
                     break
+            if outermost:
+                self.close_to(outermost)
         named = " ".join("".join(x) for x in _NAMED.findall(attributes)).lower() if attributes else ""
         outside = self.state
         junk = tag in JUNK or tag == "header" and not outside[1]
         marked = bool(named) and tag not in ("html", "body", "main") and any(map(marks, named.split()))
         main = tag in MAIN or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None
-        self.open.append((tag, [f"<{tag} {named}>"], len(self.blocks), outside, self.mains if marked else -1))
+        if tag in BLOCK:
+            self.scopes.append((len(self.open), {}))
+        else:
+            inline = self.scopes[-1][1]
+            inline[tag] = inline.get(tag, 0) + 1
+        if tag in ENDS or tag in CONTAINERS:
+            self.lists.append(len(self.open))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.open.append((tag, [f"<{tag} {named}>"], len(self.blocks), outside, self.mains if marked else -1, bool(named)))
         self.mains += main and tag != "article"
         self.links += tag == "a"
         if junk or main:
@@ -176,38 +239,54 @@ class Page:
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
+        if not (self.counts.get(tag) if tag in BLOCK else self.scopes[-1][1].get(tag)):
+            return  # there is none to end, or it holds the block that is open
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.close()
+                self.close_to(k)
                 return
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
-                return  # an inline end tag doesn't end a block
+
+    def close_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self.close()
 
     def close(self) -> None:
-        tag, parts, first, outside, mains = self.open[-1]
+        tag, parts, first, outside, mains, named = self.open[-1]
         if tag in BLOCK:
             self.flush()
+        inside = self.state
         self.open.pop()
+        self.counts[tag] -= 1
+        if tag in BLOCK:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][tag] -= 1
+        if self.lists and self.lists[-1] == len(self.open):
+            self.lists.pop()
         self.links -= tag == "a"
         whole = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
         self.open[-1][1].append(f"{whole:x}")
         self.state = outside
-        if mains >= 0 and len(self.blocks) > first:
-            self.named.append((first, len(self.blocks), self.mains - mains))
-        if len(self.blocks) > first and tag in BLOCK and tag not in ("html", "body"):
-            self.subtrees.append((whole, first, len(self.blocks)))
+        last = len(self.blocks)
+        if mains >= 0 and last > first:
+            self.named.append((first, last, self.mains - mains))
+        if last > first and tag in BLOCK and tag not in ("html", "body"):
+            strong = named or 2 * sum(self.linked[first:last]) > sum(map(len, self.blocks[first:last])) if last - first <= 64 else named
+            if strong or not inside[1]:
+                self.subtrees.append((whole, first, last, not strong and last - first == 1))
 
     def returned(self) -> list[bool]:
         """Which blocks are text of the page by markup."""
-        junk = self.junk[:]
-        prose = [0 if j else len(t) - n for j, t, n in zip(junk, self.blocks, self.linked, strict=True)]
-        most = WRAPPER * sum(prose)
+        prose = np.array([0 if j else len(t) - n for j, t, n in zip(self.junk, self.blocks, self.linked, strict=True)], np.int64)
+        upto = np.append(0, np.cumsum(prose))
+        most, edges = WRAPPER * int(upto[-1]), np.zeros(len(prose) + 1, np.int64)
         for first, last, mains in self.named:
-            if not mains and 100 * sum(prose[first:last]) <= most:
-                junk[first:last] = [True] * (last - first)
-        declared = any(m and not j for m, j in zip(self.main, junk, strict=True))
-        return [not j and (m or not declared) for j, m in zip(junk, self.main, strict=True)]
+            if not mains and 100 * int(upto[last] - upto[first]) <= most:
+                edges[first] += 1
+                edges[last] -= 1
+        gone = np.array(self.junk, bool) | (np.cumsum(edges)[:-1] > 0)
+        main = np.array(self.main, bool)
+        return (~gone & (main | ~(main & ~gone).any())).tolist()
 
     def weights(self) -> np.ndarray:
         """Of each block: its characters outside links (or all, if the page has no others), 0 where markup drops it."""
@@ -216,12 +295,24 @@ class Page:
         prose = size - np.array(self.linked, np.int64) * mine
         return prose if prose.any() else size
 
+    def marked(self) -> list[tuple[int, int, int]]:
+        """(hash, first block, block after the last) of the subtrees; those that count with their neighbours only stand twice, with the block before and the one after."""
+        out = []
+        for whole, first, last, weak in self.subtrees:
+            if not weak:
+                out.append((whole, first, last))
+                continue
+            for side, k in (("<", first - 1), (">", last)):
+                near = self.blocks[k] if 0 <= k < len(self.blocks) else ""
+                out.append((xxhash.xxh64_intdigest(f"{whole:x}{side}{near}") >> 1, first, last))
+        return out
+
     def keys(self, host: str) -> np.ndarray:
         """Of each subtree: the key of host and hash."""
-        return pair(np.uint64(xxhash.xxh64_intdigest(host)), np.array([x[0] for x in self.subtrees], np.uint64)).view(np.int64)
+        return pair(np.uint64(xxhash.xxh64_intdigest(host)), np.array([x[0] for x in self.marked()], np.uint64)).view(np.int64)
 
     def spans(self) -> np.ndarray:
-        return np.array([x[1:] for x in self.subtrees], np.int64).reshape(-1, 2)
+        return np.array([x[1:] for x in self.marked()], np.int64).reshape(-1, 2)
 
     def text(self, gone: np.ndarray) -> str:
         return "\n\n".join(t for t, mine, g in zip(self.blocks, self.returned(), gone, strict=True) if mine and not g)
@@ -229,9 +320,8 @@ class Page:
 
 def covered(spans: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
     """Which blocks the given subtrees cover; None if that is the bulk of the page."""
-    gone = np.zeros(len(weights), bool)
-    for a, b in spans.tolist():
-        gone[a:b] = True
+    edges = np.bincount(spans[:, 0], minlength=len(weights) + 1) - np.bincount(spans[:, 1], minlength=len(weights) + 1)
+    gone = np.cumsum(edges)[:-1] > 0
     return None if 2 * int(weights[gone].sum()) > int(weights.sum()) else gone
 
 

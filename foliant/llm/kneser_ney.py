@@ -44,6 +44,8 @@ from .hashed import words as hashed_words
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
 #: Tokens behind a slice of n-grams, behind one of words, and in a chunk that is added up or scored at once, about.
 SLICE, WORDS, CHUNK = 4_000_000, 40_000_000, 2_000_000
+#: Tokens of a part of a text whose words don't fit side by side: with their contexts fewer than 2^21 different ones.
+PIECE = 1 << 19
 END = np.uint64(1)  # hash of the token that isn't a word
 #: Slices that a worker keeps in memory where it can't map them.
 KEPT = 16
@@ -435,6 +437,34 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.select([c == 1, c == 2, c > 2], d, 0.0)
 
 
+def fits(most: int, columns: int) -> bool:
+    """Whether so many numbers up to most fit 64 bits side by side."""
+    return max(1, int(most).bit_length()) * columns <= 64
+
+
+def grams(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of numbers, in order, and how often each stands there.
+
+    Rows are packed into 64 bits: the numbers themselves where they fit, else their places among the distinct ones.
+    Where these don't fit either, rows are compared column by column.
+    """
+    table, most = None, max(int(c.max(initial=0)) for c in columns)
+    if not fits(most, len(columns)):
+        table, places = np.unique(np.concatenate(columns), return_inverse=True)
+        columns, most = np.split(places.astype(np.uint64), len(columns)), len(table) - 1
+    if fits(most, len(columns)):
+        bits = max(1, int(most).bit_length())
+        key = columns[0]
+        for c in columns[1:]:
+            key = key << np.uint64(bits) | c
+        key, n = np.unique(key, return_counts=True)
+        columns = [key >> np.uint64(bits * k) & np.uint64((1 << bits) - 1) for k in range(len(columns) - 1, -1, -1)]
+    else:
+        rows, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        columns = list(rows.T)
+    return (columns if table is None else [table[c.astype(np.int64)] for c in columns]), n
+
+
 def _kinds(c: np.ndarray) -> np.ndarray:
     return np.array([np.sum(c == k) for k in (1, 2, 3, 4)] + [len(c)], np.int64)
 
@@ -453,7 +483,7 @@ def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a token is about six characters
     slices = int(max(1, size // (6 * SLICE)))
     known = vocabulary(texts, size)
-    start, low = np.uint64(known.types), np.uint64(32)
+    start = np.uint64(known.types)
     of = lambda g: (g % np.uint64(slices)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,21 +491,19 @@ def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
         for v, sizes in chunks(batches):
             table, at = np.unique(v, return_inverse=True)
             number = np.append(words.find(table)[0], start)
-            # places in the chunk's own list of numbers, in order: three of them fit 64 bits
+            # places in the chunk's own list of numbers, in order, are small numbers
             order_of = np.argsort(number)
             place = np.empty(len(number), np.uint64)
             place[order_of] = np.arange(len(number), dtype=np.uint64)
-            ids, bits = [place[at]], np.uint64(max(1, (len(number) - 1).bit_length()))
+            ids = [place[at]]
             for _ in range(order - 1):
                 ids.insert(0, before(ids[0], sizes, place[-1]))
-            key = ids[0]
-            for i in ids[1:]:
-                key = key << bits | i
-            key, n = np.unique(key, return_counts=True)
-            mask = (np.uint64(1) << bits) - np.uint64(1)
-            number = number[order_of]
-            columns = [number[key >> (bits * np.uint64(k)) & mask] for k in range(order - 1, -1, -1)]
-            yield dealt(of(pair(columns[0], columns[1])), [*columns, n])
+            # a very long text may have too many words for three places in 64 bits: its parts, context and all, are counted one by one
+            step = len(at) if fits(len(number) - 1, order) else PIECE
+            for i in range(0, len(at), step):
+                found, n = grams([c[i : i + step] for c in ids])
+                columns = [number[order_of[c.astype(np.int64)]] for c in found]
+                yield dealt(of(pair(columns[0], columns[1])), [*columns, n])
 
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(folder)
@@ -492,8 +520,7 @@ def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
             several = (facts[0] > 1) | (context == pair(np.array([start]), np.array([start])))
             store.write(f"contexts-{slot}", _gram_file(context[several], [f[several] for f in facts]))
             if len(c):
-                both, n = np.unique(u << low | v, return_counts=True)
-                u, v = both >> low, both & np.uint64(0xFFFFFFFF)
+                (u, v), n = grams([u, v])
                 yield dealt(of(pair(u, v)), [u, v, n])
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

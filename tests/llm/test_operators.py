@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -127,6 +129,108 @@ def test_html_names_of_wrappers():
     assert text(f'<article>{whole}</article><section class="comments"><article class="comment"><p>{"I say so. " * 30}</p></article></section>') == "Real story of some length here"
 
 
+def test_html_keeps_prose_that_recurs(spark):
+    quote, short = "<p>A sentence that many articles share.</p>", "<ul><li>Yes.</li></ul>"
+    rows = []
+    for i in range(12):
+        body = [f"<p>{words_of('q', k, i)}</p>" for k in range(6)]
+        body[1 + i % 2] += quote
+        body[3 + i % 2] += short
+        whole = "".join(body)
+        rows += [(i, f"https://a.example/{i}", f"<article>{whole}</article>"), (100 + i, f"https://b.example/{i}", f"<body><div><p>Top line</p><p>Second line</p></div>{whole}</body>")]
+    out = html_texts(spark, rows)
+    for i in range(12):
+        assert "A sentence that many articles share." in out[i] and "Yes." in out[i]
+        assert "A sentence that many articles share." in out[100 + i] and "Yes." in out[100 + i] and "Top line" not in out[100 + i]
+
+
+def test_html_names_in_articles():
+    text = lambda h: (lambda p: p.text(np.zeros(len(p.blocks), bool)))(html_text.Page(h))
+    assert text('<article><p class="share-price">Shares fell.</p></article>') == "Shares fell."
+    assert text('<article><div class="comment-on-budget"><p>The minister said so.</p></div><p>x</p></article>') == "The minister said so.\n\nx"
+    assert text('<article><h2 class="search-title">Find</h2><p>q</p></article>') == "Find\n\nq"
+    assert text('<article><p>t</p><div class="comment-list"><p>c</p></div><div class="cookie-banner">n</div></article>') == "t"
+
+
+@pytest.mark.parametrize("source", ["<a " * 1_000_000, '<a href="x" ' * 100_000, "<b>" * 60_000 + "</i>" * 60_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<ul>" + "<div>" * 30_000 + "<li></li>" * 30_000, "<table>" + "<tr><td>x" * 30_000, "<a \"'>" * 100_000, "<!x" * 300_000, "<div class=ad>" * 20_000 + "x", "<li><td>" * 30_000])
+def test_html_of_hostile_pages(source):
+    began = time.process_time()
+    page = html_text.Page(source)
+    page.returned(), page.keys("h")
+    assert time.process_time() - began < 8  # quadratic work would take minutes
+
+
+class Plain(HTMLParser):
+    """A parser of its own for well-formed pages: blocks in order, those of junk elements and classes left out."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.out, self.run, self.stack = [], "", []
+        self.feed(source)
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.run.split())
+        if text and not any(self.stack):
+            self.out.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.VOID:
+            self.run += " " if tag in ("br", "hr") else ""
+            return
+        if tag in html_text.BLOCK:
+            self.flush()
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+        self.stack.append(tag in html_text.JUNK or tag in html_text.RAW or tag == "header" or bool({"ad", "comments", "sidebar"} & set(names)))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.flush()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if not (self.stack and self.stack[-1] and self.lasttag in html_text.RAW):
+            self.run += data
+
+
+def test_html_against_another_parser():
+    r = random.Random(12)
+    say = lambda: " ".join(r.choice(["word", "a &amp; b", "<b>bold</b> x", "&eacute;t&#233;", "1 &lt; 2", "y<br>z", '<a href="u">link</a> text', "<i>i</i>"]) for _ in range(r.randint(1, 9)))
+
+    def tree(depth):
+        kind = r.choice(["p", "p", "h2", "div", "ul", "blockquote", "nav", "aside", "script", "ad", "comments", "table"])
+        if kind in ("p", "h2") or not depth:
+            return f"<p>{say()}</p>"
+        if kind == "script":
+            return "<script>if (a < b) '</p>'</script>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{say()}</li>" for _ in range(3)) + "</ul>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{say()}</td><td>{say()}</td></tr>" for _ in range(2)) + "</table>"
+        inner = "".join(tree(depth - 1) for _ in range(r.randint(1, 3)))
+        return f'<div class="{kind}">{inner}</div>' if kind in ("ad", "comments") else f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(200):
+        source = "<body>" + f"<p>{say()} lead {'prose ' * 400}</p>" + "".join(tree(3) for _ in range(8)) + "</body>"
+        page = html_text.Page(source)
+        assert page.text(np.zeros(len(page.blocks), bool)) == "\n\n".join(Plain(source).out)
+
+
+def test_grams_of_many_words(monkeypatch):
+    r = np.random.default_rng(2)
+    for most in (5, 2**22, 2**40):
+        columns = [r.integers(0, most, 4000, dtype=np.uint64) for _ in range(3)]
+        columns = [np.append(c, c[:900]) for c in columns]
+        found, n = kneser_ney.grams(columns)
+        want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+        assert dict(zip(zip(*(c.tolist() for c in found), strict=True), n.tolist(), strict=True)) == want
+    v = np.arange(2_200_000, dtype=np.uint64)  # more different words than three places fit
+    assert not kneser_ney.fits(len(v), 3)
+    (t, u, w), n = kneser_ney.grams([np.append(v[:1], v[:-1]), v, v[::-1].copy()])
+    assert len(n) == len(v) and n.max() == 1 and (u == v).all() and (w == v[::-1]).all()
+
+
 def brute_templates(pages):
     """The rules of `templates` and `extract`, all pages in memory."""
     parsed = [(html_text.Page(h), html_text.host_of(u)) for _, u, h in pages]
@@ -159,7 +263,7 @@ def test_html_against_brute_force(spark):
     for i in range(150):
         h = r.randrange(3)
         body = "".join(f"<p>{words_of('p', r.randrange(60))}</p>" for _ in range(r.randint(0, 5)))
-        rows.append((i, f"https://h{h}.example/{i}", f"<body>{menus[h] if r.random() < 0.8 else ''}<main>{body}{'<div>Written by our staff</div>' if r.random() < 0.5 else ''}</main></body>"))
+        rows.append((i, f"https://h{h}.example/{i}", f"<body>{menus[h] if r.random() < 0.8 else ''}<main>{body}{'<div class=by>Written by our staff</div>' if r.random() < 0.5 else ''}</main></body>"))
     rows += [(200 + i, *rows[0][1:]) for i in range(8)] + [(300, "https://h0.example/", "<p>" + "long words " * 20_000 + "</p>"), (301, None, "")]
     got = html_texts(spark, rows)
     want = brute_templates(rows)
@@ -509,10 +613,14 @@ def test_blocks_and_slices_of_ngrams():
     assert all(b == want[x] // 2 for x, b in zip(ask.tolist(), out[1].tolist(), strict=True) if want.get(x, 1) > 1)
 
 
-def test_language_model_of_order_three(spark, monkeypatch):
+@pytest.mark.parametrize("pieces_of", [0, 37])
+def test_language_model_of_order_three(spark, monkeypatch, pieces_of):
     monkeypatch.setattr(kneser_ney, "SLICE", 150)  # several slices
     monkeypatch.setattr(kneser_ney, "WORDS", 100)
     monkeypatch.setattr(kneser_ney, "CHUNK", 500)
+    if pieces_of:  # as if no chunk's words fitted side by side
+        monkeypatch.setattr(kneser_ney, "fits", lambda most, columns: False)
+        monkeypatch.setattr(kneser_ney, "PIECE", pieces_of)
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(V[:9]) for _ in range(r.randint(0, 30)))) for i in range(90)] + ODD[:4]
     learn = rows[:70] + ODD[:3]
