@@ -9,6 +9,7 @@ from .functions import text as X
 from .operators import analytics as A
 from .operators import checks as C
 from .operators import geometry as G
+from .operators import order as R
 from .operators import search as S
 from .plans import carriers as P
 from .storage import ranked as numbered
@@ -114,9 +115,20 @@ def governing_header(spark, d):
     return S.ancestry(h).join(heads, "ancestor_id").groupBy("id").agg(F.min_by("ancestor_id", "distance").alias("header_id"))
 
 
+_TREE = """WITH t AS (SELECT 'H:p1:R' || r_regionkey AS id, r_regionkey AS r, NULL AS n, NULL AS c, NULL AS o FROM region UNION ALL SELECT 'H:p1:N' || n_nationkey, n_regionkey, n_nationkey, NULL, NULL FROM nation
+ UNION ALL SELECT 'H:p1:C' || c_custkey, n_regionkey, n_nationkey, c_custkey, NULL FROM customer JOIN nation ON n_nationkey = c_nationkey
+ UNION ALL SELECT 'H:p1:O' || o_orderkey, n_regionkey, n_nationkey, c_custkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT *, row_number() OVER (ORDER BY r, n NULLS FIRST, c NULLS FIRST, o NULLS FIRST) AS pre FROM t)"""
+
+
+@query(_TREE + " SELECT id, pre, CASE WHEN n IS NULL THEN max(pre) OVER (PARTITION BY r) WHEN c IS NULL THEN max(pre) OVER (PARTITION BY r, n) WHEN o IS NULL THEN max(pre) OVER (PARTITION BY r, n, c) ELSE pre END AS last FROM p")
+def order_labels(spark, d):
+    return P.hier_labels(spark, d)
+
+
 @query(f"WITH RECURSIVE {P.SQL_HIER} SELECT id FROM up WHERE ancestor_id = 'H:p1:N3'")
 def descends_from(spark, d):
-    return S.ancestry(P.hier_corpus(spark, d)).filter("ancestor_id = 'H:p1:N3'").select("id")
+    return R.under(P.hier_labels(spark, d), "H:p1:N3").select("id")
 
 
 GET = ["H:p1:N3", "H:p1:R1,R0", "nope", "H:p1:N3", "x,y"]

@@ -309,7 +309,7 @@ def pointer_expansion(spark, d):
 @query(f"WITH {P.SQL_DOCS}, found AS (SELECT id FROM records WHERE page = 1 AND seq % 9 = 0), opened AS (SELECT id FROM records WHERE seq % 18 = 0) SELECT count(*) AS found, count(*) FILTER (WHERE id IN (SELECT id FROM opened)) AS opened, count(*) FILTER (WHERE id NOT IN (SELECT id FROM opened)) AS unopened FROM found")
 def result_envelope(spark, d):
     r = P.rec_docs(spark, d, False)
-    return E.envelope(r.filter("page = 1 AND seq % 9 = 0"), r.filter("seq % 18 = 0")).select("found", "opened", F.size("unopened").cast("long").alias("unopened"))
+    return E.envelope_counts(E.envelope(r.filter("page = 1 AND seq % 9 = 0"), r.filter("seq % 18 = 0")))
 
 
 _NAMES = [("D1", "the"), ("D2", "tion"), ("D3", "heit")]

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, strip_accents
+from ..storage import ranked, stored
 from .gates import printed_pages
+from .order import extremes, order_labels, preceding, with_ancestors
 from .search import ancestry
 
 #: Shapes of a pointer to another unit, of a unit outside the corpus, and nouns that name figures.
@@ -48,9 +50,14 @@ def expanded(found: DataFrame, r: DataFrame) -> DataFrame:
 
 
 def envelope(found: DataFrame, opened: DataFrame) -> DataFrame:
-    """One row for a result: how many ids were found, how many opened, and which stay unopened."""
-    rest = found.select("id").distinct().join(opened.select("id").distinct().withColumn("open", F.lit(1)), "id", "left")
-    return rest.agg(F.count("*").alias("found"), F.count("open").alias("opened"), F.array_sort(F.collect_list(F.when(F.col("open").isNull(), F.col("id")))).alias("unopened"))
+    """(id, opened) of a result: every id found, and whether it was opened."""
+    marks = opened.select("id").distinct().withColumn("open", F.lit(True))
+    return found.select("id").distinct().join(marks, "id", "left").select("id", F.coalesce("open", F.lit(False)).alias("opened"))
+
+
+def envelope_counts(shown: DataFrame) -> DataFrame:
+    """How many ids were found, how many opened, and how many stay unopened."""
+    return shown.agg(F.count("*").alias("found"), F.count_if("opened").alias("opened"), F.count_if(~F.col("opened")).alias("unopened"))
 
 
 def deference(r: DataFrame, names: DataFrame) -> DataFrame:
@@ -142,26 +149,24 @@ def prefix_chains(headings: DataFrame) -> DataFrame:
     return h.join(up, "id", "left").select("id", F.array_append(F.coalesce("chain", none), F.col("text")).alias("chain"))
 
 
-def crossings(r: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+def crossings(r: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(head, child): children that stand past a heading that doesn't belong to their own: their section ran on into the next one.
 
-    For each child the headings between it and its parent are met in order of place; those that descend from the parent are fine.
-    The headings between are told by the last one before the child: each heading knows the next that isn't below it, so one comparison does.
+    Records are numbered by the hierarchy (labels: id, pre, last). The headings between a heading and its child all stand under it if the least and
+    the greatest of their numbers do, so no pairs of headings are made.
     """
-    w = Window.partitionBy("doc").orderBy("seq")
-    pos = r.withColumn("pos", F.row_number().over(w))
-    heads = pos.filter("label = 'section_header'").select("doc", F.col("id").alias("head"), F.col("pos").alias("at"))
-    above = chain if chain is not None else ancestry(r, ids=heads.select(F.col("head").alias("id")))
-    # of each heading, the first later heading of the document that doesn't descend from it
-    under = above.select(F.col("id").alias("later"), F.col("ancestor_id").alias("head")).join(heads.select(F.col("head").alias("later"), F.col("at").alias("later_at")), "later").join(heads.select("head", "at", "doc"), "head")
-    order = heads.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("at")))
-    # descendants that follow without a gap: the k-th heading after this one is below it as long as the count keeps up
-    below = under.filter("later_at > at").join(order.select(F.col("head").alias("later"), F.col("k").alias("later_k")), "later").join(order.select("head", "k"), "head")
-    kept = below.withColumn("i", F.row_number().over(Window.partitionBy("head").orderBy("later_k"))).filter("later_k = k + i").groupBy("head").agg(F.max("later_k").alias("upto"))
-    ends = order.join(kept, "head", "left").select("doc", "head", "at", (F.coalesce("upto", "k") + 1).alias("k"))
-    ends = ends.join(order.select("doc", "k", F.col("at").alias("end")), ["doc", "k"], "left").select("head", "at", "end")
-    kids = pos.filter("parent_id <> ''").select(F.col("id").alias("child"), F.col("parent_id").alias("head"), "pos")
-    return kids.join(ends, "head").filter("pos > at AND pos > end").select("head", "child")
+    labels = stored(labels if labels is not None else order_labels(r), "labels")
+    heading = F.when(F.col("label") == "section_header", 1).otherwise(0)
+    lined = ranked(r.select("doc", "seq", "id", "parent_id", "label"), "doc", "seq", "id", name="n", kind="long")
+    heads = ranked(lined.filter("label = 'section_header'").select("doc", "n", "id"), "n", name="h", kind="long")
+    heads = stored(heads.join(labels, "id").select("doc", "n", "h", F.col("id").alias("head"), "pre", "last"), "heads")
+    # the last heading before a record, by ranges of one sort: none is carried further than to the next range
+    before = preceding(lined.withColumn("given", heading), "n", "given")
+    kids = lined.filter("parent_id <> ''").select("doc", "n", F.col("id").alias("child"), F.col("parent_id").alias("head")).join(before, "n")
+    mine = kids.join(heads.select("head", F.col("n").alias("at"), F.col("h").alias("own"), "pre", "last", F.col("doc").alias("there")), "head").filter("n > at AND doc = there")
+    asked = mine.select("head", "child", "pre", "last", (F.col("own") + 1).alias("first"), F.col("upto").alias("upto"))
+    found = extremes(heads, "doc", "h", "pre", asked)
+    return found.filter("least <= pre OR most > last").select("head", "child")
 
 
 def text_layer(pages: DataFrame, sample: int = 40, sparse: int = 100) -> DataFrame:
@@ -183,11 +188,10 @@ def share_text(part: Column, whole: Column) -> Column:
     return F.format_string("%.1f%%", F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)))
 
 
-def page_selection(r: DataFrame, pages: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """The records of the selected pages (doc, page) and all their ancestors."""
+def page_selection(r: DataFrame, pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The records of the selected pages (doc, page) and all their ancestors; labels: the numbers that `order.order_labels` gives."""
     kept = r.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi").select("id")
-    above = chain if chain is not None else ancestry(r, ids=kept)
-    up = above.join(kept, "id", "left_semi").select(F.col("ancestor_id").alias("id"))
+    up = with_ancestors(labels if labels is not None else order_labels(r), kept)
     return r.join(kept.unionByName(up).distinct(), "id", "left_semi")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normalize
+from ..operators.order import order_labels
 from ..operators.search import write_postings
 from ..storage import ranked, shared_path, state, there
 
@@ -70,6 +71,11 @@ def hier_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "hier", ["region", "nation", "customer", "orders"], hier(spark, sf_dir).write.parquet)
 
 
+def hier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the records of `hier` by their places in the hierarchy, stored in order."""
+    return kept(spark, sf_dir, "labels", ["region", "nation", "customer", "orders"], lambda path: order_labels(hier_corpus(spark, sf_dir)).repartitionByRange("pre").sortWithinPartitions("pre").write.parquet(path))
+
+
 def build_corpus(spark: SparkSession, sf_dir: str) -> str:
     """Writes the records and their term index, and returns the records' path."""
     path = shared_path(spark, "corpus")
