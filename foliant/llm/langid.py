@@ -2,8 +2,9 @@
 
 The network reads UTF-8 bytes in both directions (`HIDDEN` units each), labels every position with language
 probabilities, and a document's probabilities are the means over its positions. It is trained in numpy by
-backpropagation through time, with Adam, on windows of a bounded sample: the `SAMPLE` labelled documents whose
-ids have the smallest hashes outside the held-out fold, `WINDOWS` evenly spaced windows of each. Classes weigh alike.
+backpropagation through time, with Adam, on a bounded sample: the `SAMPLE` labelled documents whose
+ids have the smallest hashes outside the held-out fold. Their whole texts are cut into windows of `WINDOW` bytes, as prediction cuts them,
+and training draws from all of these: at most one window for each place in its batches, by hash. Classes weigh alike.
 Everything random comes from a fixed seed.
 
 Prediction reads every whole text, cut into stretches of `STRETCH` bytes that are labelled side by side; the state starts anew
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import fold, map_rows
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, WINDOWS, WINDOW = 2000, 3, 64
+SAMPLE, WINDOW = 2000, 64
 HIDDEN, STRETCH, SIDE_BY_SIDE = 8, 128, 4096
 EPOCH_STEPS, BATCH, RATE, SEED = 220, 192, 0.02, 7
 _LIKELY = re.compile(r"[^\W\d_]")  # letters and numerals that aren't digits
@@ -182,14 +183,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc
     """Trains on the bounded sample; None without any labelled text."""
     rows = docs.filter(fold(F.col(doc), FOLDS) != HELD_OUT).filter(F.col(lang).isNotNull())
     ids = rows.select(F.col(doc).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    t, n = F.col(text), F.length(text)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(t, (F.greatest(n - WINDOW, F.lit(0)) * k / (WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
-    got = rows.join(F.broadcast(ids), F.col(doc) == F.col("id")).filter(n > 0).select("id", F.struct(F.xxhash64(doc, text).alias("o"), F.col(lang).alias("lang"), F.array_distinct(cut).alias("w")).alias("x"))
-    got = got.groupBy("id").agg(F.min("x").alias("x")).select("x.*").collect()  # a row for each of SAMPLE ids, however often it is repeated
-    got.sort(key=lambda r: (r["o"], r["lang"]))
-    names = sorted({r["lang"] for r in got})
-    pairs = [(w.encode()[:WINDOW], names.index(r["lang"])) for r in got for w in r["w"] if w]
-    return train([p[0] for p in pairs], [p[1] for p in pairs], names) if pairs else None
+    # a row for each of SAMPLE ids, however often it is repeated
+    got = rows.join(F.broadcast(ids), F.col(doc) == F.col("id")).filter(F.length(text) > 0)
+    got = got.groupBy("id").agg(F.min_by(F.struct(F.col(lang).alias("lang"), F.encode(F.col(text), "UTF-8").alias("b")), F.struct(F.xxhash64(doc, text), F.col(lang))).alias("x")).select("id", "x.*")
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / WINDOW).cast("int"))
+    windows = got.select("id", "lang", F.posexplode(F.transform(starts, lambda k: F.substring("b", k * WINDOW + 1, F.lit(WINDOW)))).alias("k", "w"))
+    names = [r["lang"] for r in got.select("lang").distinct().orderBy("lang").collect()]  # languages
+    drawn = windows.orderBy(F.xxhash64("id", "k"), "id", "k").select("lang", "w").limit(EPOCH_STEPS * BATCH).collect()
+    return train([bytes(r["w"]) for r in drawn], [names.index(r["lang"]) for r in drawn], names) if drawn else None
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
