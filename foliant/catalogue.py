@@ -190,35 +190,37 @@ def repair_text(spark, d):
     return r.select("id", X.repair(F.col("text")).alias("fixed"))
 
 
-SAMPLES = ["Artículo 14. Huecos", "Sección SUA 1 Caídas", "B.2.6.2 Altura", "4.1 Ámbito", "Anejo A Terminología", "Capítulo II", "sin número", "Título III Obras", "12 Puertas", "A.1.", "3.5m ancho"]
-_VALUES = ", ".join(f"('{s}')" for s in SAMPLES)
+_NUMBERED = "CASE seq % 5 WHEN 0 THEN 'Artículo ' || (seq % 90) || '. ' || text WHEN 1 THEN 'B.' || (seq % 9) || '.2 ' || text WHEN 2 THEN (seq % 30) || '.1 ' || text WHEN 3 THEN 'Sección SUA ' || (seq % 7) || ' ' || text ELSE text END"
 
 
-@query(f"""WITH s(t) AS (VALUES {_VALUES}), m AS (SELECT t,
+_PARSED = f"""m AS (SELECT id,
  regexp_extract(t, '(?i)^(Anejo\\s+[A-Z]|Secci[oó]n\\s+[A-Z]*\\s*[0-9]+|Cap[ií]tulo\\s+[IVXLC0-9]+|T[ií]tulo\\s+[IVXLC0-9]+)([^\\p{{L}}\\p{{N}}_]|$)', 1) AS a,
  regexp_extract(t, '(?i)^(Art[ií]culo\\s+[0-9]+)([^\\p{{L}}\\p{{N}}_]|$)', 1) AS b,
  regexp_extract(t, '^([A-Z]\\.[0-9]+(\\.[0-9]+)*)\\.?([\\s.]|$)', 1) AS c, regexp_extract(t, '^([0-9]+(\\.[0-9]+)*)\\.?(\\s|$)', 1) AS e FROM s)
-SELECT t, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c WHEN e <> '' THEN e END AS cite,
- CASE WHEN a <> '' OR b <> '' THEN 'ns' WHEN c <> '' OR e <> '' THEN 'num' END AS kind, CASE WHEN a <> '' THEN 1 WHEN b <> '' THEN 2 END AS rank FROM m""")
-def parse_cite(spark, d):
-    s = spark.createDataFrame([(x,) for x in SAMPLES], "t string")
-    return s.select("t", X.parse_cite(F.col("t")).alias("c")).select("t", "c.cite", "c.kind", "c.rank")
+SELECT id, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c WHEN e <> '' THEN e END AS cite,
+ CASE WHEN a <> '' OR b <> '' THEN 'ns' WHEN c <> '' OR e <> '' THEN 'num' END AS kind, CASE WHEN a <> '' THEN 1 WHEN b <> '' THEN 2 END AS rank FROM m"""
 
 
-_NUMBERED = "CASE seq % 5 WHEN 0 THEN 'Artículo ' || (seq % 90) || '. ' || text WHEN 1 THEN 'B.' || (seq % 9) || '.2 ' || text WHEN 2 THEN (seq % 30) || '.1 ' || text WHEN 3 THEN 'Sección SUA ' || (seq % 7) || ' ' || text ELSE text END"
+@query(f"WITH {P.SQL_DOCS}, s AS (SELECT id, text AS t FROM records), {_PARSED}")
+def parse_cite(spark, d):
+    """Cites that lines of documents bear as they are."""
+    return P.corpus(spark, d).select("id", X.parse_cite(F.col("text")).alias("c")).select("id", "c.cite", "c.kind", "c.rank")
 
 
-@query(f"WITH {P.SQL_DOCS}, s AS (SELECT id, {_NUMBERED} AS t FROM records), m AS" + ORACLES["parse_cite"].split("), m AS", 1)[1].replace("(SELECT t,", "(SELECT id, t,").replace("SELECT t, CASE", "SELECT id, CASE"))
+@query(f"WITH {P.SQL_DOCS}, s AS (SELECT id, {_NUMBERED} AS t FROM records), {_PARSED}")
 def parse_cite_documents(spark, d):
     """Lines of documents, four of five with a planted cite before them."""
     r = P.rec_docs(spark, d, False).withColumn("t", F.expr(_NUMBERED))
     return r.select("id", X.parse_cite(F.col("t")).alias("c")).select("id", "c.cite", "c.kind", "c.rank")
 
 
-@query("SELECT * FROM (VALUES ('Artículo 14.1.a)', 'art14.1.a'), ('Sección SUA 1', 'secSUA1'), ('B.2.6', 'B.2.6'), ('Anejo A', 'anejoA'), ('Capítulo II', 'capII'), ('Título III', 'titIII'), ('a)', 'a')) AS t(cite, path)")
+_PRINTED = "CASE seq % 6 WHEN 0 THEN 'Artículo ' || (seq % 90) || '.1.a)' WHEN 1 THEN 'Sección SUA ' || (seq % 7) WHEN 2 THEN 'B.' || (seq % 9) || '.6' WHEN 3 THEN 'Capítulo II' WHEN 4 THEN 'TÍTULO III' ELSE 'anejo A' END"
+
+
+@query(f"WITH {P.SQL_DOCS} SELECT id, CASE seq % 6 WHEN 0 THEN 'art' || (seq % 90) || '.1.a' WHEN 1 THEN 'secSUA' || (seq % 7) WHEN 2 THEN 'B.' || (seq % 9) || '.6' WHEN 3 THEN 'capII' WHEN 4 THEN 'titIII' ELSE 'anejoA' END AS path FROM records")
 def cite_path(spark, d):
-    s = spark.createDataFrame([(x,) for x in ("Artículo 14.1.a)", "Sección SUA 1", "B.2.6", "Anejo A", "Capítulo II", "Título III", "a)")], "cite string")
-    return s.select("cite", X.cite_path(F.col("cite")).alias("path"))
+    """The part of an address that printed cites make, one planted for each line."""
+    return P.corpus(spark, d).select("id", X.cite_path(F.expr(_PRINTED)).alias("path"))
 
 
 @query("SELECT DISTINCT source, upper(substr(regexp_replace(source, '[^A-Za-z0-9]', '', 'g'), 1, 3)) AS code FROM documents")
@@ -226,12 +228,6 @@ def doc_code(spark, d):
     return P.read(spark, d, "documents").select("source", X.doc_code(F.col("source")).alias("code")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('3.', 3, true), ('c)', 3, true), ('iv)', NULL, true), ('12 )', 12, true), ('x', NULL, false), ('..', NULL, false)) AS t(marker, n, ok)")
-def markers(spark, d):
-    s = spark.createDataFrame([(x,) for x in ("3.", "c)", "iv)", "12 )", "x", "..")], "marker string")
-    return s.select("marker", X.marker_ordinal(F.col("marker")).alias("n"), X.is_marker(F.col("marker")).alias("ok"))
-
-
 @query(f"WITH {P.SQL_BOXES} SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY round_even(-t / 4.0, 0), l, n) AS place FROM boxes")
 def reading_order(spark, d):
     return G.reading_order(P.boxes(spark, d))
@@ -255,6 +251,25 @@ def figure_filter(spark, d):
     return G.disposition(P.boxes(spark, d))
 
 
+@query(_DISP + " SELECT * FROM disp")
+def crowded_page(spark, d):
+    """All boxes of all pages side by side on one page: the same answers, from tiles."""
+    room = 100_000_000
+    b = P.boxes(spark, d)
+    x, y = F.col("page") % 1000 * 3000.0, F.floor(F.col("page") / 1000) * 3000.0
+    one = b.select(F.lit(0).alias("page"), (F.col("page") * room + F.col("n")).alias("n"), "kind", "label", *((F.col(c) + x).alias(c) for c in "lr"), *((F.col(c) + y).alias(c) for c in "tb"))
+    return G.disposition(one).select(F.floor(F.col("n") / room).alias("page"), (F.col("n") % room).alias("n"), "disposition")
+
+
+@query(f"WITH {P.SQL_DOCS} SELECT id, id AS source FROM records")
+def crowded_ranges(spark, d):
+    """One document with a range of three pages for each line of all documents: each line's page lies in its own."""
+    lined = numbered(P.corpus(spark, d).select("id", "seq"), "seq", name="g", kind="long")
+    spans = lined.select(F.lit("X").alias("doc"), (F.col("g") * 3).alias("page_from"), (F.col("g") * 3 + 2).alias("page_to"), F.col("id").alias("source"))
+    pages = lined.select("id", F.lit("X").alias("doc"), (F.col("g") * 3 + F.col("g") % 3).alias("page"), F.lit("text").alias("label"))
+    return C.with_source(pages, spans).select("id", "source")
+
+
 @query(_DISP + " SELECT disposition, count(*) AS n FROM disp GROUP BY disposition")
 def disposition_counts(spark, d):
     return G.disposition(P.boxes(spark, d)).groupBy("disposition").agg(F.count("*").alias("n"))
@@ -396,10 +411,14 @@ def check_rebuild(spark, d):
     return a.join(b.select(F.col("n").alias("m"), F.col("x").alias("y"), F.col("s").alias("t"))).select(((F.col("x") == F.col("y")) & (F.col("s") == F.col("t")) & (F.col("n") == F.col("m"))).alias("same"), "n")
 
 
-@query("SELECT id FROM (VALUES ('a'), ('b'), ('s')) AS t(id)")
+@query(f"WITH {P.SQL_DOCS}, lined AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS g FROM records) SELECT id FROM lined WHERE g // {P.LEVELS} % 2 = 0")
 def check_cycle(spark, d):
-    rows = [(1, "a", "b"), (2, "b", "a"), (3, "c", "a"), (4, "s", "s"), (5, "r", ""), (6, "k", "r")]
-    return C.cycles(spark.createDataFrame(rows, "seq long, id string, parent_id string"))
+    """Chains of ten thousand levels, every other one closed to a ring: its first record stands under its last."""
+    rows = P.line_chain(spark, d)
+    lined = numbered(rows, "seq", name="n", kind="long").withColumn("chain", F.floor((F.col("n") - 1) / P.LEVELS))
+    last = lined.groupBy("chain").agg(F.max_by("id", "n").alias("last"))
+    ring = (F.col("parent_id") == "") & (F.col("chain") % 2 == 0)
+    return C.cycles(lined.join(last, "chain").select("seq", "id", F.when(ring, F.col("last")).otherwise(F.col("parent_id")).alias("parent_id")))
 
 
 @query("SELECT 'D' || doc_id || ':p1:§' || unnest([1, 2]) AS id FROM documents WHERE doc_id % 3 = 0 AND contains(text, chr(10)) UNION ALL SELECT 'H:p1:R0' UNION ALL SELECT 'H:p1:N' || min(n_nationkey) FROM nation WHERE n_regionkey = 0")

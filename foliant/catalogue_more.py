@@ -13,7 +13,7 @@ from .operators import ingest as I
 from .operators import ocr as O
 from .operators import search as S
 from .plans import carriers as P
-from .sources import tables, tsv
+from .sources import layout, tables, tsv
 from .storage import shared_path
 
 # --- answers of search, in full and as they travel ---
@@ -92,10 +92,15 @@ def angle_bands(spark, d):
     return T.angle_bands(_said(spark, d), spark.createDataFrame([("30º", 1), ("90º", 1)], "what string, least int"))
 
 
-@query(_SAID + "SELECT '120 m' AS what, count(*) AS n, count(*) = 0 AS ok FROM said WHERE seq % 7 = 1 UNION ALL SELECT '7 m', 0, true")
+def _phantom_sql(number: int) -> str:
+    alone = f"(^|[^\\p{{L}}\\p{{N}}_]){number}\\s*m($|[^\\p{{L}}\\p{{N}}_\\s²]|\\s+($|[^\\s²2m]))"
+    return f"SELECT '{number} m' AS what, CAST(sum(len(regexp_extract_all(text, '{alone}'))) AS BIGINT) AS n FROM said"
+
+
+@query(_SAID + f"SELECT what, n, n = 0 AS ok FROM ({_phantom_sql(120)} UNION ALL {_phantom_sql(7)} UNION ALL {_phantom_sql(45)})")
 def phantoms(spark, d):
-    """Planted: 120 m is a length, 7 m 2 an area."""
-    return T.phantoms(_said(spark, d).filter("seq % 7 = 1").withColumn("text", F.substring("text", 1, 18)), {"120 m": r"\b120\s*m(?!\s*[²2m])\b", "7 m": r"\b7\s*m(?!\s*[²2m])\b"})
+    """Planted: 120 m is a length, 7 m 2 an area, 45 an angle."""
+    return T.phantoms(_said(spark, d), {f"{n} m": rf"\b{n}\s*m(?!\s*[²2m])\b" for n in (120, 7, 45)})
 
 
 @query(_SAID + "SELECT what, n, n = 0 AS ok FROM (SELECT 'ISSN' AS what, count(*) FILTER (WHERE contains(text, 'ISSN')) AS n FROM said UNION ALL SELECT 'CVE-DOG', count(*) FILTER (WHERE contains(text, 'CVE-DOG')) FROM said)")
@@ -161,6 +166,60 @@ def ingest_counters(spark, d):
     return I.counters(P.layout_items(spark, d))
 
 
+@query(f"WITH RECURSIVE {P.SQL_NUMBERED} SELECT w.pos AS seq, w.id, t.doc, t.page, t.cite, w.parent_id, t.label, t.body AS text FROM walk w JOIN told t ON t.doc_id = w.doc_id AND t.pos = w.pos")
+def ingest_numbered(spark, d):
+    """The whole ingest of layouts with printed numbers: namespaces and dotted numbers nest headings, indents nest list items, addresses are made of cites and told apart where they come again."""
+    return I.build(P.numbered_items(spark, d)).select("seq", "id", "doc", "page", "cite", "parent_id", "label", "text")
+
+
+_KIND = "CASE WHEN label = 'picture' THEN 'picture' ELSE 'text' END"
+_OWN = "CASE " + " ".join(f"WHEN k = {k} THEN '{v[1]}'" for k, v in enumerate(P.NUMBERED) if v[1]) + " END"
+
+
+@query(f"WITH RECURSIVE {P.SQL_NUMBERED} SELECT doc, {_KIND} AS kind, row_number() OVER (PARTITION BY doc_id, {_KIND} ORDER BY pos) - 1 AS at, page, CASE WHEN label <> 'picture' THEN body END AS text, CASE WHEN label = 'picture' THEN body END AS caption, CAST(l AS DOUBLE) AS l, max(page) OVER (PARTITION BY doc_id) AS pages FROM told")
+def layout_round_trip(spark, d):
+    """Layouts written as JSON and read again: items in the order of their arrays, with boxes, captions and pages."""
+    path = shared_path(spark, "layouts")
+    layout.write_layouts(P.numbered_items(spark, d), path)
+    read = layout.read_layouts(spark, path)
+    spaces = lambda c: F.trim(X.collapse(F.col(c)))
+    x = layout.items(read).join(layout.page_counts(read), "doc")
+    return x.select("doc", "kind", "at", "page", spaces("text").alias("text"), F.trim(X.collapse(F.col("captions")[0]["text"])).alias("caption"), "bbox.l", F.col("n").alias("pages"))
+
+
+@query(f"WITH {P.SQL_DOCS}, {P.SQL_PROV} SELECT doc, CAST(page_from AS INTEGER) AS page_from, CAST(page_to AS INTEGER) AS page_to FROM prov WHERE source = 'ocr'")
+def pipeline_round_trip(spark, d):
+    """How documents were read, written as JSON and read again: the optical ranges."""
+    path = shared_path(spark, "pipelines")
+    layout.write_pipelines(P.prov(P.corpus(spark, d)), path)
+    return layout.read_pipelines(spark, path)
+
+
+@query("SELECT DISTINCT 'D' || doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'converted' END AS status, CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN 'ValueError: D' || doc_id ELSE '' END AS error FROM documents WHERE doc_id IS NOT NULL")
+def conversion_manifest(spark, d):
+    """A run over all documents, of which some are there and some fail."""
+    names = P.read(spark, d, "documents").filter("doc_id IS NOT NULL").select(F.concat(F.lit("D"), "doc_id").alias("doc"))
+
+    def convert(name):
+        if int(name[1:]) % 7 == 0:
+            raise ValueError(name)
+
+    return tables.convert_all(names, names.filter("CAST(substr(doc, 2) AS BIGINT) % 3 = 0"), convert)
+
+
+@query(f"WITH RECURSIVE {P.SQL_NUMBERED.split('told AS')[0].rstrip().rstrip(',')} SELECT i.doc_id, i.pos AS at, m.marker, CASE m.marker WHEN 'a)' THEN 1 WHEN '1.' THEN 1 WHEN 'c)' THEN 3 END AS n, true AS ok FROM item i JOIN (SELECT doc_id, pos, {_OWN} AS marker FROM kinded) m ON m.doc_id = i.doc_id AND m.pos = i.pos WHERE m.marker IS NOT NULL")
+def markers(spark, d):
+    """What the markers of list items and texts say."""
+    x = P.numbered_items(spark, d).filter("marker IS NOT NULL")
+    return x.select(F.conv("doc", 36, 10).cast("long").alias("doc_id"), "at", "marker", X.marker_ordinal(F.col("marker")).alias("n"), X.is_marker(F.col("marker")).alias("ok"))
+
+
+@query(f"WITH RECURSIVE {P.SQL_NUMBERED} SELECT pos AS at, cite, CASE WHEN cite = '' THEN '' ELSE own END AS path, doc_id FROM told")
+def ingest_cites(spark, d):
+    """The cite of every item, from its heading, marker, first words or caption, and its part of an address."""
+    return I.prepared(P.numbered_items(spark, d)).select("at", "cite", "path", F.conv("doc", 36, 10).cast("long").alias("doc_id"))
+
+
 _PLANT = "muros -altos o bajos- con R d y C 1 de 45 m? a\uf0b1b "
 
 
@@ -312,12 +371,14 @@ def result_envelope(spark, d):
     return E.envelope_counts(E.envelope(r.filter("page = 1 AND seq % 9 = 0"), r.filter("seq % 18 = 0")))
 
 
-_NAMES = [("D1", "the"), ("D2", "tion"), ("D3", "heit")]
-
-
-@query(f"WITH {P.SQL_DOCS}, n(target, name) AS (VALUES {', '.join(map(str, _NAMES))}) SELECT r.id, r.doc, n.target FROM records r JOIN n ON r.doc <> n.target AND contains(r.norm, n.name)")
+@query(f"""WITH {P.SQL_DOCS}, said AS (SELECT id, doc, regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+') AS w, parent_id FROM records), named AS (SELECT doc AS target, w[1] AS a, w[2] AS b FROM said WHERE parent_id = '' AND len(w) > 1),
+pairs AS (SELECT DISTINCT id, doc, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM said)) SELECT DISTINCT p.id, p.doc, n.target FROM pairs p JOIN named n ON n.a = p.a AND n.b = p.b AND n.target <> p.doc""")
 def deference(spark, d):
-    return E.deference(P.corpus(spark, d), spark.createDataFrame(_NAMES, "doc string, name string"))
+    """Records that hold the first two words of another document, by which it is named here."""
+    r = P.corpus(spark, d)
+    words = F.regexp_extract_all("norm", F.lit(r"(?U)(\w+)"))
+    names = r.filter("parent_id = ''").select("doc", words.alias("w")).filter("size(w) > 1").select("doc", F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("name"))
+    return E.deference(r, names)
 
 
 @query(_SAID + ", printed AS (SELECT doc, page, min(CAST(substr(text, 6) AS BIGINT)) AS printed FROM said WHERE seq % 7 = 2 GROUP BY doc, page) SELECT s.id, printed, concat_ws(', ', s.doc, 'p. ' || s.page, 'printed ' || printed, nullif(coalesce(p.text, ''), ''), s.id) AS line FROM said s LEFT JOIN printed r ON r.doc = s.doc AND r.page = s.page LEFT JOIN said p ON p.id = s.parent_id")
@@ -388,9 +449,9 @@ def text_layer(spark, d):
 @query(f"WITH RECURSIVE {P.SQL_HIER}, kept AS (SELECT id FROM hier WHERE id LIKE 'H:p1:C%7'), all_of AS (SELECT id FROM kept UNION SELECT up.ancestor_id FROM up JOIN kept USING (id)) SELECT id FROM all_of")
 def closure_of_page(spark, d):
     """The customers of some pages, with all they hang from: a page is the last digit here."""
-    h = P.hier(spark, d)
+    h = P.hier_corpus(spark, d)
     page = F.when(F.startswith("id", F.lit("H:p1:C")), F.substring("id", -1, 1).cast("int") + 1).otherwise(0)
-    return E.page_selection(h.withColumn("page", page), spark.createDataFrame([("H", 8)], "doc string, page int")).select("id")
+    return E.page_selection(h.withColumn("page", page), spark.createDataFrame([("H", 8)], "doc string, page int"), P.hier_labels(spark, d)).select("id")
 
 
 @query(f"""WITH {P.SQL_DOCS}, c AS (SELECT doc, cite, count(*) AS n FROM records WHERE cite <> '' GROUP BY doc, cite) SELECT * FROM (SELECT 'documents' AS shape, count(DISTINCT doc) AS n FROM records UNION ALL SELECT 'no cite', count(*) FROM records WHERE cite = '' UNION ALL SELECT 'positional id', count(*) FROM records

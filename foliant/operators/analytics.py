@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .order import preceding
+
 WORD = r"[a-záéíóúüñ]{5,}"
 #: Frequent words of legal texts that tell no section from another, and how many terms an index line has.
 STOP_WORDS = (
@@ -66,10 +69,15 @@ def last_header(r: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """(share, value): the value at rank round((n - 1) * share), half to even. Ranks come from counts of values, so no sort of all rows is needed."""
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v")
-    upto = counts.withColumn("to", F.sum("c").over(w)).withColumn("from", F.col("to") - F.col("c"))
+    """(share, value): the value at rank round((n - 1) * share), half to even; nulls come first.
+
+    Ranks come from counts of values, added up over ranges of values: no task holds them all.
+    """
+    counts = stored(values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")), "values")
+    some = counts.filter("v IS NOT NULL")
+    none = counts.filter("v IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("nulls"))
+    upto = preceding(some, "v", "c").join(some, "v").join(F.broadcast(none)).select("v", (F.col("upto") + F.col("nulls")).alias("to"), "c")
+    upto = upto.withColumn("from", F.col("to") - F.col("c"))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     want = total.select(F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.bround((F.col("n") - 1) * s).cast("long").alias("at")) for s in shares))).alias("q")).select("q.*")
     return want.join(upto, (F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")), "left").select("share", F.coalesce("v", F.lit(0)).alias("value"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from .search import ancestry
+from .geometry import covering
+from .search import _links, ancestry, jumps
 
 
 def duplicate_ids(r: DataFrame) -> DataFrame:
@@ -34,8 +35,14 @@ def later_page_parents(r: DataFrame) -> DataFrame:
 
 
 def cycles(r: DataFrame, depth: int | None = None) -> DataFrame:
-    """Records that are their own ancestors."""
-    return ancestry(r, depth).filter("id = ancestor_id").select("id").distinct()
+    """Records that are their own ancestors, within so many levels or at any distance.
+
+    Doubling jumps come to an end but for records that lead into a cycle; where jumps longer than there are records arrive is on one, and so all of a cycle is reached.
+    """
+    if depth is not None:
+        return ancestry(r, depth).filter("id = ancestor_id").select("id").distinct()
+    steps, endless = jumps(_links(r))
+    return r.select("id").limit(0) if endless is None else steps[-1].select(F.col("up").alias("id")).distinct()
 
 
 def wrong_norms(r: DataFrame) -> DataFrame:
@@ -55,7 +62,9 @@ def odd_ids(r: DataFrame) -> DataFrame:
 
 def with_source(r: DataFrame, prov: DataFrame) -> DataFrame:
     """Records with the ranges that hold their page: one in sound data, none or several otherwise."""
-    return r.alias("r").join(prov.alias("v"), (F.col("r.doc") == F.col("v.doc")) & F.col("r.page").between(F.col("v.page_from"), F.col("v.page_to")), "left").select("r.id", "r.doc", "r.page", "r.label", "v.source")
+    rows = r.select("id", "doc", "page", "label")
+    held = covering(rows.select("doc", "page").distinct(), prov.select("doc", "page_from", "page_to", "source"), ["doc"], "page", "page_from", "page_to")
+    return rows.join(held.select("doc", "page", "source"), ["doc", "page"], "left").select("id", "doc", "page", "label", "source")
 
 
 def uncovered_pages(r: DataFrame, prov: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.text import collapse, strip_accents
 from ..storage import ranked, stored
 from .gates import printed_pages
 from .order import extremes, order_labels, preceding, with_ancestors
-from .search import ancestry
+from .search import SMALL, ancestry
 
 #: Shapes of a pointer to another unit, of a unit outside the corpus, and nouns that name figures.
 POINTER = (
@@ -60,12 +60,35 @@ def envelope_counts(shown: DataFrame) -> DataFrame:
     return shown.agg(F.count("*").alias("found"), F.count_if("opened").alias("opened"), F.count_if(~F.col("opened")).alias("unopened"))
 
 
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "norm") -> DataFrame:
+    """(id, phrase) of texts (id) that hold a phrase (phrase) as whole words, whatever stands between the words.
+
+    Any number of phrases: each is looked for by its rarest word, so a frequent one decides nothing. Texts give up only the places of such
+    words, with the words around them, and what is joined there is verified.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"))
+    asked = stored(phrases.select("phrase").distinct().select("phrase", words(F.col("phrase")).alias("ws")).filter("size(ws) > 0"), "phrases")
+    longest = asked.agg(F.max(F.size("ws"))).first()[0]
+    if longest is None:
+        return texts.select("id", F.lit("").alias("phrase")).limit(0)
+    at = asked.select("phrase", "ws", F.posexplode("ws").alias("k", "w"))
+    said = texts.select("id", words(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
+    used = said.select(F.explode_outer(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    known = at.join(used, "w").groupBy("phrase").agg(F.min_by(F.struct("w", "k", "ws"), F.struct("n", "k")).alias("x"), F.count_distinct("k").alias("there"))
+    # a phrase with a word that no text has isn't anywhere
+    keys = stored(known.select("phrase", "x.w", "x.k", "x.ws", "there").filter("there = size(ws)").drop("there"), "keys")
+    around = F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.least(i, F.lit(longest - 1)).alias("back"), F.slice("ws", F.greatest(i - (longest - 2), F.lit(1)), F.lit(2 * longest - 1)).alias("near")))
+    places = said.select("id", F.explode_outer(around).alias("p")).filter("p IS NOT NULL").select("id", "p.*")
+    few = keys.select("w").distinct()
+    hit = places.join(F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few, "w", "left_semi").join(keys, "w")
+    return hit.filter((F.col("back") >= F.col("k")) & (F.slice("near", F.col("back") - F.col("k") + 1, F.size("ws")) == F.col("ws"))).select("id", "phrase").distinct()
+
+
 def deference(r: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, doc, target): records that name another document (names: doc, name), followed one hop."""
-    # few names, and a hash join on nothing: the names are a broadcast list that each text is searched for once
-    listed = [(x["doc"], x["name"]) for x in names.select("doc", "name").distinct().collect()]
-    hits = F.filter(F.array(*(F.when((F.col("doc") != d) & F.col("norm").contains(n), F.lit(d)) for d, n in listed)), lambda x: x.isNotNull()) if listed else F.array().cast("array<string>")
-    return r.select("id", "doc", F.explode_outer(F.array_distinct(hits)).alias("target")).filter("target IS NOT NULL")
+    """(id, doc, target): records that name another document (names: doc, name), followed one hop. Any number of names, met as whole words."""
+    found = phrase_hits(r, names.select(F.col("name").alias("phrase")))
+    named = names.select(F.col("doc").alias("target"), F.col("name").alias("phrase")).distinct()
+    return r.select("id", "doc").join(found, "id").join(named, "phrase").filter("doc <> target").select("id", "doc", "target").distinct()
 
 
 def citations(r: DataFrame, ids: DataFrame | None = None, chain: DataFrame | None = None) -> DataFrame:

@@ -18,17 +18,64 @@ def inside(a: str, b: str, pad: float = PAD) -> Column:
     return (F.col(f"{a}.l") >= F.col(f"{b}.l") - pad) & (F.col(f"{a}.r") <= F.col(f"{b}.r") + pad) & (low >= under - pad) & (high <= over + pad)
 
 
+#: Side of the smallest tiles, in points.
+TILE = 16.0
+
+
+def contained(inner: DataFrame, outer: DataFrame, on: list[str], pad: float = PAD) -> DataFrame:
+    """(i, o) of boxes (on, i or o, l, r, t, b) that lie in another with the same `on`, `pad` points of tolerance on each side; i and o are keys.
+
+    Pages are cut into tiles, in levels whose tiles double in side. An outer box goes to the tiles that it touches at the level of its own size, four at most or
+    nine with the tolerance; an inner one to the tile of its corner, at each level in use. So a pair meets in one tile, and a crowded page is many small joins.
+    Boxes whose left edge lies right of their right one meet by page alone.
+    """
+    low, high = F.least("t", "b"), F.greatest("t", "b")
+    x, o = inner.select(*on, "i", "l", "r", low.alias("low"), high.alias("high")), outer.select(*on, "o", F.col("l").alias("ol"), F.col("r").alias("or"), low.alias("olow"), high.alias("ohigh"))
+    test = (F.col("l") >= F.col("ol") - pad) & (F.col("r") <= F.col("or") + pad) & (F.col("low") >= F.col("olow") - pad) & (F.col("high") <= F.col("ohigh") + pad)
+    side = F.greatest(F.col("or") - F.col("ol"), F.col("ohigh") - F.col("olow"), F.lit(0.0)) + 2 * pad
+    level = F.greatest(F.ceil(F.log2(side / TILE)), F.lit(0)).cast("int")
+    o = o.filter("ol IS NOT NULL AND `or` IS NOT NULL AND olow IS NOT NULL AND ohigh IS NOT NULL").withColumn("level", level)
+    levels = sorted(r["level"] for r in o.select("level").distinct().collect())  # as many as doublings of a tile fit a page
+    plain, odd = x.filter("l <= r"), x.filter("l > r")
+    size = F.lit(TILE) * F.pow(F.lit(2.0), F.col("level"))
+    tile = lambda c: F.floor(c / size)
+    touched = lambda first, last: F.explode(F.sequence(tile(F.col(first) - pad), F.greatest(tile(F.col(first) - pad), tile(F.col(last) + pad))))
+    dealt = o.withColumn("tx", touched("ol", "or")).withColumn("ty", touched("olow", "ohigh"))
+    corners = plain.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("tx", tile(F.col("l"))).withColumn("ty", tile(F.col("low")))
+    return corners.join(dealt, [*on, "level", "tx", "ty"]).filter(test).select("i", "o").unionByName(odd.join(o.drop("level"), on).filter(test).select("i", "o"))
+
+
+def covering(points: DataFrame, spans: DataFrame, on: list[str], at: str, first: str, last: str) -> DataFrame:
+    """points joined with the spans (on, first, last; whole numbers, ends included) that hold them.
+
+    A span goes to the bins that it touches, two at most, at the level of its own length; a point to its bin at each level in use. So a key with many spans is many small joins.
+    """
+    length = F.col(last) - F.col(first) + 1
+    s = spans.filter(F.col(first) <= F.col(last)).withColumn("__level", F.ceil(F.log2(length.cast("double"))).cast("int"))
+    levels = sorted(r["__level"] for r in s.select("__level").distinct().collect())  # 64 at most
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    bins = lambda c: F.floor(c / size)
+    s = s.withColumn("__bin", F.explode(F.sequence(bins(F.col(first)), bins(F.col(last)))))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("__bin", bins(F.col(at)))
+    return p.join(s, [*on, "__level", "__bin"]).filter(F.col(at).between(F.col(first), F.col(last))).drop("__level", "__bin")
+
+
+def _keyed(boxes: DataFrame, name: str) -> DataFrame:
+    return boxes.select("page", F.struct("page", "n").alias(name), "l", "r", "t", "b")
+
+
 def true_figures(boxes: DataFrame) -> DataFrame:
-    """Picture boxes that hold no heading and no list item. An equi-join by page carries the containment test."""
-    text = boxes.filter((F.col("kind") == "text") & F.col("label").isin("section_header", "list_item")).alias("x")
-    return boxes.filter("kind = 'picture'").alias("f").join(text, (F.col("f.page") == F.col("x.page")) & inside("x", "f"), "left_anti")
+    """Picture boxes that hold no heading and no list item."""
+    pictures, text = boxes.filter("kind = 'picture'"), boxes.filter((F.col("kind") == "text") & F.col("label").isin("section_header", "list_item"))
+    held = contained(_keyed(text, "i"), _keyed(pictures, "o"), ["page"]).select("o.page", "o.n").distinct()
+    return pictures.join(held, ["page", "n"], "left_anti")
 
 
 def disposition(boxes: DataFrame) -> DataFrame:
     """What becomes of each text box: figure_label, in_table or body, tested in this order; captions stay in figures."""
     texts = boxes.filter("kind = 'text'")
     key = ["page", "n"]
-    hit = lambda outer, name: texts.alias("x").join(outer.alias("o"), (F.col("x.page") == F.col("o.page")) & inside("x", "o")).select(*(F.col(f"x.{k}").alias(k) for k in key)).distinct().withColumn(name, F.lit(True))
+    hit = lambda outer, name: contained(_keyed(texts, "i"), _keyed(outer, "o"), ["page"]).select("i.page", "i.n").distinct().withColumn(name, F.lit(True))
     out = texts.join(hit(true_figures(boxes), "fig"), key, "left").join(hit(boxes.filter("kind = 'table'"), "tab"), key, "left")
     return out.select(*key, F.when(F.col("fig") & (F.col("label") != "caption"), "figure_label").when(F.col("tab"), "in_table").otherwise("body").alias("disposition"))
 

@@ -15,36 +15,35 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .analytics import gap_fill
-from .geometry import BAND, PAD, SLACK
+from .geometry import BAND, SLACK, contained
 
 #: Labels of page furniture.
 FURNITURE = ("page_header", "page_footer")
 UNNUMBERED = 99
 
 
-def _inside(a: Column, b: Column, pad: float = PAD) -> Column:
-    low, high = (lambda x: F.least(x["t"], x["b"])), (lambda x: F.greatest(x["t"], x["b"]))
-    return F.coalesce((a["l"] >= b["l"] - pad) & (a["r"] <= b["r"] + pad) & (low(a) >= low(b) - pad) & (high(a) <= high(b) + pad), F.lit(False))
-
-
 def _boxes(items: DataFrame, kind: str) -> DataFrame:
     """Every box of an item, for these may stand on several pages."""
     p = items.filter(F.col("kind") == kind).select("doc", F.posexplode("prov").alias("k", "p"), "at")
     return p.select("doc", "at", "k", F.col("p.page_no").alias("page"), F.col("p.bbox").alias("box"))
 
 
+def _placed(rows: DataFrame, name: str, key: list[str], box: str) -> DataFrame:
+    return rows.select("doc", "page", F.struct(*key).alias(name), *(F.col(f"{box}.{c}").alias(c) for c in "lrtb"))
+
+
 def figures(items: DataFrame) -> DataFrame:
     """Picture boxes, but for those that hold a heading or a list item: such a box is a page image, no figure."""
-    f = _boxes(items, "picture").alias("f")
-    held = items.filter((F.col("kind") == "text") & F.col("label").isin("section_header", "list_item")).alias("x")
-    return f.join(held, (F.col("f.doc") == F.col("x.doc")) & (F.col("f.page") == F.col("x.page")) & _inside(F.col("x.bbox"), F.col("f.box")), "left_anti")
+    f, key = _boxes(items, "picture"), ["doc", "at", "k"]
+    heads = items.filter((F.col("kind") == "text") & F.col("label").isin("section_header", "list_item"))
+    held = contained(_placed(heads, "i", ["doc", "kind", "at"], "bbox"), _placed(f, "o", key, "box"), ["doc", "page"])
+    return f.join(held.select("o.*").distinct(), key, "left_anti")
 
 
 def _flag(items: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
     """(doc, at) of the text items that lie in one of the boxes."""
-    x, b = items.filter("kind = 'text'").alias("x"), boxes.alias("b")
-    hit = x.join(b, (F.col("x.doc") == F.col("b.doc")) & (F.col("x.page") == F.col("b.page")) & _inside(F.col("x.bbox"), F.col("b.box")), "left_semi")
-    return hit.select("doc", "kind", "at").distinct().withColumn(name, F.lit(True))
+    hit = contained(_placed(items.filter("kind = 'text'"), "i", ["doc", "kind", "at"], "bbox"), _placed(boxes, "o", ["doc", "at", "k"], "box"), ["doc", "page"])
+    return hit.select("i.*").distinct().withColumn(name, F.lit(True))
 
 
 def grid_text(data: Column) -> Column:

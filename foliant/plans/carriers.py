@@ -280,6 +280,90 @@ judged AS (SELECT *, CASE WHEN label = 'page_header' OR layer = 'furniture' THEN
 """.replace("INSIDE", "x.page = o.page AND x.l >= o.l - 2 AND x.r <= o.r + 2 AND least(x.t, x.b) >= least(o.t, o.b) - 2 AND greatest(x.t, x.b) <= greatest(o.t, o.b) + 2")
 
 
+#: (label, marker, left, words before the line): the kinds of items of `numbered_items`. {p} is the place of the line, {a} a letter by its place.
+NUMBERED = [
+    ("section_header", None, 50, "Anejo {a} "), ("section_header", None, 50, "Sección SUA {p} "), ("section_header", None, 50, "Capítulo II "), ("section_header", None, 50, "Título III "), ("section_header", None, 50, "Artículo {p} "),
+    ("section_header", None, 50, "{a}.1 "), ("section_header", None, 50, "{a}.1.2 "), ("section_header", None, 50, "{p}.4 "), ("section_header", None, 50, "Sin número "),
+    ("list_item", "a)", 70, "Texto: "), ("list_item", "1.", 84, "Texto: "), ("list_item", None, 98, "b) Texto: "), ("text", None, 50, "Texto: "), ("text", "iv)", 50, "Texto: "), ("list_item", "c)", 84, "Texto: "), ("picture", None, 50, "4.2 Figura "), ("list_item", None, 70, "A.1.3 Rótulo"),
+]
+#: Texts of the carrier keep so much of a line; the rule that makes headings of short items sees the words before it.
+_TAIL = "left(line, 40)"
+
+
+def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as items of layouts with printed numbers: cites of all seven shapes, namespaces, list items at three indents, markers, captions, numbers that come again."""
+    lines = dealt(read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))).filter("pos IS NOT NULL AND doc_id IS NOT NULL")
+    x = lines.withColumn("line", collapse(F.col("line"))).withColumn("k", (F.col("doc_id") * 7 + F.col("pos") * F.col("pos") * 5 + F.col("pos")) % len(NUMBERED))
+    x = x.withColumn("p", (F.col("pos") % 3).cast("string")).withColumn("a", F.chr(F.col("pos") % 2 + 65))
+
+    def by_kind(value) -> F.Column:
+        out = F.lit(None)
+        for k, kind in enumerate(NUMBERED):
+            v = value(*kind)
+            out = F.when(F.col("k") == k, v) if not k else out.when(F.col("k") == k, v)
+        return out
+
+    words = by_kind(lambda label, marker, left, lead: F.concat(F.replace(F.replace(F.lit(lead), F.lit("{p}"), F.col("p")), F.lit("{a}"), F.col("a")), F.lit("") if lead.startswith("A.1.3") else F.expr(_TAIL)))
+    label, marker, left = by_kind(lambda *v: F.lit(v[0])), by_kind(lambda *v: F.lit(v[1])), by_kind(lambda *v: F.lit(float(v[2])))
+    page, top = (F.floor(F.col("pos") / 20) + 1).cast("int"), (F.lit(700.0) - F.col("pos") % 20 * 20)
+    x = x.select(F.lpad(F.conv("doc_id", 10, 36), 3, "0").alias("doc"), "pos", words.alias("words"), label.alias("label"), marker.alias("marker"), page.alias("page"), F.struct(left.alias("l"), (left + 30).alias("r"), top.alias("t"), (top - 10).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin")).alias("bbox"))
+    picture = F.col("label") == "picture"
+    cell = F.array(F.struct(F.lit(0).alias("start_row_offset_idx"), F.lit(0).alias("start_col_offset_idx"), F.lit("").alias("text")))
+    return x.select(
+        "doc", F.when(picture, "picture").otherwise("text").alias("kind"), F.when(picture, 2).otherwise(0).alias("kind_order"), F.col("pos").cast("long").alias("at"), "page", "bbox", F.when(~picture, F.col("label")).alias("label"), F.when(~picture, F.col("words")).alias("text"), "marker",
+        F.lit("body").alias("content_layer"), F.when(picture, F.array(F.struct(F.col("words").alias("text")))).alias("captions"), F.struct(F.lit(None).cast("int").alias("num_rows"), F.lit(None).cast("int").alias("num_cols"), F.when(F.lit(False), cell).alias("table_cells")).alias("data"),
+        F.array(F.struct(F.col("page").alias("page_no"), F.col("bbox"))).alias("prov"),
+    )
+
+
+def _numbered_sql() -> str:
+    """The same items, and a step of the outline for each: open headings, open list items and the addresses given so far are lists that go along."""
+
+    def by_kind(value) -> str:
+        return "CASE k " + " ".join(f"WHEN {k} THEN {value(*kind)}" for k, kind in enumerate(NUMBERED)) + " END"
+
+    def lead(label: str, marker: str | None, left: int, words: str) -> str:
+        return f"replace(replace('{words}', '{{p}}', p), '{{a}}', a)" + ("" if words.startswith("A.1.3") else " || left(line, 40)")
+
+    cites = {"Anejo": ("'Anejo ' || a", "'anejo' || a", 1), "Sección": ("'Sección SUA ' || p", "'secSUA' || p", 1), "Capítulo": ("'Capítulo II'", "'capII'", 1), "Título": ("'Título III'", "'titIII'", 1), "Artículo": ("'Artículo ' || p", "'art' || p", 2)}
+
+    def cite(label: str, marker: str | None, left: int, words: str) -> tuple[str, str, int]:
+        """What is printed, its part of an address, and the rank: 0 of a number, 99 of a heading without one."""
+        first = words.split()[0]
+        if first in cites:
+            return cites[first]
+        if label == "section_header" and first != "Sin" or first in ("4.2", "A.1.3"):
+            number = f"replace(replace('{first}', '{{p}}', p), '{{a}}', a)"
+            return number, number, 0
+        if first == "b)":
+            return "'b'", "'b'", 0
+        return (f"'{marker}'", f"'{marker[:-1]}'", 0) if marker else ("''", "''", 99)
+
+    return f"""
+lined AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL),
+kinded AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\\s\\p{{Z}}]+', ' ', 'g')) AS line, (doc_id * 7 + pos * pos * 5 + pos) % {len(NUMBERED)} AS k, CAST(pos % 3 AS VARCHAR) AS p, chr(CAST(pos % 2 + 65 AS INTEGER)) AS a FROM lined),
+item AS (SELECT upper(lpad(to_base(doc_id, 36), 3, '0')) AS doc, doc_id, pos, CAST(pos // 20 + 1 AS INTEGER) AS page, trim(regexp_replace({by_kind(lead)}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body,
+ {by_kind(lambda *v: f"'{v[0]}'" if not v[3].startswith('A.1.3') else "'section_header'")} AS label, {by_kind(lambda *v: v[2])} AS l, {by_kind(lambda *v: cite(*v)[0])} AS cite, {by_kind(lambda *v: cite(*v)[1])} AS own, {by_kind(lambda *v: cite(*v)[2])} AS rank FROM kinded),
+told AS (SELECT *, CASE WHEN own = '' THEN '§' || count(*) FILTER (WHERE own = '') OVER (PARTITION BY doc_id, page ORDER BY pos) ELSE own END AS path, string_split(own, '.') AS parts FROM item),
+walk AS (SELECT doc_id, CAST(-1 AS BIGINT) AS pos, CAST([] AS STRUCT(parts VARCHAR[], rank INTEGER, id VARCHAR)[]) AS heads, CAST([] AS STRUCT(l INTEGER, id VARCHAR)[]) AS items, CAST([] AS VARCHAR[]) AS given, '' AS id, '' AS parent_id FROM told WHERE pos = 0
+ UNION ALL SELECT doc_id, pos,
+  CASE WHEN label = 'section_header' THEN heads[1 : h] || [{{'parts': parts, 'rank': rank, 'id': id}}] ELSE heads END,
+  CASE WHEN label = 'section_header' THEN [] WHEN label = 'list_item' THEN items[1 : i] || [{{'l': l, 'id': id}}] ELSE items END, given || [address], id, parent_id
+ FROM (SELECT *, address || CASE WHEN len(list_filter(given, lambda g: g = address)) > 0 THEN '~' || (len(list_filter(given, lambda g: g = address)) + 1) ELSE '' END AS id
+  FROM (SELECT *, doc || ':p' || page || ':' || CASE WHEN label NOT IN ('section_header', 'picture') AND own <> '' AND above <> '' AND above[1] <> '§' THEN above || '.' || path ELSE path END AS address
+   FROM (SELECT *, CASE WHEN parent_id = '' THEN '' ELSE regexp_extract(parent_id, '^[^:]*:[^:]*:(.*)$', 1) END AS above
+    FROM (SELECT *, CASE WHEN label = 'section_header' THEN CASE WHEN h > 0 THEN heads[h].id ELSE '' END WHEN label = 'list_item' AND i > 0 THEN items[i].id WHEN len(heads) > 0 THEN heads[len(heads)].id ELSE '' END AS parent_id
+     FROM (SELECT t.*, w.heads, w.items, w.given,
+       coalesce(list_max(list_filter(range(1, len(w.heads) + 1), lambda j: NOT CASE WHEN t.rank = 99 THEN w.heads[j].rank = 99 WHEN t.rank > 0 THEN w.heads[j].rank = 0 OR w.heads[j].rank >= t.rank
+         ELSE w.heads[j].rank = 99 OR (w.heads[j].rank = 0 AND NOT (len(w.heads[j].parts) < len(t.parts) AND t.parts[1 : len(w.heads[j].parts)] = w.heads[j].parts)) END)), 0) AS h,
+       coalesce(list_max(list_filter(range(1, len(w.items) + 1), lambda j: w.items[j].l < t.l - 6)), 0) AS i
+      FROM walk w JOIN told t ON t.doc_id = w.doc_id AND t.pos = w.pos + 1))))))
+"""
+
+
+SQL_NUMBERED = _numbered_sql()
+
+
 def pointing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of documents whose texts point elsewhere: two of five lines name an article, a figure or a law."""
     k, t = F.col("seq") % 5, F.col("text")

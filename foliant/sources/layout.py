@@ -20,6 +20,23 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).select(name.alias("doc"), *KINDS, "pages")
 
 
+def read_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """As read_layout, of files that hold a document a line, as write_layouts writes them."""
+    return spark.read.schema(f"doc string, {SCHEMA}").json(path).select("doc", *KINDS, "pages")
+
+
+def write_layouts(items: DataFrame, path: str) -> None:
+    """Items (as `items` gives them) as layouts, a document a line: the arrays in the order of at, a page for each that bears an item."""
+    fields = ["label", "text", "marker", "content_layer", "prov", "captions", "data"]
+    arrays = []
+    for kind in KINDS:
+        mine = F.array_sort(F.collect_list(F.when(F.col("kind") == kind[:-1], F.struct("at", F.struct(*fields).alias("x")))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+        arrays.append(F.transform(mine, lambda y: y["x"]).alias(kind))
+    size = F.lit(None).cast("struct<width:double,height:double>")
+    pages = F.transform(F.array_sort(F.collect_set("page")), lambda n: F.struct(n.cast("string"), F.struct(size.alias("size"))))
+    items.groupBy("doc").agg(*arrays, F.map_from_entries(pages).alias("pages")).write.json(path)
+
+
 def items(layout: DataFrame) -> DataFrame:
     """One row for each placed item: doc, kind, at (place in its array), page, box and the item's fields. Items without a place are left out."""
     out = None
@@ -39,6 +56,23 @@ def read_pipeline(spark: SparkSession, path: str) -> DataFrame:
     """(doc, page_from, page_to) of OCR ranges; a record of the ocr profile without ranges is an error."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.pipeline\.json$", 1)
     raw = spark.read.schema("profile string, ocr_page_ranges array<array<int>>").option("multiLine", True).option("pathGlobFilter", "*.pipeline.json").json(path)
+    return _ranges(raw.select(name.alias("doc"), "profile", "ocr_page_ranges"))
+
+
+def read_pipelines(spark: SparkSession, path: str) -> DataFrame:
+    """As read_pipeline, of files that hold a document a line."""
+    return _ranges(spark.read.schema("doc string, profile string, ocr_page_ranges array<array<int>>").json(path))
+
+
+def write_pipelines(provenance: DataFrame, path: str) -> None:
+    """Ranges (doc, page_from, page_to, source) as records of how documents were read, a document a line."""
+    ocr = F.array_sort(F.collect_list(F.when(F.col("source") == "ocr", F.array("page_from", "page_to"))))
+    rows = provenance.groupBy("doc").agg(ocr.alias("ocr_page_ranges"))
+    rows.select("doc", F.when(F.size("ocr_page_ranges") > 0, "ocr").otherwise("native").alias("profile"), "ocr_page_ranges").write.json(path)
+
+
+def _ranges(raw: DataFrame) -> DataFrame:
+    name = F.col("doc")
     ranges = F.when(F.coalesce(F.size("ocr_page_ranges"), F.lit(0)) <= 0, F.raise_error(F.concat(F.lit("no OCR ranges in "), name)).cast("array<array<int>>")).otherwise(F.col("ocr_page_ranges"))
-    rows = raw.filter("profile = 'ocr'").select(name.alias("doc"), ranges.alias("r"))
+    rows = raw.filter("profile = 'ocr'").select("doc", ranges.alias("r"))
     return rows.select("doc", F.explode_outer("r").alias("x")).select("doc", F.col("x")[0].alias("page_from"), F.col("x")[1].alias("page_to"))

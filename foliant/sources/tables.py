@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 class GoldError(ValueError):
     """Questions and answers that don't line up."""
@@ -37,16 +40,26 @@ def gold_set(spark: SparkSession, questions: str, answers: str) -> DataFrame:
     return q.join(a, ["set", "number"])
 
 
-def convert_all(documents: list[str], done: Callable[[str], bool], convert: Callable[[str], None], force: bool = False) -> list[dict]:
-    """A manifest of a run over documents: what is there is skipped unless forced, and a failure is recorded while the run goes on."""
-    out = []
-    for name in documents:
-        if done(name) and not force:
-            out.append({"doc": name, "status": "skipped", "error": ""})
-            continue
-        try:
-            convert(name)
-            out.append({"doc": name, "status": "converted", "error": ""})
-        except Exception as e:  # noqa: BLE001  the manifest is where it is told
-            out.append({"doc": name, "status": "failed", "error": f"{type(e).__name__}: {e}"})
-    return out
+def convert_all(documents: DataFrame, there: DataFrame, convert: Callable[[str], None], force: bool = False) -> DataFrame:
+    """(doc, status, error): a manifest of a run over documents (doc). What is there (doc) is skipped unless forced; the others are converted in tasks, and a failure
+    is recorded while the run goes on. A task that runs again converts its documents again. The manifest is stored; reading it converts nothing."""
+    names = documents.select("doc").distinct()
+    todo = names if force else names.join(there.select("doc").distinct(), "doc", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status, errors = [], []
+            for name in batch.column("doc").to_pylist():
+                try:
+                    convert(name)
+                    status.append("converted")
+                    errors.append("")
+                except Exception as e:  # noqa: BLE001  the manifest is where it is told
+                    status.append("failed")
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(status, pa.string()), pa.array(errors, pa.string())], ["doc", "status", "error"])
+
+    out = todo.mapInArrow(run, "doc string, status string, error string")
+    if not force:
+        out = out.unionByName(names.join(there.select("doc").distinct(), "doc", "left_semi").select("doc", F.lit("skipped").alias("status"), F.lit("").alias("error")))
+    return stored(out, "manifest")

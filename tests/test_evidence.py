@@ -142,14 +142,15 @@ def test_gold_set(spark, tmp_path):
         tables.gold_set(spark, str(q), str(a))
 
 
-def test_a_run_over_documents_goes_on():
+def test_a_run_over_documents_goes_on(spark):
     def convert(name):
         if name == "b":
             raise OSError("unreadable")
 
-    got = tables.convert_all(["a", "b", "c"], {"c"}.__contains__, convert)
-    assert [(x["doc"], x["status"]) for x in got] == [("a", "converted"), ("b", "failed"), ("c", "skipped")] and "unreadable" in got[1]["error"]
-    assert tables.convert_all(["c"], lambda n: True, convert, force=True)[0]["status"] == "converted"
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "doc string")
+    got = tables.convert_all(names("a", "b", "c", "a"), names("c", "z"), convert).orderBy("doc").collect()
+    assert [(x.doc, x.status) for x in got] == [("a", "converted"), ("b", "failed"), ("c", "skipped")] and "unreadable" in got[1].error
+    assert tables.convert_all(names("c"), names("c"), convert, force=True).first().status == "converted"
 
 
 def test_bad_lines_are_told_with_their_number(spark, tmp_path):
