@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import CODES, doc_code
-from .operators import checks, gates, ingest, search
+from .operators import analytics, checks, gates, ingest, search
 from .sources import layout, tables, tsv
 
 ROOT_VARIABLE, ANCHOR = "FOLIANT_ROOT", "foliant.root"
@@ -97,7 +97,7 @@ def build(spark: SparkSession, folder: str, out: str, documents: list[str]) -> D
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """ingest, check, check-content: 0 if all is well, 1 if a gate fails."""
+    """ingest, check, check-content, evaluate: 0 if all is well, 1 if a gate fails or a set passes too rarely."""
     p = argparse.ArgumentParser(prog="foliant")
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("ingest", help="layout files to corpus files")
@@ -106,10 +106,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     one.add_argument("--docs", nargs="*", default=list(CODES))
     one.add_argument("--stats", action="store_true")
     sub.add_parser("check", help="structure of the corpus").add_argument("--corpus", default=None)
-    content = sub.add_parser("check-content", help="symbols and angles that must be there")
+    content = sub.add_parser("check-content", help="symbols and angles that must be there, phantoms and furniture that must not, chains of headings")
     content.add_argument("--corpus", default=None)
     content.add_argument("--doc", required=True)
-    content.add_argument("--expect", required=True, help="a quoted table with the columns kind (symbol or angle), what and least")
+    content.add_argument("--expect", required=True, help="a quoted table with the columns kind (symbol, angle, phantom, furniture or chain), what (a string; a pattern; a text and its headings, nearest first, parted by |) and least")
+    gold = sub.add_parser("evaluate", help="how many of the questions of a gold set were answered rightly, by set")
+    gold.add_argument("--questions", required=True)
+    gold.add_argument("--answers", required=True)
+    gold.add_argument("--results", required=True, help="a quoted table with the columns set, number and passed")
+    gold.add_argument("--least", type=float, default=0.0, help="the share of each set that must pass")
     p.add_argument("--root", default=None)
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("foliant").getOrCreate()
@@ -120,6 +125,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in told.orderBy("what").collect():  # a row for each kind of item
                 print(f"{r['what']}\t{r['n']}")
         return 0
+    if a.command == "evaluate":
+        asked = tables.gold_set(spark, a.questions, a.answers).select("set", "number")
+        passed = tables.read_gold(spark, a.results, ["set", "number", "passed"]).select("set", "number", (F.lower("passed") == "true").alias("passed"))
+        low = False
+        for r in analytics.pass_rate(asked, passed).orderBy("set").collect():  # a row a set
+            print(f"{r['set']}\t{r['passes']}\t{r['attempted']}\t{r['rate']:.3f}")
+            low |= r["rate"] < a.least
+        return int(low)
     corpus = Corpus.load(spark, a.corpus or f"{root(a.root)}/corpus")
     if a.command == "check":
         failed = checks.failures(corpus.records, corpus.provenance).collect()  # a row for each gate
@@ -128,6 +141,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         want = tables.read_gold(spark, a.expect, ["kind", "what", "least"]).withColumn("least", F.col("least").cast("int"))
         mine = corpus.records.filter(F.col("doc") == a.doc)
         seen = gates.symbol_bands(mine, want.filter("kind = 'symbol'")).unionByName(gates.angle_bands(mine, want.filter("kind = 'angle'")))
+        said = {k: [r["what"] for r in want.filter(F.col("kind") == k).select("what").distinct().collect()] for k in ("phantom", "furniture", "chain")}  # a caller's table
+        if said["phantom"]:
+            seen = seen.unionByName(gates.phantoms(mine, {w: w for w in said["phantom"]}))
+        if said["furniture"]:
+            seen = seen.unionByName(gates.furniture(mine, said["furniture"]))
+        for text in said["chain"]:
+            having, *above = (x.strip() for x in text.split("|"))
+            wrong = gates.chains(mine, having, above)
+            # none at all is a fault as well: what was verified is gone
+            seen = seen.unionByName(wrong.agg(F.lit(text).alias("what"), F.count_if(~F.col("ok")).alias("n"), ((F.count("*") > 0) & (F.count_if(~F.col("ok")) == 0)).alias("ok")))
         lines = [f"{r['what']}: {r['n']}" for r in seen.filter("NOT ok").collect()]
         lines += [f"not native: {r['doc']} {r['page_from']}-{r['page_to']}" for r in gates.foreign_sources(corpus.provenance).collect()]
     for line in lines:

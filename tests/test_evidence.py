@@ -205,10 +205,24 @@ def test_commands(spark, tmp_path, capsys):
     assert registry.main([*where, "check-content", "--doc", "ALP", "--expect", str(expect)], spark) == 0
     expect.write_text("kind,what,least\nsymbol,²,1\nangle,90º,1\n", encoding="utf-8")
     assert registry.main([*where, "check-content", "--doc", "ALP", "--expect", str(expect)], spark) == 1
+    child, head = (corpus.records.filter(f"id = 'ALP:p1:{x}'").first() for x in ("§1", "A.2"))
+    word = child.text.split()[0]
+    for line, fails in ((f"chain,{word} | {head.cite},", 0), (f"chain,{word} | B.9,", 1), ("chain,nowhere | A.2,", 1), (f"phantom,{word},", 1), ("phantom,zzz+,", 0), (f"furniture,{word},", 1), ("furniture,ISSN,", 0)):
+        expect.write_text(f"kind,what,least\n{line}\n", encoding="utf-8")
+        assert registry.main([*where, "check-content", "--doc", "ALP", "--expect", str(expect)], spark) == fails, line
     with pytest.raises(ValueError, match="code"):
         registry.registered(spark, ["Alpha", "alpine"])
 
 
+def test_evaluate(spark, tmp_path, capsys):
+    files = {"questions": "set,number,question\na,1,q\na,2,q\nb,1,q\n", "answers": "set,number,answer,sources\na,1,x,s\na,2,x,s\nb,1,x,s\n", "results": "set,number,passed\na,1,true\na,2,false\nb,1,True\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    call = ["evaluate", *(x for name in files for x in (f"--{name}", str(tmp_path / f"{name}.csv")))]
+    assert registry.main(call, spark) == 0 and capsys.readouterr().out == "a\t1\t2\t0.500\nb\t1\t1\t1.000\n"
+    assert registry.main([*call, "--least", "0.6"], spark) == 1
+
+
 def test_layers_and_shares(spark):
     pages = spark.createDataFrame([("a", p, 500 if p % 2 else 20) for p in range(1, 101)] + [("b", 1, 900)], "doc string, page int, chars long")
     got = {x.doc: x for x in E.text_layer(pages).collect()}
