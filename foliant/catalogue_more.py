@@ -328,12 +328,25 @@ def ocr_tally(spark, d):
     return O.tally(w, spark.createDataFrame([("D", 0, 49), ("D", 50, 99)], "doc string, page_from int, page_to int"))
 
 
-@query()
+_REPLACED = "({0} % 7 = 3 OR {0} % 11 = 5)"
+_GROWN = "({0} % 50 = 20)"
+
+
+def _spliced_sql() -> str:
+    """A run of changed words is spliced if nothing was put in at its ends: of such a run, a sign of every seventh word."""
+    lo, hi = f"CASE WHEN {_REPLACED.format('(i - 1)')} AND i > 0 THEN i - 1 ELSE i END", f"CASE WHEN {_REPLACED.format('(i + 1)')} AND i + 1 < n THEN i + 1 ELSE i END"
+    grown = f"len(list_filter(range({lo} - 1, {hi} + 1), lambda j: j >= 0 AND {_GROWN.format('j')})) > 0"
+    return f"""WITH {P.SQL_DOCS}, w AS (SELECT id, string_split(text, ' ') AS ws FROM records), x AS (SELECT id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM w)
+SELECT id, string_agg(CASE WHEN i % 7 = 3 AND NOT {grown} THEN '≥' ELSE w || '~' || i END, ' ' ORDER BY i) AS spliced FROM x GROUP BY id"""
+
+
+@query(_spliced_sql())
 def splice_operators(spark, d):
-    """Two readings of each document's first line, one of which has operators in place of every seventh word (no SQL: an alignment)."""
-    r = P.rec_docs(spark, d, False).filter("parent_id = ''")
-    other = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 7 == 3, "≥").otherwise(w)), " ")
-    return O.spliced(r.select("id", F.col("text").alias("base"), other.alias("other")))
+    """Two readings of each line of all documents: in one a sign stands in place of every seventh word, some words are misread and some signs are put in. Words are numbered, so their alignment is plain."""
+    words = P.corpus(spark, d).select("id", F.transform(F.split("text", " "), lambda w, i: F.concat_ws("~", w, i.cast("string"))).alias("ws"))
+    read = lambda w, i: F.when(i % 7 == 3, "≥").when(i % 11 == 5, "misread").otherwise(w)
+    other = F.flatten(F.transform("ws", lambda w, i: F.when(i % 50 == 20, F.array(read(w, i), F.lit("≤"))).otherwise(F.array(read(w, i)))))
+    return O.spliced(words.select("id", F.array_join("ws", " ").alias("base"), F.array_join(other, " ").alias("other"))).select("id", "spliced")
 
 
 # --- evidence ---

@@ -35,13 +35,6 @@ def test_spliced_keeps_rows(spark):
     assert [(x.k, x.spliced) for x in O.spliced(rows).orderBy("k").collect()] == [(1, "a ≥ 2"), (2, ""), (3, "b")]
 
 
-def test_query_of_spliced_words_is_what_python_gives(spark):
-    from foliant import queries
-
-    for x in queries.QUERIES["splice_operators"](spark, "/root/testdata/sf0.001").limit(40).collect():
-        assert x.spliced == O.splice(x.base or "", x.other or "")
-
-
 def test_words_are_read_unquoted(spark, tmp_path):
     f = tmp_path / "words.tsv"
     f.write_text('level\tpage\tblock_num\tpar_num\tline_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t10\t20\t30\t8\t96.5\t"quoted\n5\t1\t1\t1\t1\tx\t20\t30\t8\t-1\tlost\n', encoding="utf-8")
