@@ -14,7 +14,8 @@ cover all documents.
 
 Edge cases: a null or empty text has no words, fails the base rule and isn't kept; a null doc_id is
 never trusted; without trusted rows every weight is 0 and the base rules decide; repeated rows give
-repeated rows; an empty table gives an empty table; other columns pass through untouched.
+repeated rows; an empty table gives an empty table. Other columns pass through, but
+for those with names of the result's own columns, which are replaced, and for names that begin with `__q_`, which are taken; callers with any names put them in a struct first.
 """
 
 from __future__ import annotations

@@ -231,6 +231,42 @@ def test_grams_of_many_words(monkeypatch):
     assert len(n) == len(v) and n.max() == 1 and (u == v).all() and (w == v[::-1]).all()
 
 
+def plain_labels(net, data):
+    """The network byte by byte in plain steps: mean probabilities over all positions of a text."""
+    h, total = langid.HIDDEN, np.zeros(len(net.names))
+    table, recur = net.table.astype(float).reshape(3, 2, h, 256), net.recur.astype(float).reshape(3, 2, h, 2, h)
+    for at in range(0, len(data), langid.STRETCH):
+        part = data[at : at + langid.STRETCH]
+        states = np.zeros((len(part), 2 * h))
+        for side, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            state = np.zeros(h)
+            for i in order:
+                x, r = table[:, side, :, part[i]], recur[:, side, :, side] @ state
+                u, g = 1 / (1 + np.exp(-(x[:2] + r[:2])))
+                new = np.tanh(x[2] + g * r[2])
+                state = new + u * (state - new)
+                states[i, side * h : (side + 1) * h] = state
+        z = states @ net.out.astype(float).T + net.bias[:, 0]
+        p = np.exp(z - z.max(1, keepdims=True))
+        total += (p / p.sum(1, keepdims=True)).sum(0)
+    return total / len(data)
+
+
+def test_language_of_every_text_against_plain_steps(spark):
+    r = random.Random(8)
+    kinds = {"de": "der die und nicht schön Straße", "en": "the and not with of which", "fr": "le la été où très ça"}
+    rows = [(i, " ".join(r.choice(kinds[k].split()) for _ in range(r.randint(1, 60))), k) for i, k in ((i, r.choice(list(kinds))) for i in range(150))]
+    docs = spark.createDataFrame(rows + [(900, None, "de"), (901, "1 2 3", "en"), (902, "x" * 700, None)], "doc_id long, text string, lang string")
+    net = langid.fit(docs)
+    assert net.names == ["de", "en", "fr"]
+    for x in langid.identify(docs, net).collect():
+        if not any(c.isalpha() for c in x.text or ""):
+            assert (x.lang_pred, x.lang_score) == ("und", 0.0)
+            continue
+        p = plain_labels(net, x.text.encode())
+        assert x.lang_pred == net.names[int(p.argmax())] and abs(x.lang_score - p.max()) < 1e-4
+
+
 def brute_templates(pages):
     """The rules of `templates` and `extract`, all pages in memory."""
     parsed = [(html_text.Page(h), html_text.host_of(u)) for _, u, h in pages]
