@@ -103,6 +103,7 @@ class Page:
         self.junk: list[bool] = []
         self.main: list[bool] = []
         self.linked: list[int] = []  # characters of each block that are in links
+        self.upto = [(0, 0)]  # characters, and those in links, before each block
         #: (hash, first block, block after the last, whether it counts together with its neighbours only)
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self.named: list[tuple[int, int, int]] = []  # elements that are no content by name: first block, block after the last, main elements inside
@@ -192,6 +193,7 @@ class Page:
             if text:
                 self.blocks.append(text)
                 self.linked.append(min(linked, len(text)))
+                self.upto.append((self.upto[-1][0] + len(text), self.upto[-1][1] + self.linked[-1]))
                 self.junk.append(self.state[0])
                 self.main.append(self.state[1])
                 self.open[-1][1].append(text)
@@ -271,7 +273,7 @@ class Page:
         if mains >= 0 and last > first:
             self.named.append((first, last, self.mains - mains))
         if last > first and tag in BLOCK and tag not in ("html", "body"):
-            strong = named or 2 * sum(self.linked[first:last]) > sum(map(len, self.blocks[first:last])) if last - first <= 64 else named
+            strong = named or 2 * (self.upto[last][1] - self.upto[first][1]) > self.upto[last][0] - self.upto[first][0]
             if strong or not inside[1]:
                 self.subtrees.append((whole, first, last, not strong and last - first == 1))
 
