@@ -30,6 +30,6 @@ def documents(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["ingest_cites", "markers", "ingest_numbered"])
+@pytest.mark.parametrize("name", ["ingest_cites", "markers", "ingest_numbered", "layout_round_trip"])
 def test_numbers_of_documents(spark, documents, name):
     same_as_sql(spark, documents, name)
