@@ -33,3 +33,20 @@ def documents(tmp_path_factory):
 @pytest.mark.parametrize("name", ["ingest_cites", "markers", "ingest_numbered", "layout_round_trip"])
 def test_numbers_of_documents(spark, documents, name):
     same_as_sql(spark, documents, name)
+
+
+@pytest.fixture(scope="module")
+def lines(tmp_path_factory):
+    """Pages of documents 1, 1296, 46656 and 46657, with parts on both sides of a million: n, ten times a part, then passes ten million."""
+    d = tmp_path_factory.mktemp("lines")
+    pages = "SELECT p + j AS p FROM (SELECT unnest([50, 64800, 2332800, 2332850]) AS p), range(50) r(j)"
+    some = f"SELECT p, (p * 7919 + i * 611953) % 3000000 AS k, i % 7 AS n FROM ({pages}), range(16) q(i)"
+    # beginnings of lines: of two words a pixel apart the left one has a number two millions higher (13 * 1077 is 1 modulo 2000, so k stands at x)
+    heads = "SELECT p, 1077 * x % 2000 + m AS k, i AS n FROM (SELECT p, i, 200 + (p * 7 + i * 13) % 100 + e AS x, 2000000 * (1 - e) AS m FROM range(1000, 1400) r(p), range(6) q(i), range(2) s(e))"
+    duckdb.execute(f"COPY (SELECT CAST(p AS BIGINT) AS l_orderkey, CAST(k AS BIGINT) AS l_partkey, CAST(n AS BIGINT) AS l_linenumber FROM ({some} UNION ALL {heads})) TO '{d}/lineitem.parquet'")
+    return d
+
+
+@pytest.mark.parametrize("name", ["ingest_records"])
+def test_numbers_of_pages_and_parts(spark, lines, name):
+    same_as_sql(spark, lines, name)
