@@ -76,11 +76,11 @@ def lines(words: DataFrame, least: float = LEAST_CONF) -> DataFrame:
     return rows.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
 
 
-def line_heads(words: DataFrame, dpi: int = DPI) -> DataFrame:
-    """The leftmost word of each line, its place in points."""
+def line_heads(words: DataFrame, dpi: int = DPI, order: Column | None = None) -> DataFrame:
+    """The first word of each line (the leftmost, or the first in an order given), its top and the line's left edge in points."""
     w = kept_words(words, 0.0)
-    head = F.min(F.struct("left", "n", "top", "text"))
-    return w.groupBy(*LINE).agg(head.alias("h")).select(*LINE, "h.text", points(F.col("h.left"), dpi).alias("l"), points(F.col("h.top"), dpi).alias("top"))
+    head = F.min_by(F.struct("top", "text"), F.struct("left", "n", "top", "text") if order is None else order)
+    return w.groupBy(*LINE).agg(head.alias("h"), F.min("left").alias("left")).select(*LINE, "h.text", points(F.col("left"), dpi).alias("l"), points(F.col("h.top"), dpi).alias("top"))
 
 
 def marker_of(token: Column) -> Column:
@@ -89,9 +89,9 @@ def marker_of(token: Column) -> Column:
     return F.when(s.rlike(MARKER), s)
 
 
-def gutter_markers(words: DataFrame, gutter: tuple[float, float] = GUTTER, dpi: int = DPI) -> DataFrame:
+def gutter_markers(words: DataFrame, gutter: tuple[float, float] = GUTTER, dpi: int = DPI, order: Column | None = None) -> DataFrame:
     """Line heads in the gutter that are markers: page, l, top, marker."""
-    heads = line_heads(words, dpi).filter((F.col("l") > gutter[0]) & (F.col("l") < gutter[1]))
+    heads = line_heads(words, dpi, order).filter((F.col("l") > gutter[0]) & (F.col("l") < gutter[1]))
     return heads.withColumn("marker", marker_of(F.col("text"))).filter("marker IS NOT NULL").select("page", "l", "top", "marker")
 
 
