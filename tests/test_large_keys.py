@@ -47,6 +47,6 @@ def lines(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["ingest_records", "ingest_counters", "ingest_dispositions", "ingest_tally", "gutter_markers", "marker_continuity"])
+@pytest.mark.parametrize("name", ["ingest_records", "ingest_counters", "ingest_dispositions", "ingest_tally", "gutter_markers", "marker_continuity", "ocr_line_heads"])
 def test_numbers_of_pages_and_parts(spark, lines, name):
     same_as_sql(spark, lines, name)
