@@ -224,3 +224,27 @@ def test_layers_and_shares(spark):
     assert got["a"].sparse_fraction == round(sum(c < 100 for c in want) / 40, 3) and [x.doc for x in E.needs_ocr(E.text_layer(pages), 0.4).collect()] == ["a"]
     s = spark.createDataFrame([(1, 3), (0, 0)], "a int, b int")
     assert [x.s for x in s.select(E.share_text(s.a, s.b).alias("s")).collect()] == ["33.3%", "0.0%"]
+
+
+def test_phrases_of_one_two_and_more_words(spark):
+    texts = spark.createDataFrame([(0, "a b c d"), (1, "b c x c d"), (2, "d a b, c"), (3, None), (4, "b")], "id long, norm string")
+    for asked in (["b", "a b", "b - c"], ["b c d", "a b", "x", "a b c d", "c x c", "zz", "b zz"], ["a b"], ["zz zz"], []):
+        got = E.phrase_hits(texts, spark.createDataFrame([(p,) for p in asked], "phrase string")).collect()
+        bare = lambda t: " " + " ".join("".join(c if c.isalnum() else " " for c in t or "").split()) + " "
+        want = sorted((i, p) for i, t in texts.collect() for p in asked if bare(p) in bare(t))
+        assert sorted(map(tuple, got)) == want
+
+
+def test_deference_of_documents_with_many_names(spark):
+    r = spark.createDataFrame([("1", "A", "b c and e f"), ("2", "B", "b c"), ("3", "C", "none")], "id string, doc string, norm string")
+    many = [(f"D{i}", n) for i in range(600) for n in ("b c", "e f")]
+    names = spark.createDataFrame([*many, ("A", "b c"), ("A", "b c"), ("B", "g h"), ("E", None)], "doc string, name string")
+    got = sorted(map(tuple, E.deference(r, names).collect()))
+    assert got == sorted([(i, d, f"D{n}") for i, d in (("1", "A"), ("2", "B")) for n in range(600)] + [("2", "B", "A")])
+
+
+def test_only_found_names_are_shuffled(spark):
+    """The rows of the answer are made by the last join: no exchange stands above it."""
+    r = spark.createDataFrame([("1", "A", "b c"), ("2", "B", "b c")], "id string, doc string, norm string")
+    plan = E.deference(r, spark.createDataFrame([("A", "b c"), ("B", "b c")], "doc string, name string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
