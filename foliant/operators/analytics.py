@@ -24,13 +24,16 @@ def terms(r: DataFrame, column: str = "norm") -> DataFrame:
 
 
 def tfidf(r: DataFrame, stop: list[str] = [], top: int | None = None, column: str = "norm") -> DataFrame:  # noqa: B006
-    """tf * ln(N / (1 + df)) of each term of a section; N and df are those of its document."""
-    t = terms(r, column)
+    """tf * ln(N / (1 + df)) of each term of a section; N and df are those of its document.
+
+    Records are dealt by document once; all counts are taken from there without another shuffle of terms.
+    """
+    t = terms(r.select("doc", "id", "parent_id", "seq", column).repartition("doc"), column)
     t = t.filter(~F.col("term").isin(stop)) if stop else t
     tf = t.groupBy("doc", "section_id", "term").agg(F.count("*").alias("tf"), F.min(F.struct("seq", "k")).alias("at"))
-    df = tf.groupBy("doc", "term").agg(F.count("*").alias("df"))
     n = t.groupBy("doc").agg(F.count_distinct("section_id").alias("n"))
-    out = tf.join(df, ["doc", "term"]).join(n, "doc").withColumn("weight", F.col("tf") * F.log(F.col("n") / (1 + F.col("df"))))
+    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc", "term")))
+    out = tf.join(n, "doc").withColumn("weight", F.col("tf") * F.log(F.col("n") / (1 + F.col("df"))))
     if top is not None:
         w = Window.partitionBy("section_id").orderBy(F.desc("weight"), "at")
         out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

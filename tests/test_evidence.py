@@ -248,3 +248,12 @@ def test_only_found_names_are_shuffled(spark):
     r = spark.createDataFrame([("1", "A", "b c"), ("2", "B", "b c")], "id string, doc string, norm string")
     plan = E.deference(r, spark.createDataFrame([("A", "b c"), ("B", "b c")], "doc string, name string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_weights_shuffle_records_once(spark):
+    """The one exchange that is asked for is by document; what stands above it needs none of terms."""
+    r = spark.createDataFrame([(0, "a", "D", "", "puerta puerta ancho"), (1, "b", "D", "", "puerta libre"), (2, "c", "E", "", "puerta")], "seq long, id string, doc string, parent_id string, norm string")
+    got = {(x.doc, x.section_id, x.term): (x.tf, x.df, round(x.weight, 6)) for x in A.tfidf(r).collect()}
+    assert got == {("D", "a", "puerta"): (2, 2, -0.81093), ("D", "a", "ancho"): (1, 1, 0.0), ("D", "b", "puerta"): (1, 2, -0.405465), ("D", "b", "libre"): (1, 1, 0.0), ("E", "c", "puerta"): (1, 1, -0.693147)}
+    plan = A.tfidf(r)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc#" in plan and not any("hashpartitioning" in line and "term#" in line for line in plan.splitlines())
