@@ -50,3 +50,17 @@ def lines(tmp_path_factory):
 @pytest.mark.parametrize("name", ["ingest_records", "ingest_counters", "ingest_dispositions", "ingest_tally", "gutter_markers", "marker_continuity", "ocr_line_heads"])
 def test_numbers_of_pages_and_parts(spark, lines, name):
     same_as_sql(spark, lines, name)
+
+
+@pytest.fixture(scope="module")
+def parts(tmp_path_factory):
+    """Neighbouring pages of one document whose parts are ten million apart: page * 100000000 + n is the same for boxes of both."""
+    d = tmp_path_factory.mktemp("parts")
+    some = "SELECT 100 + j AS p, (i * 7919) % 400 + 10000000 * (5 - j) AS k, i % 7 AS n FROM range(6) r(j), range(200) q(i) WHERE (i + j) % 3 > 0"
+    duckdb.execute(f"COPY (SELECT CAST(p AS BIGINT) AS l_orderkey, CAST(k AS BIGINT) AS l_partkey, CAST(n AS BIGINT) AS l_linenumber FROM ({some})) TO '{d}/lineitem.parquet'")
+    return d
+
+
+@pytest.mark.parametrize("name", ["ingest_counters", "ingest_records"])
+def test_parts_beyond_ten_million(spark, parts, name):
+    same_as_sql(spark, parts, name)
