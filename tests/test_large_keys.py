@@ -61,6 +61,6 @@ def parts(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["ingest_counters", "ingest_dispositions", "ingest_records"])
+@pytest.mark.parametrize("name", ["ingest_counters", "ingest_dispositions", "ingest_tally", "ingest_records"])
 def test_parts_beyond_ten_million(spark, parts, name):
     same_as_sql(spark, parts, name)
