@@ -7,9 +7,9 @@ bits where tokens do begin, and literals and copies are put in place. With group
 that depend on earlier fronts only.
 
 A payload is the text's UTF-8 bytes and zero bytes up to a positive multiple of `ROW`. It is stored as images of at most `TILE` bytes, one file
-after another, so that memory is bounded at any length. The layouts "grey" and "palette" have one byte a pixel: grey pixels less their green, or a
-palette of the bytes that occur, by which few different bytes are packed. "colour" has four bytes a pixel, with predictor, cross-colour transform and colour cache. `layout_of`
-deals a share of the payloads to the last two by their checksum, so that every part of the decoder is at work on any table.
+after another, so that memory is bounded at any length. The layout "colour" has four bytes a pixel, with predictor, cross-colour transform and colour cache; all payloads take it
+but those that `layout_of` finds unfit for it. The layouts "palette" and "grey" have one byte a pixel: a palette of the bytes that occur, by which few different bytes are packed, or grey
+pixels less their green.
 
 Edge cases: a null text is an empty one, and an empty one is 64 zero bytes; a null medium reads as null; equal texts give
 equal media; very long texts become several images; an empty table gives an empty table. Other columns pass through; new
@@ -19,7 +19,6 @@ columns replace input columns of their names. A damaged file is an error.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +30,6 @@ from pyspark.sql import types as T
 from .common import map_rows
 
 ROW, TILE = 64, 1 << 20
-#: One payload in so many is stored in colour, and one with a palette.
-SHARE = 64
 #: Bytes that a copy has at least, pixels that a copy has at most.
 WINDOW, LONGEST = 6, 4096
 #: Bits of a stretch that is looked up at once.
@@ -847,10 +844,10 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, window: i
 
 
 def layout_of(payload: bytes) -> str:
-    """Few different bytes are packed by a palette; else one payload in SHARE is stored in colour and one with a palette."""
+    """Few different bytes are packed by a palette. One row of pixels leaves the predictor no choice, so it is grey; all else is in colour, with every transform of that layout."""
     if len(set(payload)) <= 16:
         return "palette"
-    return {0: "colour", 1: "palette"}.get(zlib.crc32(payload) % SHARE, "grey")
+    return "colour" if len(payload) > ROW else "grey"
 
 
 def store(payload: bytes, layout: str | None = None) -> bytes:
@@ -866,26 +863,28 @@ def grey(samples: np.ndarray) -> np.ndarray:
     return OPAQUE | samples.astype(np.uint32).reshape(-1, ROW) * np.uint32(0x010101)
 
 
+def _costs(residuals: np.ndarray, bits: int) -> np.ndarray:
+    """By block: the information of its values among those of the whole image."""
+    height, width = residuals.shape[:2]
+    at = residuals + np.arange(0, 1024, 256, dtype=np.int16)
+    counts = np.bincount(at.ravel(), minlength=1024)
+    each = np.log2(height * width / np.maximum(counts, 1)).take(at).sum(2)
+    return np.add.reduceat(np.add.reduceat(each, np.arange(0, height, 1 << bits), 0), np.arange(0, width, 1 << bits), 1)
+
+
 def _colour(samples: np.ndarray) -> bytes:
-    """Four bytes a pixel. Each block of pixels takes the predictor of least residuals out of two, and one of two sets of factors."""
+    """Four bytes a pixel. Each block of pixels takes the predictor of least cost out of three, and one of two sets of factors."""
     pixels = np.ascontiguousarray(samples).view(">u4").astype(np.uint32).reshape(-1, ROW // 4)
     height, width = pixels.shape
     bits = 4
     rows, cols = -(-height >> bits), -(-width >> bits)
     c = channels(pixels)
-    cost = []
-    for mode in (2, 9):
-        r = predict_residuals(c, np.full(pixels.shape, mode))
-        cost.append(np.add.reduceat(np.add.reduceat(np.minimum(r, 256 - r).sum(2), np.arange(rows) << bits, 0), np.arange(cols) << bits, 1))
-    modes = np.where(cost[0] <= cost[1], 2, 9)
+    tried = np.array((0, 2, 9))
+    modes = tried[np.argmin([_costs(predict_residuals(c, np.full(pixels.shape, mode)), bits) for mode in tried], 0)]
     left = predict_residuals(c, spread(modes, bits, height, width))
-    tried = [np.full((rows, cols), f, np.uint32) for f in (OPAQUE, OPAQUE | 0x080810)]
-    cost = []
-    for f in tried:
-        r = cross_colour(left, channels(spread(f, bits, height, width)), False)
-        cost.append(np.add.reduceat(np.add.reduceat(np.minimum(r, 256 - r).sum(2), np.arange(rows) << bits, 0), np.arange(cols) << bits, 1))
-    factors = np.where(cost[0] <= cost[1], tried[0], tried[1])
-    return encode(pixels, ((PREDICTOR, bits, modes), (CROSS_COLOUR, bits, factors)), cache=8, window=3)
+    factors = [np.full((rows, cols), f, np.uint32) for f in (OPAQUE, OPAQUE | 0x080810)]
+    cost = [_costs(cross_colour(left, channels(spread(f, bits, height, width)), False) & 255, bits) for f in factors]
+    return encode(pixels, ((PREDICTOR, bits, modes), (CROSS_COLOUR, bits, np.where(cost[0] <= cost[1], *factors))), cache=8, window=3)
 
 
 def load(media: bytes) -> list[np.ndarray]:

@@ -238,6 +238,17 @@ def test_several_images_and_damage(monkeypatch):
             pass
 
 
+def test_all_payloads_of_several_rows_take_the_predictor():
+    """The layout goes by what a payload holds, not by its checksum: texts all have the predictor, the cross-colour transform and the cache."""
+    r = random.Random(3)
+    for k in range(200):
+        payload = webp.padded(" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=60 + k)))
+        data = webp.store(payload)
+        bits = webp.Bits(data[21:], 32)
+        assert webp.layout_of(payload) == "colour" and bits.read(3) == 1 | webp.PREDICTOR << 1 and b"".join(map(webp.samples, webp.load(data))) == payload
+    assert webp.layout_of(webp.padded("x" * 9000)) == "palette" and webp.layout_of(bytes(range(64))) == "grey"
+
+
 def test_query_against_plain_python(spark, tmp_path):
     r = random.Random(9)
     texts = [None, "", "a", "x" * 64, "x" * 65, "é" * 40, "\x00", "ab" * 5000] + [" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=r.randint(1, 300))) for _ in range(400)]
