@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from .common import map_rows
 ROW, TILE = 64, 1 << 20
 #: Bytes that a copy has at least, pixels that a copy has at most.
 WINDOW, LONGEST = 6, 4096
-#: Bits of a stretch that is looked up at once.
-STRETCH = 1 << 17
+#: Bits of a stretch that is looked up at once, pixels of an image that is read token by token, bytes of payloads that are transformed together.
+STRETCH, SMALL, TOGETHER = 1 << 17, 64, 1 << 21
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Fixed values of the format: the order in which lengths of the code of lengths are stored, and the multiplier of the colour cache's hash.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -219,10 +219,10 @@ def spread(blocks: np.ndarray, bits: int, height: int, width: int) -> np.ndarray
     return np.repeat(np.repeat(blocks, 1 << bits, 0)[:height], 1 << bits, 1)[:, :width]
 
 
-def border_modes(modes: np.ndarray) -> np.ndarray:
-    """The first row follows its left neighbour, the first column its upper one, the first pixel none."""
+def border_modes(modes: np.ndarray, tops: np.ndarray | int = 0) -> np.ndarray:
+    """The first row follows its left neighbour, the first column its upper one, the first pixel none. tops: the first rows of images that stand one below another."""
     modes = modes.copy()
-    modes[0], modes[:, 0], modes[0, 0] = 1, 2, 0
+    modes[tops], modes[:, 0], modes[tops, 0] = 1, 2, 0
     return modes
 
 
@@ -240,25 +240,40 @@ def predict_residuals(c: np.ndarray, modes: np.ndarray) -> np.ndarray:
 LEFTWARDS = np.isin(np.arange(16), (1, 5, 6, 7, 10, 11, 12, 13))
 
 
-def predict_back(c: np.ndarray, modes: np.ndarray) -> np.ndarray:
-    """The inverse. The first row adds up from left to right; later rows are whole steps as long as no mode of theirs looks to the left, else pixels with
-    equal x + 2y are, as they depend on those of lesser sums only."""
-    out, modes = c.copy(), border_modes(modes)
+def predict_back(c: np.ndarray, modes: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
+    """The inverse, of images that stand one below another. First rows add up from left to right; later ones are whole steps, a row of each image in one, as long as no mode
+    of theirs looks to the left, else an image goes on by fronts: pixels with equal x + 2y depend on those of lesser sums only."""
+    tops = np.zeros(1, np.int64) if tops is None else tops
+    heights = np.diff(tops, append=len(c))
+    out, modes = c.copy(), border_modes(modes, tops)
+    out[tops, 0, 0] += 255
+    out[tops] = out[tops].cumsum(1, dtype=np.int64) & 255
+    led = LEFTWARDS[modes].any(1)
+    led[tops] = False
+    stops, led = heights.copy(), led.nonzero()[0]
+    if len(led):
+        image = np.searchsorted(tops, led, "right") - 1
+        np.minimum.at(stops, image, led - tops[image])
+    order = (-stops).argsort(kind="stable")
+    first, live = tops[order], np.searchsorted(-stops[order], -np.arange(int(stops.max())), "left")  # images with more rows than that
+    for done in range(1, int(stops.max())):
+        rows = first[: live[done]] + done
+        here, above = out[rows], out[rows - 1]
+        last = (here[:, :1] + above[:, :1]) & 255  # the right neighbour above the last pixel is the first one of its own row
+        near = above, above, np.concatenate([above[:, 1:], last], 1), np.concatenate([above[:, :1], above[:, :-1]], 1)
+        out[rows] = (here + predicted(modes[rows].ravel(), *(x.reshape(-1, 4) for x in near)).reshape(here.shape)) & 255
+    for k in (stops < heights).nonzero()[0].tolist():
+        mine = slice(tops[k], tops[k] + heights[k])
+        _fronts(out[mine], modes[mine], int(stops[k]))
+    return out
+
+
+def _fronts(out: np.ndarray, modes: np.ndarray, done: int) -> None:
     height, width = modes.shape
-    out[0, 0, 0] += 255
-    out[0] = out[0].cumsum(0, dtype=np.int64) & 255
-    plain = ~LEFTWARDS[modes].any(1)
-    done = 1
-    while done < height and plain[done]:
-        above = out[done - 1]
-        first = (out[done, :1] + above[:1]) & 255  # the right neighbour above the last pixel is the first one of its own row
-        out[done] = (out[done] + predicted(modes[done], above, above, np.concatenate([above[1:], first]), np.concatenate([above[:1], above[:-1]]))) & 255
-        done += 1
     for t in range(2 * done, width + 2 * (height - 1)):
         y = np.arange(max(done, (t - width + 2) // 2), min(height - 1, t // 2) + 1)
         x = t - 2 * y
         out[y, x] = (out[y, x] + predicted(modes[y, x], *_neighbours(out, y, x))) & 255
-    return out
 
 
 def _delta(factor: np.ndarray, colour: np.ndarray) -> np.ndarray:
@@ -307,51 +322,97 @@ def _length_table(of_lengths: bytes) -> tuple[list[int], int]:
     return table.tolist(), (1 << top) - 1
 
 
+def _simple(bits: Bits, alphabet: int) -> tuple[int, ...] | None:
+    """The one or two symbols of a simple code; None of another."""
+    if not bits.read(1):
+        return None
+    several, wide = bits.read(1), bits.read(1)
+    symbols = (bits.read(8 if wide else 1), *((bits.read(8),) if several else ()))
+    if max(symbols) >= alphabet:
+        raise ValueError("a symbol outside of the alphabet")
+    return symbols
+
+
+@lru_cache(1 << 12)
+def _simple_table(symbols: tuple[int, ...]) -> tuple[np.ndarray, int]:
+    lengths = np.zeros(256, np.int64)
+    lengths[list(symbols)] = 1
+    return lookup(lengths)
+
+
+@lru_cache(1)
+def _usual_runs() -> list[tuple[int, list[int]]]:
+    """By the next 15 bits in the usual code: how many of them lengths below 16 take before any other symbol, and these lengths."""
+    table, mask = _length_table(LENGTHS_OF_LENGTHS.tobytes())
+    out = []
+    for x in range(1 << 15):
+        at, found = 0, []
+        while (k := table[(x >> at) & mask]) < 256 and at + (k & 15) <= 15:
+            found.append(k >> 4)
+            at += k & 15
+        out.append((at, found))
+    return out
+
+
 def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    out = np.zeros(alphabet, np.int64)
-    if bits.read(1):
-        several, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if several else [])
-        if max(symbols) >= alphabet:
-            raise ValueError("a symbol outside of the alphabet")
-        out[symbols] = 1
+    out, simple = np.zeros(alphabet, np.int64), _simple(bits, alphabet)
+    if simple:
+        out[list(simple)] = 1
         return out
     of_lengths = np.zeros(19, np.int64)
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         of_lengths[k] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     table, mask = _length_table(of_lengths.tobytes())
-    last, found, at, n = 8, [], 0, 0
+    runs = _usual_runs() if left == alphabet and (of_lengths == LENGTHS_OF_LENGTHS).all() else None
+    found, at, data, n = [], bits.at, bits.data, 0
     while len(found) < alphabet and left:
-        if not n:  # the next stretch of bits as one number: 32 codes with their extra bits take 448
-            ahead, n = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 58], "little") >> (bits.at & 7), 32
+        i = at >> 3
+        ahead = int.from_bytes(data[i : i + 7], "little") >> (at & 7)
+        if runs:
+            n, some = runs[ahead & 32767]
+            if n:
+                found += some
+                at += n
+                continue
         left -= 1
-        k = table[(ahead >> at) & mask]
+        k = table[ahead & mask]
+        ahead >>= k & 15
         at += k & 15
         k >>= 4
         if k < 16:
             found.append(k)
-            last = k or last
         elif k == 16:
-            found += [last] * (3 + ((ahead >> at) & 3))
+            found += [next((x for x in reversed(found) if x), 8)] * (3 + (ahead & 3))
             at += 2
         elif k == 17:
-            found += [0] * (3 + ((ahead >> at) & 7))
+            found += [0] * (3 + (ahead & 7))
             at += 3
         else:
-            found += [0] * (11 + ((ahead >> at) & 127))
+            found += [0] * (11 + (ahead & 127))
             at += 7
-        n -= 1
-        if not n:
-            bits.at += at
-            at = 0
-    bits.at += at
+        if at > 8 * len(data):
+            raise ValueError("the image ends early")
+    if n and len(found) > alphabet:  # the last run reached beyond the code: lengths are taken back one by one
+        while len(found) > alphabet:
+            at -= int(LENGTHS_OF_LENGTHS[found.pop()])
+    bits.at = at
     if len(found) > alphabet:
         raise ValueError("more code lengths than symbols")
     out[: len(found)] = found
     return out
 
 
+def read_table(bits: Bits, alphabet: int) -> tuple[np.ndarray, int]:
+    """`lookup` of a code."""
+    at = bits.at
+    simple = _simple(bits, alphabet)
+    if simple:
+        return _simple_table(simple)
+    bits.at = at
+    return lookup(read_lengths(bits, alphabet))
+
+
 def _value(symbol: int, bits: Bits) -> int:
     if symbol < 4:
         return symbol + 1
@@ -370,8 +431,10 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         blocks = (read_image(bits, -(-width >> block), -(-height >> block)) >> 8) & 0xFFFF
         groups = spread(blocks, block, height, width).ravel()
     sizes = (280 + (1 << cache if cache else 0), 256, 256, 256, 40)
-    tables = [[lookup(read_lengths(bits, n)) for n in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
-    if groups is None:
+    tables = [[read_table(bits, n) for n in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
+    if groups is None and not main and width * height <= SMALL:
+        pixels = _read_each(bits, tables, None, width, width * height, cache)
+    elif groups is None:
         pixels = _read_array(bits, tables[0], width, width * height, cache)
     else:
         pixels = _read_each(bits, tables, groups.tolist(), width, width * height, cache)
@@ -442,20 +505,28 @@ def _read_array(bits: Bits, tables: list, width: int, n: int, cache: int) -> np.
 
 
 def _with_cache(value: np.ndarray, length: np.ndarray, far: np.ndarray, n: int, cache: int) -> np.ndarray:
-    """Pixels where some come from the cache, which depends on all pixels before."""
-    out, slots, shift = [], [0] * (1 << cache), 32 - cache
-    for v, k, d in zip(value.tolist(), length.tolist(), far.tolist(), strict=True):
-        if d > 0:
-            for _ in range(k):
-                v = out[-d]
-                out.append(v)
-                slots[((v * CACHE_HASH) & 0xFFFFFFFF) >> shift] = v
-        else:
-            if d:
-                v = slots[v]
-            out.append(v)
-            slots[((v * CACHE_HASH) & 0xFFFFFFFF) >> shift] = v
-    return np.array(out, np.uint32)
+    """Pixels where some come from the cache. Each pixel points to where it comes from: a copied one to its source, one from the cache to the last pixel before it of the same
+    slot, a literal to itself. Pointers double until all end at literals, or at a zero behind the last pixel, with which the cache begins."""
+    at = np.arange(n)
+    far = far.repeat(length)
+    from_copy, hit = far > 0, far < 0
+    value = np.append(value.astype(np.uint32).repeat(length), np.uint32(0))
+    ends = _ends(np.where(from_copy, at - far, at))
+    slot = np.where(hit, value[:-1], (value[:-1] * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache))[ends]
+    order = slot.argsort(kind="stable")
+    before = np.full(n, n)
+    same = slot[order[1:]] == slot[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return value[_ends(np.append(np.where(hit, before, ends), n))[:-1]]
+
+
+def _ends(to: np.ndarray) -> np.ndarray:
+    """Where pointers end that point to places no later, or to the last place of all."""
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
 
 
 def _stretch(bits: Bits, raw: np.ndarray, tables: list, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -535,8 +606,8 @@ def _extra(symbol: np.ndarray, window: np.ndarray, at: np.ndarray) -> tuple[np.n
     return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + bits) + 1, at + extra
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width) of one lossless image, as alpha, red, green and blue in 32 bits."""
+def _opened(data: bytes) -> tuple[list[tuple], np.ndarray]:
+    """The transforms of a file, in the order of writing, and its pixels before their inversion."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP image")
     bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
@@ -559,25 +630,52 @@ def decode(data: bytes) -> np.ndarray:
             wide = -(-wide >> palette_bits(size))
         else:
             transforms.append((kind, wide, 0, None))
-    pixels = read_image(bits, wide, height, True)
-    for kind, wide, block, image in reversed(transforms):
+    return transforms, read_image(bits, wide, height, True)
+
+
+def _inverted(transforms: list[list[tuple]], pixels: list[np.ndarray]) -> list[np.ndarray]:
+    """Undoes the transforms of images of one width, all of them alike but for what their blocks hold and, with a palette, alone: the images stand one below another."""
+    heights = [len(x) for x in pixels]
+    ends = np.cumsum(heights)
+    tops, p = ends - heights, np.concatenate(pixels) if len(pixels) > 1 else pixels[0]
+    in_image = np.arange(len(p)) - np.repeat(tops, heights)
+
+    def by_row(images: list[np.ndarray], block: int, wide: int) -> np.ndarray:
+        rows = [len(x) for x in images]
+        return np.repeat(np.concatenate(images), 1 << block, 1)[np.repeat(np.cumsum(rows) - rows, heights) + (in_image >> block), :wide]
+
+    for at in reversed(range(len(transforms[0]))):
+        kind, wide, block, image = transforms[0][at]
         if kind == PALETTE:
-            index = (pixels >> 8) & 255
+            index = (p >> 8) & 255
             if block:
                 each = 8 >> block
-                index = ((index[:, :, None] >> (np.arange(1 << block, dtype=np.uint32) * each)) & ((1 << each) - 1)).reshape(height, -1)[:, :wide]
-            pixels = np.append(image, np.zeros(256 - len(image), np.uint32))[index]
+                index = ((index[:, :, None] >> (np.arange(1 << block, dtype=np.uint32) * each)) & ((1 << each) - 1)).reshape(len(p), -1)[:, :wide]
+            p = np.append(image, np.zeros(256 - len(image), np.uint32))[index]
+        elif kind == SUBTRACT_GREEN:
+            p = without_green(p, True)
         else:
-            if kind == SUBTRACT_GREEN:
-                pixels = without_green(pixels, True)
-                continue
-            c = channels(pixels)
-            if kind == PREDICTOR:
-                c = predict_back(c, spread((image >> 8) & 15, block, height, wide))
-            else:
-                c = cross_colour(c, channels(spread(image, block, height, wide)), True)
-            pixels = joined(c)
-    return pixels
+            values, c = by_row([x[at][3] for x in transforms], block, wide), channels(p)
+            p = joined(predict_back(c, (values >> 8) & 15, tops) if kind == PREDICTOR else cross_colour(c, channels(values), True))
+    return np.split(p, ends[:-1])
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels (height, width) of lossless images, as alpha, red, green and blue in 32 bits. Those with the same transforms are inverted together."""
+    opened, groups = [_opened(x) for x in files], {}
+    for k, (transforms, pixels) in enumerate(opened):
+        alike = tuple(x[:3] for x in transforms)
+        groups.setdefault((alike, pixels.shape[1], k if any(x[0] == PALETTE for x in transforms) else -1), []).append(k)
+    out = [None] * len(files)
+    for mine in groups.values():
+        for k, image in zip(mine, _inverted([opened[k][0] for k in mine], [opened[k][1] for k in mine]), strict=True):
+            out[k] = image
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of one image."""
+    return decode_all([data])[0]
 
 
 # writing
@@ -640,42 +738,69 @@ def write_lengths(out: Writer, lengths: np.ndarray, fitted: bool = True) -> None
         if len(used) == 2:
             out.put(used[1], 8)
         return
-    found, extras, i, last = [], [], 0, 8
     edges = np.append(lengths[1:] != lengths[:-1], True).nonzero()[0]
-    for v, edge in zip(lengths.take(edges).tolist(), (edges + 1).tolist(), strict=True):
-        n, i = edge - i, edge
-        while n:
-            if n < 3 or v and v != last:
-                k = 1
-                found.append(v)
-                extras.append((0, 0))
-                last = v or last
-            elif v:
-                k = min(n, 6)
-                found.append(16)
-                extras.append((k - 3, 2))
-            else:
-                k = min(n, 138)
-                found.append(17 if k < 11 else 18)
-                extras.append((k - 3, 3) if k < 11 else (k - 11, 7))
-            n -= k
-    if fitted:
-        counts = np.bincount(found, minlength=19)
-        if np.count_nonzero(counts) == 1:  # a code of lengths needs two symbols to take bits
-            counts[17 if counts[0] else 0] += 1
-        sizes = code_lengths(counts, 7)
-        code, size = codes(sizes).tolist(), sizes.tolist()
-    else:
-        code, size = _usual()
+    runs, last = [], 8
+    for v, n in zip(lengths.take(edges).tolist(), np.diff(edges, prepend=-1).tolist(), strict=True):
+        runs.append((v, n, v == last))
+        last = v or last
+    if not fitted:
+        head, sizes = _usual_head()
+        out.v += head
+        out.n += sizes
+        for run in runs:
+            v, n = _usual_run(*run)
+            out.v += v
+            out.n += n
+        return
+    found, extras = [], []
+    for run in runs:
+        for k, x, bits in _run(*run):
+            found.append(k)
+            extras.append((x, bits))
+    counts = np.bincount(found, minlength=19)
+    if np.count_nonzero(counts) == 1:  # a code of lengths needs two symbols to take bits
+        counts[17 if counts[0] else 0] += 1
+    sizes = code_lengths(counts, 7)
+    code, size = codes(sizes).tolist(), sizes.tolist()
+    v, n = _head(size)
+    out.v += v + [code[s] | x << size[s] for s, (x, _) in zip(found, extras, strict=True)]
+    out.n += n + [size[s] + bits for s, (_, bits) in zip(found, extras, strict=True)]
+
+
+def _head(size: list[int]) -> tuple[list[int], list[int]]:
+    """A code of lengths, before lengths in it."""
     order = [size[k] for k in LENGTH_ORDER]
     n = max(4, max(i + 1 for i, s in enumerate(order) if s))
-    out.put(0, 1)
-    out.put(n - 4, 4)
-    for s in order[:n]:
-        out.put(s, 3)
-    out.put(0, 1)
-    out.v += [code[s] | x << size[s] for s, (x, _) in zip(found, extras, strict=True)]
-    out.n += [size[s] + bits for s, (_, bits) in zip(found, extras, strict=True)]
+    return [0, n - 4, *order[:n], 0], [1, 4, *[3] * n, 1]
+
+
+@lru_cache(1)
+def _usual_head() -> tuple[list[int], list[int]]:
+    return _head(_usual()[1])
+
+
+@lru_cache(1 << 14)
+def _usual_run(v: int, n: int, again: bool) -> tuple[list[int], list[int]]:
+    code, size = _usual()
+    run = _run(v, n, again)
+    return [code[k] | x << size[k] for k, x, _ in run], [size[k] + bits for k, _, bits in run]
+
+
+def _run(v: int, n: int, again: bool) -> list[tuple[int, int, int]]:
+    """(symbol, extra bits, their number) of so many equal lengths; again: the last one above 0 was this."""
+    out = []
+    while n:
+        if n < 3 or v and not again:
+            k, again = 1, True
+            out.append((v, 0, 0))
+        elif v:
+            k = min(n, 6)
+            out.append((16, k - 3, 2))
+        else:
+            k = min(n, 138)
+            out.append((17, k - 3, 3) if k < 11 else (18, k - 11, 7))
+        n -= k
+    return out
 
 
 def copies(pixels: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -801,11 +926,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, window: i
     """A lossless image of pixels (height, width). transforms in the order of writing:
     (PREDICTOR, bits, modes by block), (CROSS_COLOUR, bits, factors by block), (SUBTRACT_GREEN,), (PALETTE,)."""
     height, width = pixels.shape
-    out = Writer()
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(1, 1)
-    out.put(0, 3)
+    out = _begun(height, width)
     for kind, *more in transforms:
         out.put(1, 1)
         out.put(kind, 2)
@@ -835,6 +956,19 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, window: i
         pixels = joined(c)
     out.put(0, 1)
     write_image(out, pixels.ravel().astype(np.uint32), width, cache, window, True, groups, block, fitted)
+    return _file(out)
+
+
+def _begun(height: int, width: int) -> Writer:
+    out = Writer()
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(1, 1)
+    out.put(0, 3)
+    return out
+
+
+def _file(out: Writer) -> bytes:
     data = b"\x2f" + out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
@@ -852,48 +986,133 @@ def layout_of(payload: bytes) -> str:
 
 def store(payload: bytes, layout: str | None = None) -> bytes:
     """A payload (a positive multiple of ROW bytes) as images of at most TILE bytes, one after another."""
-    layout, out = layout or layout_of(payload), []
-    for at in range(0, len(payload), TILE):
-        tile = np.frombuffer(payload, np.uint8, min(TILE, len(payload) - at), at)
-        out.append(_colour(tile) if layout == "colour" else encode(grey(tile), ((PALETTE if layout == "palette" else SUBTRACT_GREEN,),), window=WINDOW, fitted=False))
-    return b"".join(out)
+    return store_all([payload], layout)[0]
+
+
+def store_all(payloads: list[bytes], layout: str | None = None) -> list[bytes]:
+    """The media of payloads; each is what it is alone."""
+    out, tiles, size = [[] for _ in payloads], [], 0
+
+    def flush() -> None:
+        for (_, put), data in zip(tiles, _colours([t for t, _ in tiles]) if tiles else [], strict=True):
+            put(data)
+        tiles.clear()
+
+    for media, payload in zip(out, payloads, strict=True):
+        kind = layout or layout_of(payload)
+        for k, at in enumerate(range(0, len(payload), TILE)):
+            tile = np.frombuffer(payload, np.uint8, min(TILE, len(payload) - at), at)
+            if kind != "colour":
+                media.append(encode(grey(tile), ((PALETTE if kind == "palette" else SUBTRACT_GREEN,),), window=WINDOW, fitted=False))
+                continue
+            media.append(b"")
+            tiles.append((tile, partial(media.__setitem__, k)))
+            size += len(tile)
+            if size >= TOGETHER:
+                flush()
+                size = 0
+    flush()
+    return [b"".join(media) for media in out]
 
 
 def grey(samples: np.ndarray) -> np.ndarray:
     return OPAQUE | samples.astype(np.uint32).reshape(-1, ROW) * np.uint32(0x010101)
 
 
-def _costs(residuals: np.ndarray, bits: int) -> np.ndarray:
-    """By block: the information of its values among those of the whole image."""
-    height, width = residuals.shape[:2]
-    at = residuals + np.arange(0, 1024, 256, dtype=np.int16)
-    counts = np.bincount(at.ravel(), minlength=1024)
-    each = np.log2(height * width / np.maximum(counts, 1)).take(at).sum(2)
-    return np.add.reduceat(np.add.reduceat(each, np.arange(0, height, 1 << bits), 0), np.arange(0, width, 1 << bits), 1)
+@lru_cache(1)
+def _information() -> np.ndarray:
+    """By a count: its logarithm to the base 2, times 1024, as a whole number, so that sums don't depend on their order."""
+    return np.rint(np.log2(np.maximum(np.arange(TILE // 4 + 1), 1)) * 1024).astype(np.int32)
+
+
+def _costs(residuals: np.ndarray, image: np.ndarray, pixels: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """By block, of images as wide as one: the information of its values among those of its whole image. image: of each row; pixels: of each image; starts: first rows of blocks."""
+    at = residuals + (image[:, None, None] * 1024 + np.arange(0, 1024, 256))
+    bits = _information()
+    each = (np.repeat(bits.take(pixels), 1024) - bits.take(np.bincount(at.ravel(), minlength=1024 * len(pixels)))).take(at)
+    return np.add.reduceat(each.reshape(len(at), -1).sum(1, dtype=np.int64), starts)
+
+
+#: Predictors and sets of factors that a block has the choice of, and the side of blocks as a power of two.
+PREDICTORS, FACTORS, BLOCK = (0, 2, 9), (OPAQUE, OPAQUE | 0x080810), 4
+
+
+def _colours(tiles: list[np.ndarray]) -> list[bytes]:
+    """Four bytes a pixel. Each block of pixels takes the predictor of least cost, and the factors of least cost. The images stand one below another."""
+    width = ROW // 4
+    heights = np.array([len(t) // ROW for t in tiles])
+    pixels = np.concatenate(tiles).view(">u4").astype(np.uint32).reshape(-1, width)
+    ends, blocks = np.cumsum(heights), -(-heights >> BLOCK)
+    tops, image = ends - heights, np.repeat(np.arange(len(tiles)), heights)
+    last = np.cumsum(blocks)
+    nth = np.arange(int(last[-1])) - np.repeat(last - blocks, blocks)
+    starts = np.repeat(tops, blocks) + (nth << BLOCK)
+    block = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(pixels)))  # of each row
+    c, counts = channels(pixels), heights * width
+
+    def least(tried: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        best = np.argmin([_costs(x, image, counts, starts) for x in tried], 0)
+        out = tried[0].copy()
+        for k, x in enumerate(tried[1:], 1):
+            rows = (best == k)[block]
+            out[rows] = x[rows]
+        return best, out
+
+    y, x = np.divmod(np.arange(pixels.size), width)
+    near = _neighbours(c, y, x)
+    residuals = []
+    for mode in PREDICTORS:
+        r = (c - _guess(mode, *near).reshape(c.shape)) & 255
+        r[:, 0] = (c[:, 0] - near[1].reshape(c.shape)[:, 0]) & 255
+        r[tops] = np.diff(c[tops], axis=1, prepend=np.array([255, 0, 0, 0], np.int16)[None, None].repeat(len(tops), 0)) & 255
+        residuals.append(r)
+    modes, left = least(residuals)
+    modes = np.array(PREDICTORS, np.uint32)[modes]
+    crossed = [left] + [cross_colour(left, np.broadcast_to(channels(np.array(f, np.uint32)), left.shape), False) & 255 for f in FACTORS[1:]]
+    factors, crossed = least(crossed)
+    factors = np.array(FACTORS, np.uint32)[factors]
+    modes, pixels, out = OPAQUE | modes << np.uint32(8), joined(crossed), []
+    for k, height in enumerate(heights.tolist()):
+        mine, file = slice(last[k] - blocks[k], last[k]), _begun(height, width)
+        for kind, values in ((PREDICTOR, modes[mine]), (CROSS_COLOUR, factors[mine])):
+            file.put(1, 1)
+            file.put(kind, 2)
+            file.put(BLOCK - 2, 3)
+            value, size = _column(values.astype(np.uint32).tobytes())
+            file.v += value
+            file.n += size
+        file.put(0, 1)
+        write_image(file, pixels[tops[k] : ends[k]].ravel(), width, 8, 3, True, fitted=False)
+        out.append(_file(file))
+    return out
 
 
-def _colour(samples: np.ndarray) -> bytes:
-    """Four bytes a pixel. Each block of pixels takes the predictor of least cost out of three, and one of two sets of factors."""
-    pixels = np.ascontiguousarray(samples).view(">u4").astype(np.uint32).reshape(-1, ROW // 4)
-    height, width = pixels.shape
-    bits = 4
-    rows, cols = -(-height >> bits), -(-width >> bits)
-    c = channels(pixels)
-    tried = np.array((0, 2, 9))
-    modes = tried[np.argmin([_costs(predict_residuals(c, np.full(pixels.shape, mode)), bits) for mode in tried], 0)]
-    left = predict_residuals(c, spread(modes, bits, height, width))
-    factors = [np.full((rows, cols), f, np.uint32) for f in (OPAQUE, OPAQUE | 0x080810)]
-    cost = [_costs(cross_colour(left, channels(spread(f, bits, height, width)), False) & 255, bits) for f in factors]
-    return encode(pixels, ((PREDICTOR, bits, modes), (CROSS_COLOUR, bits, np.where(cost[0] <= cost[1], *factors))), cache=8, window=3)
+@lru_cache(1 << 12)
+def _column(pixels: bytes) -> tuple[list[int], list[int]]:
+    """Values and sizes of an entropy-coded image one pixel wide."""
+    out = Writer()
+    write_image(out, np.frombuffer(pixels, np.uint32), 1)
+    out.puts(np.empty(0, np.uint64), np.empty(0, np.int64))
+    return np.concatenate(out.values).tolist(), np.concatenate(out.sizes).tolist()
 
 
 def load(media: bytes) -> list[np.ndarray]:
     """The pixel arrays of all images of a medium."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        out.append(decode(media[at : at + size]))
-        at += size
+    return load_all([media])[0]
+
+
+def load_all(media: list[bytes]) -> list[list[np.ndarray]]:
+    """The same of many."""
+    files = []
+    for k, data in enumerate(media):
+        at = 0
+        while at < len(data):
+            size = 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+            files.append((k, data[at : at + size]))
+            at += size
+    out = [[] for _ in media]
+    for (k, _), image in zip(files, decode_all([x for _, x in files]), strict=True):
+        out[k].append(image)
     return out
 
 
@@ -923,18 +1142,29 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media", n_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, done, out, sizes = batch.column(text), {}, [], []
-            for i in range(batch.num_rows):
-                payload = padded(column[i].as_py())
-                sizes.append(len((column[i].as_py() or "").encode()))
-                if payload not in done:
-                    done[payload] = store(payload)
-                out.append(done[payload])
+            texts = batch.column(text).to_pylist()
+            payloads, sizes = [padded(x) for x in texts], [len((x or "").encode()) for x in texts]
+            each = list(dict.fromkeys(payloads))
+            done = dict(zip(each, store_all(each), strict=True))
+            out = [done[x] for x in payloads]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], [*keep, n_bytes, media])
 
     return map_rows(docs, run, schema)
 
 
+def _together(media: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Runs of media of some TOGETHER / 2 bytes."""
+    run, size = [], 0
+    for x in media:
+        run.append(x)
+        size += len(x or b"")
+        if 2 * size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def from_media(stored: DataFrame, media: str = "media", payload: str = "payload", mark: str = "feature") -> DataFrame:
     """Adds what the decoded images hold, and a feature of it."""
     keep = [c for c in stored.columns if c not in (payload, mark)]
@@ -942,12 +1172,10 @@ def from_media(stored: DataFrame, media: str = "media", payload: str = "payload"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, marks = [], []
-            for x in batch.column(media):
-                data = x.as_py()
-                back = None if data is None else b"".join(map(samples, load(data)))
-                out.append(back)
-                marks.append(feature(np.frombuffer(back, np.uint8)) if back else None)
+            out = []
+            for some in _together(batch.column(media).to_pylist()):
+                out += [None if x is None else b"".join(map(samples, images)) for x, images in zip(some, load_all([x or b"" for x in some]), strict=True)]
+            marks = [feature(np.frombuffer(x, np.uint8)) if x else None for x in out]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), pa.array(marks, pa.string())], [*keep, payload, mark])
 
     return map_rows(stored, run, schema)

@@ -249,6 +249,32 @@ def test_all_payloads_of_several_rows_take_the_predictor():
     assert webp.layout_of(webp.padded("x" * 9000)) == "palette" and webp.layout_of(bytes(range(64))) == "grey"
 
 
+def test_images_are_transformed_together(monkeypatch):
+    """Predictors are inverted a row of all images at a time, and a medium doesn't depend on those stored with it."""
+    r, calls = random.Random(4), []
+    payloads = [webp.padded(" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=r.randint(1, 900)))) for _ in range(120)] + [webp.padded("x" * 700), webp.padded("")]
+    media = webp.store_all(payloads)
+    assert media == [webp.store(p) for p in payloads] and webp.decode_all([]) == []
+    one_row = webp.predicted
+    monkeypatch.setattr(webp, "predicted", lambda modes, *near: calls.append(len(modes)) or one_row(modes, *near))
+    assert [b"".join(map(webp.samples, x)) for x in webp.load_all(media)] == payloads
+    assert len(calls) < max(map(len, payloads)) // webp.ROW and sum(calls) > 10 * len(payloads)
+    for p, x in zip(payloads[:20], media, strict=False):
+        assert (plain(x) == webp.decode(x)).all(), p
+    monkeypatch.setattr(webp, "TOGETHER", 2000)
+    assert webp.store_all(payloads) == media
+
+
+def test_images_below_one_another_with_any_modes():
+    r, images = np.random.default_rng(8), []
+    for k in range(40):
+        h = int(r.integers(1, 40))
+        p = r.integers(0, 2**32, (h, 16), dtype=np.uint32)
+        modes = r.choice([0, 2, 9, 12] if k % 3 == 0 else [0, 2, 3, 4, 8, 9], (-(-h >> 2), 4))
+        images.append((p, webp.encode(p, ((webp.PREDICTOR, 2, modes),), cache=4, window=2)))
+    assert all((a == b).all() for (a, _), b in zip(images, webp.decode_all([x for _, x in images]), strict=True))
+
+
 def test_query_against_plain_python(spark, tmp_path):
     r = random.Random(9)
     texts = [None, "", "a", "x" * 64, "x" * 65, "é" * 40, "\x00", "ab" * 5000] + [" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=r.randint(1, 300))) for _ in range(400)]
