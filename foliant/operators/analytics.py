@@ -26,14 +26,16 @@ def terms(r: DataFrame, column: str = "norm") -> DataFrame:
 def tfidf(r: DataFrame, stop: list[str] = [], top: int | None = None, column: str = "norm") -> DataFrame:  # noqa: B006
     """tf * ln(N / (1 + df)) of each term of a section; N and df are those of its document.
 
-    Records are dealt by document once; all counts are taken from there without another shuffle of terms.
+    The words of a record are dealt by document once, as one text; all counts are taken from there without another shuffle or a second branch.
     """
-    t = terms(r.select("doc", "id", "parent_id", "seq", column).repartition("doc"), column)
+    section = F.when(F.col("parent_id") == "", F.col("id")).otherwise(F.col("parent_id"))
+    words = r.select("doc", section.alias("section_id"), "seq", F.array_join(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0)), " ").alias("words")).repartition("doc")
+    t = words.select("doc", "section_id", "seq", F.posexplode_outer(F.split("words", " ")).alias("k", "term")).filter("term <> ''")
     t = t.filter(~F.col("term").isin(stop)) if stop else t
     tf = t.groupBy("doc", "section_id", "term").agg(F.count("*").alias("tf"), F.min(F.struct("seq", "k")).alias("at"))
-    n = t.groupBy("doc").agg(F.count_distinct("section_id").alias("n"))
     tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc", "term")))
-    out = tf.join(n, "doc").withColumn("weight", F.col("tf") * F.log(F.col("n") / (1 + F.col("df"))))
+    first = (F.row_number().over(Window.partitionBy("doc", "section_id").orderBy("term")) == 1).cast("long")
+    out = tf.withColumn("first", first).withColumn("n", F.sum("first").over(Window.partitionBy("doc"))).withColumn("weight", F.col("tf") * F.log(F.col("n") / (1 + F.col("df"))))
     if top is not None:
         w = Window.partitionBy("section_id").orderBy(F.desc("weight"), "at")
         out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -1,7 +1,9 @@
 """Rules of the content gates, optical words, evidence and interchange files that the queries don't show, and the commands."""
 
 import json
+import math
 import random
+import re
 
 import pytest
 
@@ -257,3 +259,16 @@ def test_weights_shuffle_records_once(spark):
     assert got == {("D", "a", "puerta"): (2, 2, -0.81093), ("D", "a", "ancho"): (1, 1, 0.0), ("D", "b", "puerta"): (1, 2, -0.405465), ("D", "b", "libre"): (1, 1, 0.0), ("E", "c", "puerta"): (1, 1, -0.693147)}
     plan = A.tfidf(r)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc#" in plan and not any("hashpartitioning" in line and "term#" in line for line in plan.splitlines())
+
+
+def test_weights_read_records_once_and_without_their_norms(spark):
+    """One branch, so records are shuffled once, and of a norm its words only."""
+    r = spark.createDataFrame([(k, f"s{k % 7}", "DE"[k % 2], "" if k < 7 else f"s{k % 5}", " ".join(f"palabra{chr(97 + j % (k % 9 + 1))} de" for j in range(k % 11))) for k in range(60)], "seq long, id string, doc string, parent_id string, norm string")
+    plan = A.tfidf(r, stop=["palabrab"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want, rows = {}, [(x.doc, x.parent_id or x.id, t) for x in r.collect() for t in re.findall("[a-z]{5,}", x.norm) if t != "palabrab"]
+    for doc, section, t in rows:
+        df, n = len({s for d, s, u in rows if (d, u) == (doc, t)}), len({s for d, s, _ in rows if d == doc})
+        tf = rows.count((doc, section, t))
+        want[doc, section, t] = (tf, df, round(tf * math.log(n / (1 + df)), 6))
+    assert {(x.doc, x.section_id, x.term): (x.tf, x.df, round(x.weight, 6)) for x in A.tfidf(r, stop=["palabrab"]).collect()} == want
