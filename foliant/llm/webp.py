@@ -3,8 +3,8 @@
 The decoder takes any lossless WebP image: all five prefix codes, simple and run-length coded, with groups by block; back-references with near
 distances; the colour cache; and the inverse of the predictor, cross-colour, subtract-green and palette transforms. An image with one group of codes is
 decoded array-wise: what begins at each bit is looked up for all bits of a stretch at once, then a walk from token to token picks the
-bits where tokens do begin, and literals and copies are put in place. With groups, tokens are read one by one. The predictor is inverted along fronts of pixels
-that depend on earlier fronts only.
+bits where tokens do begin, and literals and copies are put in place; many such images are read in pieces side by side. With groups, tokens are read one by one. The predictor is inverted along
+fronts of pixels that depend on earlier fronts only. Images of payloads are written side by side as well: copies, cache, codes and bits of all are found in one pass.
 
 A payload is the text's UTF-8 bytes and zero bytes up to a positive multiple of `ROW`. It is stored as images of at most `TILE` bytes, one file
 after another, so that memory is bounded at any length. The layout "colour" has four bytes a pixel, with predictor, cross-colour transform and colour cache; all payloads take it
@@ -34,6 +34,8 @@ ROW, TILE = 64, 1 << 20
 WINDOW, LONGEST = 6, 4096
 #: Bits of a stretch that is looked up at once, pixels of an image that is read token by token, bytes of payloads that are transformed together.
 STRETCH, SMALL, TOGETHER = 1 << 17, 64, 1 << 21
+#: Bytes of images from which on these are read side by side, and pixels of images that aren't.
+ENOUGH, WIDEST = 1 << 15, 1 << 22
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Fixed values of the format: the order in which lengths of the code of lengths are stored, and the multiplier of the colour cache's hash.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -606,8 +608,8 @@ def _extra(symbol: np.ndarray, window: np.ndarray, at: np.ndarray) -> tuple[np.n
     return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + bits) + 1, at + extra
 
 
-def _opened(data: bytes) -> tuple[list[tuple], np.ndarray]:
-    """The transforms of a file, in the order of writing, and its pixels before their inversion."""
+def _opened(data: bytes) -> tuple[list[tuple], Bits, int, int]:
+    """The transforms of a file, in the order of writing, and its bits before its pixels, with their width and height."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP image")
     bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
@@ -630,7 +632,334 @@ def _opened(data: bytes) -> tuple[list[tuple], np.ndarray]:
             wide = -(-wide >> palette_bits(size))
         else:
             transforms.append((kind, wide, 0, None))
-    return transforms, read_image(bits, wide, height, True)
+    return transforms, bits, wide, height
+
+
+def _read_mains(opened: list[tuple[Bits, int, int]]) -> list[np.ndarray]:
+    """The main images (height, width) of files. Those with one group of codes are read side by side, in runs of bounded size, if they are enough data."""
+    out, sides, data, area = [None] * len(opened), [], 0, 0
+
+    def flush() -> None:
+        if data >= ENOUGH:
+            for (k, _), pixels in zip(sides, _Sides([x for _, x in sides]).pixels(), strict=True):
+                out[k] = pixels
+        sides.clear()
+
+    for k, (bits, width, height) in enumerate(opened):
+        at = bits.at
+        cache = bits.read(4) if bits.read(1) else 0
+        if cache <= 11 and not bits.read(1) and width * height <= WIDEST:
+            sides.append((k, (bits.data, bits.at, cache, width, width * height)))
+            data, area = data + len(bits.data), area + width * height
+            if data >= TOGETHER or area >= WIDEST:
+                flush()
+                data = area = 0
+        bits.at = at
+    flush()
+    return [read_image(*opened[k], True) if x is None else x.reshape(opened[k][2], opened[k][1]) for k, x in enumerate(out)]
+
+
+class _Sides:
+    """Main images read side by side: (data, first bit of the codes, bits of the cache, width, pixels) of each.
+
+    The bits of each image are cut into pieces, and a step goes from token to token in all pieces. Where a piece's first token begins is known when the piece before it is done; until then a piece is
+    read from its first bit, as readings soon meet. Those that began elsewhere are read again from where they should, up to a token that was met before.
+    """
+
+    #: Bits of a piece, times that pieces are read again before their image is left to `read_image`, words behind the last image that a damaged one may reach.
+    PIECE, ROUNDS, BEHIND = 4096, 8, 4096
+
+    def __init__(self, images: list[tuple[bytes, int, int, int, int]]):
+        size = np.array([len(x[0]) for x in images])
+        room = -(-size >> 3) << 3
+        base = 8 * (np.cumsum(room) - room)
+        self.words = np.frombuffer(b"".join(x[0] + bytes(-len(x[0]) % 8) for x in images) + bytes(8 * self.BEHIND), "<u8")
+        self.at, self.end = base + np.array([x[1] for x in images]), base + 8 * (size - 16)
+        self.cache, self.width, self.n = (np.array([x[k] for x in images]) for k in (2, 3, 4))
+
+    def ahead(self, at: np.ndarray) -> np.ndarray:
+        """The 64 bits that follow."""
+        i, s = at >> 6, (at & 63).view(np.uint64)
+        return ((self.words.take(i) >> s) | ((self.words.take(i + 1) << np.uint64(1)) << (np.uint64(63) - s))).view(np.int64)
+
+    def look(self) -> None:
+        if (self.at > self.end).any():
+            raise ValueError("the image ends early")
+
+    def pixels(self) -> list[np.ndarray | None]:
+        """Of each image; None if it is left to `read_image`."""
+        tables, bases, tops, many = [], [], [], len(self.n)
+        for alphabet in (280 + np.where(self.cache > 0, 1 << self.cache, 0), *(np.full(many, a) for a in (256, 256, 256, 40))):
+            table, base, top = _tables(many, *self.lengths(alphabet))
+            bases.append(base + sum(map(len, tables)))
+            tables.append(table)
+            tops.append(top)
+        self.table, self.bases, self.masks = np.concatenate(tables), bases, [(1 << t) - 1 for t in tops]
+        return self.put(*self.places(tops[0] > 0))  # without green's bits a token may take none
+
+    def tokens(self, image: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What begins at bits: (entries of green, red, blue and alpha, bits that the token takes, which are copies, lengths and distances of these as they are stored)."""
+        w, found, each = self.ahead(at), [], []
+        for base, mask in zip(self.bases[:4], self.masks[:4], strict=True):
+            e = self.table.take((w & mask.take(image)) + base.take(image))
+            found.append(e)
+            k = e & 15
+            each.append(k)
+            w >>= k
+        size = each[0]
+        rest = each[1] + each[2] + each[3]
+        other = found[0] >= 4096
+        rest[other] = 0
+        size = size + rest
+        copy = (other & (found[0] < 4480)).nonzero()[0]
+        then, who = at.take(copy) + size.take(copy), image.take(copy)
+        length, more = _valued((found[0].take(copy) >> 4) - 256, self.ahead(then))
+        then += more
+        k = self.table.take((self.ahead(then) & self.masks[4].take(who)) + self.bases[4].take(who))
+        then += k & 15
+        far, more = _valued(k >> 4, self.ahead(then))
+        size[copy] = then + more - at.take(copy)
+        return *found, size, copy, length, far
+
+    def places(self, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens begin, and which images are still fit."""
+        n = np.where(fit, np.maximum(-((self.at - self.end) // self.PIECE), 1), 0)
+        image = np.arange(len(n)).repeat(n)
+        first = np.cumsum(n) - n
+        nth = np.arange(len(image)) - first.repeat(n)
+        start = self.at[image] + nth * self.PIECE
+        stop = np.minimum(start + self.PIECE, self.end[image])
+        met = np.zeros(64 * len(self.words), np.int32)  # by bit: the last reading that had a token there, from 1
+        piece, entry = np.arange(len(image)), start.copy()
+        out_at, reading = np.zeros(len(image), np.int64), np.zeros(len(image), np.int64)
+        ends, parent, joint, log = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
+        for _ in range(self.ROUNDS):
+            ids = sum(map(len, ends)) + np.arange(len(piece))
+            end, up, where, some = self.walk(image[piece], entry[piece], stop[piece], ids, met)
+            for k, at in some:
+                met[at] = k
+            log += some
+            ends.append(end)
+            merged = up > 0
+            end[merged] = np.concatenate(ends)[up[merged]]
+            parent.append(up)
+            joint.append(where)
+            reading[piece], out_at[piece] = ids, end
+            want = np.where(nth > 0, np.append(0, out_at[:-1]), entry)
+            piece = (want != entry).nonzero()[0]
+            entry = want
+            if not len(piece):
+                break
+        fit = fit.copy()
+        fit[image[piece]] = False
+        parent, joint = np.concatenate(parent), np.concatenate(joint)
+        since = np.full(len(parent), np.iinfo(np.int64).max)
+        good = fit[image]
+        now, at = reading[good], entry[good]
+        while len(now):
+            since[now] = at
+            on = parent[now] > 0
+            now, at = parent[now[on]], joint[now[on]]
+        reading, at = (np.concatenate(x) for x in zip(*log, strict=True)) if log else (np.zeros(0, np.int64),) * 2
+        true = np.zeros(len(met), bool)
+        true[at[at >= since.take(reading)]] = True
+        return true.nonzero()[0], fit
+
+    def walk(self, image: np.ndarray, at: np.ndarray, stop: np.ndarray, ids: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Readings from bits to the first token that begins behind their piece, or that an earlier reading met: (where that is, 0 if it was met; the reading that met it; where; tokens of readings)."""
+        end, up, joint, log = at.copy(), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), []
+        live = np.arange(len(at))
+        bases, masks = self.bases, self.masks
+        g = [(b.take(image), m.take(image)) for b, m in zip(bases, masks, strict=True)]
+        table, ahead = self.table, self.ahead
+        while len(live):
+            before = met.take(at)
+            gone = (at >= stop) | (before > 0)
+            if gone.any():
+                k = gone.nonzero()[0]
+                late = at[k] >= stop[k]
+                end[live[k]], up[live[k]], joint[live[k]] = at[k], np.where(late, 0, before[k]), at[k]
+                stay = (~gone).nonzero()[0]
+                live, at, stop, ids = (x.take(stay) for x in (live, at, stop, ids))
+                g = [(b.take(stay), m.take(stay)) for b, m in g]
+                if not len(live):
+                    break
+            for _ in range(8):
+                log.append((ids, at))
+                w = ahead(at)
+                e = table.take((w & g[0][1]) + g[0][0])
+                k = e & 15
+                w >>= k
+                size = table.take((w & g[1][1]) + g[1][0]) & 15
+                w >>= size
+                k2 = table.take((w & g[2][1]) + g[2][0]) & 15
+                w >>= k2
+                size += k2
+                size += table.take((w & g[3][1]) + g[3][0]) & 15
+                other = (e >= 4096).nonzero()[0]
+                size[other] = 0
+                size += k
+                if len(other):
+                    kinds = e.take(other)
+                    copy = other[kinds < 4480]
+                    then = at.take(copy) + size.take(copy)
+                    s = (e.take(copy) >> 4) - 256
+                    then += _MORE.take(s)
+                    k = table.take((ahead(then) & g[4][1].take(copy)) + g[4][0].take(copy))
+                    size[copy] = then - at.take(copy) + (k & 15) + _MORE.take(k >> 4)
+                at = at + size
+                if (at >= stop).any():
+                    break
+        return end, up, joint, log
+
+    def put(self, place: np.ndarray, fit: np.ndarray) -> list[np.ndarray | None]:
+        """The pixels that tokens stand for. Each pixel points to where it comes from: a copied one to its source, one from the cache to the last pixel before it of the same slot, a literal to itself."""
+        image = np.searchsorted(self.at, place, "right") - 1
+        green, red, blue, alpha, size, copy, copied, far_code = self.tokens(image, place)
+        length, far = np.ones(len(place), np.int64), np.zeros(len(place), np.int64)
+        widths, kind = np.unique(self.width, return_inverse=True)
+        near = np.array([near_distances(int(x)) for x in widths]).ravel()
+        length[copy] = copied
+        far[copy] = np.where(far_code > 120, far_code - 120, near.take(120 * kind.ravel().take(image.take(copy)) + np.minimum(far_code, 120) - 1))
+        have = np.cumsum(length)
+        tokens = np.bincount(image, minlength=len(self.n))
+        first = np.cumsum(tokens) - tokens
+        before = np.append(0, have)[first]
+        at = have - length - before.take(image)
+        true = at < self.n.take(image)
+        got = np.zeros(len(self.n), np.int64)
+        np.maximum.at(got, image[true], (at + length)[true])
+        if (got < self.n)[fit].any() or (place + size > self.end.take(image))[true].any():
+            raise ValueError("the image ends early")
+        if (got > self.n)[fit].any() or (far > at)[true].any():
+            raise ValueError("a copy that leaves the image")
+        green, red, blue, alpha, length, far, image = (x[true] for x in (green, red, blue, alpha, length, far, image))
+        n = np.where(fit, self.n, 0)
+        symbol = green >> 4
+        cached = symbol >= 280
+        value = ((alpha >> 4) << 24 | (red >> 4) << 16 | blue >> 4 | (symbol & 255) << 8).view(np.uint32)
+        total = int(n.sum())
+        begins = np.cumsum(n) - n
+        if len(value) == total and not cached.any():
+            out = value
+        else:
+            at = np.arange(total)
+            ends = np.append(_ends(np.append(at - far.repeat(length), total)), 0)[:total]
+            value, cached = value.repeat(length), cached.repeat(length)
+            if cached.any():
+                mine = np.arange(len(n)).repeat(n)
+                slot = np.where(cached, (symbol - 280).repeat(length), ((value * np.uint32(CACHE_HASH)).astype(np.int64) >> (32 - self.cache).take(mine)))[ends]
+                order = np.sort((mine << 11 | slot) << 26 | at)
+                group, order = order >> 26, order & (1 << 26) - 1
+                back = np.full(total, total)
+                same = group[1:] == group[:-1]
+                back[order[1:][same]] = order[:-1][same]
+                ends = _ends(np.append(np.where(cached[ends] & (ends == at), back, ends), total))[:total]
+            out = np.append(value, np.uint32(0))[ends]
+        return [x if ok else None for x, ok in zip(np.split(out, begins[1:]), fit.tolist(), strict=True)]
+
+    def lengths(self, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next code of each image: (image, symbol, length), by image and symbol."""
+        w = self.ahead(self.at)
+        simple = (w & 1) == 1
+        several, wide = simple & ((w >> 1 & 1) == 1), (w >> 2 & 1) == 1
+        first, bits = np.where(wide, w >> 3 & 255, w >> 3 & 1), np.where(wide, 11, 4)
+        second = w >> bits & 255
+        if (np.maximum(first, np.where(several, second, 0)) >= alphabet)[simple].any():
+            raise ValueError("a symbol outside of the alphabet")
+        alone, pair = simple.nonzero()[0], (several & (first != second)).nonzero()[0]
+        image, symbol, length = [alone, pair], [first[alone], second[pair]], [np.ones(len(alone) + len(pair), np.int64)]
+        self.at = self.at + np.where(simple, bits + 8 * several, 0)
+        mine = (~simple).nonzero()[0]
+        if len(mine):
+            count, at = 4 + (w[mine] >> 1 & 15), self.at[mine] + 5
+            w = self.ahead(at)
+            of = np.zeros((len(mine), 19), np.int64)
+            for k, order in enumerate(LENGTH_ORDER):
+                of[:, order] = np.where(k < count, w >> (3 * k) & 7, 0)
+            at += 3 * count
+            w = self.ahead(at)
+            bits = 2 + 2 * (w >> 1 & 7)
+            bounded = (w & 1) == 1
+            most, left = alphabet[mine], np.where(bounded, 2 + (w >> 4 & (1 << bits) - 1), alphabet[mine])
+            at += np.where(bounded, 4 + bits, 1)
+            kinds, kind = np.unique((of << 3 * np.arange(19)).sum(1), return_inverse=True)
+            tables = np.array([lookup7(tuple(int(x) >> 3 * k & 7 for k in range(19))) for x in kinds.tolist()]).ravel()
+            live, pos, last, kind = np.arange(len(mine)), np.zeros(len(mine), np.int64), np.full(len(mine), 8), 128 * kind.ravel()
+            runs = []
+            while len(live):
+                w = self.ahead(at)
+                e = tables.take(kind + (w & 127))
+                s, size = e >> 4, e & 15
+                extra = _EXTRA.take(s)
+                n = _LEAST.take(s) + ((w >> size) & ((1 << extra) - 1))
+                last = np.where((s < 16) & (s > 0), s, last)
+                value = np.where(s > 16, 0, np.where(s == 16, last, s))
+                k = value.nonzero()[0]
+                runs.append((live.take(k), pos.take(k), n.take(k), value.take(k)))
+                at, pos, left = at + size + extra, pos + n, left - 1
+                stay = (pos < most) & (left > 0)
+                if not stay.all():
+                    if (pos > most).any():
+                        raise ValueError("more code lengths than symbols")
+                    self.at[mine[live[~stay]]] = at[~stay]
+                    live, at, pos, left, most, last, kind = (x[stay] for x in (live, at, pos, left, most, last, kind))
+            who, pos, n, value = (np.concatenate(x) for x in zip(*runs, strict=True))
+            image.append(mine[who.repeat(n)])
+            symbol.append((pos - (np.cumsum(n) - n)).repeat(n) + np.arange(int(n.sum())))
+            length.append(value.repeat(n))
+        self.look()
+        image, symbol, length = (np.concatenate(x) for x in (image, symbol, length))
+        order = np.argsort(image << 12 | symbol)
+        return image[order], symbol[order], length[order]
+
+
+#: Of symbols of a code of lengths: the least number of lengths that they stand for, and their extra bits.
+_LEAST, _EXTRA = np.array([1] * 16 + [3, 3, 11]), np.array([0] * 16 + [2, 3, 7])
+#: Extra bits of prefix symbols.
+_MORE = np.array([0, 0, 0, 0] + [k >> 1 for k in range(2, 38)])
+
+
+@lru_cache(1 << 10)
+def lookup7(of_lengths: tuple[int, ...]) -> np.ndarray:
+    """`lookup` of a code of lengths, by seven bits."""
+    table, top = lookup(np.array(of_lengths))
+    return table[np.arange(128) & ((1 << top) - 1)].astype(np.int64)
+
+
+def _valued(symbol: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values from 1 of prefix symbols, and how many extra bits they took of those ahead."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1, extra
+
+
+def _tables(many: int, image: np.ndarray, symbol: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`lookup` of a code of each image, one after another, where each begins, and its bits."""
+    top = np.zeros(many, np.int64)
+    np.maximum.at(top, image, size)
+    top[np.bincount(image, minlength=many) < 2] = 0
+    by_top = top.argsort(kind="stable")
+    rank = np.empty(len(top), np.int64)
+    rank[by_top] = np.arange(len(top))
+    top_of = top.take(image)
+    order = np.argsort((rank.take(image) << 4 | size) << 12 | symbol)
+    image, symbol, size, top_of = image.take(order), symbol.take(order), np.where(top_of > 0, size, 0).take(order), top_of.take(order)
+    share = 1 << (top_of - size)
+    held, entries = np.bincount(image, share, len(top)).astype(np.int64), 1 << top
+    none = (held == 0).nonzero()[0]
+    if (held != entries)[held > 0].any():
+        raise ValueError("not a complete prefix code")
+    plain, base, out, done = (symbol << 4 | size).astype(np.int32).repeat(share), np.zeros(len(top), np.int64), [np.zeros(1, np.int32)], 0
+    here = 1
+    for t, n in zip(*(x.tolist() for x in np.unique(top, return_counts=True)), strict=True):
+        mine = by_top[np.searchsorted(top[by_top], t) :][:n]
+        mine = mine[held[mine] > 0]
+        many = len(mine) << t
+        out.append(plain[done : done + many].reshape(-1, 1 << t).take(reversal(t), 1).ravel())
+        base[mine] = here + (np.arange(len(mine)) << t)
+        done, here = done + many, here + many
+    base[none] = 0  # a code without symbols reads as its first one
+    return np.concatenate(out), base, top
 
 
 def _inverted(transforms: list[list[tuple]], pixels: list[np.ndarray]) -> list[np.ndarray]:
@@ -662,7 +991,8 @@ def _inverted(transforms: list[list[tuple]], pixels: list[np.ndarray]) -> list[n
 
 def decode_all(files: list[bytes]) -> list[np.ndarray]:
     """The pixels (height, width) of lossless images, as alpha, red, green and blue in 32 bits. Those with the same transforms are inverted together."""
-    opened, groups = [_opened(x) for x in files], {}
+    heads, groups = [_opened(x) for x in files], {}
+    opened = [(x[0], pixels) for x, pixels in zip(heads, _read_mains([x[1:] for x in heads]), strict=True)]
     for k, (transforms, pixels) in enumerate(opened):
         alike = tuple(x[:3] for x in transforms)
         groups.setdefault((alike, pixels.shape[1], k if any(x[0] == PALETTE for x in transforms) else -1), []).append(k)
@@ -956,7 +1286,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, window: i
         pixels = joined(c)
     out.put(0, 1)
     write_image(out, pixels.ravel().astype(np.uint32), width, cache, window, True, groups, block, fitted)
-    return _file(out)
+    return _file(out.bytes())
 
 
 def _begun(height: int, width: int) -> Writer:
@@ -968,8 +1298,8 @@ def _begun(height: int, width: int) -> Writer:
     return out
 
 
-def _file(out: Writer) -> bytes:
-    data = b"\x2f" + out.bytes()
+def _file(packed: bytes) -> bytes:
+    data = b"\x2f" + packed
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -1008,7 +1338,7 @@ def store_all(payloads: list[bytes], layout: str | None = None) -> list[bytes]:
             media.append(b"")
             tiles.append((tile, partial(media.__setitem__, k)))
             size += len(tile)
-            if size >= TOGETHER:
+            if size >= TOGETHER or len(tiles) == MANY:
                 flush()
                 size = 0
     flush()
@@ -1071,7 +1401,7 @@ def _colours(tiles: list[np.ndarray]) -> list[bytes]:
     crossed = [left] + [cross_colour(left, np.broadcast_to(channels(np.array(f, np.uint32)), left.shape), False) & 255 for f in FACTORS[1:]]
     factors, crossed = least(crossed)
     factors = np.array(FACTORS, np.uint32)[factors]
-    modes, pixels, out = OPAQUE | modes << np.uint32(8), joined(crossed), []
+    modes, pixels, heads = OPAQUE | modes << np.uint32(8), joined(crossed), []
     for k, height in enumerate(heights.tolist()):
         mine, file = slice(last[k] - blocks[k], last[k]), _begun(height, width)
         for kind, values in ((PREDICTOR, modes[mine]), (CROSS_COLOUR, factors[mine])):
@@ -1082,9 +1412,205 @@ def _colours(tiles: list[np.ndarray]) -> list[bytes]:
             file.v += value
             file.n += size
         file.put(0, 1)
-        write_image(file, pixels[tops[k] : ends[k]].ravel(), width, 8, 3, True, fitted=False)
-        out.append(_file(file))
-    return out
+        heads.append((file.v, file.n))
+    return [_file(x) for x in write_sides(heads, pixels.ravel(), counts, width)]
+
+
+#: Bits of the cache and pixels that a copy has at least, of images that are written side by side; the most of such images, and of their pixels one.
+CACHE, COPY, MANY, AREA = 8, 3, 1 << 11, 1 << 18
+
+
+def write_sides(heads: list[tuple[list[int], list[int]]], pixels: np.ndarray, counts: np.ndarray, width: int) -> list[bytes]:
+    """Main images one after another, as `write_image` writes each, behind heads (values, sizes): their bits, packed."""
+    n, many = len(pixels), len(counts)
+    image, begins = np.arange(many).repeat(counts), np.cumsum(counts) - counts
+    length, far = _copies_aside(pixels, image, counts, begins)
+    walk = tokens(length, far) if far.any() else np.arange(n)
+    far, length, p, of = far.take(walk), length.take(walk), pixels.take(walk), image.take(walk)
+    copy = far.nonzero()[0]
+    symbol = ((p >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
+    slot = ((pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - CACHE)).astype(np.int64)
+    order = np.sort((image << CACHE | slot) << 24 | np.arange(n))
+    group, order = order >> 24, order & (1 << 24) - 1
+    known = pixels == 0  # the cache begins with zeros
+    same = group[1:] == group[:-1]
+    here, there = order[1:][same], order[:-1][same]
+    known[here] = pixels[there] == pixels[here]
+    hit = known[walk] & (far == 0)
+    symbol[hit] = 280 + slot[walk[hit]]
+    s, length_bits, length_extra = prefixed(length[copy])
+    symbol[copy] = 256 + s
+    d, numbers = far[copy], near_numbers(width)
+    short = np.where(d < len(numbers), numbers[np.minimum(d, len(numbers) - 1)], 0)
+    far_symbol, far_bits, far_extra = prefixed(np.where(short > 0, short, d + 120))
+    literal = (~hit & (far == 0)).nonzero()[0]
+    # five codes an image
+    alphabets = np.array([280 + (1 << CACHE), 256, 256, 256, 40])
+    into = np.cumsum(alphabets) - alphabets
+    whole, base = int(alphabets.sum()), of * int(alphabets.sum())
+    at = [base + symbol, *(base[literal] + into[k] + ((p[literal] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64) for k, shift in ((1, 16), (2, 0), (3, 24))), base[copy] + into[4] + far_symbol]
+    found = np.bincount(np.concatenate(at), minlength=many * whole)
+    row_at = (np.arange(many)[:, None] * whole + into).ravel()
+    code, size = _codes_aside(found, row_at)
+    value, bits = code.take(at[0]).astype(np.uint64), size.take(at[0])
+
+    def add(rows: np.ndarray, v: np.ndarray, k: np.ndarray) -> None:
+        value[rows] |= v.astype(np.uint64) << bits[rows].astype(np.uint64)
+        bits[rows] += k
+
+    for x in at[1:4]:
+        add(literal, code.take(x), size.take(x))
+    add(copy, length_extra, length_bits)
+    add(copy, code.take(at[4]), size.take(at[4]))
+    add(copy, far_extra, far_bits)
+    head_v, head_n = (np.concatenate([np.array(x[k] + more, np.uint64) for x in heads]) for k, more in ((0, [1, CACHE, 0]), (1, [1, 4, 1])))
+    head_count = np.array([len(x[0]) + 3 for x in heads])
+    code_v, code_n, code_count = _lengths_aside(found, size, row_at, np.tile(alphabets, many))
+    sections = np.stack([head_count, code_count.reshape(many, 5).sum(1), np.bincount(of, minlength=many)], 1)
+    starts = (np.cumsum(sections) - sections.ravel()).reshape(many, 3)
+    v, k = np.zeros(int(sections.sum()), np.uint64), np.zeros(int(sections.sum()), np.int64)
+    for j, (x, y) in enumerate(((head_v, head_n), (code_v, code_n), (value, bits))):
+        place = (starts[:, j] - (np.cumsum(sections[:, j]) - sections[:, j])).repeat(sections[:, j]) + np.arange(len(x))
+        v[place], k[place] = x, y
+    return _packed(v, k, sections.sum(1))
+
+
+def _copies_aside(pixels: np.ndarray, image: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`copies` within each image."""
+    n = len(pixels)
+    length, far = np.ones(n, np.int64), np.zeros(n, np.int64)
+    inside = np.arange(n) - begins.repeat(counts)
+    first = (inside <= counts.repeat(counts) - COPY).nonzero()[0]
+    key = np.zeros(max(n - COPY + 1, 0), np.uint64)
+    for k in range(COPY):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + (pixels[k : len(key) + k].astype(np.uint64) + np.uint64(1))
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    order = np.sort(image.take(first).astype(np.uint64) << np.uint64(53) | (key.take(first) >> np.uint64(29)) << np.uint64(18) | inside.take(first).astype(np.uint64))
+    same = (order[1:] ^ order[:-1]) < np.uint64(AREA)
+    at = begins.take((order >> np.uint64(53)).view(np.int64)) + (order & np.uint64(AREA - 1)).view(np.int64)
+    here, there = at[1:][same], at[:-1][same]
+    true = np.ones(len(here), bool)
+    for k in range(COPY):
+        true &= pixels.take(here + k) == pixels.take(there + k)
+    far[here[true]] = here[true] - there[true]
+    place = np.arange(n)
+    stops = np.where(np.append(far[1:] != far[:-1], True), place, n)
+    match = far.nonzero()[0]
+    length[match] = np.minimum((np.minimum.accumulate(stops[::-1])[::-1] - place).take(match) + COPY, LONGEST)
+    return length, far
+
+
+def _codes_aside(found: np.ndarray, row_at: np.ndarray, most: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """`codes` and `code_lengths` of counts, where rows begin at these places; a symbol that stands alone takes no bits."""
+    place = found.nonzero()[0]
+    row, rows = np.searchsorted(row_at, place, "right") - 1, len(row_at)
+    order = np.sort(row << 40 | ((1 << 20) - found.take(place)) << 12 | place - row_at.take(row))  # frequent symbols first
+    row, n, place = order >> 40, (1 << 20) - (order >> 12 & (1 << 28) - 1), (order & 4095) + row_at.take(order >> 40)
+    used = np.bincount(row, minlength=rows)
+    weight, total, size, open_ = n.copy(), np.bincount(row, n, rows).astype(np.int64), np.zeros(len(n), np.int64), np.ones(rows, bool)
+    while True:
+        mine = open_.take(row).nonzero()[0]
+        size[mine] = np.minimum(np.maximum(np.ceil(np.log2(total.take(row.take(mine)) / weight.take(mine))), 1).astype(np.int64), most)
+        left = (1 << most) - np.bincount(row, 1 << (most - size), rows).astype(np.int64)
+        open_ = left < 0
+        if not open_.any():
+            break
+        mine = open_.take(row)
+        weight[mine] += ((total >> 12) + 1).take(row[mine])
+        total = np.where(open_, np.bincount(row, weight, rows).astype(np.int64), total)
+    left[used < 2] = 0
+    first, live, k = np.cumsum(used) - used, left.nonzero()[0], 0
+    while len(live):
+        at = first.take(live) + k
+        now, have = size.take(at), left.take(live)
+        room = 1 << (most - now)
+        ok = (room <= have) & (now > 1)
+        size[at] = now - ok
+        have = have - room * ok
+        left[live] = have
+        k += 1
+        live = live[(have > 0) & (used.take(live) > k)]
+    while left.any():  # the longest codes always fit into what is left
+        longest = np.zeros(rows, np.int64)
+        np.maximum.at(longest, row, size)
+        mine = ((size == longest.take(row)) & (left > 0).take(row)).nonzero()[0]
+        which = row.take(mine)
+        many = np.bincount(which, minlength=rows)
+        nth = np.arange(len(mine)) - (np.cumsum(many) - many).take(which)
+        take = np.minimum(many, left >> (most - longest))
+        size[mine] -= nth < take.take(which)
+        left -= take << (most - longest)
+    order = np.argsort(row << 24 | size << 16 | place - row_at.take(row))
+    row, size, place = row.take(order), size.take(order), place.take(order)
+    share = 1 << (most - size)
+    before = np.cumsum(share) - share
+    code, out = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    alone = used.take(row) < 2
+    code[place] = np.where(alone, 0, reversal(most).take((before - before.take(first.take(row))) & (1 << most) - 1))
+    out[place] = np.where(alone, 0, size)
+    return code, out
+
+
+def _lengths_aside(found: np.ndarray, size: np.ndarray, row_at: np.ndarray, alphabets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `write_lengths` writes of each row with the usual code, and how many values that are."""
+    used = np.add.reduceat(found > 0, row_at, dtype=np.int64)
+    values, sizes, counts = [], [], np.zeros(len(row_at), np.int64)
+    # runs of equal lengths
+    edge = np.append(size[1:] != size[:-1], True)
+    edge[row_at[1:] - 1] = True
+    stop = edge.nonzero()[0]
+    n, v = np.diff(stop, prepend=-1), size.take(stop)
+    row = np.searchsorted(row_at, stop, "right") - 1
+    one, two = (np.append([0] * k, v[:-k]) for k in (1, 2))
+    has_one, has_two = (np.append([False] * k, row[k:] == row[:-k]) for k in (1, 2))
+    last = np.where(has_one & (one > 0), one, np.where(has_two & (two > 0), two, 8))
+    kinds, kind = np.unique((v << 12 | n) << 1 | (v == last), return_inverse=True)
+    parts = [_usual_run(x >> 13, x >> 1 & 4095, bool(x & 1)) for x in kinds.tolist()]
+    # rows of one or two symbols are written another way
+    odd = (used <= 2).nonzero()[0]
+    keep = (used > 2).take(row)
+    kind, row = kind[keep], row[keep]
+    head_v, head_n = _usual_head()
+    for r in odd.tolist():
+        out, mine = Writer(), found[row_at[r] : row_at[r] + alphabets[r]]
+        symbols = mine.nonzero()[0]
+        if len(symbols) < 2 and (not len(symbols) or symbols[0] < 256):
+            write_single(out, int(symbols[0]) if len(symbols) else 0)
+        else:
+            write_lengths(out, (mine > 0).astype(np.int64), False)
+        parts.append((out.v, out.n))
+    parts.append((head_v, head_n))
+    many = np.array([len(x[0]) for x in parts])
+    flat_v, flat_n = (np.array([y for x in parts for y in x[k]], np.int64) for k in (0, 1))
+    usual = (used > 2).nonzero()[0]
+    # a part each: heads of usual rows, their runs, odd rows, by row
+    part = np.concatenate([np.full(len(usual), len(parts) - 1), kind, len(kinds) + np.arange(len(odd))])
+    where = np.concatenate([usual, row, odd])
+    order = where.argsort(kind="stable")
+    part, where = part[order], where[order]
+    n = many.take(part)
+    at = (np.cumsum(many) - many).take(part).repeat(n) + np.arange(int(n.sum())) - (np.cumsum(n) - n).repeat(n)
+    return flat_v.take(at).astype(np.uint64), flat_n.take(at), np.bincount(where, n, len(row_at)).astype(np.int64)
+
+
+def _packed(value: np.ndarray, size: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bits of so many values for each image, as bytes."""
+    total = np.add.reduceat(size, np.cumsum(counts) - counts)
+    words = (total + 63) >> 6
+    first = np.cumsum(words) - words
+    shift = (first << 6) - (np.cumsum(total) - total)
+    at = np.cumsum(size) - size + shift.repeat(counts)
+    some = size > 0
+    value, size, at = value[some], size[some], at[some]
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[starts]] = np.bitwise_or.reduceat(value << bit, starts)
+    over = np.flatnonzero((at & 63) + size > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - bit[over])
+    data = out.tobytes()
+    return [data[8 * a : 8 * a + ((n + 7) >> 3)] for a, n in zip(first.tolist(), total.tolist(), strict=True)]
 
 
 @lru_cache(1 << 12)
@@ -1153,12 +1679,12 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media", n_bytes:
 
 
 def _together(media: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    """Runs of media of some TOGETHER / 2 bytes."""
+    """Runs of media of some TOGETHER bytes."""
     run, size = [], 0
     for x in media:
         run.append(x)
         size += len(x or b"")
-        if 2 * size >= TOGETHER:
+        if size >= TOGETHER:
             yield run
             run, size = [], 0
     if run:

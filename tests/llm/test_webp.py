@@ -275,6 +275,39 @@ def test_images_below_one_another_with_any_modes():
     assert all((a == b).all() for (a, _), b in zip(images, webp.decode_all([x for _, x in images]), strict=True))
 
 
+def test_images_are_read_and_written_side_by_side(monkeypatch):
+    """Main images of a batch aren't read or written one by one, whatever their codes; pixels and media are those of each alone."""
+    r, n = random.Random(5), np.random.default_rng(5)
+    texts = [" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=r.randint(30, 900))) for _ in range(150)] + ["ab" * 9000, "".join(map(chr, r.choices(range(32, 127), k=30000)))]
+    payloads = [webp.padded(x) for x in texts] + [n.integers(0, 256, 1 << 16, dtype=np.uint8).tobytes()]  # noise: readings of its pieces seldom meet
+    media = webp.store_all(payloads)
+    images = []
+    for k in range(120):
+        p = n.integers(0, 1 << (32 if k % 2 else 3), (int(n.integers(1, 60)), int(n.integers(1, 40))), dtype=np.uint32)
+        p[: len(p) // 2] = p[len(p) // 2 : len(p) // 2 * 2]
+        groups = n.integers(0, 3, (-(-p.shape[0] >> 2), -(-p.shape[1] >> 2))) if k % 5 == 0 else None
+        images.append((p, webp.encode(p, cache=(0, 1, 7, 11)[k % 4], window=(0, 2, 3)[k % 3], groups=groups, fitted=k % 7 > 0)))
+    alone, calls = [webp.decode(x) for _, x in images], []
+    one, write = webp.read_image, webp.write_image
+    monkeypatch.setattr(webp, "read_image", lambda bits, width, height, main=False: calls.append(main) or one(bits, width, height, main))
+    assert [b"".join(map(webp.samples, x)) for x in webp.load_all(media)] == payloads
+    assert sum(calls) < 10
+    monkeypatch.setattr(webp, "ENOUGH", 0)
+    for piece in (64, 4096):
+        monkeypatch.setattr(webp._Sides, "PIECE", piece)
+        assert all((a == p).all() and (a == b).all() for (p, _), a, b in zip(images, webp.decode_all([x for _, x in images]), alone, strict=True))
+        assert [b"".join(map(webp.samples, webp.load(x))) for x in media[:20]] == payloads[:20]
+    for at in (len(media[3]) // 2, len(media[3]) - 1):
+        short = media[3][:16] + (at - 20).to_bytes(4, "little") + media[3][20:at]
+        with pytest.raises(ValueError):
+            webp.decode_all([*media[:3], short, *media[4:9]])
+    wide = []
+    monkeypatch.setattr(webp, "write_image", lambda out, pixels, *more, **kw: wide.append(len(pixels)) or write(out, pixels, *more, **kw))
+    assert webp.store_all(payloads) == media and sum(x > 100 for x in wide) == 1  # that of the payload with a palette
+    monkeypatch.setattr(webp, "MANY", 3)
+    assert webp.store_all(payloads) == media
+
+
 def test_query_against_plain_python(spark, tmp_path):
     r = random.Random(9)
     texts = [None, "", "a", "x" * 64, "x" * 65, "é" * 40, "\x00", "ab" * 5000] + [" ".join(r.choices("aé中 bcdefghijklmnopqrst", k=r.randint(1, 300))) for _ in range(400)]
