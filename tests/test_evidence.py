@@ -13,6 +13,7 @@ from foliant.operators import evidence as E
 from foliant.operators import gates as T
 from foliant.operators import ocr as O
 from foliant.operators import search as S
+from foliant.plans import carriers as P
 from foliant.sources import tables, tsv
 
 
@@ -252,6 +253,51 @@ def test_only_found_names_are_shuffled(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def brute_deference(r, names):
+    bare = lambda t: " " + " ".join("".join(c if c.isalnum() else " " for c in t or "").split()) + " "
+    return sorted({(i, d, t) for i, d, n in r for t, name in names if name and t != d and bare(name) in bare(n)})
+
+
+@pytest.mark.parametrize("several", [False, True])
+@pytest.mark.parametrize("known", [1_000_000, 100])
+def test_deference_by_both_ways(spark, monkeypatch, known, several):
+    """Groups of several parts, names met often and never, repeated ids and documents: by names that go to the texts, and by shares of those met."""
+    monkeypatch.setattr(E, "KNOWN", known)
+    monkeypatch.setattr(E, "HITS", 7)
+    rows = [(str(i % 90), f"D{i % 45}", " ".join(("a b", "c d", "e f", "x", "")[(i * 7 + j) % 5] for j in range(i % 4))) for i in range(100)] + [("n", "N", None)]
+    named = [(f"D{i}", ("a b", "c d", "e f", "g h")[i * i % 4 if i < 600 else i % 4]) for i in range(900)] + [("D1", None), ("D2", "c d")]
+    named += [("D3", "e f"), ("D3", "a b")] if several else []
+    named = named if several else [(d, n) for d, n in named if (d, n) != ("D2", "c d")]
+    got = E.deference(spark.createDataFrame(rows, "id string, doc string, norm string"), spark.createDataFrame(named, "doc string, name string"))
+    assert sorted(map(tuple, got.collect())) == brute_deference(rows, named)
+
+
+def test_met_names_are_not_shuffled(spark):
+    """Documents go to the records that name them: of records that don't share ids nothing is shuffled, and nothing is repeated for each part of a group."""
+    rows, named = [(f"r{i}", f"D{i}", "b c d" if i % 2 else "c b") for i in range(20)], [(f"D{i}", "b c") for i in range(600)]
+    out = E.deference(spark.createDataFrame(rows, "id string, doc string, norm string"), spark.createDataFrame(named, "doc string, name string"), once=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "sequence(" not in plan
+    assert sorted(map(tuple, out.collect())) == brute_deference(rows, named)
+
+
+def test_deference_stores_no_records(spark, tmp_path):
+    """Of documents, one of them twice, only names are stored; both have the rows of the SQL, and a document that comes twice is told by whole rows."""
+    from foliant import queries as catalogue
+
+    duckdb = pytest.importorskip("duckdb")
+    for k, more in enumerate(["", " UNION ALL SELECT 3, 'palabra una' || chr(10) || 'otra cosa'"]):
+        d = tmp_path / str(k)
+        d.mkdir()
+        duckdb.execute(f"COPY (SELECT i AS doc_id, CASE i % 3 WHEN 0 THEN 'palabra una y otra cosa' WHEN 1 THEN 'otra cosa' || chr(10) || 'palabra una' ELSE 'sola' END AS text FROM range(30) t(i){more}) TO '{d}/documents.parquet'")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+        before = set(P._KEPT)
+        got = catalogue.QUERIES["deference"](spark, str(d)).select("id", "doc", "target").collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT id, doc, target FROM ({catalogue.ORACLES['deference']})").fetchall())
+        assert set(P._KEPT) == before
+
+
 def test_weights_shuffle_records_once(spark):
     """The one exchange that is asked for is by document; what stands above it needs none of terms."""
     r = spark.createDataFrame([(0, "a", "D", "", "puerta puerta ancho"), (1, "b", "D", "", "puerta libre"), (2, "c", "E", "", "puerta")], "seq long, id string, doc string, parent_id string, norm string")
