@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from foliant import queries as catalogue
 from foliant.operators import checks, ingest
 from foliant.sources import layout, tsv
 from foliant.streaming import arrivals
@@ -108,3 +109,19 @@ def test_stream(spark, folder, tmp_path):
     arrivals.follow(spark, str(inbox), out, check).awaitTermination()
     assert arrivals.arrived(spark, out).filter("doc = 'NEX'").count() == first and arrivals.arrived(spark, out).filter("doc = 'MYD'").count() == first
     assert arrivals.compact(spark, out).count() == arrivals.arrived(spark, out).count() >= 2 * first
+
+
+def test_numbered_items_hold_whole_lines(spark, tmp_path):
+    """Lines of all kinds, short and long, about the length that makes a heading of a numbered list item: every text ends as its line does, and the SQL gives the same rows."""
+    duckdb = pytest.importorskip("duckdb")
+    line = lambda doc, pos: "palabra 😀 " * ((doc + pos) % 9) + "x" * (pos % 7) + f" fin{doc}y{pos}"
+    docs = [(doc, "\n".join(line(doc, pos) for pos in range(60))) for doc in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = "seq, id, doc, page, cite, parent_id, label, text"
+    got = sorted(map(tuple, catalogue.QUERIES["ingest_numbered"](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
+    assert got == sorted(con.execute(f"SELECT {columns} FROM ({catalogue.ORACLES['ingest_numbered']})").fetchall())
+    assert len(got) == 40 * 60 and all(x[-1].endswith(f" fin{int(x[2], 36)}y{x[0]}") for x in got)
+    disguised = {(x[-2], len(x[-1])) for x in got if x[-1].startswith("A.1.3 Rótulo ")}
+    assert {"section_header"} == {label for label, n in disguised if n <= 100} and {"list_item"} == {label for label, n in disguised if n > 100}
