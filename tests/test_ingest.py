@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant import queries as catalogue
 from foliant.operators import checks, ingest
@@ -125,3 +126,19 @@ def test_numbered_items_hold_whole_lines(spark, tmp_path):
     assert len(got) == 40 * 60 and all(x[-1].endswith(f" fin{int(x[2], 36)}y{x[0]}") for x in got)
     disguised = {(x[-2], len(x[-1])) for x in got if x[-1].startswith("A.1.3 Rótulo ")}
     assert {"section_header"} == {label for label, n in disguised if n <= 100} and {"list_item"} == {label for label, n in disguised if n > 100}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_few_flags_shuffle_no_texts(spark, monkeypatch, few):
+    """Items in figures and tables are told by flags that go to the items, or by a join if these are many; the same ones are dropped."""
+    monkeypatch.setattr(ingest, "FEW", few)
+    places = {"caption": (60, 690), "figure": (60, 650), "cell": (60, 450), "outside": (60, 100)}
+    doc = {
+        "texts": [item("caption" if t == "caption" else "text", t, 1, *at) for t, at in places.items()], "tables": [{"label": "table", "prov": [{"page_no": 1, "bbox": box(50, 500, 300, 400)}]}],
+        "pictures": [{"label": "picture", "prov": [{"page_no": 1, "bbox": box(50, 700, 300, 600)}]}], "pages": {"1": {"size": {"width": 600.0, "height": 800.0}}},
+    }
+    rows = spark.read.schema(layout.SCHEMA).json(spark.sparkContext.parallelize([json.dumps(doc)])).withColumn("doc", F.lit("A"))
+    x = ingest.prepared(layout.items(rows))
+    assert {(r.body, r.dropped) for r in x.filter("kind = 'text'").collect()} == {("caption", None), ("figure", "figure_labels"), ("cell", "in_table"), ("outside", None)}
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == ("SortMergeJoin" in plan) and (few == 0 or "Exchange hashpartitioning" not in plan)
